@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from convolens.functions.arrays import let
+
 # --- fixed values: character classes ------------------------------------------------------------
 # White space as Python's str.strip() and str.split() see it.
 SPACE = r"\s\p{Z}\x1c-\x1f\x85"
@@ -109,7 +111,7 @@ def emoji_aliases(col: Column, aliases: dict[str, str] | None = None) -> Column:
         return col
     lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     keys = "".join(r"\x{%X}" % ord(k) for k in table)
-    pieces = F.regexp_extract_all(col, F.lit(f"(?s)[{keys}]|[^{keys}]+"), 0)
+    pieces = F.regexp_extract_all(col, F.lit(f"[{keys}]|[^{keys}]+"), 0)
     named = F.transform(
         pieces,
         lambda p: F.when(p.rlike(f"^[{keys}]$"), F.try_element_at(lookup, p)).otherwise(p),
@@ -127,17 +129,20 @@ def ngrams(toks: Column, low: int = 1, high: int = 3) -> Column:
 
     Each length is built from the one before it by zipping with the shifted token list.
     """
-    grams, out = toks, []
-    for n in range(1, high + 1):
-        if n > 1:
-            grams = F.zip_with(
-                F.slice(grams, F.lit(1), F.greatest(F.size(grams) - 1, F.lit(0))),
-                F.slice(toks, F.lit(n), F.greatest(F.size(toks) - (n - 1), F.lit(0))),
-                lambda head, last: F.concat_ws(" ", head, last),
-            )
-        if n >= low:
-            out.append(grams)
-    return F.concat(*out) if len(out) > 1 else out[0]
+
+    def longer(base: Column, grams: Column, n: int, found: list[Column]) -> Column:
+        kept = [*found, grams] if n >= low else found
+        if n == high:
+            return F.concat(*kept) if len(kept) > 1 else kept[0]
+        left = F.greatest(F.size(base) - n, F.lit(0))
+        zipped = F.zip_with(
+            F.slice(grams, F.lit(1), left),
+            F.slice(base, F.lit(n + 1), left),
+            lambda head, last: F.concat_ws(" ", head, last),
+        )
+        return let(zipped, lambda g: longer(base, g, n + 1, kept))
+
+    return let(toks, lambda t: longer(t, t, 1, []))
 
 
 def calendar(ts: Column) -> dict[str, Column]:
@@ -145,6 +150,6 @@ def calendar(ts: Column) -> dict[str, Column]:
     return {
         "date": F.to_date(ts),
         "hour": F.hour(ts),
-        "weekday": F.date_format(ts, "EEEE"),
-        "day": F.date_trunc("day", ts).cast("timestamp_ntz"),
+        "weekday": F.date_format(F.to_date(ts), "EEEE"),
+        "day": F.to_date(ts).cast("timestamp_ntz"),
     }

@@ -46,16 +46,17 @@ def join_small(
     on: Sequence[str],
     spread_by: Sequence[str],
     max_rows: int = BROADCAST_ROWS,
-    how: str = "inner",
+    bound: int | None = None,
 ) -> DataFrame:
     """Join a large table with one that is usually small.
 
     The small side is broadcast when a count proves it small, so ``big`` is not shuffled. Beyond
     that both sides are shuffled on ``on`` plus a salt taken from ``spread_by`` (columns of
-    ``big``), which splits a hot key over ``SALTS`` tasks.
+    ``big``), which splits a hot key over ``SALTS`` tasks. ``bound`` is a row limit the caller has
+    already built into ``small``; it saves the count.
     """
-    if fits(small, max_rows):
-        return big.join(F.broadcast(small), list(on), how)
+    if bound <= max_rows if bound is not None else fits(small, max_rows):
+        return big.join(F.broadcast(small), list(on))
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return salted.join(copies, [*on, "_salt"]).drop("_salt")
