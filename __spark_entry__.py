@@ -208,7 +208,8 @@ def emotion_mix(spark, sf_dir):
 def message_emotions(spark, sf_dir):
     ship(spark)
     vectors = em.embed(index.indexable(fx.messages(spark, sf_dir)), "clean_text")
-    scored = em.emotion_scores(vectors, "vector", em.emotion_labels(spark))
+    narrow = vectors.select("chat_id", "seq", "vector")
+    scored = em.emotion_scores(narrow, "vector", em.emotion_labels(spark))
     best = F.array_max("emotion_similarities").alias("score")
     return scored.select("chat_id", "seq", "dominant_emotion", best)
 

@@ -36,5 +36,5 @@ def run_lengths(values: Column) -> Column:
             ),
         )
 
-    # A null or empty list has no runs; the filter keeps the row's array type.
-    return F.when(F.size(values) > 0, let(F.sort_array(values), cut))
+    # A null or empty list has no runs: null, which explodes to no rows.
+    return let(F.sort_array(values), lambda s: F.when(F.size(s) > 0, cut(s)))

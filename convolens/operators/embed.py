@@ -9,9 +9,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convolens.functions.text import tokens
 from convolens.functions.vectors import HASH_DIM, cosines, hash_embedding, matrix
+from convolens.operators.ranking import DIGITS
 
 # --- fixed values: the emotion labels, in order --------------------------------------------------
 EMOTIONS = [
@@ -66,22 +68,28 @@ def label_vectors(labels: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def emotion_scores(
-    df: DataFrame, vector_col: str, labels: DataFrame, dim_out: str = "emotion_similarities"
+    df: DataFrame, vector_col: str, labels: DataFrame, out: str = "emotion_similarities"
 ) -> DataFrame:
     """Add the cosine to every label and the best label; the first label wins ties.
 
-    One matrix product per Arrow batch; the other columns never leave the JVM.
+    One matrix product per Arrow batch. All columns of ``df`` travel with the batches, so select
+    the ones needed first.
     """
     names, targets = label_vectors(labels)
-
-    def similar(vectors: pa.Array) -> pa.Array:
-        scores = np.round(cosines(matrix(vectors), targets), 6).astype(np.float64)
-        offsets = np.arange(0, scores.size + 1, len(names), dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(scores.ravel()))
-
-    similar.__annotations__ = {"vectors": pa.Array, "return": pa.Array}
-    scored = df.withColumn(dim_out, F.arrow_udf(similar, "array<double>")(vector_col))
-    best = F.array_position(dim_out, F.array_max(dim_out)).cast("int")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(batch.schema.get_field_index(vector_col))
+            scores = np.round(cosines(matrix(vectors), targets), DIGITS) + 0.0
+            offsets = np.arange(0, scores.size + 1, len(names), dtype=np.int32)
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(scores.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, column], names=[*batch.schema.names, out]
+            )
+
+    scored = df.mapInArrow(similar, schema)
+    best = F.array_position(out, F.array_max(out)).cast("int")
     return scored.withColumn(
         "dominant_emotion", F.element_at(F.array(*[F.lit(n) for n in names]), best)
     )

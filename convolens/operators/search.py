@@ -209,17 +209,19 @@ def fuzzy_vocabulary(keywords: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def _inside(short: DataFrame, short_col: str, long: DataFrame, long_col: str) -> DataFrame:
     """Pairs where ``short`` is a proper part of ``long``."""
     heads = short.withColumn("gram", F.substring(short_col, 1, 3))
-    starts = lambda n: F.sequence(
-        F.lit(1), F.greatest(F.length(long_col) - (n - 1), F.lit(1))
+    parts = long.withColumn(
+        "gram",
+        F.explode(F.array_union(_letter_ngrams(long_col, 2), _letter_ngrams(long_col, 3))),
     )
-    grams = F.array_union(
-        *[F.transform(starts(n), lambda i, n=n: F.substring(F.col(long_col), i, F.lit(n))) for n in (2, 3)]
-    )
-    parts = long.withColumn("gram", F.explode(grams))
     inside = F.col(long_col).contains(F.col(short_col)) & (F.col(long_col) != F.col(short_col))
     return parts.join(heads, "gram").where(inside).select("keyword", "word")
 
 
+def _letter_ngrams(col: str, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(col) - (n - 1), F.lit(1)))
+    return F.transform(starts, lambda i: F.substring(F.col(col), i, F.lit(n)))
+
+
 def keyword_weights(keywords: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(query_id, word, weight)``: what each index word adds to a message that has it."""
     exact = keywords.join(

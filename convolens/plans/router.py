@@ -133,7 +133,7 @@ def _by_user(reqs: DataFrame, messages: DataFrame, k: int) -> DataFrame:
     latest = top_k(timed.select("chat_id", "seq", "date_time", "user"), order, k, ["user"])
     users = timed.select("user").distinct()
     matches = [
-        users.select("user", F.inline(F.filter(patterns, lambda p: F.col("user").rlike(p["pattern"]))))
+        users.select("user", F.inline(F.filter(patterns, lambda p: F.rlike("user", p["pattern"]))))
         for patterns in _pattern_blocks(reqs)
     ]
     hits = latest.join(reduce(DataFrame.unionByName, matches).drop("pattern"), "user")
@@ -165,10 +165,8 @@ def _by_time(
     listed = latest.agg(
         F.collect_list(F.struct("chat_id", "seq", age_hours.alias("age_hours")))
     ).scalar()
-    hits = reqs.select(
-        "query_id",
-        "hours",
-        F.inline(F.filter(listed, lambda m: m["age_hours"] <= F.col("hours"))),
+    hits = reqs.select("query_id", "hours", listed.alias("latest")).select(
+        "query_id", F.inline(F.filter("latest", lambda m: m["age_hours"] <= F.col("hours")))
     )
     return hits.withColumns({"score": F.lit(1.0), "method": F.lit(BY_TIME)})
 

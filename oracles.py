@@ -136,7 +136,7 @@ def keyword_hits(name: str, queries: str, k: int = 15) -> str:
   SELECT query_id, word, 0.8::DOUBLE * similarity * times FROM {name}_kw JOIN {name}_fz USING (keyword)),
 {name} AS (
   SELECT query_id, chat_id, seq, round(sum(w), 6) AS score
-  FROM postings JOIN {name}_w USING (word) GROUP BY ALL
+  FROM postings JOIN {name}_w USING (word) GROUP BY query_id, chat_id, seq
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chat_id, seq) <= {k})"""
 
 
@@ -166,9 +166,11 @@ def fused_hits(name: str, queries: str, k: int = 15) -> str:
   SELECT query_id, chat_id, seq, score, 1.0::DOUBLE AS w FROM {name}_s
   UNION ALL SELECT query_id, chat_id, seq, score, 0.8 FROM {name}_k
   UNION ALL SELECT query_id, chat_id, seq, score, 0.6 FROM {name}_t),
-{name} AS (
+{name}_f AS (
   SELECT query_id, chat_id, seq, round(sum(score * w) / sum(w) + 0.1 * count(*), 6) AS score
-  FROM {name}_all GROUP BY ALL
+  FROM {name}_all GROUP BY query_id, chat_id, seq),
+{name} AS (
+  SELECT * FROM {name}_f
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chat_id, seq) <= {2 * k})"""
 
 
@@ -401,7 +403,7 @@ def oracle_sql() -> dict[str, str]:
     add("top_users", EV, body='SELECT "user", count(*) AS n FROM msg GROUP BY ALL ORDER BY n DESC, "user" LIMIT 5')
     add(
         "top_users_by_chat", EV,
-        body="""SELECT chat_id, "user", count(*) AS n FROM msg GROUP BY ALL
+        body="""SELECT chat_id, "user", count(*) AS n FROM msg GROUP BY chat_id, "user"
                 QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY count(*) DESC, "user") <= 5""",
     )
     common = "SELECT word, df FROM wf ORDER BY df DESC, word LIMIT 20"
