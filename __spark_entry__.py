@@ -55,9 +55,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def write_export(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "export")
-    lines = fx.export_lines(spark, sf_dir)
-    ordered = lines.repartitionByRange("chat_id", "seq").sortWithinPartitions("chat_id", "seq")
-    ordered.select("value").write.text(path)
+    fx.export_lines(spark, sf_dir).select("value").write.text(path)
     return path
 
 
@@ -90,10 +88,9 @@ def parse_export_reference(spark, sf_dir):
 
 def _classified(spark, sf_dir):
     bodies = fx.export_bodies(spark, sf_dir)
-    plain = export.join_lines(F.col("body"), "\n")
-    kind, content = export.classify(F.col("normal"))
-    return bodies.withColumn("normal", text.normalize_body(plain)).select(
-        "chat_id", "seq", kind.alias("message_type"), content.alias("message")
+    plain = text.normalize_body(export.join_lines(F.col("body"), "\n"))
+    return bodies.select("chat_id", "seq", export.classify(plain).alias("t")).select(
+        "chat_id", "seq", "t.message_type", "t.message"
     )
 
 
@@ -250,58 +247,58 @@ def semantic_batch(spark, sf_dir):
 
 def semantic_messages(spark, sf_dir):
     ship(spark)
-    vectors = em.embed(index.indexable(fx.messages(spark, sf_dir)), "clean_text")
     wanted = em.embed(search.asked(fx.benchmark_queries(spark, sf_dir)), "text")
-    return search.semantic_search(vectors, wanted)
+    return search.semantic_search(stored(spark, sf_dir).vectors, wanted)
+
+
+_index_paths: dict[tuple[str, str], str] = {}
 
 
-def _postings(spark, sf_dir):
-    postings = index.word_postings(fx.messages(spark, sf_dir))
-    return postings, index.word_freq(postings)
+def stored(spark: SparkSession, sf_dir: str) -> search.SearchTables:
+    """Index tables of the conversations: built by the first search that needs them, then reused."""
+    ship(spark)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _index_paths.setdefault(key, scratch_path(spark, "search"))
+    return index_store.build_or_load(fx.messages(spark, sf_dir), path)
 
 
 def keyword_search(spark, sf_dir):
+    t = stored(spark, sf_dir)
     asked = search.keyword_query(spark, oracles.KEYWORDS)
-    hits = search.keyword_search(*_postings(spark, sf_dir), asked)
-    return search.render(hits, fx.messages(spark, sf_dir), search.KEYWORD, bound=search.TOP_K)
+    hits = search.keyword_search(t.postings, t.vocabulary, asked)
+    return search.render(hits, t.messages, search.KEYWORD, bound=search.TOP_K)
 
 
 def keyword_batch(spark, sf_dir):
-    return search.keyword_search(*_postings(spark, sf_dir), fx.benchmark_queries(spark, sf_dir))
+    t = stored(spark, sf_dir)
+    return search.keyword_search(t.postings, t.vocabulary, fx.benchmark_queries(spark, sf_dir))
 
 
 def fuzzy_vocab(spark, sf_dir):
     keywords = search.keywords_of(fx.benchmark_queries(spark, sf_dir))
-    _, vocabulary = _postings(spark, sf_dir)
+    vocabulary = stored(spark, sf_dir).vocabulary
     return rounded(search.fuzzy_vocabulary(keywords, vocabulary), "similarity")
 
 
-def _tfidf(spark, sf_dir):
-    messages = fx.messages(spark, sf_dir)
-    terms = index.tfidf_vocabulary(messages)
-    return index.tfidf_weights(messages, terms), terms
-
-
 def tfidf_search(spark, sf_dir):
-    hits = search.tfidf_search(*_tfidf(spark, sf_dir), search.one_query(spark, oracles.QUESTION))
-    return search.render(hits, fx.messages(spark, sf_dir), search.TFIDF, bound=search.TOP_K)
+    t = stored(spark, sf_dir)
+    hits = search.tfidf_search(t.weights, t.terms, search.one_query(spark, oracles.QUESTION))
+    return search.render(hits, t.messages, search.TFIDF, bound=search.TOP_K)
 
 
 def tfidf_batch(spark, sf_dir):
-    return search.tfidf_search(*_tfidf(spark, sf_dir), fx.benchmark_queries(spark, sf_dir))
+    t = stored(spark, sf_dir)
+    return search.tfidf_search(t.weights, t.terms, fx.benchmark_queries(spark, sf_dir))
 
 
 def combined_search(spark, sf_dir):
-    ship(spark)
-    t = index_store.in_memory(fx.messages(spark, sf_dir))
+    t = stored(spark, sf_dir)
     hits = search.combined_search(t, search.one_query(spark, oracles.QUESTION))
     return search.render(hits, t.messages, search.COMBINED, bound=2 * search.TOP_K)
 
 
 def combined_batch(spark, sf_dir):
-    ship(spark)
-    t = index_store.in_memory(fx.messages(spark, sf_dir))
-    return search.combined_search(t, fx.benchmark_queries(spark, sf_dir))
+    return search.combined_search(stored(spark, sf_dir), fx.benchmark_queries(spark, sf_dir))
 
 
 # --- responses ------------------------------------------------------------------------------------
@@ -321,18 +318,15 @@ def tool_calls(spark, sf_dir):
 
 
 def route_requests(spark, sf_dir):
-    ship(spark)
     calls = responses.tool_calls(fx.request_responses(spark, sf_dir))
-    t = index_store.in_memory(fx.messages(spark, sf_dir))
-    return router.route(router.requests(calls), t, as_of=AS_OF).drop("stats")
+    return router.route(router.requests(calls), stored(spark, sf_dir), as_of=AS_OF).drop("stats")
 
 
 def pack_context(spark, sf_dir):
     asked = fx.benchmark_queries(spark, sf_dir)
-    hits = search.tfidf_search(*_tfidf(spark, sf_dir), asked)
-    return responses.pack_context(
-        search.render(hits, fx.messages(spark, sf_dir), search.TFIDF), asked
-    )
+    t = stored(spark, sf_dir)
+    hits = search.tfidf_search(t.weights, t.terms, asked)
+    return responses.pack_context(search.render(hits, t.messages, search.TFIDF), asked)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

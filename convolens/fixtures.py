@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convolens.runtime import spread
 from convolens.schema import as_messages
 
 START = "2024-01-01 00:00:00"
@@ -40,6 +41,8 @@ MARKERS = [
     (None, "Text", None),
     (None, "Text", None),
 ]
+# Tables whose rows carry enough text to be worth spreading.
+TEXT_TABLES = {"conversations", "documents"}
 LEXICON = [
     ("the", 1.5), ("la", -1.2), ("die", 0.8), ("que", -2.1), ("and", 2.4), ("der", -0.6),
     ("of", 0.4), ("les", -1.7), ("und", 1.1), ("in", -0.3), ("de", 3.0), ("is", -2.8),
@@ -47,7 +50,8 @@ LEXICON = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in TEXT_TABLES else scan
 
 
 def choose(index: Column, options: list) -> Column:

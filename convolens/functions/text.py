@@ -51,6 +51,8 @@ EMOJI_ALIASES = {
 EMOJI_CLASS = "".join(
     "-".join(r"\x{%s}" % point for point in span.split("-")) for span in EMOJI_RANGES
 )
+# Letters of most scripts fail one of these few ranges and never meet the long list.
+EMOJI_SPAN = r"\x{A9}\x{AE}\x{203C}-\x{3299}\x{1F004}-\x{1FAF8}"
 
 
 def strip(col: Column) -> Column:
@@ -97,7 +99,7 @@ def caps_ratio(col: Column) -> Column:
 
 def emojis(col: Column) -> Column:
     """Every emoji code point of the text, in order; sequences come apart."""
-    return F.regexp_extract_all(col, F.lit(f"[{EMOJI_CLASS}]"), 0)
+    return F.regexp_extract_all(col, F.lit(f"[{EMOJI_SPAN}&&[{EMOJI_CLASS}]]"), 0)
 
 
 def emoji_aliases(col: Column, aliases: dict[str, str] | None = None) -> Column:

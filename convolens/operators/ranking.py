@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 # Scores are rounded before they are ranked: the order in which a distributed sum adds up must not
 # decide between equal messages.
-DIGITS = 6
+DIGITS = 9
 
 
-def score(col: Column) -> Column:
-    return F.round(col, DIGITS)
+# A fused score is a ratio of already rounded numbers; fewer digits keep it off rounding ties.
+FUSED_DIGITS = 6
+
+
+def score(col: Column, digits: int = DIGITS) -> Column:
+    return F.round(col, digits)
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int, by: Sequence[str] = ()) -> DataFrame:

@@ -20,9 +20,9 @@ from convolens.functions.arrays import run_lengths
 from convolens.functions.vectors import matrix, unit_rows
 from convolens.operators.embed import embed
 from convolens.operators.index import NGRAMS
-from convolens.operators.ranking import DIGITS, score, top_k
+from convolens.operators.ranking import DIGITS, FUSED_DIGITS, score, top_k
 from convolens.operators.retrieval import HIT_COLUMNS
-from convolens.runtime import fits, join_small
+from convolens.runtime import fits, join_small, shared_dir
 
 # --- fixed values -------------------------------------------------------------------------------
 TOP_K = 15
@@ -239,15 +239,16 @@ def keyword_search(
     """Messages by exact and partial keyword matches.
 
     The fuzzy step runs on the vocabulary; the postings are joined once, with the few words that
-    matter, which are broadcast when they prove few.
+    matter. Those are stored first, since they are counted before they are broadcast.
     """
-    weights = keyword_weights(keywords_of(queries), vocabulary)
+    shared_dir(queries.sparkSession)
+    weights = keyword_weights(keywords_of(queries), vocabulary).checkpoint()
     hits = join_small(postings, weights, ["word"], spread_by=["chat_id", "seq"])
-    return _ranked(hits, F.sum("weight"), k)
+    return _ranked(hits, score(F.sum("weight")), k)
 
 
 def _ranked(hits: DataFrame, total: Column, k: int, floor: float | None = None) -> DataFrame:
-    scored = hits.groupBy("query_id", "chat_id", "seq").agg(score(total).alias("score"))
+    scored = hits.groupBy("query_id", "chat_id", "seq").agg(total.alias("score"))
     if floor is not None:
         scored = scored.where(F.col("score") > floor)
     return top_k(scored, _best_first(["chat_id", "seq"]), k, ["query_id"])
@@ -289,7 +290,7 @@ def tfidf_search(
     """Messages by the dot product of normalised TF-IDF weights."""
     terms = query_terms(queries, vocabulary, ngram_range)
     hits = join_small(weights, terms, ["term"], spread_by=["chat_id", "seq"])
-    return _ranked(hits, F.sum(F.col("qweight") * F.col("weight")), k, floor)
+    return _ranked(hits, score(F.sum(F.col("qweight") * F.col("weight"))), k, floor)
 
 
 # --- fusion -------------------------------------------------------------------------------------
@@ -320,7 +321,8 @@ def fuse(
         hits = part if hits is None else hits.unionByName(part)
     mean = F.sum(F.col("score") * F.col("weight")) / F.sum("weight")
     # A branch lists a message at most once per query, so rows count branches.
-    return _ranked(hits, mean + METHOD_BOOST * F.count(F.lit(1)), 2 * k)
+    fused = score(mean + METHOD_BOOST * F.count(F.lit(1)), FUSED_DIGITS)
+    return _ranked(hits, fused, 2 * k)
 
 
 def combined_search(

@@ -35,6 +35,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Redistribute a file scan that has fewer partitions than the cluster has cores.
+
+    A table in one small file is one task, however costly the text work on each row. Large tables
+    have enough partitions and come back unchanged. Pass plain scans only.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; never reads more than it has to."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from convolens.functions.arrays import let
 from convolens.functions.text import SPACE, normalize_body, strip
 from convolens.schema import MESSAGE_SCHEMA
 
@@ -132,20 +133,29 @@ def export_time(day: Column, clock: Column, half: Column) -> Column:
     )
 
 
-def classify(body: Column) -> tuple[Column, Column]:
-    """Message type and body of a normalised text; the first marker that occurs decides."""
-    kind, content = F.when(F.lit(False), ""), F.when(F.lit(False), "")
-    for marker, name in MEDIA_MARKERS:
-        hit = body.contains(marker)
-        kind, content = kind.when(hit, name), content.when(hit, "")
-    for missed, call, name in CALL_MARKERS:
-        duration = F.regexp_extract(body, r"(\d+:\d+)", 1)
-        after_comma = F.element_at(F.split(body, ","), -1)
-        kind = kind.when(body.contains(missed), name).when(body.contains(call), name)
-        content = content.when(body.contains(missed), "Missed").when(
-            body.contains(call), F.when(duration != "", duration).otherwise(after_comma)
+def classify(body: Column) -> Column:
+    """``struct<message_type, message>`` of a normalised text; the first marker that occurs decides.
+
+    The text is bound once, so its own expression is not repeated for every marker.
+    """
+
+    def decide(b: Column) -> Column:
+        kind, content = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+        for marker, name in MEDIA_MARKERS:
+            hit = b.contains(marker)
+            kind, content = kind.when(hit, name), content.when(hit, "")
+        for missed, call, name in CALL_MARKERS:
+            duration = F.regexp_extract(b, r"(\d+:\d+)", 1)
+            after_comma = F.element_at(F.split(b, ","), -1)
+            kind = kind.when(b.contains(missed), name).when(b.contains(call), name)
+            content = content.when(b.contains(missed), "Missed").when(
+                b.contains(call), F.when(duration != "", duration).otherwise(after_comma)
+            )
+        return F.struct(
+            kind.otherwise("Text").alias("message_type"), content.otherwise(b).alias("message")
         )
-    return kind.otherwise("Text"), content.otherwise(body)
+
+    return let(body, decide)
 
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
@@ -255,15 +265,16 @@ def _finish(parsed: DataFrame, strict: bool = False, keep_raw: bool = False) ->
     if strict:
         why = F.concat_ws(" ", F.lit("impossible time stamp:"), "day", "clock", "half")
         stamp = F.coalesce(stamp, F.raise_error(why).cast("timestamp_ntz"))
-    body = F.col("normal")
-    kind, content = classify(body)
-    out = parsed.withColumn("normal", normalize_body(F.col("body"))).select(
+    typed = parsed.withColumns(
+        {"_normal": normalize_body(F.col("body")), "_time": stamp}
+    ).withColumn("_typed", classify(F.col("_normal")))
+    out = typed.select(
         "chat_id",
         F.col("seq").cast("long").alias("seq"),
-        stamp.alias("date_time"),
+        F.col("_time").alias("date_time"),
         "user",
-        F.when(F.col("system"), "System").otherwise(kind).alias("message_type"),
-        F.when(F.col("system"), body).otherwise(content).alias("message"),
+        F.when(F.col("system"), "System").otherwise(F.col("_typed.message_type")).alias("message_type"),
+        F.when(F.col("system"), F.col("_normal")).otherwise(F.col("_typed.message")).alias("message"),
         *([F.col("body").alias("message_raw")] if keep_raw else []),
     )
     assert out.columns[: len(MESSAGE_SCHEMA)] == MESSAGE_SCHEMA.fieldNames()

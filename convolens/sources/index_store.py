@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 from convolens.operators import index
 from convolens.operators.embed import embed
 from convolens.operators.search import SearchTables
+from convolens.runtime import SALTS
 from convolens.schema import MESSAGE_SCHEMA
 
 META_SCHEMA = T.StructType(
@@ -18,16 +20,13 @@ META_SCHEMA = T.StructType(
         T.StructField("version", T.StringType()),
     ]
 )
-# Sort columns per table. Ranges over the whole key spread a frequent word or a huge chat over
-# many files; the leading column gives row groups narrow min/max values, so a search for a few
-# words reads few of them.
-LAYOUT = {
+# Sort columns of the tables that searches filter by their leading column: sorted files give row
+# groups narrow min/max values, so a search for a few words decodes few of them.
+SORTED = {
     "postings": ["word", "chat_id", "seq"],
+    "weights": ["term", "chat_id", "seq"],
     "vocabulary": ["word"],
     "terms": ["term"],
-    "weights": ["term", "chat_id", "seq"],
-    "vectors": ["chat_id", "seq"],
-    "profiles": ["user"],
 }
 
 
@@ -38,50 +37,55 @@ def fingerprint(messages: DataFrame) -> tuple[str, int]:
     return str(row["h"] or 0), row["n"]
 
 
-def build(messages: DataFrame, path: str) -> str:
+def build(messages: DataFrame, path: str, mark: tuple[str, int] | None = None) -> str:
     """Write all index tables below ``path`` and return the version folder.
 
     The meta table is written last, so a build that stopped half-way is never picked up.
     """
-    mark, n = fingerprint(messages)
-    version = f"{path.rstrip('/')}/v_{mark.lstrip('-')}_{'n' if mark[0] == '-' else 'p'}_{n}"
+    digest, n = mark or fingerprint(messages)
+    version = f"{path.rstrip('/')}/v_{digest.replace('-', 'm')}_{n}"
     spark = messages.sparkSession
-    _write(index.word_postings(messages), version, "postings")
+    _write(_by_word(index.word_postings(messages)), version, "postings")
     _write(index.word_freq(spark.read.parquet(f"{version}/postings")), version, "vocabulary")
     _write(index.tfidf_vocabulary(messages), version, "terms")
     terms = spark.read.parquet(f"{version}/terms")
-    _write(index.tfidf_weights(messages, terms), version, "weights")
+    _write(_by_word(index.tfidf_weights(messages, terms)), version, "weights")
     vectors = embed(index.indexable(messages), "clean_text").select("chat_id", "seq", "vector")
     _write(vectors, version, "vectors")
     _write(index.user_profile(messages), version, "profiles")
-    meta = spark.createDataFrame([(mark, n, version)], META_SCHEMA)
+    meta = spark.createDataFrame([(digest, n, version)], META_SCHEMA)
     meta.coalesce(1).write.mode("append").parquet(f"{path}/meta")
     return version
 
 
+def _by_word(df: DataFrame) -> DataFrame:
+    """Bring a word's rows together, a frequent word's in ``SALTS`` places."""
+    salt = F.pmod(F.xxhash64("chat_id", "seq"), F.lit(SALTS))
+    return df.repartition(df.columns[0], salt)
+
+
 def _write(df: DataFrame, version: str, name: str) -> None:
-    key = LAYOUT[name]
-    ordered = df.repartitionByRange(*key).sortWithinPartitions(*key)
-    ordered.write.mode("overwrite").parquet(f"{version}/{name}")
+    if name in SORTED:
+        df = df.sortWithinPartitions(*SORTED[name])
+    df.write.mode("overwrite").parquet(f"{version}/{name}")
 
 
-def find(messages: DataFrame, path: str) -> str | None:
+def find(messages: DataFrame, path: str, mark: tuple[str, int] | None = None) -> str | None:
     """The version folder built from exactly these messages, if there is one."""
-    spark = messages.sparkSession
+    digest, n = mark or fingerprint(messages)
     try:
-        meta = spark.read.schema(META_SCHEMA).parquet(f"{path}/meta")
-        mark, n = fingerprint(messages)
-        found = meta.where((F.col("fingerprint") == mark) & (F.col("n") == n)).first()
-    except Exception as e:  # a path that does not exist yet holds no index
-        if "PATH_NOT_FOUND" in str(e):
+        meta = messages.sparkSession.read.schema(META_SCHEMA).parquet(f"{path}/meta")
+        found = meta.where((F.col("fingerprint") == digest) & (F.col("n") == n)).first()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # nothing was built here yet
             return None
         raise
     return found["version"] if found else None
 
 
 def build_or_load(messages: DataFrame, path: str) -> SearchTables:
-    version = find(messages, path) or build(messages, path)
-    return load(messages, version)
+    mark = fingerprint(messages)
+    return load(messages, find(messages, path, mark) or build(messages, path, mark))
 
 
 def load(messages: DataFrame, version: str) -> SearchTables:

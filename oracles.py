@@ -107,7 +107,7 @@ def hashed(name: str, source: str, keys: str, text: str, dim: int = 64) -> str:
 def cosine_hits(name: str, vec: str, queries: str, ids: str, k: int = 15, floor: float = 0.1) -> str:
     """Top k by cosine from long-form vectors (ids, pos, v) and (query_id, pos, v)."""
     return f"""{name}_score AS (
-  SELECT query_id, {ids}, round(dot / (a.norm * b.norm), 6) + 0.0 AS score
+  SELECT query_id, {ids}, round(dot / (a.norm * b.norm), 9) + 0.0 AS score
   FROM (SELECT query_id, {ids}, sum(x.v * y.v) AS dot FROM {vec} x JOIN {queries} y USING (pos) GROUP BY ALL)
   JOIN (SELECT {ids}, sqrt(sum(v * v)) AS norm FROM {vec} GROUP BY ALL) a USING ({ids})
   JOIN (SELECT query_id, sqrt(sum(v * v)) AS norm FROM {queries} GROUP BY ALL) b USING (query_id)
@@ -135,7 +135,7 @@ def keyword_hits(name: str, queries: str, k: int = 15) -> str:
   UNION ALL
   SELECT query_id, word, 0.8::DOUBLE * similarity * times FROM {name}_kw JOIN {name}_fz USING (keyword)),
 {name} AS (
-  SELECT query_id, chat_id, seq, round(sum(w), 6) AS score
+  SELECT query_id, chat_id, seq, round(sum(w), 9) AS score
   FROM postings JOIN {name}_w USING (word) GROUP BY query_id, chat_id, seq
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chat_id, seq) <= {k})"""
 
@@ -149,7 +149,7 @@ def tfidf_hits(name: str, queries: str, k: int = 15) -> str:
          tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY query_id)) AS qweight
   FROM {name}_tf JOIN terms USING (term)),
 {name}_sc AS (
-  SELECT query_id, chat_id, seq, round(sum(qweight * weight), 6) AS score
+  SELECT query_id, chat_id, seq, round(sum(qweight * weight), 9) AS score
   FROM wts JOIN {name}_qw USING (term) GROUP BY ALL),
 {name} AS (
   SELECT * FROM {name}_sc WHERE score > 0.01
