@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convolens.functions.arrays import let
 from convolens.functions.text import strip
 
 # --- fixed values -------------------------------------------------------------------------------
@@ -29,11 +30,14 @@ def strip_reasoning(response: Column) -> Column:
     When fewer than ten characters remain, the first function-call text of the original, if any,
     takes their place.
     """
-    bare = strip(
-        F.regexp_replace(F.regexp_replace(response, THINK_BLOCK, ""), THINK_TAG, "")
-    )
+    untagged = F.regexp_replace(F.regexp_replace(response, THINK_BLOCK, ""), THINK_TAG, "")
     call = F.regexp_extract(response, CALL_START, 0)
-    return F.when((F.length(bare) < MIN_RESPONSE_LENGTH) & (call != ""), call).otherwise(bare)
+    return let(
+        strip(untagged),
+        lambda bare: F.when(
+            F.length(bare) < MIN_RESPONSE_LENGTH, F.when(call != "", call).otherwise(bare)
+        ).otherwise(bare),
+    )
 
 
 def extract_call(response: Column, mode: str = "lossless") -> Column:
@@ -42,22 +46,25 @@ def extract_call(response: Column, mode: str = "lossless") -> Column:
     ``reference`` looks for parts with the two original patterns, which cut a call with an
     arguments object short; ``lossless`` looks for balanced objects that name a function call.
     """
-    clean = strip_reasoning(response)
-    if mode == "reference":
-        parts = F.concat(
-            F.regexp_extract_all(clean, F.lit(FLAT_CALL), 0),
-            F.regexp_extract_all(clean, F.lit(CALL_START), 0),
-        )
-    elif mode == "lossless":
-        parts = F.filter(
+    if mode not in ("lossless", "reference"):
+        raise ValueError("mode is 'lossless' or 'reference'")
+
+    def parts(clean: Column) -> Column:
+        if mode == "reference":
+            return F.concat(
+                F.regexp_extract_all(clean, F.lit(FLAT_CALL), 0),
+                F.regexp_extract_all(clean, F.lit(CALL_START), 0),
+            )
+        return F.filter(
             F.regexp_extract_all(clean, F.lit(NESTED_OBJECT), 0),
             lambda p: p.contains('"function_call"'),
         )
-    else:
-        raise ValueError("mode is 'lossless' or 'reference'")
-    parsed = F.transform(parts, F.try_parse_json)
-    first = F.try_element_at(F.filter(parsed, lambda v: v.isNotNull()), F.lit(1))
-    return F.coalesce(F.try_parse_json(clean), first)
+
+    def parse(clean: Column) -> Column:
+        parsed = F.filter(F.transform(parts(clean), F.try_parse_json), lambda v: v.isNotNull())
+        return F.coalesce(F.try_parse_json(clean), F.try_element_at(parsed, F.lit(1)))
+
+    return let(strip_reasoning(response), parse)
 
 
 def is_call(value: Column) -> Column:
@@ -70,15 +77,17 @@ def is_call(value: Column) -> Column:
 
 def tool_calls(responses: DataFrame, text_col: str = "response", mode: str = "lossless") -> DataFrame:
     """Add ``is_call``, ``name`` and ``arguments`` (a variant) to a table of responses."""
-    found = responses.withColumn("_call", extract_call(F.col(text_col), mode))
-    part = lambda path, kind: F.try_variant_get("_call", path, kind)
-    return found.withColumns(
-        {
-            "is_call": is_call(F.col("_call")),
-            "name": part("$.function_call.name", "string"),
-            "arguments": part("$.function_call.arguments", "variant"),
-        }
-    ).drop("_call")
+
+    def fields(call: Column) -> Column:
+        part = lambda path, kind: F.try_variant_get(call, path, kind)
+        return F.struct(
+            is_call(call).alias("is_call"),
+            part("$.function_call.name", "string").alias("name"),
+            part("$.function_call.arguments", "variant").alias("arguments"),
+        )
+
+    found = responses.withColumn("_found", let(extract_call(F.col(text_col), mode), fields))
+    return found.select(*responses.columns, "_found.*")
 
 
 def pack_context(hits: DataFrame, questions: DataFrame) -> DataFrame:
