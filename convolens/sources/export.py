@@ -47,7 +47,8 @@ def join_lines(text: Column, line_join: str = "") -> Column:
     """
     if line_join not in ("", "\n"):
         raise ValueError("line_join is '' or a line feed")
-    joined = F.regexp_replace(text, f"[{SPACE}]*\n[{SPACE}]*", line_join)
+    blank = rf"[{SPACE}&&[^\r\n]]*"
+    joined = F.regexp_replace(text, rf"{blank}(?:\r\n?|\n){blank}", line_join)
     return F.translate(strip(joined), LEFT_TO_RIGHT_MARK, "")
 
 

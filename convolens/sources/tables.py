@@ -16,7 +16,6 @@ CSV_OPTIONS = {
     "quote": '"',
     "escape": '"',
     "nullValue": "\\N",
-    "emptyValue": "",
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",

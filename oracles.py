@@ -319,7 +319,7 @@ def parsed(join: str = "chr(10)") -> str:
   SELECT chat_id, seq, date_time, "user" || '-' || chat_id || '-' || seq AS "user",
          {case(_MI, [m[1] for m in MARKERS])} AS message_type,
          coalesce({case(_MI, [m[2] for m in MARKERS])},
-                  lower(trim(regexp_replace(message, '[{SPACE}]*\\n[{SPACE}]*', {join}, 'g')))) AS message
+                  lower(trim(regexp_replace(message, '[ \\t]*\\n[ \\t]*', {join}, 'g')))) AS message
   FROM msg)"""
 
 
