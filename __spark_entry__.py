@@ -251,15 +251,17 @@ def semantic_messages(spark, sf_dir):
     return search.semantic_search(stored(spark, sf_dir).vectors, wanted)
 
 
-_index_paths: dict[tuple[str, str], str] = {}
+_versions: dict[tuple[str, str], str] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str) -> search.SearchTables:
     """Index tables of the conversations: built by the first search that needs them, then reused."""
     ship(spark)
+    messages = fx.messages(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir)
-    path = _index_paths.setdefault(key, scratch_path(spark, "search"))
-    return index_store.build_or_load(fx.messages(spark, sf_dir), path)
+    if key not in _versions:
+        _versions[key] = index_store.build(messages, scratch_path(spark, "search"))
+    return index_store.load(messages, _versions[key])
 
 
 def keyword_search(spark, sf_dir):

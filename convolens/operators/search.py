@@ -22,7 +22,7 @@ from convolens.operators.embed import embed
 from convolens.operators.index import NGRAMS
 from convolens.operators.ranking import DIGITS, FUSED_DIGITS, score, top_k
 from convolens.operators.retrieval import HIT_COLUMNS
-from convolens.runtime import fits, join_small, shared_dir
+from convolens.runtime import BROADCAST_ROWS, FILTER_VALUES, join_small, keep_keys, stored
 
 # --- fixed values -------------------------------------------------------------------------------
 TOP_K = 15
@@ -125,6 +125,8 @@ def _best_per_task(
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.Table | None] = [None] * len(names)
+        # Score a row needs to matter: above the floor, later at least the k-th best so far.
+        needed = np.full(len(names), np.nextafter(floor, np.inf))
         for batch in batches:
             rows = matrix(batch.column(len(ids)))
             if not rows.size:
@@ -132,19 +134,19 @@ def _best_per_task(
             # -0.0 would rank apart from 0.0.
             scores = np.round(unit_rows(rows) @ targets, DIGITS) + 0.0
             id_table = pa.table({c: batch.column(i) for i, c in enumerate(ids)})
-            for q in range(len(names)):
+            for q in np.flatnonzero((scores >= needed).any(axis=0)):
                 own = scores[:, q]
-                keep = own > floor
+                least = needed[q]
                 if len(own) > k:
                     # Ties with the k-th score stay; the sort below settles them by id.
-                    keep &= own >= np.partition(own, -k)[-k]
-                where = np.flatnonzero(keep)
-                if not len(where):
-                    continue
+                    least = max(least, np.partition(own, -k)[-k])
+                where = np.flatnonzero(own >= least)
                 found = id_table.take(pa.array(where)).append_column("score", pa.array(own[where]))
                 if kept[q] is not None:
                     found = pa.concat_tables([kept[q], found])
                 kept[q] = found.sort_by(order).slice(0, k)
+                if len(kept[q]) == k:
+                    needed[q] = kept[q]["score"][-1].as_py()
         for q, table in enumerate(kept):
             if table is not None:
                 named = table.add_column(0, "query_id", pa.array([names[q]] * len(table), pa.string()))
@@ -241,9 +243,9 @@ def keyword_search(
     The fuzzy step runs on the vocabulary; the postings are joined once, with the few words that
     matter. Those are stored first, since they are counted before they are broadcast.
     """
-    shared_dir(queries.sparkSession)
-    weights = keyword_weights(keywords_of(queries), vocabulary).checkpoint()
-    hits = join_small(postings, weights, ["word"], spread_by=["chat_id", "seq"])
+    weights = stored(keyword_weights(keywords_of(queries), vocabulary))
+    wanted = keep_keys(postings, weights, "word")
+    hits = join_small(wanted, weights, ["word"], spread_by=["chat_id", "seq"])
     return _ranked(hits, score(F.sum("weight")), k)
 
 
@@ -288,8 +290,9 @@ def tfidf_search(
     ngram_range: tuple[int, int] = NGRAMS,
 ) -> DataFrame:
     """Messages by the dot product of normalised TF-IDF weights."""
-    terms = query_terms(queries, vocabulary, ngram_range)
-    hits = join_small(weights, terms, ["term"], spread_by=["chat_id", "seq"])
+    terms = stored(query_terms(queries, vocabulary, ngram_range))
+    wanted = keep_keys(weights, terms, "term")
+    hits = join_small(wanted, terms, ["term"], spread_by=["chat_id", "seq"])
     return _ranked(hits, score(F.sum(F.col("qweight") * F.col("weight"))), k, floor)
 
 
@@ -354,18 +357,16 @@ def render(hits: DataFrame, messages: DataFrame, method: str, bound: int | None
     """Hits with their message columns.
 
     ``bound`` is the number of hits there can be (queries times k) where the caller knows it; the
-    hits are then broadcast and the messages are scanned without a shuffle.
+    hits are then broadcast and the messages are scanned without a shuffle. For a few hits the
+    scan is also limited to their chats.
     """
-    small = bound is not None and bound <= 100_000
-    keyed = F.broadcast(hits) if small else hits
     columns = messages.select("chat_id", "seq", "user", "date_time", "message", "message_type")
+    if bound is not None and bound <= FILTER_VALUES:
+        hits = stored(hits)
+        columns = keep_keys(columns, hits, "chat_id")
+    small = bound is not None and bound <= BROADCAST_ROWS
     return (
-        columns.join(keyed, ["chat_id", "seq"])
+        columns.join(F.broadcast(hits) if small else hits, ["chat_id", "seq"])
         .withColumn("method", F.lit(method))
         .select("query_id", *HIT_COLUMNS)
     )
-
-
-def count_queries(queries: DataFrame, limit: int = 5_000) -> int | None:
-    """Number of requests, or None when there are more than ``limit``."""
-    return queries.count() if fits(queries, limit) else None

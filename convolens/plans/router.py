@@ -17,7 +17,7 @@ from convolens.operators.index import word_freq
 from convolens.operators.ranking import top_k
 from convolens.operators.retrieval import BY_TIME, BY_USER, LIMIT
 from convolens.operators.search import TOP_K, SearchTables
-from convolens.runtime import shared_dir
+from convolens.runtime import stored
 
 # --- fixed values: function names and their required argument -----------------------------------
 FUNCTIONS = {
@@ -85,8 +85,7 @@ def route(
     rank all their queries with one ``k``. The values of ``k`` in use are read first; they are few.
     The requests are stored before that: each branch would parse every response again otherwise.
     """
-    shared_dir(reqs.sparkSession)
-    reqs = reqs.checkpoint()
+    reqs = stored(reqs)
     ok = reqs.where(F.col("error").isNull())
     parts = [_errors(reqs)]
     used = ok.groupBy("function", "k").count().collect()

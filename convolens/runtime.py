@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # Largest table side that is broadcast; the tables in question are narrow (a key and a weight).
 BROADCAST_ROWS = 200_000
+# Most key values that are turned into a scan filter.
+FILTER_VALUES = 1000
 # Number of copies of the small side when a hot key has to be split.
 SALTS = 32
 
@@ -70,3 +72,19 @@ def join_small(
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*on, "_salt"]).drop("_salt")
+
+
+def keep_keys(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Restrict ``big`` to the key values of ``small`` before it is read, where they are few.
+
+    A join alone does not reach the file scan. The literal filter does, and a table sorted by the
+    key then skips the row groups that cannot match. ``small`` should be stored or cheap.
+    """
+    values = [r[0] for r in small.select(key).distinct().limit(FILTER_VALUES + 1).collect()]
+    return big.where(F.col(key).isin(values)) if len(values) <= FILTER_VALUES else big
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()

@@ -84,6 +84,10 @@ def find(messages: DataFrame, path: str, mark: tuple[str, int] | None = None) ->
 
 
 def build_or_load(messages: DataFrame, path: str) -> SearchTables:
+    """Open the index of these messages, building it where there is none.
+
+    The fingerprint reads the messages once. ``load`` opens a known version without that.
+    """
     mark = fingerprint(messages)
     return load(messages, find(messages, path, mark) or build(messages, path, mark))
 
