@@ -129,7 +129,7 @@ ACTIVITY = ["avg_words", "avg_chars", "avg_caps_ratio"]
 
 
 def report_long(spark, sf_dir):
-    parts = rp.report(fx.messages(spark, sf_dir), fx.lexicon(spark))
+    parts = rp.report(fx.messages(spark, sf_dir), fx.lexicon(spark), stop_words=fx.STOP_WORDS)
     return rounded(rp.report_long(parts), "value")
 
 
@@ -373,7 +373,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gaps_by_chat": on(ev, _gaps, by=CHAT),
         "gaps_by_chat_ranged": on(ev, _gaps, by=CHAT, max_group_rows=0),
         "gaps_global": on(ev, _gaps, by=()),
-        "top_words": on(doc, stats.top_words),
+        "top_words": on(doc, stats.top_words, stop_words=fx.STOP_WORDS),
         "wake_sleep": on(ev, stats.wake_sleep, "avg_first_hour", "avg_last_hour"),
         "dominance": on(ev, stats.dominance, "share"),
         "dominance_by_chat": on(ev, stats.dominance, "share", by=CHAT),

@@ -41,6 +41,13 @@ MARKERS = [
     (None, "Text", None),
     (None, "Text", None),
 ]
+# Frequent words of the four fixture languages, as a caller's own stop list.
+STOP_WORDS = (
+    "the of and to in is it on for as with was that by this are be or from at an "
+    "le la les un une de des du et en que qui il au "
+    "der die das und ein eine zu den von mit ist im es auf "
+    "el los las una por con para se"
+).split()
 # Tables whose rows carry enough text to be worth spreading.
 TEXT_TABLES = {"conversations", "documents"}
 LEXICON = [

@@ -201,24 +201,21 @@ def fuzzy_vocabulary(keywords: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """
     keys = keywords.select("keyword").distinct()
     vocab = vocabulary.select("word")
-    inside_word = _inside(keys, "keyword", vocab, "word")
-    inside_keyword = _inside(vocab, "word", keys, "keyword")
-    pairs = inside_word.unionByName(inside_keyword)
+    pairs = None
+    for short, long in (("keyword", "word"), ("word", "keyword")):
+        of = {"keyword": keys, "word": vocab}
+        heads = of[short].withColumn("gram", F.substring(short, 1, 3))
+        grams = F.array_union(_letter_ngrams(long, 2), _letter_ngrams(long, 3))
+        parts = of[long].withColumn("gram", F.explode(grams))
+        big, small = (parts, heads) if long == "word" else (heads, parts)
+        inside = F.col(long).contains(F.col(short)) & (F.col(long) != F.col(short))
+        found = join_small(big, small, ["gram"], spread_by=["word"]).where(inside)
+        found = found.select("keyword", "word")
+        pairs = found if pairs is None else pairs.unionByName(found)
     scored = pairs.withColumn("similarity", letter_overlap(F.col("keyword"), F.col("word")))
     return scored.where(F.col("similarity") > FUZZY_FLOOR)
 
 
-def _inside(short: DataFrame, short_col: str, long: DataFrame, long_col: str) -> DataFrame:
-    """Pairs where ``short`` is a proper part of ``long``."""
-    heads = short.withColumn("gram", F.substring(short_col, 1, 3))
-    parts = long.withColumn(
-        "gram",
-        F.explode(F.array_union(_letter_ngrams(long_col, 2), _letter_ngrams(long_col, 3))),
-    )
-    inside = F.col(long_col).contains(F.col(short_col)) & (F.col(long_col) != F.col(short_col))
-    return parts.join(heads, "gram").where(inside).select("keyword", "word")
-
-
 def _letter_ngrams(col: str, n: int) -> Column:
     starts = F.sequence(F.lit(1), F.greatest(F.length(col) - (n - 1), F.lit(1)))
     return F.transform(starts, lambda i: F.substring(F.col(col), i, F.lit(n)))

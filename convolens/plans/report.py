@@ -17,6 +17,7 @@ def report(
     lexicon: DataFrame,
     by: Sequence[str] = (),
     max_group_rows: int = WINDOW_ROWS,
+    stop_words: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
     """One DataFrame per metric, keyed by the metric's name.
 
@@ -29,7 +30,7 @@ def report(
         "emoji_counts": stats.emoji_counts(messages, by),
         "avg_sentiment": stats.sentiment_by_user(messages, lexicon, by),
         "gaps": gaps,
-        "top_words": stats.top_words(messages, by),
+        "top_words": stats.top_words(messages, by, stop_words=stop_words),
         "wake_sleep_pattern": wake,
         "dominance_score": stats.dominance(messages, by),
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convolens.fixtures import AS_OF, LEXICON, MARKERS, ROUTED, START, SUFFIXES
+from convolens.fixtures import AS_OF, LEXICON, MARKERS, ROUTED, START, STOP_WORDS, SUFFIXES
 from convolens.functions.text import EMOJI_ALIASES, EMOJI_CLASS
 from convolens.operators.embed import EMOTIONS
 
@@ -251,10 +251,7 @@ sent AS (
 
 
 def stop_list() -> str:
-    """The Spark default stop words, read from its own feature class."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    return ", ".join(q(w) for w in StopWordsRemover.loadDefaultStopWords("english"))
+    return ", ".join(q(w) for w in STOP_WORDS)
 
 
 def top_words() -> str:

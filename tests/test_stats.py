@@ -82,6 +82,7 @@ def test_top_words_ties_and_stop_words(spark, chat):
     df = chat([("c", 0, 0, "a", "the zz yy yy b"), ("c", 1, 1, "a", "xx zz")])
     assert [tuple(r) for r in stats.top_words(df, n=2).orderBy("word").collect()] == [("yy", 2), ("zz", 2)]
     assert stats.top_words(df, stop_words=[]).count() == 4
+    assert "the" not in {r.word for r in stats.top_words(df).collect()}
 
 
 def test_sentiment_rules(spark, chat):
