@@ -50,7 +50,7 @@ def term_counts(messages: DataFrame, ngram_range: tuple[int, int] = NGRAMS) -> D
     return (
         indexable(messages)
         .select("chat_id", "seq", F.inline(run_lengths(grams)))
-        .select("chat_id", "seq", F.col("value").alias("term"), F.col("n").alias("tf"))
+        .select("chat_id", "seq", F.col("value").alias("term"), F.col("n").cast("long").alias("tf"))
     )
 
 
