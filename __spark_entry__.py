@@ -26,6 +26,11 @@ from convolens.plans import router
 from convolens.runtime import scratch_path
 from convolens.sources import export, index_store, tables
 
+try:
+    from convolens.llm import queries as llm
+except ImportError:  # the subpackage is optional
+    llm = None
+
 CHAT = ("chat_id",)
 AS_OF = dt.datetime.fromisoformat(fx.AS_OF)
 _shipped: set[str] = set()
@@ -343,7 +348,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             stats.sentiment_by_user(view(spark, sf_dir), fx.lexicon(spark), by), "avg_sentiment"
         )
 
-    return {
+    def shipped(query):
+        def run(spark, sf_dir):
+            ship(spark)
+            return query(spark, sf_dir)
+
+        return run
+
+    more = {name: shipped(q) for name, q in llm.queries().items()} if llm else {}
+    return more | {
         "ingest_export": ingest_export,
         "ingest_large_export": ingest_large_export,
         "parse_export": parse_export,
@@ -412,4 +425,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | (llm.oracle_sql() if llm else {})
