@@ -18,7 +18,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolens.llm.common import kept
@@ -28,8 +28,8 @@ PIVOTS = 128  # the sample the index is fitted on: this many vectors, whatever t
 LISTED = 64
 SHARD = 2048
 QUERY_BLOCK = 1024
-# Share of a shard's vectors that the footrule passes on to the exact distance.
-RERANKED = 0.15
+# The footrule passes on this share of a shard's vectors to the exact distance, and no fewer than so many.
+RERANKED, LEAST_RERANKED = 0.25, 256
 
 _SHARDS = "shard int, ids binary, vectors binary, starts binary, members binary, ranks binary"
 
@@ -105,7 +105,7 @@ def _meet(shards: pa.Table, queries: pa.Table, pivots, listed: int, k: int, shar
         x = np.frombuffer(part["vectors"], np.float64).reshape(len(ids), -1)
         starts, members, ranks = (np.frombuffer(part[c], np.int32) for c in ("starts", "members", "ranks"))
         asked, names = matrix(queries.column("v")), queries.column("id").to_pylist()
-        passed = min(len(ids), max(k + 1, ceil(share * len(ids))))
+        passed = min(len(ids), max(k + 1, LEAST_RERANKED, ceil(share * len(ids))))
         width = min(listed, len(pivots))
         for q, name, order in zip(asked, names, _orders(asked, pivots, listed)):
             saved = np.zeros(len(ids), dtype=np.int32)
@@ -156,6 +156,3 @@ def nearest(
     queries = usable(df, ids, vector).where(F.col("id") % every == 0)
     return search(index, queries, k)
 
-
-def empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -174,8 +174,8 @@ WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
 ), ok AS (
   SELECT * FROM v
-  WHERE v IS NOT NULL AND len(list_filter(v, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(v, x -> x != 0)) > 0
+  WHERE v IS NOT NULL AND len([x FOR x IN v IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+    AND len([x FOR x IN v IF x != 0]) > 0
 ), l AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id != b.vec_id
   WHERE list_cosine_similarity(a.v, b.v) >= 0.95
