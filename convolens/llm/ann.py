@@ -89,7 +89,7 @@ def build(
     if shortest != longest:
         raise ValueError(f"vectors of lengths {shortest} to {longest} in one table")
     chosen = rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
-    points = np.array([r[0] for r in chosen], dtype=np.float64).reshape(len(chosen), -1)
+    points = np.array([r[0] for r in chosen], dtype=np.float64).reshape(len(chosen), longest or 0)
     n_shards = max(1, ceil(n / SHARD))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(n_shards)).cast("int"))
     shards = dealt.groupBy("shard").applyInArrow(lambda t: _shard(t, points, listed), _SHARDS)

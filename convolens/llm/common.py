@@ -39,13 +39,17 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+# Names of the helper columns; columns of the caller with these names are dropped.
+RESERVED = ("_part", "_row", "_n", "_before")
+
+
 def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
     """``df`` sorted over the cluster and stored, with ``_part`` and ``_row``, its place in there.
 
     The place is stored with the row, so later passes agree however often they are computed. Give
     an order without ties, or with ties only between equal rows.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = df.drop(*RESERVED).repartitionByRange(*order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id()
     numbered = ranged.withColumn("_row", place)
     split = numbered.withColumn("_part", F.shiftright("_row", 33).cast("int")).withColumn(

@@ -153,19 +153,20 @@ def near_duplicates(
     table gives an empty one. ``hashes`` is at most 62.
     """
     rows = kept(usable(df, ids, vector), "vectors")
-    same = rows.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = same.withColumn("dim", F.size("v"))
-    # One vector per class; where classes share their smallest id (a repeated id), both keep it.
-    classes = kept(classes, "classes")
+    same = rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    # Classes have numbers of their own, as ids can repeat with different vectors.
+    classes = kept(numbered(same.withColumn("dim", F.size("v")), "rep", "id", "v"), "classes")
     links = kept(window_pairs(classes, threshold, passes, window, hashes, seed), "pairs")
     groups = kept(components(links), "groups").withColumnsRenamed({"node": "rep", "component": "comp"})
     members = classes.join(groups, "rep")
     more = exact_counts(members, threshold, paired, tile)
-    known = classes.join(groups, "rep", "left").join(more, "rep", "left")
+    least = members.groupBy("comp").agg(F.min("id").alias("least"))
+    named = groups.join(least, "comp").select("rep", "least")
+    known = classes.join(named, "rep", "left").join(more, "rep", "left")
     by_vector = known.select(
         "v",
         (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"),
-        F.coalesce("comp", "rep").alias("component_id"),
+        F.coalesce("least", "id").alias("component_id"),
     )
     linked = rows.join(by_vector, "v").select("id", "n_links", "component_id")
     rest = df.where(~takes_part(F.col(ids), F.col(vector))).select(F.col(ids).cast("long").alias("id"))

@@ -164,16 +164,16 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     exist one of them takes all their positions.
     """
     columns = docs.columns
-    keyed = docs.withColumn("_hash", F.xxhash64(*columns))
-    keyed = keyed.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    plan, _ = curriculum(keyed.select("_id", "_hash", "source", "text"), keys=("_id", "_hash"), **options)
-    served = kept(plan.select("_id", "_hash", "positions"), "plan")
-    rows = served.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("n"))
+    keyed = docs.withColumn("_mix_hash", F.xxhash64(*columns))
+    keyed = keyed.withColumn("_mix_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    plan, _ = curriculum(keyed.select("_mix_id", "_mix_hash", "source", "text"), keys=("_mix_id", "_mix_hash"), **options)
+    served = kept(plan.select("_mix_id", "_mix_hash", "positions"), "plan")
+    rows = served.groupBy("_mix_id", "_mix_hash").agg(F.count(F.lit(1)).alias("n"))
     if not rows.where("n > 1").isEmpty():
         listed = F.flatten(F.collect_list("positions")).alias("positions")
-        served = served.groupBy("_id", "_hash").agg(listed)
-        keyed = keyed.dropDuplicates(["_id", "_hash"])
-    copies = served.select("_id", "_hash", F.explode("positions").alias("_position"))
-    placed = keyed.join(copies, ["_id", "_hash"])
-    order = ["_position", "_id", "_hash"]
+        served = served.groupBy("_mix_id", "_mix_hash").agg(listed)
+        keyed = keyed.dropDuplicates(["_mix_id", "_mix_hash"])
+    copies = served.select("_mix_id", "_mix_hash", F.explode("positions").alias("_mix_position"))
+    placed = keyed.join(copies, ["_mix_id", "_mix_hash"])
+    order = ["_mix_position", "_mix_id", "_mix_hash"]
     return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convolens.llm.common import kept, map_batches, numbered
+from convolens.llm.common import RESERVED, kept, map_batches, numbered
 from convolens.llm.tokens import vocabulary, word_ids
 
 CAPACITY = 4096
@@ -226,9 +226,9 @@ def pack(
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``.
 
     Places in a sequence have no gaps. Equal pieces are interchangeable; an empty table gives an
-    empty one. Columns of those names are replaced.
+    empty one. Columns with the names added here, or with helper names (``RESERVED``), are dropped.
     """
-    plain = pieces.drop("sequence_id", "offset", "_rank")
+    plain = pieces.drop("sequence_id", "offset", "_rank", *RESERVED)
     order = [F.col("length").desc(), *[c for c in plain.columns if c != "length"]]
     ranked = numbered(plain, "_rank", *order)
     histogram = ranked.groupBy("length").count().orderBy(F.col("length").desc()).collect()

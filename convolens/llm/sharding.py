@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convolens.llm.common import map_batches, numbered
+from convolens.llm.common import RESERVED, map_batches, numbered
 
 ROUNDS = 6
 SEED = 20240
@@ -69,11 +69,11 @@ def shard_rows(df: DataFrame, order: list[Column | str], shards: int, seed: int
 
     ``order`` names the rows; rows equal in it are told apart by the other columns, and rows equal
     in every column are interchangeable. Null keys come first. An empty table gives an empty one.
-    Clashing column names are replaced.
+    Columns with the names added here, or with helper names (``RESERVED``), are dropped.
     """
     if shards < 1:
         raise ValueError("shards must be 1 or more")
-    plain = df.drop("row_number", "shard", "slot")
+    plain = df.drop("row_number", "shard", "slot", *RESERVED)
     rest = [c for c, kind in plain.dtypes if not kind.startswith(("map", "variant"))]
     rows = numbered(plain, "row_number", *order, *rest)
     n = rows.count()

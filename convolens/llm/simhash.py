@@ -105,37 +105,37 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
 
 def tile_links(group: pa.Table, distance: int) -> pa.Table:
     """Spanning links of one tile, or between two tiles."""
-    fp = group.column("fp").to_numpy().view(np.uint64)
-    rep, side = group.column("rep").to_numpy(), group.column("tile").to_numpy()
+    name, side = group.column("fp").to_numpy(), group.column("tile").to_numpy()
+    fp = name.view(np.uint64)
     near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= distance
     if (side != side[0]).any():
         near &= side[:, None] != side[None, :]
     np.fill_diagonal(near, False)
     pairs = np.array(_forest(near), dtype=np.int64).reshape(-1, 2)
-    return pa.table({"a": rep[pairs[:, 0]], "b": rep[pairs[:, 1]]})
+    return pa.table({"a": name[pairs[:, 0]], "b": name[pairs[:, 1]]})
 
 
 def close_links(prints: DataFrame, distance: int = DISTANCE, paired: int = PAIRED, tile: int = TILE) -> DataFrame:
-    """Links ``(a, b)`` that connect exactly the distinct fingerprints ``(fp, rep)`` reachable from
-    each other by steps of at most ``distance`` bits. ``rep`` names a fingerprint."""
+    """Links ``(a, b)`` that connect exactly the distinct fingerprints ``fp`` reachable from each
+    other by steps of at most ``distance`` bits."""
     blocks = blocks_for(prints.count(), distance)
     keys = F.array(*[F.lit(m) for m in masks(blocks, distance)])
-    rows = prints.select("rep", "fp", F.posexplode(keys).alias("choice", "mask"))
-    rows = rows.select("choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "rep")
+    rows = prints.select("fp", F.posexplode(keys).alias("choice", "mask"))
+    rows = rows.select("choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     shared = rows.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = kept(rows.join(shared, ["choice", "key"]), "members")
     few = members.where(F.col("n") <= paired).drop("n")
-    other = few.select("choice", "key", F.col("fp").alias("fp2"), F.col("rep").alias("b"))
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance
-    pairs = few.join(other, ["choice", "key"]).where((F.col("rep") < F.col("b")) & close)
-    small = pairs.select(F.col("rep").alias("a"), "b")
+    other = few.withColumnRenamed("fp", "b")
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= distance
+    pairs = few.join(other, ["choice", "key"]).where((F.col("fp") < F.col("b")) & close)
+    small = pairs.select(F.col("fp").alias("a"), "b")
     many = members.where(F.col("n") > paired).withColumn(
         "tiles", F.ceil(F.col("n") / tile).cast("int")
     )
     many = many.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     met = many.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("_other"))
     ends = [F.least("tile", "_other").alias("lo"), F.greatest("tile", "_other").alias("hi")]
-    tiles = met.select("choice", "key", *ends, "tile", "fp", "rep").groupBy("choice", "key", "lo", "hi")
+    tiles = met.select("choice", "key", *ends, "tile", "fp").groupBy("choice", "key", "lo", "hi")
     large = tiles.applyInArrow(lambda t: tile_links(t, distance), "a long, b long")
     return small.unionByName(large).distinct()
 
@@ -145,17 +145,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
 
     ``component_id`` is the smallest ``doc_id`` reachable by steps of at most ``distance`` bits;
     ``n_same`` counts documents with the same fingerprint. Null and empty texts have fingerprint
-    zero and link like any other. A null ``doc_id`` cannot name a component: its row keeps the
-    fingerprint, gets the component of its equals if they have ids, else null. Repeated
-    rows stay. An empty table gives an empty one.
+    zero and link like any other. A row with a null ``doc_id`` links too but cannot name a
+    component; where no row of a component has an id, it is null. Repeated rows stay. An empty
+    table gives an empty one.
     """
     marked = kept(fingerprints(docs, words), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_same"))
     prints = kept(distinct, "prints")
-    named = prints.where(F.col("rep").isNotNull()).select("fp", "rep")
-    groups = components(close_links(named, distance, **options))
-    labelled = prints.join(groups, F.col("rep") == F.col("node"), "left").select(
-        "fp", "n_same", F.coalesce("component", "rep").alias("component_id")
-    )
+    groups = components(close_links(prints.select("fp"), distance, **options)).withColumnRenamed("node", "fp")
+    joined = prints.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+    labelled = joined.join(least, "component").select("fp", "n_same", "component_id")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(labelled, "fp").select("doc_id", text, "component_id", "n_same")

@@ -32,7 +32,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     groups = simhash.near_duplicates(docs.select("doc_id", "text"))
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
-    alone = named.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    alone = named.withColumn("_stage_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_stage_text"])
     return alone.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
