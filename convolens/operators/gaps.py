@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from convolens.runtime import shared_dir
+from convolens.runtime import stored
 
 # Groups up to this many messages are ordered by a plain window in one task.
 WINDOW_ROWS = 5_000_000
@@ -55,15 +55,11 @@ def _ranged(timed: DataFrame, by: Sequence[str]) -> DataFrame:
     """``lead`` over range partitions, with each partition's last row filled from the next one.
 
     The sort key ends in the message id, so it is unique and the sampled ranges are even whatever
-    the data looks like. The partition number is only stable once it is stored, hence the
-    checkpoint. The first row of each partition is the only thing that crosses partitions: as many
+    the data looks like. The partition number is only stable once it is stored. The first row of each partition is the only thing that crosses partitions: as many
     rows as there are partitions.
     """
-    shared_dir(timed.sparkSession)
     key = list(dict.fromkeys([*by, "date_time", "chat_id", "seq"]))
-    placed = (
-        timed.repartitionByRange(*key).withColumn("_part", F.spark_partition_id()).checkpoint()
-    )
+    placed = stored(timed.repartitionByRange(*key).withColumn("_part", F.spark_partition_id()))
     within = W.partitionBy("_part", *by).orderBy("date_time", "chat_id", "seq")
     first = F.struct(*[F.col(c) for c in key], F.col("user"))
     heads = placed.groupBy("_part", *by).agg(F.min(first).alias("_head"))

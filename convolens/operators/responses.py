@@ -15,8 +15,10 @@ CALL_START = r'(?s)\{.*?"function_call".*?\}'
 FLAT_CALL = r'(?s)\{[^{}]*"function_call"[^{}]*\{[^{}]*\}[^{}]*\}'
 MIN_RESPONSE_LENGTH = 10
 # -------------------------------------------------------------------------------------------------
-# An object with up to two levels of objects inside, so a call keeps its arguments.
-NESTED_OBJECT = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
+# An object with up to two levels of objects inside, so a call keeps its arguments. Possessive
+# repeats neither recurse per character nor try a text again in other ways.
+NESTED_OBJECT = r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
+CALL_KEY = '"function_call"'
 
 
 def tidy(response: Column) -> Column:
@@ -31,7 +33,8 @@ def strip_reasoning(response: Column) -> Column:
     takes their place.
     """
     untagged = F.regexp_replace(F.regexp_replace(response, THINK_BLOCK, ""), THINK_TAG, "")
-    call = F.regexp_extract(response, CALL_START, 0)
+    # Texts without the key never meet the pattern, which tries every open brace.
+    call = F.when(response.contains(CALL_KEY), F.regexp_extract(response, CALL_START, 0)).otherwise("")
     return let(
         strip(untagged),
         lambda bare: F.when(
@@ -41,7 +44,7 @@ def strip_reasoning(response: Column) -> Column:
 
 
 def extract_call(response: Column, mode: str = "lossless") -> Column:
-    """The response's JSON as a variant: the whole text, else the first part that parses.
+    """The response's JSON as a variant: the whole tidied text, else the first part that parses.
 
     ``reference`` looks for parts with the two original patterns, which cut a call with an
     arguments object short; ``lossless`` looks for balanced objects that name a function call.
@@ -57,14 +60,15 @@ def extract_call(response: Column, mode: str = "lossless") -> Column:
             )
         return F.filter(
             F.regexp_extract_all(clean, F.lit(NESTED_OBJECT), 0),
-            lambda p: p.contains('"function_call"'),
+            lambda p: p.contains(CALL_KEY),
         )
 
     def parse(clean: Column) -> Column:
         parsed = F.filter(F.transform(parts(clean), F.try_parse_json), lambda v: v.isNotNull())
-        return F.coalesce(F.try_parse_json(clean), F.try_element_at(parsed, F.lit(1)))
+        inside = F.when(clean.contains(CALL_KEY), F.try_element_at(parsed, F.lit(1)))
+        return F.coalesce(F.try_parse_json(clean), inside)
 
-    return let(strip_reasoning(response), parse)
+    return let(strip_reasoning(tidy(response)), parse)
 
 
 def is_call(value: Column) -> Column:

@@ -21,7 +21,6 @@ TOP_USERS = 5
 COMMON_WORDS = 20
 TOP_EMOJIS = 10
 TOP_WORDS = 20
-TOP_WORDS_POOL = 100
 # Valence sum -> score: s / sqrt(s^2 + 15) (Hutto and Gilbert 2014).
 ALPHA = 15.0
 # Share of a booster's weight at a distance of one, two and three words.
@@ -183,19 +182,15 @@ def top_words(
     messages: DataFrame,
     by: By = (),
     n: int = TOP_WORDS,
-    pool: int = TOP_WORDS_POOL,
     stop_words: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Most frequent tokens without stop words, out of a vocabulary of ``pool`` words.
-
-    Cutting to the ``pool`` most frequent words first cannot change the top ``n`` below it.
-    """
+    """Most frequent tokens without stop words."""
     if stop_words is None:
         stop_words = StopWordsRemover.loadDefaultStopWords("english")
     toks = reportable(messages).select(*by, F.explode(text.tokens(F.col("message"))).alias("word"))
     counts = toks.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n"))
     kept = counts.where(~F.col("word").isin(list(stop_words))) if stop_words else counts
-    return top_k(kept, [F.desc("n"), F.asc("word")], min(n, pool), by)
+    return top_k(kept, [F.desc("n"), F.asc("word")], n, by)
 
 
 def wake_sleep(messages: DataFrame, by: By = ()) -> DataFrame:

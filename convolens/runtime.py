@@ -20,21 +20,44 @@ SALTS = 32
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where the session names none (tests on one machine).
+    A temporary folder is used only where the session names none and runs on one machine; on a
+    cluster, where every executor would write to a disk of its own, that raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         root = tempfile.mkdtemp(prefix="convolens-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+_scratch: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh, unused path below the shared folder, noted for ``release``."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the scratch tables this application has written; the number of paths.
+
+    Call it when results that were not stored elsewhere are no longer needed: plans that read
+    scratch tables fail afterwards. Only paths handed out by ``scratch_path`` are touched, through
+    the file system they lie in.
+    """
+    paths = _scratch.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -85,6 +108,7 @@ def keep_keys(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once and kept in the shared folder, until ``release``."""
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
