@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,7 +32,7 @@ EMOJI_RANGES = (
     "1F6EB-1F6EC 1F6F0 1F6F3-1F6FC 1F7E0-1F7EB 1F7F0 1F90C-1F93A 1F93C-1F945 1F947-1F9FF "
     "1FA70-1FA7C 1FA80-1FA89 1FA8F-1FAC6 1FACE-1FADC 1FADF-1FAE9 1FAF0-1FAF8"
 ).split()
-# Short names of common emojis; callers pass a fuller table where they need one.
+# Short names that differ from the Unicode name, and those of common emojis.
 EMOJI_ALIASES = {
     "ℹ": ":information:",
     "❤": ":red_heart:",
@@ -68,14 +71,23 @@ def normalize_body(col: Column) -> Column:
     return F.lower(strip(col))
 
 
-def clean_text(col: Column, keep_marks: bool = False) -> Column:
+def clean_text(col: Column, keep_marks: bool = False, emoji: str = "after") -> Column:
     """Lower-case words without links and symbols; null becomes ``""``.
 
     ``keep_marks`` also keeps combining marks, which scripts such as Tamil write vowels with.
+    Emojis are named after cleaning, when only those that count as letters are left; ``before``
+    names all of them first, so that their names stay as words.
     """
+    if emoji not in ("after", "before"):
+        raise ValueError("emoji is 'after' or 'before'")
     word = WORD + (r"\p{M}" if keep_marks else "")
-    no_links = F.regexp_replace(F.lower(col), f"(http|www)[^{SPACE}]+", "")
-    return F.coalesce(F.trim(F.regexp_replace(no_links, f"[^{word}]+", " ")), F.lit(""))
+    named = emoji_aliases(col) if emoji == "before" else col
+    no_links = F.regexp_replace(F.lower(named), f"(http|www)[^{SPACE}]+", "")
+    cleaned = F.coalesce(F.trim(F.regexp_replace(no_links, f"[^{word}]+", " ")), F.lit(""))
+    for point, name in emoji_names().items():
+        if point.isalnum():
+            cleaned = F.replace(cleaned, F.lit(point), F.lit(name))
+    return cleaned
 
 
 def words(col: Column) -> Column:
@@ -102,23 +114,35 @@ def emojis(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(f"[{EMOJI_SPAN}&&[{EMOJI_CLASS}]]"), 0)
 
 
+@lru_cache(maxsize=1)
+def emoji_names() -> dict[str, str]:
+    """Short names of all of ``EMOJI_RANGES``: the Unicode name between colons, lower-case with
+    underscores, unless ``EMOJI_ALIASES`` has another one."""
+    found = {}
+    for span in EMOJI_RANGES:
+        first, last = (int(x, 16) for x in (span.split("-") * 2)[:2])
+        for point in map(chr, range(first, last + 1)):
+            if name := unicodedata.name(point, ""):
+                found[point] = f":{name.lower().replace(' ', '_')}:"
+    return found | EMOJI_ALIASES
+
+
 def emoji_aliases(col: Column, aliases: dict[str, str] | None = None) -> Column:
-    """Replace single emojis by their short names.
+    """Replace single emojis by their short names; ``aliases`` adds to or overrides the table.
 
     The text is cut into emojis and the stretches between them, so the look-up runs per emoji and
-    not per character, and no join or regrouping is involved.
+    not per character, and no join or regrouping is involved. Texts without any are not cut.
     """
-    table = EMOJI_ALIASES if aliases is None else aliases
-    if not table:
-        return col
-    lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    keys = "".join(r"\x{%X}" % ord(k) for k in table)
+    table = emoji_names() | (aliases or {})
+    # Two literals instead of one per name keep the plan small.
+    lookup = F.map_from_arrays(*[F.split(F.lit("\n".join(x)), "\n") for x in (table.keys(), table.values())])
+    keys = EMOJI_SPAN + "".join(r"\x{%X}" % ord(k) for k in aliases or {})
     pieces = F.regexp_extract_all(col, F.lit(f"[{keys}]|[^{keys}]+"), 0)
     named = F.transform(
         pieces,
-        lambda p: F.when(p.rlike(f"^[{keys}]$"), F.try_element_at(lookup, p)).otherwise(p),
+        lambda p: F.when(p.rlike(f"^[{keys}]$"), F.coalesce(F.try_element_at(lookup, p), p)).otherwise(p),
     )
-    return F.array_join(named, "")
+    return F.when(col.rlike(f"[{keys}]"), F.array_join(named, "")).otherwise(col)
 
 
 def tokens(col: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,15 +35,19 @@ def hash_embedding(toks: Column, dim: int = HASH_DIM) -> Column:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """A column of equally long float lists as a float64 matrix; a null list becomes zeros."""
+    """A column of equally long float lists as a float64 matrix; a null list becomes zeros.
+
+    Lists of different lengths raise: cut into rows anew they would give wrong products.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if column.null_count:
-        dim = len(next(v for v in column if v.is_valid))if column.null_count < len(column) else 0
-        rows = [v.as_py() if v.is_valid else [0.0] * dim for v in column]
-        return np.asarray(rows, dtype=np.float64).reshape(len(column), dim)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    dims = pc.unique(pc.list_value_length(column).drop_null()).to_pylist()
+    if len(dims) > 1:
+        raise ValueError(f"vectors of different lengths in one column: {sorted(dims)[:5]}")
+    out = np.zeros((len(column), dims[0] if dims else 0))
+    given = column.is_valid().to_numpy(zero_copy_only=False)
+    out[given] = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(given.sum()), -1) if dims and dims[0] else 0.0
+    return out
 
 
 def unit_rows(m: np.ndarray) -> np.ndarray:

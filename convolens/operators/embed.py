@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -56,15 +57,15 @@ def embed(
     return df.withColumn(out, F.pandas_udf(encode, "array<float>")(text_col))
 
 
-def label_vectors(labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The ``(label, ord, vector)`` table as names and a matrix, in ``ord`` order.
+# Labels multiplied with the vectors in one pass; more of them take further passes.
+LABEL_BLOCK = 10_000
 
-    A label set is a handful of rows by nature; a larger table is refused rather than collected.
-    """
-    rows = labels.orderBy("ord").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("a label set has at most 10,000 labels")
-    return [str(r["label"]) for r in rows], np.asarray([r["vector"] for r in rows], np.float64)
+
+def label_blocks(labels: DataFrame, size: int | None = None) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The ``(label, ord, vector)`` table as names and matrices of bounded size, in ``ord`` order."""
+    rows = labels.select("label", "ord", "vector").orderBy("ord").toLocalIterator()
+    while block := list(islice(rows, size or LABEL_BLOCK)):
+        yield [str(r["label"]) for r in block], np.asarray([r["vector"] for r in block], np.float64)
 
 
 def emotion_scores(
@@ -72,27 +73,39 @@ def emotion_scores(
 ) -> DataFrame:
     """Add the cosine to every label and the best label; the first label wins ties.
 
-    One matrix product per Arrow batch. All columns of ``df`` travel with the batches, so select
-    the ones needed first.
+    One matrix product per Arrow batch and block of ``LABEL_BLOCK`` labels. All columns of ``df``
+    travel with the batches, so select the ones needed first.
     """
-    names, targets = label_vectors(labels)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+    columns, scored = df.columns, df
+    parts, best = [], F.lit(None).cast("struct<score: double, label: string>")
+    for i, (names, targets) in enumerate(label_blocks(labels)):
+        scored = _with_scores(scored, vector_col, names, targets, f"_scores{i}", f"_label{i}")
+        top = F.struct(F.array_max(f"_scores{i}").alias("score"), F.col(f"_label{i}").alias("label"))
+        best = top if not i else F.when(top["score"] > best["score"], top).otherwise(best)
+        parts.append(F.col(f"_scores{i}"))
+    if not parts:
+        raise ValueError("no labels")
+    return scored.select(*columns, F.concat(*parts).alias(out), best["label"].alias("dominant_emotion"))
+
+
+def _with_scores(
+    df: DataFrame, vector_col: str, names: list[str], targets: np.ndarray, scores: str, label: str
+) -> DataFrame:
+    """Add the cosines to some labels and the first of the best of them."""
+    added = [T.StructField(scores, T.ArrayType(T.DoubleType())), T.StructField(label, T.StringType())]
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column(batch.schema.get_field_index(vector_col))
-            scores = np.round(cosines(matrix(vectors), targets), DIGITS) + 0.0
-            offsets = np.arange(0, scores.size + 1, len(names), dtype=np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(scores.ravel()))
+            found = np.round(cosines(matrix(vectors), targets), DIGITS) + 0.0
+            offsets = np.arange(0, found.size + 1, len(names), dtype=np.int32)
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
+            first = pa.array([names[i] for i in found.argmax(axis=1)], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, column], names=[*batch.schema.names, out]
+                [*batch.columns, column, first], names=[*batch.schema.names, scores, label]
             )
 
-    scored = df.mapInArrow(similar, schema)
-    best = F.array_position(out, F.array_max(out)).cast("int")
-    return scored.withColumn(
-        "dominant_emotion", F.element_at(F.array(*[F.lit(n) for n in names]), best)
-    )
+    return df.mapInArrow(similar, T.StructType([*df.schema.fields, *added]))
 
 
 def emotion_labels(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolens.functions import text
@@ -30,10 +30,14 @@ def indexable(messages: DataFrame, keep_marks: bool = False) -> DataFrame:
 
 def word_postings(messages: DataFrame) -> DataFrame:
     """``(word, chat_id, seq)`` for the distinct longer words of each clean text; no shuffle."""
+    return postings_of(indexable(messages))
+
+
+def postings_of(texts: DataFrame) -> DataFrame:
+    """``word_postings`` of texts that are clean already."""
     words = F.array_distinct(F.split(F.col("clean_text"), " "))
     return (
-        indexable(messages)
-        .select("chat_id", "seq", F.explode(words).alias("word"))
+        texts.select("chat_id", "seq", F.explode(words).alias("word"))
         .where(F.length("word") >= MIN_WORD_LENGTH)
         .select("word", "chat_id", "seq")
     )
@@ -46,11 +50,14 @@ def word_freq(postings: DataFrame) -> DataFrame:
 
 def term_counts(messages: DataFrame, ngram_range: tuple[int, int] = NGRAMS) -> DataFrame:
     """``(chat_id, seq, term, tf)``, counted inside each row, so without a shuffle."""
+    return counts_of(indexable(messages), ngram_range)
+
+
+def counts_of(texts: DataFrame, ngram_range: tuple[int, int] = NGRAMS) -> DataFrame:
+    """``term_counts`` of texts that are clean already."""
     grams = text.ngrams(text.tokens(F.col("clean_text")), *ngram_range)
-    return (
-        indexable(messages)
-        .select("chat_id", "seq", F.inline(run_lengths(grams)))
-        .select("chat_id", "seq", F.col("value").alias("term"), F.col("n").cast("long").alias("tf"))
+    return texts.select("chat_id", "seq", F.inline(run_lengths(grams))).select(
+        "chat_id", "seq", F.col("value").alias("term"), F.col("n").cast("long").alias("tf")
     )
 
 
@@ -66,9 +73,20 @@ def tfidf_vocabulary(
     One shuffle on the term, with counts combined before it.
     """
     n = indexable(messages).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return vocabulary_of(term_counts(messages, ngram_range), n, min_df, max_df, max_features)
+
+
+def vocabulary_of(
+    counts: DataFrame,
+    n: Column | int,
+    min_df: int = MIN_DF,
+    max_df: float = MAX_DF,
+    max_features: int | None = MAX_FEATURES,
+) -> DataFrame:
+    """``tfidf_vocabulary`` from term counts of ``n`` messages."""
+    n = n if isinstance(n, Column) else F.lit(n)
     counts = (
-        term_counts(messages, ngram_range)
-        .groupBy("term")
+        counts.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
         .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
     )
@@ -89,8 +107,15 @@ def tfidf_weights(
     an uncapped vocabulary is counted first. The norm and the weights of a message come out of one
     aggregate over that message's own terms.
     """
+    return weights_of(term_counts(messages, ngram_range), vocabulary, max_features)
+
+
+def weights_of(
+    counts: DataFrame, vocabulary: DataFrame, max_features: int | None = MAX_FEATURES
+) -> DataFrame:
+    """``tfidf_weights`` from term counts."""
     hits = join_small(
-        term_counts(messages, ngram_range),
+        counts,
         vocabulary.select("term", "idf"),
         ["term"],
         spread_by=["chat_id", "seq"],

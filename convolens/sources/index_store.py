@@ -2,21 +2,58 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+from dataclasses import astuple, dataclass, replace
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convolens.operators import index
-from convolens.operators.embed import embed
+from convolens.functions.vectors import HASH_DIM
+from convolens.operators.embed import Encoder, embed
 from convolens.operators.search import SearchTables
 from convolens.runtime import SALTS
 from convolens.schema import MESSAGE_SCHEMA
 
+# Changes with the layout of the stored tables, so that older ones are not picked up.
+FORMAT = 2
+
+
+@dataclass(frozen=True)
+class IndexOptions:
+    """How an index is built. ``max_features=None`` keeps every term.
+
+    A caller's encoder needs a name, which stands for it in the index's identity.
+    """
+
+    ngram_range: tuple[int, int] = index.NGRAMS
+    min_df: int = index.MIN_DF
+    max_df: float = index.MAX_DF
+    max_features: int | None = index.MAX_FEATURES
+    keep_marks: bool = False
+    dim: int = HASH_DIM
+    encoder_name: str | None = None
+    encoder_factory: Callable[[], Encoder] | None = None
+
+    def mark(self) -> str:
+        if (self.encoder_factory is None) != (self.encoder_name is None):
+            raise ValueError("give an encoder together with its name")
+        plain = astuple(replace(self, encoder_factory=None))
+        return hashlib.md5(repr((FORMAT, plain)).encode()).hexdigest()[:12]
+
+    def vectors(self, texts: DataFrame, column: str) -> DataFrame:
+        return embed(texts, column, self.encoder_factory, dim=self.dim)
+
+
+DEFAULT = IndexOptions()
 META_SCHEMA = T.StructType(
     [
         T.StructField("fingerprint", T.StringType()),
         T.StructField("n", T.LongType()),
+        T.StructField("options", T.StringType()),
         T.StructField("version", T.StringType()),
     ]
 )
@@ -37,23 +74,32 @@ def fingerprint(messages: DataFrame) -> tuple[str, int]:
     return str(row["h"] or 0), row["n"]
 
 
-def build(messages: DataFrame, path: str, mark: tuple[str, int] | None = None) -> str:
+def build(
+    messages: DataFrame,
+    path: str,
+    mark: tuple[str, int] | None = None,
+    options: IndexOptions = DEFAULT,
+) -> str:
     """Write all index tables below ``path`` and return the version folder.
 
-    The meta table is written last, so a build that stopped half-way is never picked up.
+    Texts are cleaned and term counts taken once; vocabulary and weights come from those. The meta
+    table is written last, so a build that stopped half-way is never picked up.
     """
     digest, n = mark or fingerprint(messages)
-    version = f"{path.rstrip('/')}/v_{digest.replace('-', 'm')}_{n}"
-    spark = messages.sparkSession
-    _write(_by_word(index.word_postings(messages)), version, "postings")
-    _write(index.word_freq(spark.read.parquet(f"{version}/postings")), version, "vocabulary")
-    _write(index.tfidf_vocabulary(messages), version, "terms")
-    terms = spark.read.parquet(f"{version}/terms")
-    _write(_by_word(index.tfidf_weights(messages, terms)), version, "weights")
-    vectors = embed(index.indexable(messages), "clean_text").select("chat_id", "seq", "vector")
-    _write(vectors, version, "vectors")
+    version = f"{path.rstrip('/')}/v_{digest.replace('-', 'm')}_{n}_{options.mark()}"
+    spark, o = messages.sparkSession, options
+    read = lambda name: spark.read.parquet(f"{version}/{name}")
+    _write(index.indexable(messages, o.keep_marks).select("chat_id", "seq", "clean_text"), version, "texts")
+    texts = read("texts")
+    _write(_by_word(index.postings_of(texts)), version, "postings")
+    _write(index.word_freq(read("postings")), version, "vocabulary")
+    _write(index.counts_of(texts, o.ngram_range), version, "counts")
+    counts, n_texts = read("counts"), texts.count()
+    _write(index.vocabulary_of(counts, n_texts, o.min_df, o.max_df, o.max_features), version, "terms")
+    _write(_by_word(index.weights_of(counts, read("terms"), o.max_features)), version, "weights")
+    _write(o.vectors(texts, "clean_text").select("chat_id", "seq", "vector"), version, "vectors")
     _write(index.user_profile(messages), version, "profiles")
-    meta = spark.createDataFrame([(digest, n, version)], META_SCHEMA)
+    meta = spark.createDataFrame([(digest, n, options.mark(), version)], META_SCHEMA)
     meta.coalesce(1).write.mode("append").parquet(f"{path}/meta")
     return version
 
@@ -70,12 +116,18 @@ def _write(df: DataFrame, version: str, name: str) -> None:
     df.write.mode("overwrite").parquet(f"{version}/{name}")
 
 
-def find(messages: DataFrame, path: str, mark: tuple[str, int] | None = None) -> str | None:
-    """The version folder built from exactly these messages, if there is one."""
+def find(
+    messages: DataFrame,
+    path: str,
+    mark: tuple[str, int] | None = None,
+    options: IndexOptions = DEFAULT,
+) -> str | None:
+    """The version folder built from exactly these messages with these options, if there is one."""
     digest, n = mark or fingerprint(messages)
     try:
         meta = messages.sparkSession.read.schema(META_SCHEMA).parquet(f"{path}/meta")
-        found = meta.where((F.col("fingerprint") == digest) & (F.col("n") == n)).first()
+        same = (F.col("fingerprint") == digest) & (F.col("n") == n) & (F.col("options") == options.mark())
+        found = meta.where(same).first()
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":  # nothing was built here yet
             return None
@@ -83,16 +135,17 @@ def find(messages: DataFrame, path: str, mark: tuple[str, int] | None = None) ->
     return found["version"] if found else None
 
 
-def build_or_load(messages: DataFrame, path: str) -> SearchTables:
+def build_or_load(messages: DataFrame, path: str, options: IndexOptions = DEFAULT) -> SearchTables:
     """Open the index of these messages, building it where there is none.
 
     The fingerprint reads the messages once. ``load`` opens a known version without that.
     """
     mark = fingerprint(messages)
-    return load(messages, find(messages, path, mark) or build(messages, path, mark))
+    version = find(messages, path, mark, options) or build(messages, path, mark, options)
+    return load(messages, version, options)
 
 
-def load(messages: DataFrame, version: str) -> SearchTables:
+def load(messages: DataFrame, version: str, options: IndexOptions = DEFAULT) -> SearchTables:
     read = lambda name: messages.sparkSession.read.parquet(f"{version}/{name}")
     return SearchTables(
         messages=messages,
@@ -101,6 +154,8 @@ def load(messages: DataFrame, version: str) -> SearchTables:
         terms=read("terms"),
         weights=read("weights"),
         vectors=read("vectors"),
+        ngram_range=options.ngram_range,
+        encode=options.vectors,
     )
 
 
@@ -109,15 +164,19 @@ def clear(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], META_SCHEMA).write.mode("overwrite").parquet(f"{path}/meta")
 
 
-def in_memory(messages: DataFrame) -> SearchTables:
+def in_memory(messages: DataFrame, options: IndexOptions = DEFAULT) -> SearchTables:
     """The same tables as plans, for a one-off search."""
-    postings = index.word_postings(messages)
-    terms = index.tfidf_vocabulary(messages)
+    o = options
+    texts = index.indexable(messages, o.keep_marks)
+    postings, counts = index.postings_of(texts), index.counts_of(texts, o.ngram_range)
+    terms = index.vocabulary_of(counts, texts.count(), o.min_df, o.max_df, o.max_features)
     return SearchTables(
         messages=messages,
         postings=postings,
         vocabulary=index.word_freq(postings),
         terms=terms,
-        weights=index.tfidf_weights(messages, terms),
-        vectors=embed(index.indexable(messages), "clean_text").select("chat_id", "seq", "vector"),
+        weights=index.weights_of(counts, terms, o.max_features),
+        vectors=o.vectors(texts, "clean_text").select("chat_id", "seq", "vector"),
+        ngram_range=o.ngram_range,
+        encode=o.vectors,
     )

@@ -16,7 +16,8 @@ def one(spark, value, column):
         ("See HTTPS://x.org/a?b now", "see now"),
         ("axwww.b.c d", "ax d"),
         ("a--b_c  \u00e9\u00a0!", "a b_c \u00e9"),
-        ("\U0001f602\u2139", "\u2139" if "\u2139".isalnum() else ""),
+        ("\U0001f602\u2139", ":information:"),
+        ("a \u2139 b", "a :information: b"),
         (None, ""),
         ("", ""),
     ],
@@ -41,7 +42,16 @@ def test_emojis_come_apart(spark):
 def test_emoji_aliases(spark):
     assert one(spark, "a\n\U0001f602b", text.emoji_aliases) == "a\n:face_with_tears_of_joy:b"
     mine = lambda c: text.emoji_aliases(c, {"\U0001f602": ":x:"})
-    assert one(spark, "\U0001f602\U0001f525", mine) == ":x:\U0001f525"
+    assert one(spark, "\U0001f602\U0001f525", mine) == ":x::fire:"
+    assert one(spark, "\U0001f9a9 \u203d \u2328", text.emoji_aliases) == ":flamingo: \u203d :keyboard:"
+    assert one(spark, None, text.emoji_aliases) is None
+    before = lambda c: text.clean_text(c, emoji="before")
+    assert one(spark, "So \U0001f602!", before) == "so face_with_tears_of_joy"
+
+
+def test_every_emoji_has_a_name():
+    assert len(text.emoji_names()) > 1300
+    assert all(n.startswith(":") and n.endswith(":") and " " not in n for n in text.emoji_names().values())
 
 
 def test_counts_and_caps(spark):
