@@ -78,9 +78,9 @@ def read_export(
     """Read export files into the message table, with ``chat_id`` the file's path.
 
     Small files take the row-per-file way. In lossless mode larger files are split by the text
-    source itself at line breaks followed by a bracket, so one huge chat is read by many tasks.
-    ``seq`` then grows with the position in the file but has gaps. Reference mode is a sequential
-    scan of the whole text by definition and always takes a file as one row.
+    source itself at line breaks, so one huge chat is read by many tasks. ``seq`` counts a file's
+    messages from 0 either way. Reference mode is a sequential scan of the whole text by definition
+    and always takes a file as one row.
     """
     size = F.col("_metadata.file_size")
     if mode == "reference":
@@ -165,9 +165,11 @@ def _paths(paths: str | Sequence[str]) -> list[str]:
 
 def _records(exports: DataFrame) -> DataFrame:
     """One row per stretch that starts with a time stamp; text before the first one is dropped."""
-    return exports.select(
-        "chat_id", F.posexplode(F.split("text", f"(?={STAMP})")).alias("seq", "record")
-    ).where(F.col("record").rlike(f"^{STAMP}"))
+    return exports.select("chat_id", F.posexplode(_stamped("text")).alias("seq", "record"))
+
+
+def _stamped(text: str) -> Column:
+    return F.filter(F.split(text, f"(?={STAMP})"), lambda r: r.rlike(f"^{STAMP}"))
 
 
 def _large_file_records(
@@ -175,64 +177,77 @@ def _large_file_records(
 ) -> DataFrame:
     """Records of files that are too large for one row.
 
-    The text source cuts at ``"\\n["`` and splits the file over tasks. A piece that does not start
-    with a time stamp continues the record before it. Which record that is follows from a running
-    count inside each file split (bounded by the split size) plus the count of the splits before
-    it, so no task ever sees a whole file.
+    The text source splits the file over tasks and cuts it into lines. A line with a time stamp
+    starts a group at the stamp; what stands before it, and lines without one, continue the group
+    before. Which group that is, and how many messages stand before it, follows from running
+    counts inside each file split (bounded by the split size) plus the counts of the splits before,
+    so no task ever sees a whole file. Text before the first stamp is dropped before grouping.
     """
-    pieces = (
-        spark.read.option("lineSep", "\n[")
+    line = F.translate(F.col("value"), LEFT_TO_RIGHT_MARK, "")
+    lines = (
+        spark.read.option("lineSep", "\n")
         .text(_paths(paths))
         .where(F.col("_metadata.file_size") > whole_file_bytes)
         .select(
             F.col("_metadata.file_path").alias("chat_id"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("pos"),
-            "value",
+            line.alias("value"),
         )
+        .withColumn("stamps", F.regexp_count("value", F.lit(STAMP)).cast("long"))
+        .withColumn("starts", (F.col("stamps") > 0).cast("long"))
     )
-    first = F.min("pos").over(W.partitionBy("chat_id", "block"))
-    pieces = pieces.select(
-        "chat_id",
-        "block",
-        (F.col("pos") - first).alias("pos"),
-        # The separator is put back, except before the very first piece of a file.
-        F.when((F.col("block") == 0) & (F.col("pos") == first), F.col("value"))
-        .otherwise(F.concat(F.lit("["), F.col("value")))
-        .alias("value"),
-    ).withColumn("starts", strip(F.col("value")).rlike(f"^{LEFT_TO_RIGHT_MARK}?{STAMP}").cast("long"))
-    in_block = W.partitionBy("chat_id", "block").orderBy("pos")
-    numbered = pieces.withColumn("nth", F.sum("starts").over(in_block))
-    blocks = numbered.groupBy("chat_id", "block").agg(F.sum("starts").alias("n"))
-    before = blocks.select(
+    earlier = W.partitionBy("chat_id", "block").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    numbered = lines.withColumns(
+        {
+            "nth": F.coalesce(F.sum("starts").over(earlier), F.lit(0)),
+            "base": F.coalesce(F.sum("stamps").over(earlier), F.lit(0)),
+        }
+    )
+    blocks = lines.groupBy("chat_id", "block").agg(
+        F.sum("starts").alias("n"), F.sum("stamps").alias("m")
+    )
+    before = W.partitionBy("chat_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    totals = blocks.select(
         "chat_id",
         "block",
-        F.coalesce(
-            F.sum("n").over(
-                W.partitionBy("chat_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("before"),
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "m")],
+    )
+    at = F.regexp_instr("value", F.lit(STAMP))
+    nth, base = F.col("n_before") + F.col("nth"), F.col("m_before") + F.col("base")
+    part = lambda group, side, value, first: F.struct(
+        group.alias("nth"), F.lit(side).alias("side"), value.alias("value"), first.alias("base")
+    )
+    none = F.lit(None).cast("long")
+    head = F.substring(F.col("value"), F.lit(1), at - 1)
+    tail = F.substring(F.col("value"), at, F.length("value"))
+    cut = F.when(
+        F.col("starts") == 1,
+        F.array(part(nth, 0, head, none), part(nth + 1, 1, tail, base)),
+    ).otherwise(F.array(part(nth, 0, F.col("value"), none)))
+    empty_head = (F.col("starts") == 1) & (F.col("p.side") == 0) & (strip(F.col("p.value")) == "")
+    pieces = (
+        numbered.join(totals, ["chat_id", "block"])
+        .select("chat_id", "block", "pos", "starts", F.explode(cut).alias("p"))
+        .where((F.col("p.nth") > 0) & ~empty_head)
+        .select("chat_id", "block", "pos", "p.*")
     )
     whole = (
-        numbered.join(before, ["chat_id", "block"])
-        .groupBy("chat_id", (F.col("before") + F.col("nth")).alias("nth"))
-        .agg(F.array_sort(F.collect_list(F.struct("block", "pos", "value"))).alias("parts"))
+        pieces.groupBy("chat_id", "nth")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("block", "pos", "side", "value"))).alias("parts"),
+            F.max("base").alias("base"),
+        )
         .select(
             "chat_id",
-            "nth",
+            "base",
             join_lines(
                 F.array_join(F.transform("parts", lambda p: p["value"]), "\n"), line_join
             ).alias("text"),
         )
     )
-    # A stamp can also follow a left-to-right mark, which the separator does not see.
-    cut = whole.select(
-        "chat_id", "nth", F.posexplode(F.split("text", f"(?={STAMP})")).alias("sub", "record")
-    ).where(F.col("record").rlike(f"^{STAMP}"))
-    return cut.select(
-        "chat_id", (F.col("nth") * F.lit(1 << 32) + F.col("sub")).alias("seq"), "record"
-    )
+    records = whole.select("chat_id", "base", F.posexplode(_stamped("text")).alias("sub", "record"))
+    return records.select("chat_id", (F.col("base") + F.col("sub")).alias("seq"), "record")
 
 
 def _lossless(records: DataFrame, **options) -> DataFrame:
