@@ -7,8 +7,9 @@ question is a table of one row. ``render`` adds the message columns.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from convolens.operators.embed import embed
 from convolens.operators.index import NGRAMS
 from convolens.operators.ranking import DIGITS, FUSED_DIGITS, score, top_k
 from convolens.operators.retrieval import HIT_COLUMNS
-from convolens.runtime import BROADCAST_ROWS, FILTER_VALUES, join_small, keep_keys, stored
+from convolens.runtime import BROADCAST_ROWS, FILTER_VALUES, fits, join_small, keep_keys, stored
 
 # --- fixed values -------------------------------------------------------------------------------
 TOP_K = 15
@@ -39,8 +40,11 @@ OTHER_WEIGHT = 0.5
 METHOD_BOOST = 0.1
 # -------------------------------------------------------------------------------------------------
 
-# Query vectors multiplied with the messages in one pass; more of them take further passes.
+# Queries that go to the tasks with the plan, and the blocks in which more of them meet vectors.
 QUERY_BLOCK = 4096
+VECTOR_BLOCK = 50_000
+# Most scores a task holds at a time.
+SCORES = 4_000_000
 
 
 def one_query(spark: SparkSession, query: str, query_id: str = "q") -> DataFrame:
@@ -74,21 +78,63 @@ def semantic_search(
     """Messages by cosine to each query vector, above ``floor``.
 
     The scan is brute force, as an exact search has to be, but no pair table is built: each task
-    multiplies its Arrow batches with the query matrix and keeps ``k`` rows per query, and only
-    those are shuffled. Queries go to the tasks in blocks of bounded size.
+    multiplies its Arrow batches with a block of queries and keeps ``k`` rows per query, and only
+    those are shuffled. One block of queries goes to the tasks with the plan. More queries stay a
+    table: blocks of them meet blocks of vectors by key, so the driver never holds them.
     """
-    candidates = None
-    for names, block in _query_blocks(queries):
-        found = _best_per_task(vectors, names, block, k, floor, list(ids), vector_col)
-        candidates = found if candidates is None else candidates.unionByName(found)
-    if candidates is None:
-        id_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _fields(vectors, ids))
-        return vectors.sparkSession.createDataFrame(
-            [], f"query_id string, {id_fields}, score double"
-        )
+    asked_for = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
+    columns = vectors.where(F.col(vector_col).isNotNull()).select(*ids, F.col(vector_col).alias("_v"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _fields(vectors, ids))
+    schema = f"query_id string, {schema}, score double"
+    block = asked_for.limit(QUERY_BLOCK + 1).collect()
+    if not block:
+        return vectors.sparkSession.createDataFrame([], schema)
+    if len(block) <= QUERY_BLOCK:
+        names = [r["query_id"] for r in block]
+        targets = _targets(matrix(pa.array([r["vector"] for r in block], pa.list_(pa.float64()))))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(names, k, floor, list(ids))
+            for batch in batches:
+                best.add(batch, targets)
+            yield from best.batches()
+
+        candidates = columns.mapInArrow(scan, schema)
+    else:
+        candidates = _grid(columns, asked_for, k, floor, list(ids), schema)
     return top_k(candidates, _best_first(ids), k, ["query_id"])
 
 
+def _targets(queries: np.ndarray) -> np.ndarray:
+    return unit_rows(queries).T
+
+
+def _grid(
+    columns: DataFrame, queries: DataFrame, k: int, floor: float, ids: list[str], schema: str
+) -> DataFrame:
+    """Best rows of every block of vectors for every block of queries."""
+    queries, columns = stored(queries), stored(columns)
+    tall = max(1, ceil(queries.count() / QUERY_BLOCK))
+    wide = max(1, ceil(columns.count() / VECTOR_BLOCK))
+    block = lambda cols, n: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("_q", block(["query_id", "vector"], tall)).select("*", every(wide).alias("_b"))
+    v = columns.withColumn("_b", block(ids, wide)).select("*", every(tall).alias("_q"))
+
+    def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        names = asked.column("query_id").to_pylist()
+        best = _Best(names, k, floor, ids)
+        if len(names) and len(rows):
+            targets = _targets(matrix(asked.column("vector")))
+            for batch in rows.select([*ids, "_v"]).combine_chunks().to_batches():
+                best.add(batch, targets)
+        fields = [pa.field("query_id", pa.string()), *[rows.schema.field(c) for c in ids]]
+        empty = pa.schema([*fields, pa.field("score", pa.float64())]).empty_table()
+        return pa.concat_tables([empty, *map(pa.Table.from_batches, ([b] for b in best.batches()))])
+
+    return v.groupBy("_q", "_b").cogroup(q.groupBy("_q", "_b")).applyInArrow(meet, schema)
+
+
 def _fields(df: DataFrame, names: Sequence[str]):
     return [df.schema[n] for n in names]
 
@@ -97,63 +143,55 @@ def _best_first(ids: Sequence[str]) -> list[Column]:
     return [F.desc("score"), *[F.asc(c) for c in ids]]
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
-    rows = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
-    names, block = [], []
-    for row in rows.toLocalIterator():
-        names.append(row["query_id"])
-        block.append(row["vector"])
-        if len(names) == QUERY_BLOCK:
-            yield names, np.asarray(block, dtype=np.float64)
-            names, block = [], []
-    if names:
-        yield names, np.asarray(block, dtype=np.float64)
-
-
-def _best_per_task(
-    vectors: DataFrame,
-    names: list[str],
-    block: np.ndarray,
-    k: int,
-    floor: float,
-    ids: list[str],
-    vector_col: str,
-) -> DataFrame:
-    targets = unit_rows(block).T
-    id_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _fields(vectors, ids))
-    order = [("score", "descending"), *[(c, "ascending") for c in ids]]
+class _Best:
+    """The best ``k`` rows per query among the rows added so far, by score, then by ids."""
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.Table | None] = [None] * len(names)
+    def __init__(self, names: list[str], k: int, floor: float | None, ids: list[str]):
+        self.names, self.k, self.ids = names, k, ids
         # Score a row needs to matter: above the floor, later at least the k-th best so far.
-        needed = np.full(len(names), np.nextafter(floor, np.inf))
-        for batch in batches:
-            rows = matrix(batch.column(len(ids)))
-            if not rows.size:
-                continue
+        self.needed = np.full(len(names), -np.inf if floor is None else np.nextafter(floor, np.inf))
+        self.kept: pa.Table | None = None
+
+    def add(self, batch: pa.RecordBatch, targets: np.ndarray) -> None:
+        """Rows of ids and, last, a vector, multiplied with the queries' unit vectors."""
+        rows = matrix(batch.column(batch.num_columns - 1))
+        if not rows.size:
+            return
+        rows = unit_rows(rows)
+        table = pa.Table.from_batches([batch]).select(self.ids)
+        step = max(1, SCORES // max(1, targets.shape[1]))
+        for start in range(0, len(rows), step):
             # -0.0 would rank apart from 0.0.
-            scores = np.round(unit_rows(rows) @ targets, DIGITS) + 0.0
-            id_table = pa.table({c: batch.column(i) for i, c in enumerate(ids)})
-            for q in np.flatnonzero((scores >= needed).any(axis=0)):
-                own = scores[:, q]
-                least = needed[q]
-                if len(own) > k:
-                    # Ties with the k-th score stay; the sort below settles them by id.
-                    least = max(least, np.partition(own, -k)[-k])
-                where = np.flatnonzero(own >= least)
-                found = id_table.take(pa.array(where)).append_column("score", pa.array(own[where]))
-                if kept[q] is not None:
-                    found = pa.concat_tables([kept[q], found])
-                kept[q] = found.sort_by(order).slice(0, k)
-                if len(kept[q]) == k:
-                    needed[q] = kept[q]["score"][-1].as_py()
-        for q, table in enumerate(kept):
-            if table is not None:
-                named = table.add_column(0, "query_id", pa.array([names[q]] * len(table), pa.string()))
-                yield from named.to_batches()
-
-    columns = vectors.where(F.col(vector_col).isNotNull()).select(*ids, vector_col)
-    return columns.mapInArrow(best, f"query_id string, {id_schema}, score double")
+            scores = np.round(rows[start : start + step] @ targets, DIGITS) + 0.0
+            self.take(table.slice(start, step), scores)
+
+    def take(self, table: pa.Table, scores: np.ndarray) -> None:
+        """Rows with their scores for every query."""
+        if len(scores) > self.k:
+            # Ties with the k-th score stay; the sort below settles them by id.
+            kth = np.partition(scores, -self.k, axis=0)[-self.k]
+            enough = scores >= np.maximum(self.needed, kth)
+        else:
+            enough = scores >= self.needed
+        row, query = np.nonzero(enough)
+        found = table.take(pa.array(row)).append_column("score", pa.array(scores[row, query]))
+        found = found.append_column("query", pa.array(query))
+        if self.kept is not None:
+            found = pa.concat_tables([self.kept, found])
+        order = [("query", "ascending"), ("score", "descending"), *[(c, "ascending") for c in self.ids]]
+        found = found.sort_by(order)
+        query = found.column("query").to_numpy()
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        self.kept = found.filter(pa.array(place < self.k))
+        last = np.flatnonzero(place == self.k - 1)
+        self.needed[query[last]] = found.column("score").to_numpy()[last]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.kept is None or not len(self.kept):
+            return
+        named = pa.array(self.names, pa.string()).take(self.kept.column("query").combine_chunks())
+        out = self.kept.drop_columns(["query"]).add_column(0, "query_id", named)
+        yield from out.combine_chunks().to_batches()
 
 
 def emotion_search(
@@ -241,9 +279,74 @@ def keyword_search(
     matter. Those are stored first, since they are counted before they are broadcast.
     """
     weights = stored(keyword_weights(keywords_of(queries), vocabulary))
-    wanted = keep_keys(postings, weights, "word")
-    hits = join_small(wanted, weights, ["word"], spread_by=["chat_id", "seq"])
-    return _ranked(hits, score(F.sum("weight")), k)
+    wanted = keep_keys(postings, weights, "word").select("chat_id", "seq", "word")
+    return _scored(wanted, "word", None, weights, k, None)
+
+
+def _scored(
+    rows: DataFrame, key: str, weight: str | None, asked_for: DataFrame, k: int, floor: float | None
+) -> DataFrame:
+    """Messages by the sum over their ``rows`` of the row's weight times the query's for its key.
+
+    Queries that fit go to the tasks as a sparse matrix: rows of a message are brought together,
+    each task multiplies some messages at a time and shuffles ``k`` of them per query, so pairs of
+    message and query are never shuffled. More queries are joined by key instead.
+    """
+    if not fits(asked_for):
+        hits = join_small(rows, asked_for.withColumnRenamed("weight", "_w"), [key], ["chat_id", "seq"], max_rows=0)
+        return _ranked(hits, score(F.sum(F.col("_w") * (F.col(weight) if weight else 1.0))), k, floor)
+    sparse = asked_for.select("query_id", key, "weight").orderBy("query_id", key).collect()
+    names = sorted({r["query_id"] for r in sparse})
+    place = {name: i for i, name in enumerate(names)}
+    by_key: dict[str, list[tuple[int, float]]] = {}
+    for r in sparse:
+        by_key.setdefault(r[key], []).append((place[r["query_id"]], r["weight"]))
+    matrix_rows = {
+        word: (np.array([i for i, _ in cells]), np.array([w for _, w in cells])) for word, cells in by_key.items()
+    }
+    messages_at_once = max(1, SCORES // max(1, len(names)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(names, k, floor if floor is not None else 0.0, ["chat_id", "seq"])
+        open_rows: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if open_rows is not None:
+                table = pa.concat_tables([open_rows, table])
+            starts = _message_starts(table)
+            # The last message may go on in the next batch.
+            open_rows = table.slice(starts[-1]) if len(starts) else None
+            _add_messages(best, table, starts[:-1], starts[1:], key, weight, matrix_rows, messages_at_once)
+        if open_rows is not None and len(open_rows):
+            _add_messages(best, open_rows, [0], [len(open_rows)], key, weight, matrix_rows, messages_at_once)
+        yield from best.batches()
+
+    known = rows.where(F.col(key).isNotNull()).repartition("chat_id", "seq").sortWithinPartitions("chat_id", "seq")
+    found = known.mapInArrow(run, "query_id string, chat_id string, seq long, score double")
+    return top_k(found, _best_first(["chat_id", "seq"]), k, ["query_id"])
+
+
+def _message_starts(table: pa.Table) -> np.ndarray:
+    chat = table.column("chat_id").combine_chunks().dictionary_encode().indices.to_numpy()
+    seq = table.column("seq").to_numpy()
+    changed = (chat[1:] != chat[:-1]) | (seq[1:] != seq[:-1])
+    return np.flatnonzero(np.r_[True, changed]) if len(seq) else np.array([], dtype=np.int64)
+
+
+def _add_messages(best, table, starts, ends, key, weight, matrix_rows, at_once) -> None:
+    """Score the messages of ``table`` that lie between ``starts`` and ``ends``."""
+    for first in range(0, len(starts), at_once):
+        begin, end = starts[first : first + at_once], ends[first : first + at_once]
+        part = table.slice(begin[0], end[-1] - begin[0])
+        message = np.repeat(np.arange(len(begin)), np.asarray(end) - np.asarray(begin))
+        own = part.column(weight).to_numpy() if weight else np.ones(len(part))
+        scores = np.zeros((len(begin), len(best.names)))
+        for at, word, w in zip(message, part.column(key).to_pylist(), own):
+            cells = matrix_rows.get(word)
+            if cells is not None:
+                scores[at, cells[0]] += cells[1] * w
+        ids = table.select(["chat_id", "seq"]).take(pa.array(np.asarray(begin)))
+        best.take(ids, np.round(scores, DIGITS) + 0.0)
 
 
 def _ranked(hits: DataFrame, total: Column, k: int, floor: float | None = None) -> DataFrame:
@@ -288,9 +391,8 @@ def tfidf_search(
 ) -> DataFrame:
     """Messages by the dot product of normalised TF-IDF weights."""
     terms = stored(query_terms(queries, vocabulary, ngram_range))
-    wanted = keep_keys(weights, terms, "term")
-    hits = join_small(wanted, terms, ["term"], spread_by=["chat_id", "seq"])
-    return _ranked(hits, score(F.sum(F.col("qweight") * F.col("weight"))), k, floor)
+    wanted = keep_keys(weights, terms, "term").select("chat_id", "seq", "term", "weight")
+    return _scored(wanted, "term", "weight", terms.withColumnRenamed("qweight", "weight"), k, floor)
 
 
 # --- fusion -------------------------------------------------------------------------------------
@@ -298,7 +400,10 @@ def tfidf_search(
 
 @dataclass
 class SearchTables:
-    """What the searches read. ``vectors`` holds ``(chat_id, seq, vector)``."""
+    """What the searches read. ``vectors`` holds ``(chat_id, seq, vector)``.
+
+    ``encode`` adds the vector of a text column as it was made for ``vectors``.
+    """
 
     messages: DataFrame
     postings: DataFrame
@@ -306,6 +411,11 @@ class SearchTables:
     terms: DataFrame
     weights: DataFrame
     vectors: DataFrame
+    ngram_range: tuple[int, int] = NGRAMS
+    encode: Callable[[DataFrame, str], DataFrame] = embed
+
+    def query_vectors(self, queries: DataFrame) -> DataFrame:
+        return self.encode(asked(queries), "text").select("query_id", "vector")
 
 
 def fuse(
@@ -334,16 +444,18 @@ def combined_search(
 ) -> DataFrame:
     """Semantic, keyword and TF-IDF search in one plan, fused.
 
-    ``query_vectors`` are the queries in the space of ``tables.vectors``; feature hashes of the
-    texts by default.
+    ``query_vectors`` are the queries in the space of ``tables.vectors``, encoded like those by
+    default.
     """
     if query_vectors is None:
-        query_vectors = embed(asked(queries), "text").select("query_id", "vector")
+        query_vectors = tables.query_vectors(queries)
     return fuse(
         {
             SEMANTIC: semantic_search(tables.vectors, query_vectors, k),
             KEYWORD: keyword_search(tables.postings, tables.vocabulary, queries, k),
-            TFIDF: tfidf_search(tables.weights, tables.terms, queries, k),
+            TFIDF: tfidf_search(
+                tables.weights, tables.terms, queries, k, ngram_range=tables.ngram_range
+            ),
         },
         k,
         method_weights,

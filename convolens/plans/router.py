@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Iterator
 from functools import reduce
-from itertools import islice
+from math import ceil
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from convolens.functions import text
 from convolens.operators import search, stats
-from convolens.operators.embed import embed
-from convolens.operators.index import word_freq
 from convolens.operators.ranking import top_k
-from convolens.operators.retrieval import BY_TIME, BY_USER, LIMIT
-from convolens.operators.search import TOP_K, SearchTables
+from convolens.operators.responses import pack_context
+from convolens.operators.retrieval import BY_TIME, BY_USER, HOURS, LIMIT
+from convolens.operators.search import COMBINED, KEYWORD, SEMANTIC, TFIDF, TOP_K, SearchTables
 from convolens.runtime import stored
 
 # --- fixed values: function names and their required argument -----------------------------------
@@ -29,148 +33,225 @@ FUNCTIONS = {
     "get_recent_messages": None,
     "get_stats": None,
 }
-DEFAULT_HOURS = 24
 # -------------------------------------------------------------------------------------------------
-# User patterns tried in one pass over the list of users.
-PATTERN_BLOCK = 1000
+BY_USER_CALL, RECENT_CALL, STATS_CALL = "get_user_messages", "get_recent_messages", "get_stats"
+# Each search function with its branches.
+SEARCHES = {
+    SEMANTIC: "semantic_search_optimized",
+    KEYWORD: "keyword_search_optimized",
+    TFIDF: "tfidf_search_optimized",
+}
+FUSED_CALL = "combined_search_optimized"
+# Requests, and latest messages, that meet in one task of the user search.
+REQUEST_BLOCK, MESSAGE_BLOCK = 1000, 50_000
 
-RESULT = "query_id, function, chat_id, seq, score, method, stats, error".split(", ")
+RESULT = {
+    "query_id": "string", "function": "string", "chat_id": "string", "seq": "bigint",
+    "user": "string", "date_time": "timestamp_ntz", "message": "string", "message_type": "string",
+    "score": "double", "method": "string", "stats": "string", "error": "string",
+}
 
 
 def requests(calls: DataFrame, id_col: str = "request_id") -> DataFrame:
     """``(query_id, function, text, keywords, k, hours, error)`` from tool calls.
 
     ``calls`` has ``name`` and ``arguments`` (a variant). Names are matched without regard to case.
-    Unknown functions and missing or ill-typed arguments become rows with ``error``.
+    Each function's own arguments are read; a null one counts as missing. Unknown functions,
+    missing or ill-typed arguments and user patterns that are none become rows with ``error``.
     """
-    arg = lambda name, kind: F.try_variant_get("arguments", f"$.{name}", kind)
+
+    def arg(name: str, kind: str) -> Column:
+        return F.try_variant_get("arguments", f"$.{name}", kind)
+
+    def given(name: str) -> Column:
+        value = arg(name, "variant")
+        return value.isNotNull() & ~F.coalesce(F.is_variant_null(value), F.lit(True))
+
+    def is_text(name: str) -> Column:
+        return F.schema_of_variant(arg(name, "variant")) == "STRING"
+
     name = F.lower("name")
-    listed = arg("keywords", "array<string>")
-    as_text = F.when(listed.isNull(), arg("keywords", "string"))
-    given = F.coalesce(arg("query", "string"), arg("username", "string"), as_text)
-    k = F.when(
-        name.isin("get_user_messages", "get_recent_messages"),
-        F.coalesce(arg("limit", "int"), F.lit(LIMIT)),
-    ).otherwise(F.coalesce(arg("top_k", "int"), F.lit(TOP_K)))
-    required = F.lit(None).cast("string")
-    for function, needed in FUNCTIONS.items():
-        if needed:
-            required = F.when(name == function, needed).otherwise(required)
-    lacking = required.isNotNull() & given.isNull() & listed.isNull()
-    error = (
-        F.when(F.col("name").isNull(), "Could not parse function call from response")
-        .when(
-            ~name.isin(*FUNCTIONS),
-            F.concat(F.lit("Function '"), F.col("name"), F.lit("' not available")),
+    asks = lambda argument: name.isin(*[f for f, a in FUNCTIONS.items() if a == argument])
+    latest = name.isin(BY_USER_CALL, RECENT_CALL)
+    listed = F.when(asks("keywords"), arg("keywords", "array<string>"))
+    said = F.lit(None).cast("string")
+    problem = F.lit(None).cast("string")
+    for argument in ("query", "username", "keywords"):
+        wanted = asks(argument)
+        usable = is_text(argument) | (listed.isNotNull() if argument == "keywords" else F.lit(False))
+        said = F.when(wanted & is_text(argument), arg(argument, "string")).otherwise(said)
+        problem = (
+            F.when(wanted & ~given(argument), f"missing argument: {argument}")
+            .when(wanted & ~usable, f"argument {argument} has the wrong type")
+            .otherwise(problem)
         )
-        .when(lacking, F.concat(F.lit("Function error: missing argument "), required))
+    limit = F.when(latest, F.lit("limit")).otherwise("top_k")
+    k = F.when(latest, arg("limit", "int")).otherwise(arg("top_k", "int"))
+    has_k = F.when(latest, given("limit")).otherwise(given("top_k"))
+    hours = arg("hours", "double")
+    error = (
+        F.when(F.col("name").isNull(), "no function call found")
+        .when(~name.isin(*FUNCTIONS), F.concat(F.lit("unknown function: "), F.col("name")))
+        .when(problem.isNotNull(), problem)
+        .when(has_k & (k.isNull() | (k < 1)), F.concat(F.lit("argument "), limit, F.lit(" is not a number from 1 on")))
+        .when((name == RECENT_CALL) & given("hours") & hours.isNull(), "argument hours is not a number")
     )
-    return calls.select(
+    read = calls.select(
         F.col(id_col).cast("string").alias("query_id"),
         F.when(name.isin(*FUNCTIONS), name).otherwise(F.col("name")).alias("function"),
-        given.alias("text"),
+        said.alias("text"),
         listed.alias("keywords"),
-        k.alias("k"),
-        F.coalesce(arg("hours", "double"), F.lit(float(DEFAULT_HOURS))).alias("hours"),
+        F.coalesce(k, F.when(latest, LIMIT).otherwise(TOP_K)).alias("k"),
+        F.coalesce(hours, F.lit(float(HOURS))).alias("hours"),
         error.alias("error"),
     )
+    by_user = (F.col("function") == BY_USER_CALL) & F.col("error").isNull()
+    wrong = F.when(by_user, _pattern_fault("text"))
+    return read.withColumn("error", F.coalesce("error", wrong))
+
 
+def _pattern_fault(column: str) -> Column:
+    """What is wrong with a pattern; null if nothing."""
 
-def route(
-    reqs: DataFrame, tables: SearchTables, as_of: dt.datetime | None = None
-) -> DataFrame:
-    """Answer every request; one row per hit, statistic or error.
+    def faults(patterns: pd.Series) -> pd.Series:
+        return patterns.map(lambda p: None if p is None else _fault(p))
 
-    Requests are grouped by function and by the number of results asked for, because the searches
-    rank all their queries with one ``k``. The values of ``k`` in use are read first; they are few.
-    The requests are stored before that: each branch would parse every response again otherwise.
+    faults.__annotations__ = {"patterns": pd.Series, "return": pd.Series}
+    return F.pandas_udf(faults, "string")(column)
+
+
+def _fault(pattern: str) -> str | None:
+    try:
+        re.compile(pattern, re.IGNORECASE)
+    except (re.error, OverflowError, RecursionError) as e:
+        return f"not a pattern: {e}"
+    return None
+
+
+def route(reqs: DataFrame, tables: SearchTables, as_of: dt.datetime | None = None) -> DataFrame:
+    """Answer every request; one row per hit (with its message), statistic or error.
+
+    Every function is planned once for all its requests with the largest ``k`` any of them asks
+    for; each request's list is then cut to its own. A fused search shares the three searches it is
+    made of. The requests are stored first: each branch would parse every response again otherwise.
     """
     reqs = stored(reqs)
     ok = reqs.where(F.col("error").isNull())
-    parts = [_errors(reqs)]
-    used = ok.groupBy("function", "k").count().collect()
-    for function, k in sorted((r["function"], r["k"]) for r in used):
-        mine = ok.where((F.col("function") == function) & (F.col("k") == k))
-        parts.append(_conform(_answer(function, mine, tables, k, as_of), function))
+    most = dict(map(tuple, ok.groupBy("function").agg(F.max("k")).collect()))
+    parts = [_shown(reqs.where(F.col("error").isNotNull()).select("query_id", "function", "error"))]
+    hits = [*_searched(ok, tables, most)]
+    if BY_USER_CALL in most:
+        hits.append(_by_user(_of(ok, BY_USER_CALL), tables.messages, most[BY_USER_CALL]))
+    if RECENT_CALL in most:
+        hits.append(_by_time(_of(ok, RECENT_CALL), tables.messages, most[RECENT_CALL], as_of))
+    if hits:
+        columns = ["query_id", "function", "chat_id", "seq", "score", "method"]
+        found = reduce(DataFrame.unionByName, [h.select(*columns) for h in hits])
+        bodies = tables.messages.select("chat_id", "seq", "user", "date_time", "message", "message_type")
+        parts.append(_shown(found.join(bodies, ["chat_id", "seq"])))
+    if STATS_CALL in most:
+        parts.append(_shown(_stats(_of(ok, STATS_CALL), tables)))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _answer(
-    function: str, reqs: DataFrame, t: SearchTables, k: int, as_of: dt.datetime | None
-) -> DataFrame:
-    if function == "get_stats":
-        return _stats(reqs, t)
-    if function == "get_user_messages":
-        return _by_user(reqs, t.messages, k)
-    if function == "get_recent_messages":
-        return _by_time(reqs, t.messages, k, as_of)
-    if function == "keyword_search_optimized":
-        words = F.coalesce(F.col("keywords"), text.words(F.lower("text")))
-        found = search.keyword_search(
-            t.postings, t.vocabulary, reqs.select("query_id", words.alias("keywords")), k
-        )
-        return found.withColumn("method", F.lit(search.KEYWORD))
-    queries = reqs.select("query_id", "text")
-    if function == "tfidf_search_optimized":
-        found = search.tfidf_search(t.weights, t.terms, queries, k)
-        return found.withColumn("method", F.lit(search.TFIDF))
-    if function == "semantic_search_optimized":
-        vectors = embed(search.asked(queries), "text")
-        found = search.semantic_search(t.vectors, vectors, k)
-        return found.withColumn("method", F.lit(search.SEMANTIC))
-    found = search.combined_search(t, queries, k)
-    return found.withColumn("method", F.lit(search.COMBINED))
+def answer_contexts(reqs: DataFrame, routed: DataFrame) -> DataFrame:
+    """``(query_id, text, context)``: each answered request beside its hits as one JSON array."""
+    hits = routed.where(F.col("chat_id").isNotNull())
+    words = F.coalesce("text", F.array_join("keywords", " ")).alias("text")
+    return pack_context(hits, reqs.where(F.col("error").isNull()).select("query_id", words))
+
+
+def _of(reqs: DataFrame, *functions: str) -> DataFrame:
+    return reqs.where(F.col("function").isin(*functions))
+
+
+def _cut(hits: DataFrame, reqs: DataFrame, times: int = 1) -> DataFrame:
+    """Each request's best ``k`` hits (or ``times`` as many)."""
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "chat_id", "seq")
+    own = hits.join(reqs.select("query_id", "k", "function"), "query_id")
+    return own.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= F.col("k") * times).drop("_rn")
+
+
+def _searched(ok: DataFrame, t: SearchTables, most: dict[str, int]) -> Iterator[DataFrame]:
+    branches = {}
+    for method, function in SEARCHES.items():
+        functions = [f for f in (function, FUSED_CALL) if f in most]
+        if not functions:
+            continue
+        mine, k = _of(ok, *functions), max(most[f] for f in functions)
+        queries = mine.select("query_id", "text")
+        if method == SEMANTIC:
+            found = search.semantic_search(t.vectors, t.query_vectors(queries), k)
+        elif method == TFIDF:
+            found = search.tfidf_search(t.weights, t.terms, queries, k, ngram_range=t.ngram_range)
+        else:
+            words = F.coalesce(F.col("keywords"), text.words(F.lower("text"))).alias("keywords")
+            found = search.keyword_search(t.postings, t.vocabulary, mine.select("query_id", words), k)
+        cut = _cut(found, mine)
+        branches[method] = stored(cut) if len(functions) > 1 else cut
+        if function in most:
+            yield _of(branches[method], function).withColumn("method", F.lit(method))
+    if FUSED_CALL in most:
+        fused = search.fuse({m: _of(b, FUSED_CALL) for m, b in branches.items()}, most[FUSED_CALL])
+        yield _cut(fused, _of(ok, FUSED_CALL), 2).withColumn("method", F.lit(COMBINED))
 
 
 def _by_user(reqs: DataFrame, messages: DataFrame, k: int) -> DataFrame:
     """Latest messages of the users each pattern matches.
 
-    Patterns are tried on the list of users, not on the messages, and go to it in blocks of bounded
-    size. A user's latest ``k`` messages are cut first, so however many patterns match a user, at
-    most ``k`` rows of it are copied.
+    A user's latest ``k`` messages are cut first. Blocks of them meet blocks of requests by key; a
+    task compiles each of its patterns once, tries it on the distinct users of its block and keeps
+    ``k`` rows per request, so a pattern that matches everyone sends no more than that.
     """
     timed = messages.where(
         F.col("user").isNotNull() & F.col("message").isNotNull() & F.col("date_time").isNotNull()
     )
     order = [F.desc("date_time"), F.asc("chat_id"), F.asc("seq")]
-    latest = top_k(timed.select("chat_id", "seq", "date_time", "user"), order, k, ["user"])
-    users = timed.select("user").distinct()
-    matches = [
-        users.select("user", F.inline(F.filter(patterns, lambda p: F.rlike("user", p["pattern"]))))
-        for patterns in _pattern_blocks(reqs)
-    ]
-    hits = latest.join(reduce(DataFrame.unionByName, matches).drop("pattern"), "user")
-    best = top_k(hits, order, k, ["query_id"])
-    return best.withColumns({"score": F.lit(1.0), "method": F.lit(BY_USER)})
+    latest = stored(top_k(timed.select("chat_id", "seq", "date_time", "user"), order, k, ["user"]))
+    wide, tall = (max(1, ceil(df.count() / n)) for df, n in ((latest, MESSAGE_BLOCK), (reqs, REQUEST_BLOCK)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = latest.withColumn("_b", block("user", wide)).select("*", every(tall).alias("_q"))
+    rows = rows.withColumn("date_time", F.unix_micros(F.col("date_time").cast("timestamp")))
+    asked = reqs.select("query_id", "text", "k").withColumn("_q", block("query_id", tall))
+    asked = asked.select("*", every(wide).alias("_b"))
 
+    def match(some: pa.Table, patterns: pa.Table) -> pa.Table:
+        some = some.sort_by([("date_time", "descending"), ("chat_id", "ascending"), ("seq", "ascending")])
+        coded = some.column("user").combine_chunks().dictionary_encode()
+        users, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        out = [some.select(["chat_id", "seq", "date_time"]).slice(0, 0).add_column(0, "query_id", pa.array([], pa.string()))]
+        for name, pattern, own in zip(*(patterns.column(c).to_pylist() for c in ("query_id", "text", "k"))):
+            tried = re.compile(pattern, re.IGNORECASE)
+            matches = np.array([bool(tried.search(u)) for u in users], dtype=bool)
+            best = np.flatnonzero(matches[at])[:own] if len(users) else np.array([], dtype=np.int64)
+            found = some.select(["chat_id", "seq", "date_time"]).take(pa.array(best))
+            out.append(found.add_column(0, "query_id", pa.array([name] * len(best), pa.string())))
+        return pa.concat_tables(out)
 
-def _pattern_blocks(reqs: DataFrame) -> Iterator[Column]:
-    rows = reqs.select("query_id", F.concat(F.lit("(?iu)"), "text")).toLocalIterator()
-    while block := list(islice(rows, PATTERN_BLOCK)):
-        yield F.array(
-            *[F.struct(F.lit(q).alias("query_id"), F.lit(p).alias("pattern")) for q, p in block]
-        )
+    found = rows.groupBy("_b", "_q").cogroup(asked.groupBy("_b", "_q")).applyInArrow(
+        match, "query_id string, chat_id string, seq long, date_time long"
+    )
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
+    best = found.withColumn("_rn", rank).join(reqs.select("query_id", "function", "k"), "query_id")
+    best = best.where(F.col("_rn") <= F.col("k"))
+    return best.withColumns({"score": F.lit(1.0), "method": F.lit(BY_USER)})
 
 
-def _by_time(
-    reqs: DataFrame, messages: DataFrame, k: int, as_of: dt.datetime | None
-) -> DataFrame:
+def _by_time(reqs: DataFrame, messages: DataFrame, k: int, as_of: dt.datetime | None) -> DataFrame:
     """Latest messages within each request's window.
 
-    A window only cuts the list of the ``k`` latest messages off, so that list is taken once and
-    filtered inside each request's row.
+    A window only cuts the list of the ``k`` latest messages off, so that list is numbered once and
+    joined by rank: request ``i`` takes the ranks up to its own ``k`` that are young enough.
     """
     now = F.lit((as_of or dt.datetime.now()).isoformat(sep=" ")).cast("timestamp_ntz")
     timed = messages.where(F.col("message").isNotNull() & F.col("date_time").isNotNull())
     order = [F.desc("date_time"), F.asc("chat_id"), F.asc("seq")]
     latest = top_k(timed.select("chat_id", "seq", "date_time"), order, k)
-    age_hours = F.timestamp_diff("MICROSECOND", F.col("date_time"), now) / F.lit(3.6e9)
-    listed = latest.agg(
-        F.collect_list(F.struct("chat_id", "seq", age_hours.alias("age_hours")))
-    ).scalar()
-    hits = reqs.select("query_id", "hours", listed.alias("latest")).select(
-        "query_id", F.inline(F.filter("latest", lambda m: m["age_hours"] <= F.col("hours")))
-    )
+    age = F.timestamp_diff("MICROSECOND", F.col("date_time"), now) / F.lit(3.6e9)
+    ranked = latest.select("chat_id", "seq", age.alias("age"), F.row_number().over(W.orderBy(*order)).alias("rank"))
+    wanted = reqs.select("query_id", "function", "hours", F.explode(F.sequence(F.lit(1), "k")).alias("rank"))
+    hits = wanted.join(ranked, "rank").where(F.col("age") <= F.col("hours"))
     return hits.withColumns({"score": F.lit(1.0), "method": F.lit(BY_TIME)})
 
 
@@ -180,7 +261,7 @@ def _stats(reqs: DataFrame, t: SearchTables) -> DataFrame:
     rows = lambda df: F.array_sort(F.collect_list(F.struct(*df.columns)))
     top = stats.top_users(t.messages)
     types = stats.type_counts(t.messages)
-    words = word_freq(t.postings).orderBy(F.desc("df"), F.asc("word")).limit(stats.COMMON_WORDS)
+    words = t.vocabulary.select("word", "df").orderBy(F.desc("df"), F.asc("word")).limit(stats.COMMON_WORDS)
     summary = size.select(
         F.to_json(
             F.struct(
@@ -191,26 +272,9 @@ def _stats(reqs: DataFrame, t: SearchTables) -> DataFrame:
             )
         )
     )
-    return reqs.select("query_id", summary.scalar().alias("stats"))
-
-
-def _errors(reqs: DataFrame) -> DataFrame:
-    bad = reqs.where(F.col("error").isNotNull()).select("query_id", "function", "error")
-    return _fill(bad)
+    return reqs.select("query_id", "function", summary.scalar().alias("stats"))
 
 
-def _conform(found: DataFrame, function: str) -> DataFrame:
-    return _fill(found.withColumn("function", F.lit(function)))
-
-
-def _fill(df: DataFrame) -> DataFrame:
-    types = {
-        "query_id": "string", "function": "string", "chat_id": "string", "seq": "bigint",
-        "score": "double", "method": "string", "stats": "string", "error": "string",
-    }
-    return df.select(
-        *[
-            (F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c)
-            for c in RESULT
-        ]
-    )
+def _shown(df: DataFrame) -> DataFrame:
+    absent = F.lit(None)
+    return df.select(*[(F.col(c) if c in df.columns else absent).cast(k).alias(c) for c, k in RESULT.items()])
