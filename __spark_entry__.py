@@ -125,7 +125,7 @@ def clean_text(spark, sf_dir):
 
 def emoji_alias(spark, sf_dir):
     named = text.emoji_aliases(F.col("message")).alias("named")
-    return fx.rich_messages(spark, sf_dir).select("chat_id", "seq", named)
+    return fx.emoji_messages(spark, sf_dir).select("chat_id", "seq", named)
 
 
 # --- statistics -----------------------------------------------------------------------------------
@@ -172,6 +172,14 @@ def index_roundtrip(spark, sf_dir):
     return rounded(stored.weights, "weight")
 
 
+def index_uncapped(spark, sf_dir):
+    """Single words only, every word kept."""
+    options = index_store.IndexOptions(ngram_range=(1, 1), min_df=1, max_df=1.0, max_features=None)
+    messages = fx.messages(spark, sf_dir)
+    stored = index_store.build_or_load(messages, scratch_path(spark, "index"), options)
+    return rounded(stored.terms, "idf")
+
+
 def user_profile(spark, sf_dir):
     profile = index.user_profile(fx.messages(spark, sf_dir))
     listed = profile.select(
@@ -324,16 +332,46 @@ def tool_calls(spark, sf_dir):
     )
 
 
+def _routed(spark, sf_dir):
+    t = stored(spark, sf_dir)
+    reqs = router.requests(responses.tool_calls(fx.request_responses(spark, sf_dir)))
+    return reqs, router.route(reqs, t, as_of=AS_OF)
+
+
 def route_requests(spark, sf_dir):
-    calls = responses.tool_calls(fx.request_responses(spark, sf_dir))
-    return router.route(router.requests(calls), stored(spark, sf_dir), as_of=AS_OF).drop("stats")
+    _, out = _routed(spark, sf_dir)
+    part = lambda path: F.get_json_object("stats", f"$.{path}")
+    return out.where(F.col("error").isNull()).select(
+        "query_id", "function", "chat_id", "seq", "user", "date_time", "message", "message_type",
+        "score", "method", part("total_messages").cast("long").alias("total_messages"),
+        part("most_common_words").alias("most_common_words"),
+    )
+
+
+def route_errors(spark, sf_dir):
+    reqs = router.requests(responses.tool_calls(fx.request_responses(spark, sf_dir)))
+    ship(spark)
+    kind = F.regexp_extract("error", "^([a-z ]+)", 1).alias("kind")
+    return reqs.where(F.col("error").isNotNull()).select("query_id", "function", kind)
+
+
+def _unpacked(packed):
+    """The context of each request as rows again, in its order."""
+    kind = "array<struct<chat_id: string, seq: long, message: string, score: double, method: string>>"
+    listed = packed.select("query_id", F.posexplode(F.from_json("context", kind)).alias("pos", "h"))
+    return listed.select("query_id", "pos", "h.*")
 
 
 def pack_context(spark, sf_dir):
     asked = fx.benchmark_queries(spark, sf_dir)
     t = stored(spark, sf_dir)
     hits = search.tfidf_search(t.weights, t.terms, asked)
-    return responses.pack_context(search.render(hits, t.messages, search.TFIDF), asked)
+    return _unpacked(responses.pack_context(search.render(hits, t.messages, search.TFIDF), asked))
+
+
+def route_context(spark, sf_dir):
+    reqs, out = _routed(spark, sf_dir)
+    return _unpacked(router.answer_contexts(reqs, out))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -379,6 +417,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "user_activity_by_chat": on(doc, stats.user_activity, *ACTIVITY, by=CHAT),
         "sentiment_by_user": mood(msg, ()),
         "sentiment_by_chat": mood(doc, CHAT),
+        "sentiment_rules": lambda spark, sf_dir: rounded(
+            stats.sentiment_by_user(fx.mood_messages(spark, sf_dir), fx.lexicon(spark), (), rules=True),
+            "avg_sentiment",
+        ),
         "response_time": on(ev, stats.response_time, "avg_response_sec"),
         "response_time_by_chat": on(ev, stats.response_time, "avg_response_sec", by=CHAT),
         "longest_silence": on(ev, stats.longest_silence, "longest_silence_sec"),
@@ -401,6 +443,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tfidf_weights": on(msg, _weights),
         "tfidf_weights_documents": on(doc, _weights),
         "index_roundtrip": index_roundtrip,
+        "index_uncapped": index_uncapped,
         "user_profile": user_profile,
         "embed_hash": embed_hash,
         "nearest_label": nearest_label,
@@ -420,6 +463,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "strip_reasoning": strip_reasoning,
         "tool_calls": tool_calls,
         "route_requests": route_requests,
+        "route_errors": route_errors,
+        "route_context": route_context,
         "pack_context": pack_context,
     }
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convolens.functions.text import EMOJI_RANGES
 from convolens.runtime import spread
 from convolens.schema import as_messages
 
@@ -22,7 +23,7 @@ SUFFIXES = [
     "",
     "",
 ]
-# Bodies the export uses instead of a text; None keeps the text. The type comes with it.
+# Bodies the export uses for media and calls, sent after the text; None sends nothing more.
 MARKERS = [
     ("\u200eimage omitted", "Image", ""),
     ("\u200eVideo omitted", "Video", ""),
@@ -95,6 +96,34 @@ def rich_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Every emoji in turn, three after each message.
+EMOJI_SHIFTS = (0, 491, 977)
+
+
+def emoji_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``messages`` with three emojis after each, so that all of them occur."""
+    table_of = F.split(F.lit(" ".join(emoji_points())), " ")
+    n = len(emoji_points())
+    start = F.col("chat_id").cast("long") * 7 + F.col("seq")
+    picked = [F.get(table_of, F.pmod(start + s, F.lit(n)).cast("int")) for s in EMOJI_SHIFTS]
+    return messages(spark, sf_dir).withColumn("message", F.concat("message", *picked))
+
+
+def emoji_points() -> list[str]:
+    """All code points of the emoji ranges, in order."""
+    ends = [(span.split("-") * 2)[:2] for span in EMOJI_RANGES]
+    return [chr(c) for a, b in ends for c in range(int(a, 16), int(b, 16) + 1)]
+
+
+# Words before the text that turn or scale the valence of its first lexicon words.
+MOODS = ["not ", "very ", "barely the ", "so never ", ""]
+
+
+def mood_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    which = F.pmod(F.col("chat_id").cast("long") + F.col("seq"), F.lit(len(MOODS)))
+    return messages(spark, sf_dir).withColumn("message", F.concat(choose(which, MOODS), "message"))
+
+
 def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as long messages: one chat per source, one user per language."""
     df = table(spark, sf_dir, "documents").select(
@@ -155,14 +184,20 @@ def marker_index() -> Column:
 
 
 def export_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``messages`` with media and call markers in place of most bodies, ``user`` naming the chat."""
+    """Every text of ``messages``, most of them followed by a media or call marker of the same time.
+
+    Texts have even and markers odd ``seq``; ``user`` names the message.
+    """
     marked = choose(marker_index(), [m[0] for m in MARKERS])
-    return messages(spark, sf_dir).select(
+    both = F.filter(F.array("message", marked), lambda b: b.isNotNull())
+    sent = messages(spark, sf_dir).select("*", F.posexplode(both).alias("nth", "body"))
+    numbered = sent.withColumn("seq", F.col("seq") * 2 + F.col("nth"))
+    return numbered.select(
         "chat_id",
         "seq",
         "date_time",
         F.concat_ws("-", "user", "chat_id", "seq").alias("user"),
-        F.coalesce(marked, F.col("message")).alias("body"),
+        "body",
     )
 
 
@@ -224,7 +259,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             call_text("semantic_search_optimized", "query", quoted),
         ),
         call_text("keyword_search_optimized", "keywords", quoted),
-        F.concat(F.lit("Sure: "), call_text("tfidf_search_optimized", "query", quoted), F.lit(" done")),
+        F.concat(F.lit("``Sure: `"), call_text("tfidf_search_optimized", "query", quoted), F.lit("` done")),
         F.concat(F.lit('{"function_call": {"name": "get_stats", '), quoted),
         call_text("best_search", "query", quoted),
     ]
@@ -248,20 +283,42 @@ ROUTED = [
 ]
 
 
+# Added to an item's number for its second request.
+SECOND = 1_000_000
+
+
 def request_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item as a tool call with the item's text as its question."""
-    which = F.pmod(F.col("item_id"), F.lit(len(ROUTED)))
-    value = (
-        F.when(which == 4, F.lit('"ASSIST"'))
-        .when(which == 5, F.concat((F.col("item_id") * 100).cast("string"), F.lit("")))
-        .otherwise(json_text("text"))
-    )
-    response = F.lit(None).cast("string")
-    for i, (name, argument) in enumerate(ROUTED):
-        response = F.when(which == i, call_text(name, argument, value)).otherwise(response)
-    return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("request_id"), response.alias("response")
-    )
+    """Every benchmark item as a tool call with the item's text as its argument.
+
+    A text is no number of hours and names no user, so such items also ask with a value that fits,
+    and every third item with a pattern that is none.
+    """
+    item = F.col("item_id")
+    which = F.pmod(item, F.lit(len(ROUTED)))
+
+    def response(value: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for i, (name, argument) in enumerate(ROUTED):
+            out = F.when(which == i, call_text(name, argument, value)).otherwise(out)
+        return out
+
+    fitting = F.when(which == 4, F.lit('"ASSIST"')).when(which == 5, (item * 100).cast("string"))
+    asked = [
+        F.struct(item.alias("request_id"), response(json_text("text")).alias("response")),
+        F.when(
+            which.isin(4, 5),
+            F.struct((item + SECOND).alias("request_id"), response(fitting).alias("response")),
+        ),
+        F.when(
+            item % 3 == 0,
+            F.struct(
+                (item + 2 * SECOND).alias("request_id"),
+                call_text("get_user_messages", "username", F.lit('"al("')).alias("response"),
+            ),
+        ),
+    ]
+    whole = F.filter(F.array(*asked), lambda r: r.isNotNull())
+    return table(spark, sf_dir, "benchmark").select(F.inline(whole))
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,41 @@
 
 from __future__ import annotations
 
-from convolens.fixtures import AS_OF, LEXICON, MARKERS, ROUTED, START, STOP_WORDS, SUFFIXES
-from convolens.functions.text import EMOJI_ALIASES, EMOJI_CLASS
-from convolens.operators.embed import EMOTIONS
+import unicodedata
+
+from convolens.fixtures import (
+    AS_OF,
+    EMOJI_SHIFTS,
+    LEXICON,
+    MARKERS,
+    MOODS,
+    ROUTED,
+    SECOND,
+    START,
+    STOP_WORDS,
+    SUFFIXES,
+    emoji_points,
+)
+
+# Written out here, so that an error in the library's own tables shows.
+EMOTIONS = (
+    "Joy Happiness Sadness Anger Love Fear Surprise Excitement Frustration Gratitude Despair Normal"
+).split()
+SHORT_NAMES = {
+    0x2139: "information", 0x2764: "red_heart", 0x1F389: "party_popper", 0x1F44D: "thumbs_up",
+    0x1F4AF: "hundred_points", 0x1F525: "fire", 0x1F600: "grinning_face",
+    0x1F602: "face_with_tears_of_joy", 0x1F60D: "smiling_face_with_heart-eyes",
+    0x1F621: "enraged_face", 0x1F622: "crying_face", 0x1F62D: "loudly_crying_face",
+    0x1F64F: "folded_hands", 0x1F914: "thinking_face",
+}
+# The emojis that the fixtures append; 1F3FD is the skin tone after the thumb.
+FIXTURE_EMOJIS = "\U0001f602\U0001f44d\U0001f3fd\u2139"
+
+
+def emoji_name(point: str) -> str:
+    known = SHORT_NAMES.get(ord(point)) or unicodedata.name(point, "").lower().replace(" ", "_")
+    return f":{known}:" if known else point
+
 
 KEYWORDS = "the thing than The enter q"
 QUESTION = "the thing was on the and in die ist les ou un"
@@ -53,10 +85,11 @@ WORD = r"\p{L}\p{N}_"
 
 
 def clean(x: str) -> str:
-    return (
+    plain = (
         f"trim(regexp_replace(regexp_replace(lower({x}), '(http|www)[^{SPACE}]+', '', 'g'), "
         f"'[^{WORD}]+', ' ', 'g'))"
     )
+    return f"replace({plain}, chr(8505), ':information:')"
 
 
 def tokens(x: str) -> str:
@@ -233,7 +266,7 @@ def activity(by: str = "") -> str:
 
 EMOJI = rf"""emo AS (
   SELECT e.emoji, count(*) AS n
-  FROM rep, unnest(regexp_extract_all(message, '[{EMOJI_CLASS}]')) AS e(emoji) GROUP BY ALL
+  FROM rep, unnest(regexp_extract_all(message, '[{FIXTURE_EMOJIS}]')) AS e(emoji) GROUP BY ALL
   ORDER BY n DESC, emoji LIMIT 10)"""
 _LEX = ", ".join(f"({q(t)}, {v})" for t, v in LEXICON)
 
@@ -250,6 +283,35 @@ sent AS (
   FROM rep LEFT JOIN sums USING (chat_id, seq) GROUP BY {c}"user")"""
 
 
+MOOD = f"""msg AS (
+  SELECT conv_id::VARCHAR AS chat_id, turn AS seq, role AS "user",
+         {case(f'((conv_id + turn) % {len(MOODS)})', MOODS)} || text AS message
+  FROM conversations)"""
+# Of the words that turn or scale a valence, the texts hold only those that the fixture adds.
+_A, _B, _C = (
+    f"CASE WHEN {x} IN ('very', 'so') THEN 0.293 WHEN {x} = 'barely' THEN -0.293 ELSE 0 END" for x in "abc"
+)
+RULES = f"""lex AS (SELECT token, valence::DOUBLE AS valence FROM (VALUES {_LEX}) v(token, valence)),
+toks AS (
+  SELECT chat_id, seq, "user", list_transform(regexp_extract_all(lower(message), '[{WORD}'']+'), lambda t: replace(t, chr(39), '')) AS t
+  FROM rep),
+each AS (SELECT chat_id, seq, "user", t, unnest(generate_series(1, len(t))) AS i FROM toks),
+ctx AS (
+  SELECT chat_id, seq, "user", t[i] AS token, CASE WHEN i > 1 THEN t[i - 1] END AS a,
+         CASE WHEN i > 2 THEN t[i - 2] END AS b, CASE WHEN i > 3 THEN t[i - 3] END AS c
+  FROM each),
+vals AS (
+  SELECT chat_id, seq, "user",
+         (valence + sign(valence) * (1.0 * {_A} + 0.95 * {_B} + 0.9 * {_C}))
+         * CASE WHEN coalesce(a IN ('not', 'never'), false) OR coalesce(b IN ('not', 'never'), false)
+                  OR coalesce(c IN ('not', 'never'), false) THEN -0.74 ELSE 1 END AS v
+  FROM ctx JOIN lex USING (token)),
+sums AS (SELECT chat_id, seq, sum(v) AS s FROM vals GROUP BY ALL),
+sent AS (
+  SELECT "user", {r('avg(coalesce(s / sqrt(s * s + 15), 0))')} AS avg_sentiment
+  FROM rep LEFT JOIN sums USING (chat_id, seq) GROUP BY "user")"""
+
+
 def stop_list() -> str:
     return ", ".join(q(w) for w in STOP_WORDS)
 
@@ -311,13 +373,18 @@ _MI = "((chat_id::BIGINT * 3 + seq) % 16)"
 
 
 def parsed(join: str = "chr(10)") -> str:
-    """Messages as an export shows them, lines put together with ``join``."""
-    return f"""parsed AS (
-  SELECT chat_id, seq, date_time, "user" || '-' || chat_id || '-' || seq AS "user",
-         {case(_MI, [m[1] for m in MARKERS])} AS message_type,
-         coalesce({case(_MI, [m[2] for m in MARKERS])},
-                  lower(trim(regexp_replace(message, '[ \\t]*\\n[ \\t]*', {join}, 'g')))) AS message
-  FROM msg)"""
+    """Messages as an export shows them, lines put together with ``join``; markers follow texts."""
+    return f"""sent AS (
+  SELECT chat_id, seq * 2 AS seq, date_time, "user", 'Text' AS message_type,
+         lower(trim(regexp_replace(message, '[ \\t]*\\n[ \\t]*', {join}, 'g'))) AS message
+  FROM msg
+  UNION ALL
+  SELECT chat_id, seq * 2 + 1, date_time, "user", {case(_MI, [m[1] for m in MARKERS])},
+         {case(_MI, [m[2] for m in MARKERS])}
+  FROM msg WHERE {_MI} < {sum(m[0] is not None for m in MARKERS)}),
+parsed AS (
+  SELECT chat_id, seq, date_time, "user" || '-' || chat_id || '-' || seq AS "user", message_type, message
+  FROM sent)"""
 
 
 PARSED = parsed()
@@ -339,7 +406,7 @@ STRIPPED = [
     "trim(text) || ' `ok`'",
     call("semantic_search_optimized", "query", _T),
     call("keyword_search_optimized", "keywords", _T),
-    "'Sure: ' || " + call("tfidf_search_optimized", "query", _T) + " || ' done'",
+    "'``Sure: `' || " + call("tfidf_search_optimized", "query", _T) + " || '` done'",
     f"""'{{"function_call": {{"name": "get_stats", ' || {_T}""",
     call("best_search", "query", _T),
 ]
@@ -358,8 +425,8 @@ def oracle_sql() -> dict[str, str]:
     add("ingest_export", MSG, PARSED, body=body)
     add("ingest_large_export", MSG, PARSED, body=body)
     answers = f"""
-  UNION ALL SELECT chat_id || '-' || seq, date_time, NULL, 'System', 'messages are encrypted' FROM msg
-  UNION ALL SELECT chat_id || '-' || seq, date_time, 'Bo', 'Text', {BO} || ' [ok] thanks' FROM msg"""
+  UNION ALL SELECT chat_id || '-' || seq, date_time, NULL, 'System', 'messages are encrypted' FROM sent
+  UNION ALL SELECT chat_id || '-' || seq, date_time, 'Bo', 'Text', {BO} || ' [ok] thanks' FROM sent"""
     first = "SELECT chat_id || '-' || seq AS chat_id, date_time, \"user\", message_type, message FROM parsed"
     add("parse_export", MSG, PARSED, body=first + answers)
     # One pass: the notice has no sender, so it swallows the head of the answer up to its colon.
@@ -367,7 +434,7 @@ def oracle_sql() -> dict[str, str]:
   UNION ALL SELECT chat_id || '-' || seq, date_time,
          'Messages are encrypted[' || strftime(date_time, '%-d/%-m/%y, %-I'), 'Text',
          lower(strftime(date_time, '%M:%S') || chr(8239) || strftime(date_time, '%p') || '] Bo: Got '
-               || chat_id || '/' || seq) FROM msg"""
+               || chat_id || '/' || seq) FROM sent"""
     add("parse_export_reference", MSG, parsed("''"), body=first + swallowed)
     add(
         "classify_type", MSG, PARSED,
@@ -380,10 +447,13 @@ def oracle_sql() -> dict[str, str]:
     add("csv_roundtrip", MSG, body="SELECT * FROM msg")
     add("table_roundtrip", DOC, body="SELECT * FROM msg")
     add("clean_text", RICH, CLEAN, body="SELECT chat_id, seq, clean_text FROM cl")
-    aliased = "message"
-    for emoji, alias in EMOJI_ALIASES.items():
-        aliased = f"replace({aliased}, {q(emoji)}, {q(alias)})"
-    add("emoji_alias", RICH, body=f"SELECT chat_id, seq, {aliased} AS named FROM msg")
+    names = [emoji_name(p) for p in emoji_points()]
+    listed = "[" + ", ".join(q(n) for n in names) + "]"
+    picked = " || ".join(f"names[(chat_id::BIGINT * 7 + seq + {s}) % {len(names)} + 1]" for s in EMOJI_SHIFTS)
+    add(
+        "emoji_alias", MSG, f"n AS (SELECT {listed} AS names)",
+        body=f"SELECT chat_id, seq, message || {picked} AS named FROM msg, n",
+    )
     add("emoji_counts", RICH, REPORTABLE, EMOJI, body="SELECT * FROM emo")
     add(
         "calendar_profile", EV, REPORTABLE,
@@ -408,6 +478,7 @@ def oracle_sql() -> dict[str, str]:
     add("user_activity", RICH, REPORTABLE, activity(), body="SELECT * FROM act")
     add("user_activity_by_chat", DOC, REPORTABLE, activity("chat_id"), body="SELECT * FROM act")
     add("sentiment_by_user", MSG, REPORTABLE, sentiment(), body="SELECT * FROM sent")
+    add("sentiment_rules", MOOD, REPORTABLE, RULES, body="SELECT * FROM sent")
     add("sentiment_by_chat", DOC, REPORTABLE, sentiment("chat_id"), body="SELECT * FROM sent")
     cols = ["avg_response_sec", "longest_silence_sec"]
     for name, col in zip(["response_time", "longest_silence"], cols):
@@ -444,6 +515,12 @@ def oracle_sql() -> dict[str, str]:
     add("tfidf_weights", MSG, CLEAN, TF, TERMS, WEIGHTS, body=weights)
     add("tfidf_weights_documents", DOC, CLEAN, TF, TERMS, WEIGHTS, body=weights)
     add("index_roundtrip", MSG, CLEAN, TF, TERMS, WEIGHTS, body=weights)
+    add(
+        "index_uncapped", MSG, CLEAN,
+        body=f"""SELECT term, df, total, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf FROM (
+  SELECT term, count(DISTINCT chat_id || '/' || seq) AS df, count(*) AS total
+  FROM cl, unnest({tokens('clean_text')}) AS x(term) GROUP BY term), (SELECT count(*) AS n FROM cl)""",
+    )
     add(
         "user_profile", MSG, CLEAN,
         body=f"""SELECT "user", message_count, avg_length, word, n, row_number() OVER (PARTITION BY "user" ORDER BY n DESC, word)::INTEGER AS rank
@@ -496,32 +573,55 @@ def oracle_sql() -> dict[str, str]:
     shape = "CASE " + _RI + " " + " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(STRIPPED)) + " END"
     add("strip_reasoning", "x AS (SELECT 1)", body=f"SELECT conv_id, turn, {shape} AS clean FROM conversations")
     name = case(_RI, CALLED)
-    arg = f"CASE WHEN {_RI} IN (1, 2, 3, 5) THEN text END"
+    arg = f"CASE WHEN {_RI} IN (1, 2, 3, 5) THEN replace(text, chr(96), chr(39)) END"
     add(
         "tool_calls", "x AS (SELECT 1)",
         body=f"SELECT conv_id, turn, {name} IS NOT NULL AS is_call, {name} AS name, {arg} AS argument FROM conversations",
     )
     item = lambda i: f"(SELECT item_id::VARCHAR AS query_id, text, item_id FROM benchmark WHERE item_id % 8 = {i})"
+    second = lambda i: f"(SELECT (item_id + {SECOND})::VARCHAR AS query_id, item_id FROM benchmark WHERE item_id % 8 = {i})"
     latest = """(SELECT chat_id, seq, date_time FROM msg {0} ORDER BY date_time DESC, chat_id, seq LIMIT 10)"""
-    none = "NULL AS chat_id, NULL::BIGINT AS seq, NULL::DOUBLE AS score, NULL AS method"
+    names = [n.lower() for n, _ in ROUTED]
     found = lambda table, fn, method: (
-        f"SELECT query_id, '{fn}' AS function, chat_id, seq, score, '{method}' AS method, NULL AS error FROM {table}"
+        f"SELECT query_id, '{fn}' AS function, chat_id, seq, score, '{method}' AS method FROM {table}"
     )
-    names = [n.lower() for n, _ in ROUTED]
-    add(
-        "route_requests", *full,
+    routed = [
         *[f"q{i} AS {item(i)}" for i in range(8)],
+        *[f"p{i} AS {second(i)}" for i in (4, 5)],
         tfidf_hits("h0", "q0"), keyword_hits("h1", "q1"),
         hashed("qv2", "q2", "query_id", "text"), cosine_hits("h2", "mv", "qv2", "chat_id, seq"),
         fused_hits("h3", "q3"),
-        f"u4 AS (SELECT query_id, chat_id, seq, 1.0::DOUBLE AS score FROM q4, {latest.format('WHERE lower(' + chr(34) + 'user' + chr(34) + ') LIKE ' + q('%assist%'))})",
-        f"u5 AS (SELECT query_id, chat_id, seq, 1.0::DOUBLE AS score FROM q5, {latest.format('')} WHERE date_time >= TIMESTAMP '{AS_OF}' - to_hours(item_id * 100))",
-        body=" UNION ALL ".join([
+        f"u4 AS (SELECT query_id, chat_id, seq, 1.0::DOUBLE AS score FROM p4, {latest.format('WHERE lower(' + chr(34) + 'user' + chr(34) + ') LIKE ' + q('%assist%'))})",
+        f"u5 AS (SELECT query_id, chat_id, seq, 1.0::DOUBLE AS score FROM p5, {latest.format('')} WHERE date_time >= TIMESTAMP '{AS_OF}' - to_hours(item_id * 100))",
+        "routed AS (" + " UNION ALL ".join([
             found("h0", names[0], "tfidf_optimized"), found("h1", names[1], "keyword_optimized"),
             found("h2", names[2], "semantic_optimized"), found("h3", names[3], "combined_optimized"),
             found("u4", names[4], "user_filter"), found("u5", names[5], "recent"),
-            f"SELECT query_id, 'get_stats' AS function, {none}, NULL AS error FROM q6",
-            f"SELECT query_id, 'best_search' AS function, {none}, 'Function ''best_search'' not available' AS error FROM q7",
-        ]),
-    )
+        ]) + ")",
+        """common AS (
+  SELECT '[' || string_agg('{"word":"' || word || '","df":' || df || '}', ',' ORDER BY word) || ']' AS words
+  FROM (SELECT word, df FROM wf ORDER BY df DESC, word LIMIT 20))""",
+    ]
+    add(
+        "route_requests", *full, *routed,
+        body="""SELECT query_id, function, chat_id, seq, "user", date_time, message, message_type, score, method,
+       NULL::BIGINT AS total_messages, NULL AS most_common_words FROM routed JOIN msg USING (chat_id, seq)
+UNION ALL
+SELECT query_id, 'get_stats', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+       (SELECT count(*) FROM msg), (SELECT words FROM common) FROM q6""",
+    )
+    add(
+        "route_errors", "x AS (SELECT 1)",
+        body=f"""SELECT item_id::VARCHAR AS query_id, 'get_recent_messages' AS function, 'argument hours is not a number' AS kind
+FROM benchmark WHERE item_id % 8 = 5
+UNION ALL SELECT item_id::VARCHAR, 'best_search', 'unknown function' FROM benchmark WHERE item_id % 8 = 7
+UNION ALL SELECT (item_id + {2 * SECOND})::VARCHAR, 'get_user_messages', 'not a pattern' FROM benchmark WHERE item_id % 3 = 0""",
+    )
+    unpacked = """SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chat_id, seq) - 1)::INTEGER AS pos,
+       chat_id, seq, message, score, method FROM {0} JOIN msg USING (chat_id, seq)"""
+    add(
+        "pack_context", *full, BENCH, tfidf_hits("hit", "bench"),
+        "shown AS (SELECT *, 'tfidf_optimized' AS method FROM hit)", body=unpacked.format("shown"),
+    )
+    add("route_context", *full, *routed, body=unpacked.format("routed"))
     return o

@@ -65,7 +65,44 @@ def test_routing(spark, chat):
     errors = {r.query_id: r.error for r in out if r.error}
     assert seqs(1) == [5, 7] and seqs(8) == [6, 8] and seqs(2) == [6, 7, 8] and seqs(7) == [1, 4]
     assert '"total_messages":9' in next(r.stats for r in out if r.query_id == "3")
-    assert set(errors) == {"4", "5", "6"} and "'nope' not available" in errors["4"]
+    assert set(errors) == {"4", "5", "6"} and errors["4"] == "unknown function: nope"
+    assert errors["5"] == "missing argument: query" and errors["6"] == "no function call found"
+    assert all(r.message and r.user for r in out if r.chat_id)
+
+
+def test_bad_requests_become_rows(spark, chat):
+    talk = chat([("c", i, i * 60, "Al(" if i % 2 else "Bo", f"hello word{i % 3}") for i in range(6)])
+    call = lambda name, args: '{"function_call": {"name": "%s", "arguments": %s}}' % (name, args)
+    rows = [
+        (1, call("get_user_messages", '{"username": "al("}')),
+        (2, call("get_recent_messages", '{"hours": "abc"}')),
+        (3, call("semantic_search_optimized", '{"query": "hello", "top_k": "many"}')),
+        (4, call("get_user_messages", '{"query": "al"}')),
+        (5, call("tfidf_search_optimized", '{"username": "hello"}')),
+        (6, call("tfidf_search_optimized", '{"query": ["hello"]}')),
+        (7, call("keyword_search_optimized", '{"keywords": {"a": 1}}')),
+        (8, call("get_user_messages", '{"username": "b", "limit": 0}')),
+        (9, call("get_user_messages", '{"username": "B.", "limit": 1}')),
+        (10, call("get_user_messages", '{"username": ".", "limit": 4}')),
+        (11, call("combined_search_optimized", '{"query": "hello word1", "top_k": 1}')),
+    ]
+    calls = responses.tool_calls(spark.createDataFrame(rows, "request_id long, response string"))
+    reqs = router.requests(calls)
+    routed = router.route(reqs, index_store.in_memory(talk))
+    out = routed.collect()
+    assert {int(r.query_id) for r in out if r.error} == set(range(1, 9))
+    assert [r.seq for r in out if r.query_id == "9"] == [4]
+    assert sorted(r.seq for r in out if r.query_id == "10") == [2, 3, 4, 5]
+    assert 1 <= sum(r.query_id == "11" for r in out) <= 2
+    packed = {r.query_id: r.context for r in router.answer_contexts(reqs, routed).collect()}
+    assert set(packed) == {"9", "10", "11"} and '"hello word1"' in packed["9"]
+
+
+@pytest.mark.parametrize("body", ["x" * 1_000_000, "{" * 20_000, "{a " * 5000 + "}" * 5000, '{"function_call"' + "{" * 3000])
+def test_long_and_deep_responses(spark, body):
+    text = '`Sure: ` {"function_call": {"name": "get_stats", "arguments": {"note": "%s"}}}' % ("y" * 100_000)
+    df = spark.createDataFrame([(body,), (text,)], "response string")
+    assert sorted(str(r.name) for r in responses.tool_calls(df).collect()) == ["None", "get_stats"]
 
 
 def test_pack_context(spark, chat):
