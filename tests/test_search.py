@@ -222,3 +222,65 @@ def test_first_label_wins_ties(spark, chat):
     df = embed.embed(chat([("c", 0, 0, "a", "unrelated words")]), "message").select("seq", "vector")
     scored = embed.emotion_scores(df.withColumn("vector", F.transform("vector", lambda x: x * 0)), "vector", embed.emotion_labels(spark))
     assert scored.first().dominant_emotion == embed.EMOTIONS[0]
+
+
+def test_an_uncapped_index_and_its_identity(spark, talk, tmp_path):
+    path = str(tmp_path)
+    small = index_store.IndexOptions(max_features=3)
+    whole = index_store.IndexOptions(ngram_range=(1, 1), min_df=1, max_df=1.0, max_features=None)
+    assert index_store.build_or_load(talk, path, small).terms.count() == 3
+    assert index_store.find(talk, path) is None and index_store.find(talk, path, options=small)
+    tables = index_store.build_or_load(talk, path, whole)
+    words = {w for r in talk.collect() for w in r.message.split() if len(w) > 1}
+    assert {r.term for r in tables.terms.collect()} == words
+    with pytest.raises(ValueError, match="name"):
+        index_store.IndexOptions(encoder_name="x").mark()
+
+
+def test_a_callers_encoder_reaches_the_stored_index(spark, talk, tmp_path):
+    def factory():
+        return lambda texts: np.asarray([[t.count("thing"), t.count("ab"), 1.0] for t in texts])
+
+    own = index_store.IndexOptions(encoder_name="counts", encoder_factory=factory)
+    tables = index_store.build_or_load(talk, str(tmp_path), own)
+    assert len(tables.vectors.first().vector) == 3
+    hits = search.combined_search(tables, search.one_query(spark, "thing thing"), k=3)
+    assert hits.count() > 0
+
+
+def test_ragged_vectors_raise(spark):
+    rows = [("c", 1, [1.0, 0.0, 0.0]), ("c", 2, [1.0, 0.0, 0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "chat_id string, seq long, vector array<float>").coalesce(1)
+    one = spark.createDataFrame([("q", [1.0, 1.0, 0.0, 0.0])], "query_id string, vector array<float>")
+    with pytest.raises(Exception, match="different lengths"):
+        search.semantic_search(vectors, one).collect()
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_batches_inside_tasks_equal_the_join(spark, talk, monkeypatch, limit):
+    monkeypatch.setattr(search, "SCORES", 7)
+    monkeypatch.setattr(search, "fits", lambda df, max_rows=limit: limit > 0)
+    queries = spark.createDataFrame([(f"q{i}", " ".join(WORDS[i : i + 4])) for i in range(9)], "query_id string, text string")
+    t = index_store.in_memory(talk)
+    got = {}
+    for hits in (search.keyword_search(t.postings, t.vocabulary, queries, 4), search.tfidf_search(t.weights, t.terms, queries, 4)):
+        rows = hits.collect()
+        counts = Counter(r.query_id for r in rows)
+        assert rows and max(counts.values()) <= 4
+        got |= {(len(got), r.query_id, r.chat_id, r.seq): r.score for r in rows}
+    monkeypatch.undo()
+    want = search.tfidf_search(t.weights, t.terms, queries, 4).collect()
+    mine = {k[1:]: v for k, v in got.items()}
+    assert all(mine[(r.query_id, r.chat_id, r.seq)] >= r.score - 1e-8 for r in want)
+
+
+def test_many_labels_are_scored_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    labels = [(i, f"l{i}", rng.normal(size=4).astype(np.float32).tolist()) for i in range(23)]
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(40)]
+    table = spark.createDataFrame(labels, "ord int, label string, vector array<float>")
+    df = spark.createDataFrame(rows, "id int, vector array<float>")
+    one = {r.id: (r.dominant_emotion, r.emotion_similarities) for r in embed.emotion_scores(df, "vector", table).collect()}
+    monkeypatch.setattr(embed, "LABEL_BLOCK", 5)
+    many = {r.id: (r.dominant_emotion, r.emotion_similarities) for r in embed.emotion_scores(df, "vector", table).collect()}
+    assert one == many and len(one[0][1]) == 23

@@ -94,13 +94,18 @@ def test_large_files_are_cut_like_small_ones(spark, tmp_path):
             lines.append(f"\u200e[2/2/24, 9:00:00\u202fPM] U9: \u200eimage omitted {i}")
         if i % 11 == 0:
             lines.append("more\nand more")
+        if i % 13 == 0:
+            lines.append("mid [3/2/24, 9:00:00\u202fPM] U8: after the start of a line")
+    marked = "\n".join(f"\u200e[1/2/24, 9:00:{i % 60:02d}\u202fAM] U: only marks {i}" for i in range(200))
+    (tmp_path / "marks.txt").write_text(marked, encoding="utf8")
+    (tmp_path / "none.txt").write_text("no stamp at all\n" * 500, encoding="utf8")
     (tmp_path / "big.txt").write_text("head\n" + "\n".join(lines) + "\n", encoding="utf8")
     (tmp_path / "other.txt").write_text(f"{H} Al: alone\n", encoding="utf8")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
     try:
         read = lambda limit: [
-            (r.chat_id, r.user, r.date_time, r.message_type, r.message)
+            (r.chat_id, r.seq, r.user, r.date_time, r.message_type, r.message)
             for r in export.read_export(spark, str(tmp_path), "\n", whole_file_bytes=limit)
             .orderBy("chat_id", "seq")
             .collect()
@@ -108,7 +113,8 @@ def test_large_files_are_cut_like_small_ones(spark, tmp_path):
         whole, cut = read(1 << 20), read(0)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert len(whole) == 481
+    assert len(whole) == 481 + 31 + 200
+    assert [r[1] for r in whole if r[0].endswith("big.txt")] == list(range(511))
     assert cut == whole
 
 
@@ -130,6 +136,8 @@ def test_csv_keeps_empty_null_quotes_and_line_ends(spark, tmp_path):
         ("c", 1, t, "Al", "Text", ' two\nlines, "quoted" \\ and blank '),
         ("c", 2, t, "", "Image", ""),
         ("c", 3, None, None, "Text", None),
+        ("c", 4, t, "\\n", "Text", "\\ begins\\nso \\\\n\r\n"),
+        ("c", 5, t, "a\nb", "Text", "C:\\new"),
     ]
     df = spark.createDataFrame(rows, MESSAGE_SCHEMA)
     path = str(tmp_path / "csv")
@@ -137,4 +145,13 @@ def test_csv_keeps_empty_null_quotes_and_line_ends(spark, tmp_path):
     back = [tuple(r) for r in tables.read_message_csv(spark, path).orderBy("seq").collect()]
     assert back == rows
     nulls = tables.read_message_csv(spark, path, reference_nulls=True).orderBy("seq").collect()
-    assert [r.message for r in nulls] == [rows[0][5], None, None]
+    assert [r.message for r in nulls] == [rows[0][5], None, None, rows[3][5], rows[4][5]]
+    lines = sum(len(f.read_text().splitlines()) - 1 for f in (tmp_path / "csv").glob("part-*"))
+    assert lines == len(rows)
+
+
+def test_foreign_csv_with_line_ends(spark, tmp_path):
+    head = "chat_id,seq,date_time,user,message_type,message\n"
+    (tmp_path / "x.csv").write_text(head + 'c,1,2024-01-02T03:04:05,Al,Text,"two\nlines \\n"\n')
+    row = tables.read_message_csv(spark, str(tmp_path), multi_line=True).first()
+    assert (row.message, row.user) == ("two\nlines \\n", "Al")

@@ -83,6 +83,8 @@ def test_top_words_ties_and_stop_words(spark, chat):
     assert [tuple(r) for r in stats.top_words(df, n=2).orderBy("word").collect()] == [("yy", 2), ("zz", 2)]
     assert stats.top_words(df, stop_words=[]).count() == 4
     assert "the" not in {r.word for r in stats.top_words(df).collect()}
+    many = chat([("c", 0, 0, "a", " ".join(f"word{i}" for i in range(700)))])
+    assert stats.top_words(many, n=500).count() == 500
 
 
 def test_sentiment_rules(spark, chat):
