@@ -35,8 +35,8 @@ def op2_token_counts(spark, sf_dir):
 
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = langid.held_out(F.col("doc_id"), 3, 1)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~out)
     model = toxicity.fit(docs.where(~out), labels, corpus=docs)
     scored = toxicity.score(docs, model, drop_text=True)
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted")

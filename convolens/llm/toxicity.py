@@ -22,6 +22,8 @@ from convolens.llm.charlm import SPACED, CharModel, Restorer, trigram_counts
 from convolens.llm.common import kept, map_batches
 from convolens.llm.tokens import Memo
 
+# The fit uses this many labelled rows of each class at most; so few ids can be broadcast.
+FIT_ROWS = {1: 10_000, 0: 30_000}
 # A term needs this many toxic documents that are not copies of each other.
 SUPPORT = 4
 # Most terms looked for among clean documents, those of most toxic documents first.
@@ -120,6 +122,23 @@ def _counted(total: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(kinds, ["term", "n"])
 
 
+def sample(labels: DataFrame, rows: dict[int, int] = FIT_ROWS) -> DataFrame:
+    """``(doc_id, toxic)``: at most ``rows`` documents of each class, chosen by a hash of the id.
+
+    Null labels are ignored, a document labelled twice is toxic if one label says so.
+    """
+    known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sizes = dict(map(tuple, known.groupBy("toxic").count().collect()))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
+    chosen = None
+    for toxic, most in rows.items():
+        # A little less than the bound is drawn, so that the limit never decides.
+        share = min(1.0, 0.97 * most / n) if (n := sizes.get(toxic, 0)) > most else 1.0
+        mine = known.where((F.col("toxic") == toxic) & (part < int(share * (1 << 30)))).limit(most)
+        chosen = mine if chosen is None else chosen.unionByName(mine)
+    return chosen
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -127,19 +146,20 @@ def fit(
     support: int = SUPPORT,
     most_terms: int = TERMS,
     chance: float = CHANCE,
+    rows: dict[int, int] = FIT_ROWS,
 ) -> ToxicityModel:
-    """Learn from all ``docs`` (``doc_id``, ``text``) that have a 0/1 ``toxic`` in ``labels``.
+    """Learn from ``docs`` (``doc_id``, ``text``) that have a 0/1 ``toxic`` in ``labels``.
 
-    The character model is counted over every text of ``corpus`` (by default ``docs``). Toxic
-    copies of one text count once, so that a large family does not make its words suspicious.
-    Null labels are ignored, a document labelled twice is toxic if one label says so. Without toxic
-    or without clean rows the model has no terms.
+    The labelled rows are a sample of at most ``rows`` of each class; the character model is
+    counted over every text of ``corpus`` (by default ``docs``). Toxic copies of one text count
+    once, so that a large family does not make its words suspicious. The share of toxic documents
+    is that of all labels. Without toxic or without clean rows the model has no terms.
     """
     everything = docs if corpus is None else corpus
     grams = dict(map(tuple, trigram_counts(everything).collect()))  # at most 60 ** 3 rows
     model = CharModel(grams)
-    known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marked = kept(docs.select("doc_id", "text").join(known, "doc_id"), "labelled")
+    few = F.broadcast(sample(labels, rows))  # bounded by ``rows``
+    marked = kept(docs.select("doc_id", "text").join(few, "doc_id"), "labelled")
     toxic, clean = marked.where("toxic = 1"), marked.where("toxic = 0")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -157,7 +177,7 @@ def fit(
     if not often or not n_clean:
         return ToxicityModel(grams, {}, 0.5 if not n_clean else 0.0)
     rare = dict(map(tuple, _counts(clean, model, frozenset(often)).collect()))
-    share = n_toxic / (n_toxic + n_clean)
+    share = labels.where("toxic IN (0, 1)").agg(F.avg("toxic")).first()[0]
     chances = {}
     for term, n in often.items():
         toxic_rate = share * n / n_distinct

@@ -18,9 +18,9 @@ ORACLE_SQL = None
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents predicted toxic; labels of the training folds teach the score."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    train = docs.where(~langid.held_out(F.col("doc_id"), 3, 1))
-    model = toxicity.fit(train, labels, corpus=docs)
+    train = ~langid.held_out(F.col("doc_id"), 3, 1)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(train)
+    model = toxicity.fit(docs.where(train), labels, corpus=docs)
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
