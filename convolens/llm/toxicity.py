@@ -9,6 +9,7 @@ independent causes.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -24,8 +25,9 @@ from convolens.llm.tokens import Memo
 
 # The fit uses this many labelled rows of each class at most; so few ids can be broadcast.
 FIT_ROWS = {1: 10_000, 0: 30_000}
-# A term needs this many toxic documents that are not copies of each other.
-SUPPORT = 4
+# A term needs this many toxic documents that are not copies of each other, or this share of them,
+# and as many words that it follows: those of a shared passage always follow the same one.
+SUPPORT, SUPPORT_SHARE = 4, 0.005
 # Most terms looked for among clean documents, those of most toxic documents first.
 TERMS = 200_000
 # Terms that make toxicity likelier than this enter the score.
@@ -71,11 +73,14 @@ class Reader:
         # A word that looks suspicious but was meant as it stands still counts as it stands.
         return found if found is not None else self.wanted(core(word))
 
-    def read(self, text: str) -> set:
+    def split(self, text: str) -> list[str]:
+        """Words of the text, letter-by-letter writing restored."""
         if len(self.words) > MEMORY:
             self.words.clear()
-        spaced = SPACED.sub(lambda m: self.restorer.run(m.group()), text)
-        return set(map(self.words.__getitem__, spaced.split())) - {None}
+        return SPACED.sub(lambda m: self.restorer.run(m.group()), text).split()
+
+    def read(self, text: str) -> set:
+        return set(map(self.words.__getitem__, self.split(text))) - {None}
 
 
 @dataclass
@@ -98,12 +103,11 @@ class ToxicityModel:
         return 1 - clean
 
 
-def _counts(docs: DataFrame, model: CharModel, allowed: frozenset | None) -> DataFrame:
-    """``(term, n)``: documents with each term; ``allowed`` restricts the terms."""
+def _counts(docs: DataFrame, model: CharModel, allowed: frozenset) -> DataFrame:
+    """``(term, n)``: documents with each of the allowed terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = (lambda t: t in allowed) if allowed is not None else (lambda t: True)
-        reader = Reader(model, lambda w: tuple(t for t in terms(w) if w and keep(t)) or None)
+        reader = Reader(model, lambda w: tuple(t for t in terms(w) if w and t in allowed) or None)
         total: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -117,6 +121,39 @@ def _counts(docs: DataFrame, model: CharModel, allowed: frozenset | None) -> Dat
     return parts.groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _support(docs: DataFrame, model: CharModel) -> DataFrame:
+    """``(term, n)``: the lesser of the documents with each term and the words it follows."""
+
+    def rows(total: Counter) -> pa.RecordBatch:
+        names, after = zip(*total) if total else ((), ())
+        kinds = [pa.array(names, pa.string()), pa.array(after, pa.int64()), pa.array(list(total.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(kinds, ["term", "after", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model, lambda w: tuple(terms(w)) if w else None)
+        total: Counter = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words = reader.split(text or "")
+                pairs = set()
+                for before, word in zip(["", *words], words):
+                    if found := reader.words[word]:
+                        after = zlib.crc32(core(before).encode(errors="replace"))
+                        pairs.update((t, after) for t in found)
+                total.update(pairs)
+                total.update({(t, -1) for t, _ in pairs})  # -1 counts documents
+                if len(total) > MEMORY:
+                    yield rows(total)
+                    total.clear()
+        yield rows(total)
+
+    parts = docs.select("text").mapInArrow(run, "term string, after long, n long")
+    summed = parts.groupBy("term", "after").agg(F.sum("n").alias("n"))
+    n_docs = F.max(F.when(F.col("after") == -1, F.col("n")))
+    n_after = F.count(F.when(F.col("after") >= 0, 1))
+    return summed.groupBy("term").agg(F.least(n_docs, n_after).alias("n"))
+
+
 def _counted(total: Counter) -> pa.RecordBatch:
     kinds = [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())]
     return pa.RecordBatch.from_arrays(kinds, ["term", "n"])
@@ -172,7 +209,8 @@ def fit(
     distinct = named.join(firsts, ["family", "doc_id"], "left_semi")
     n_toxic, n_clean = toxic.count(), clean.count()
     n_distinct = max(1, firsts.count())
-    found = _counts(distinct, model, None).where(F.col("n") >= support)
+    least = max(support, SUPPORT_SHARE * n_distinct)
+    found = _support(distinct, model).where(F.col("n") >= least)
     often = {r["term"]: r["n"] for r in found.orderBy(F.desc("n"), "term").limit(most_terms).collect()}
     if not often or not n_clean:
         return ToxicityModel(grams, {}, 0.5 if not n_clean else 0.0)
@@ -180,11 +218,23 @@ def fit(
     share = labels.where("toxic IN (0, 1)").agg(F.avg("toxic")).first()[0]
     chances = {}
     for term, n in often.items():
-        toxic_rate = share * n / n_distinct
+        # Few documents prove little: the rate is taken some standard errors below what was seen.
+        toxic_rate = share * min(1.0, max(0.0, n - 1.5 * n**0.5) / n_distinct)
         clean_rate = (1 - share) * (rare.get(term, 0) + 0.5) / n_clean
         if (p := toxic_rate / (toxic_rate + clean_rate)) >= chance:
             chances[term] = p
-    return ToxicityModel(grams, chances, share / 10)
+    return ToxicityModel(grams, _without_echoes(chances, often), share / 10)
+
+
+def _without_echoes(chances: dict[str, float], often: dict[str, int]) -> dict[str, float]:
+    """Leave out stems that owe at least half of their documents to a longer, surer stem."""
+    surer = set()
+    for term, p in chances.items():
+        if term.endswith("*") and len(term) > STEMS[0] + 1:
+            shorter = term[:-2] + "*"
+            if chances.get(shorter, 1.0) < p - 0.01 and often[term] >= often[shorter] / 2:
+                surer.add(shorter)
+    return {t: p for t, p in chances.items() if t not in surer}
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, drop_text: bool = False) -> DataFrame:
