@@ -261,10 +261,14 @@ def _letter_ngrams(col: str, n: int) -> Column:
 
 def keyword_weights(keywords: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(query_id, word, weight)``: what each index word adds to a message that has it."""
-    exact = keywords.join(
-        vocabulary.select(F.col("word").alias("keyword")), "keyword", "left_semi"
-    ).select("query_id", F.col("keyword").alias("word"), (F.col("times") * EXACT_WEIGHT).alias("w"))
-    fuzzy = keywords.join(fuzzy_vocabulary(keywords, vocabulary), "keyword").select(
+    # A keyword that every request has is split by request.
+    each = lambda small: join_small(keywords, small, ["keyword"], spread_by=["query_id"])
+    listed = keywords.select("keyword").distinct()
+    indexed = listed.join(vocabulary.select(F.col("word").alias("keyword")), "keyword", "left_semi")
+    exact = each(indexed).select(
+        "query_id", F.col("keyword").alias("word"), (F.col("times") * EXACT_WEIGHT).alias("w")
+    )
+    fuzzy = each(stored(fuzzy_vocabulary(keywords, vocabulary))).select(
         "query_id", "word", (F.col("times") * F.col("similarity") * FUZZY_WEIGHT).alias("w")
     )
     return exact.unionByName(fuzzy).groupBy("query_id", "word").agg(F.sum("w").alias("weight"))
@@ -369,7 +373,7 @@ def query_terms(
         .select("query_id", F.inline(run_lengths(grams)))
         .select("query_id", F.col("value").alias("term"), F.col("n").alias("tf"))
     )
-    raw = counts.join(vocabulary.select("term", "idf"), "term").select(
+    raw = join_small(counts, vocabulary.select("term", "idf"), ["term"], spread_by=["query_id"]).select(
         "query_id", "term", (F.col("tf") * F.col("idf")).alias("w")
     )
     gathered = raw.groupBy("query_id").agg(

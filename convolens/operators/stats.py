@@ -12,7 +12,7 @@ from convolens.functions import text
 from convolens.operators.gaps import WINDOW_ROWS, answered, next_message
 from convolens.operators.index import word_postings
 from convolens.operators.ranking import top_k
-from convolens.runtime import fits
+from convolens.runtime import join_small
 
 By = Sequence[str]
 
@@ -127,7 +127,7 @@ def message_sentiment(
     )
     each = toks.select(*key, F.explode_outer(windows).alias("t")).select(*key, "t.*")
     lex = lexicon.groupBy("token").agg(F.max("valence").cast("double").alias("valence"))
-    scored = each.join(F.broadcast(lex) if fits(lex) else lex, "token", "left")
+    scored = join_small(each, lex, ["token"], spread_by=["chat_id", "seq"], how="left")
     valence = F.coalesce(F.col("valence"), F.lit(0.0))
     sums = scored.groupBy(*key).agg(F.sum(_in_context(valence) if rules else valence).alias("s"))
     s = F.col("s")

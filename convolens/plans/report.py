@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from convolens.operators import stats
 from convolens.operators.gaps import WINDOW_ROWS
+from convolens.runtime import stored
 
 
 def report(
@@ -21,8 +22,11 @@ def report(
 ) -> dict[str, DataFrame]:
     """One DataFrame per metric, keyed by the metric's name.
 
-    Response time and silence share one time-ordered pass.
+    The messages that count are stored first with the columns that are needed, so the source is
+    scanned once. Response time and silence share one time-ordered pass.
     """
+    needed = dict.fromkeys([*by, "chat_id", "seq", "date_time", "user", "message"])
+    messages = stored(stats.reportable(messages).select(*needed))
     gaps = stats.gap_stats(messages, by, max_group_rows)
     wake = stats.wake_sleep(messages, by)
     return {
