@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -141,10 +143,18 @@ def scan(docs: DataFrame, primer: bytes) -> DataFrame:
 
 def all_spans(novelty: Novelty, text: str) -> list[tuple[int, int, str]]:
     base = base_spans(text)
-    new = [s for s in novelty.spans(text) if not any(a < s[1] and s[0] < b for a, b, _ in base)]
+    new = _apart(novelty.spans(text), base)
     return sorted(base + new, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def _apart(spans: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans that overlap none of ``base``, which is in order of start."""
+    starts = [s[0] for s in base]
+    # The furthest end so far: spans of different kinds may contain each other.
+    reach = list(accumulate((s[1] for s in base), max))
+    return [s for s in spans if not (i := bisect_left(starts, s[1])) or reach[i - 1] <= s[0]]
+
+
 def digest(docs: DataFrame, primer: bytes) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)`` of documents ``(doc_id, text)``."""
 

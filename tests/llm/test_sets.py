@@ -231,6 +231,15 @@ def test_secrets(spark):
     assert secret_scan.digest(df.limit(0), b"").count() == 0
 
 
+def test_spans_apart_from_base():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        draw = lambda n, kind: sorted((int(a), int(a + b), kind) for a, b in rng.integers(1, 30, (n, 2)))
+        base, new = draw(rng.integers(0, 6), "hex"), draw(4, "novel")
+        want = [s for s in new if not any(a < s[1] and s[0] < b for a, b, _ in base)]
+        assert secret_scan._apart(new, base) == want
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a password=abcdefgh b"), (2, None), (3, "clean")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secret_scan.redact(df, b"").collect()}
