@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convolens.llm.common import slices
+
 EDGE = " "
 # What may stand for a letter.
 LOOKALIKES = {
@@ -44,7 +46,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(SYMBOLS) ** 3, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             values = [t for t in batch.column("text").to_pylist() if t]
             for start in range(0, len(values), 64):
                 total += count_trigrams(" ".join(values[start : start + 64]))
@@ -149,7 +151,7 @@ def decode(model: CharModel, span: str) -> str:
 class Restorer:
     """Restores whole texts word by word, remembering words met before."""
 
-    MEMORY = 300_000
+    MEMORY = 100_000
 
     def __init__(self, model: CharModel):
         self.model, self.known = model, {}

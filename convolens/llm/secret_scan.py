@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convolens.llm.common import slices
+
 # --- fixed values: kinds in the order that breaks ties, and their patterns ------------------------
 ASSIGN = re.compile(
     r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]"""
@@ -92,7 +94,7 @@ def identifier_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 total.update(set(CANDIDATE.findall(text or "")))
                 if len(total) > 200_000:
@@ -131,7 +133,7 @@ def scan(docs: DataFrame, primer: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(primer)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [
                 [{"start": a, "end": b, "kind": k} for a, b, k in all_spans(novelty, t or "")]
                 for t in batch.column("text").to_pylist()
@@ -159,7 +161,7 @@ def digest(docs: DataFrame, primer: bytes) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)`` of documents ``(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns: dict[str, list] = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}
             for cell in batch.column("found").to_pylist():
                 spans = [(s["start"], s["end"], s["kind"]) for s in cell]
@@ -183,7 +185,7 @@ def redact(docs: DataFrame, primer: bytes, mark: str = "[SECRET]") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(primer)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if t is None else _without(t, all_spans(novelty, t), mark) for t in batch.column("text").to_pylist()]
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, "text", pa.array(texts, pa.string()))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convolens.llm.charlm import SPACED, CharModel, Restorer, trigram_counts
-from convolens.llm.common import kept, map_batches
+from convolens.llm.common import kept, map_batches, slices
 from convolens.llm.tokens import Memo
 
 # The fit uses this many labelled rows of each class at most; so few ids can be broadcast.
@@ -33,7 +33,8 @@ TERMS = 200_000
 # Terms that make toxicity likelier than this enter the score.
 CHANCE = 0.5
 STEMS = range(4, 8)
-MEMORY = 300_000
+# Words that a task remembers, and counts that it gathers before it sends them on.
+MEMORY, GATHERED = 100_000, 200_000
 THRESHOLD = 0.7
 
 
@@ -109,10 +110,10 @@ def _counts(docs: DataFrame, model: CharModel, allowed: frozenset) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model, lambda w: tuple(t for t in terms(w) if w and t in allowed) or None)
         total: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 total.update({t for found in reader.read(text or "") for t in found})
-                if len(total) > MEMORY:
+                if len(total) > GATHERED:
                     yield _counted(total)
                     total.clear()
         yield _counted(total)
@@ -132,7 +133,7 @@ def _support(docs: DataFrame, model: CharModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model, lambda w: tuple(terms(w)) if w else None)
         total: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 words = reader.split(text or "")
                 pairs = set()
@@ -142,7 +143,7 @@ def _support(docs: DataFrame, model: CharModel) -> DataFrame:
                         pairs.update((t, after) for t in found)
                 total.update(pairs)
                 total.update({(t, -1) for t, _ in pairs})  # -1 counts documents
-                if len(total) > MEMORY:
+                if len(total) > GATHERED:
                     yield rows(total)
                     total.clear()
         yield rows(total)
@@ -249,7 +250,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = shared.value.reader()
-        for batch in batches:
+        for batch in slices(batches):
             scores = [shared.value.score(reader, t) for t in batch.column("text").to_pylist()]
             rest = batch.drop_columns(["text"]) if drop_text else batch
             yield rest.append_column("score", pa.array(scores, pa.float64()))
@@ -266,7 +267,7 @@ def restore(docs: DataFrame, grams: dict[int, int]) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if t is None else restorer.restore(t) for t in batch.column("text").to_pylist()]
             yield batch.append_column("restored", pa.array(texts, pa.string()))
 
