@@ -1,11 +1,10 @@
-"""Embedding near-duplicates by sorted projection passes.
-
-Each pass gives every vector a string of bits, the signs of its products with random directions,
-and sorts the vectors by it over the cluster: similar vectors share long beginnings and come to
-lie near each other. Each vector is compared with the next ``window`` vectors of the order, pairs
-of cosine ``threshold`` or more are links, and the links of all passes are united. What a
-bounded window cannot list, the links inside a large group, is then counted exactly: members of
-a group are compared in tiles and each task reports counts, not pairs.
+"""Embedding near-duplicates, exactly: every two vectors of one length are compared.
+
+Distinct vectors are dealt into tiles, and every two tiles meet in one task. A task multiplies its
+tiles in single precision, decides whatever comes near the threshold in double precision, and
+reports no pairs: for each vector that has links the number of them, and one member of its group
+within the task. Those spanning links make the groups. Work grows with the square of the number of
+distinct vectors, what is sent with that number times the number of tiles.
 """
 
 from __future__ import annotations
@@ -15,122 +14,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convolens.llm.common import kept, map_batches, numbered
+from convolens.llm.common import kept, numbered
 from convolens.llm.components import components
 from convolens.llm.vectors import matrix, takes_part, usable
 
 THRESHOLD = 0.95
-PASSES = 12
-WINDOW = 16
-HASHES = 48
-BLOCK = 1024
-TILE = 1024
+# Vectors of a tile at most, on average; and tiles that smaller tables are dealt over, so that cores share the work.
+TILE = 8192
+LEAST_TILES = 16
+# A tile of a smaller table has this many vectors at least.
 PAIRED = 16
-SEED = 7
-
-
-def _passes(classes: DataFrame, passes: int, hashes: int, seed: int) -> DataFrame:
-    """``(pass, dim, bits, rep, v)``: each vector with its bits in each pass."""
-    kind = classes.schema["v"].dataType.simpleString()
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes = np.asarray(batch.column("dim"))
-        bits = np.zeros((batch.num_rows, passes), dtype=np.int64)
-        for dim in np.unique(sizes):
-            at = np.flatnonzero(sizes == dim)
-            planes = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * hashes))
-            signs = (matrix(batch.column("v").take(pa.array(at))) @ planes > 0).reshape(len(at), passes, hashes)
-            bits[at] = signs @ (1 << np.arange(hashes)[::-1])
-        return pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in ("rep", "dim", "v")] + [pa.array(list(bits), pa.list_(pa.int64()))],
-            ["rep", "dim", "v", "bits"],
-        )
-
-    hashed = map_batches(classes.select("rep", "dim", "v"), step, f"rep long, dim int, v {kind}, bits array<long>", 2048)
-    return hashed.select("rep", "dim", "v", F.posexplode("bits").alias("pass", "bits"))
-
-
-def window_links(group: pa.Table, window: int, threshold: float) -> pa.Table:
-    """Links between rows of one block and the next ``window`` rows of the same pass."""
-    group = group.sort_by("place")
-    dims, turns = group.column("dim").to_numpy(), group.column("pass").to_numpy()
-    rep, own = group.column("rep").to_numpy(), group.column("own").to_numpy(zero_copy_only=False)
-    runs = np.flatnonzero(np.r_[True, (dims[1:] != dims[:-1]) | (turns[1:] != turns[:-1])])
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lo, hi in zip(runs, [*runs[1:], len(rep)]):
-        x = matrix(group.column("v").slice(lo, hi - lo))
-        norm = np.sqrt((x * x).sum(1))
-        for d in range(1, min(window, hi - lo - 1) + 1):
-            cos = np.einsum("ij,ij->i", x[:-d], x[d:]) / (norm[:-d] * norm[d:])
-            at = lo + np.flatnonzero((cos >= threshold) & own[lo : hi - d])
-            a.append(rep[at])
-            b.append(rep[at + d])
-    a, b = np.concatenate(a), np.concatenate(b)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-
-def window_pairs(
-    classes: DataFrame, threshold: float, passes: int, window: int, hashes: int, seed: int, block: int = BLOCK
-) -> DataFrame:
-    """Distinct links ``(a, b)`` met in some pass, between different vectors."""
-    ordered = numbered(_passes(classes, passes, hashes, seed), "place", "pass", "dim", "bits", "rep")
-    # The first rows of a block are also the last neighbours of the block before it.
-    number = F.floor(F.col("place") / block).cast("long")
-    also = F.when((F.col("place") % block < window) & (number > 0), F.array(number, number - 1))
-    met = ordered.withColumn("_first", number).select(
-        "*", F.explode(F.coalesce(also, F.array(number))).alias("block")
-    )
-    met = met.withColumn("own", F.col("block") == F.col("_first")).drop("_first", "bits")
-    links = met.groupBy("block").applyInArrow(
-        lambda t: window_links(t, window, threshold), "a long, b long"
-    )
-    return links.distinct()
+# Rows of one product of matrices.
+BLOCK = 1024
 
 
-def _tile_counts(group: pa.Table, threshold: float) -> pa.Table:
-    """For each member its linked vectors in one tile, or in the other tile of two."""
-    dims, side = group.column("dim").to_numpy(), group.column("tile").to_numpy()
+def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(rows, columns, near)``: which vectors of ``x`` and ``y`` are links, where there are any."""
+    wide = [m / np.sqrt((m * m).sum(1, keepdims=True)) for m in (x, y)]
+    left, right = (m.astype(np.float32) for m in wide)
+    # More than rounding can take from a product of unit vectors in single precision.
+    least = threshold - 1e-4 - 1.2e-7 * x.shape[1]
+    may = np.concatenate([left[i : i + BLOCK] @ right.T >= least for i in range(0, len(left), BLOCK)])
+    rows, columns = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    near = may[np.ix_(rows, columns)]
+    y, far = y[columns], np.sqrt((y[columns] * y[columns]).sum(1))
+    for i in range(0, len(rows), BLOCK):
+        part = x[rows[i : i + BLOCK]]
+        near[i : i + BLOCK] = (part @ y.T) / (np.sqrt((part * part).sum(1))[:, None] * far) >= threshold
+    return rows, columns, near
+
+
+def _spanned(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of a link matrix the first row of its group, -1 without links."""
+    left, right = np.full(near.shape[0], -1), np.full(near.shape[1], -1)
+    for first in np.flatnonzero(near.any(1)):
+        if left[first] >= 0:
+            continue
+        front, left[first] = np.array([first]), first
+        while len(front):
+            met = np.flatnonzero(near[front].any(0) & (right < 0))
+            right[met] = first
+            front = np.flatnonzero(near[:, met].any(1) & (left < 0))
+            left[front] = first
+    return left, right
+
+
+def tile_links(group: pa.Table, threshold: float) -> pa.Table:
+    """``(rep, root, more)`` of the vectors of two tiles, or of one, that have links there."""
+    side, lo, hi = (group.column(c).to_numpy() for c in ("tile", "lo", "hi"))
     rep, n = group.column("rep").to_numpy(), group.column("n").to_numpy()
-    out = np.zeros(len(rep), dtype=np.int64)
-    crossed = (side != side[0]).any()
-    for dim in np.unique(dims):
-        at = np.flatnonzero(dims == dim)
-        x = matrix(group.column("v").take(pa.array(at)))
-        norm = np.sqrt((x * x).sum(1))
-        near = (x @ x.T) / (norm[:, None] * norm[None, :]) >= threshold
-        if crossed:
-            near &= side[at][:, None] != side[at][None, :]
-        np.fill_diagonal(near, False)
-        out[at] = near @ n[at]
-    return pa.table({"rep": rep, "more": out})
-
-
-def exact_counts(members: DataFrame, threshold: float, paired: int, tile: int) -> DataFrame:
-    """``(rep, more)``: linked vectors of each member ``(comp, rep, dim, n, v)`` inside its component."""
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    sized = kept(members.join(sizes, "comp"), "sized")
-    few = sized.where(F.col("size") <= paired).drop("size")
-    other = few.select("comp", "dim", F.col("rep").alias("rep2"), F.col("v").alias("w"), F.col("n").alias("n2"))
-    pairs = few.join(other, ["comp", "dim"]).where("rep != rep2").select("rep", "v", "w", "n2", "dim")
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        dims, more = np.asarray(batch.column("dim")), np.zeros(batch.num_rows, np.int64)
-        for dim in np.unique(dims):
-            at = np.flatnonzero(dims == dim)
-            x, y = (matrix(batch.column(c).take(pa.array(at))) for c in ("v", "w"))
-            cos = np.einsum("ij,ij->i", x, y) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-            more[at] = np.where(cos >= threshold, np.asarray(batch.column("n2"))[at], 0)
-        return pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(more)], ["rep", "more"])
-
-    small = map_batches(pairs, step, "rep long, more long", 4096)
-    many = sized.where(F.col("size") > paired).withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
-    many = many.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    met = many.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("_other"))
+    a, b = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+    if not len(a) or not len(b):
+        return pa.table({c: pa.array([], pa.int64()) for c in ("rep", "root", "more")})
+    x = matrix(group.column("v").take(pa.array(a)))
+    y = x if lo[0] == hi[0] else matrix(group.column("v").take(pa.array(b)))
+    rows, columns, near = _near(x, y, threshold)
+    a, b = a[rows], b[columns]
+    if lo[0] == hi[0]:
+        near[a[:, None] == b[None, :]] = False  # no vector is its own link
+    counted = [near[i : i + BLOCK] @ n[b] for i in range(0, len(a), BLOCK)]
+    more_a = np.concatenate([np.zeros(0, np.int64), *counted])
+    left, right = _spanned(near)
+    out = [(rep[a], left, more_a)]
+    if lo[0] != hi[0]:
+        more_b = sum((n[a[i : i + BLOCK]] @ near[i : i + BLOCK] for i in range(0, len(a), BLOCK)), np.zeros(len(b), np.int64))
+        out.append((rep[b], right, more_b))
+    else:  # rows and columns are the same vectors; both of their links matter, one count
+        out.append((rep[b], right, np.zeros(len(b), np.int64)))
+    parts = [(r[to >= 0], rep[a][to[to >= 0]], m[to >= 0]) for r, to, m in out]
+    return pa.table({c: np.concatenate(cell) for c, cell in zip(("rep", "root", "more"), zip(*parts))})
+
+
+def exact_links(classes: DataFrame, threshold: float, paired: int, tile: int) -> DataFrame:
+    """``(rep, root, more)`` of all tile pairs of ``(rep, dim, n, v)``; sums of ``more`` are exact."""
+    sizes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("size"))
+    few = F.least(F.lit(LEAST_TILES), F.ceil(F.col("size") / paired))
+    tiles = F.greatest(F.ceil(F.col("size") / tile), few).cast("int").alias("tiles")
+    dealt = classes.join(sizes.select("dim", tiles), "dim")
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("_other"))
     ends = [F.least("tile", "_other").alias("lo"), F.greatest("tile", "_other").alias("hi")]
-    tiles = met.select("comp", *ends, "tile", "dim", "rep", "n", "v").groupBy("comp", "lo", "hi")
-    large = tiles.applyInArrow(lambda t: _tile_counts(t, threshold), "rep long, more long")
-    return small.unionByName(large).groupBy("rep").agg(F.sum("more").alias("more"))
+    pairs = met.select("dim", *ends, "tile", "rep", "n", "v").groupBy("dim", "lo", "hi")
+    return pairs.applyInArrow(lambda t: tile_links(t, threshold), "rep long, root long, more long")
 
 
 def near_duplicates(
@@ -138,28 +103,24 @@ def near_duplicates(
     ids: str = "vec_id",
     vector: str = "embedding",
     threshold: float = THRESHOLD,
-    passes: int = PASSES,
-    window: int = WINDOW,
-    hashes: int = HASHES,
     paired: int = PAIRED,
     tile: int = TILE,
-    seed: int = SEED,
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, a row per input row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and
     neither do vectors of different length. A null id takes no part: no links, no component, not
     kept. Rows that repeat an id are rows of their own; they count as links of each other. An empty
-    table gives an empty one. ``hashes`` is at most 62.
+    table gives an empty one.
     """
     rows = kept(usable(df, ids, vector), "vectors")
     same = rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     # Classes have numbers of their own, as ids can repeat with different vectors.
     classes = kept(numbered(same.withColumn("dim", F.size("v")), "rep", "id", "v"), "classes")
-    links = kept(window_pairs(classes, threshold, passes, window, hashes, seed), "pairs")
-    groups = kept(components(links), "groups").withColumnsRenamed({"node": "rep", "component": "comp"})
+    links = kept(exact_links(classes, threshold, paired, tile), "pairs")
+    more = links.groupBy("rep").agg(F.sum("more").alias("more"))
+    groups = kept(components(links, "rep", "root"), "groups").withColumnsRenamed({"node": "rep", "component": "comp"})
     members = classes.join(groups, "rep")
-    more = exact_counts(members, threshold, paired, tile)
     least = members.groupBy("comp").agg(F.min("id").alias("least"))
     named = groups.join(least, "comp").select("rep", "least")
     known = classes.join(named, "rep", "left").join(more, "rep", "left")

@@ -98,6 +98,23 @@ def test_embedding_groups_against_brute_force(spark):
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
 
 
+def test_links_between_many_that_are_not(spark):
+    """Pairs just above the threshold, inside a crowd of distinct vectors just below it."""
+    rng = np.random.default_rng(6)
+    dim, crowd, pairs = 64, 1200, 300
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    away = lambda m, cos, d: unit(cos * m + np.sqrt(1 - cos**2) * unit(d - (d * m).sum(1, keepdims=True) * m))
+    center = unit(rng.normal(size=(1, dim)))
+    x = away(np.repeat(center, crowd, 0), 0.95, rng.normal(size=(crowd, dim)))
+    near = away(x[:pairs], 0.952, rng.normal(size=(pairs, dim)))
+    x = np.concatenate([x, near]).astype(np.float32).astype(np.float64)
+    cos = unit(x) @ unit(x).T
+    links = (cos >= 0.95) & ~np.eye(len(x), dtype=bool)
+    assert links.sum() >= 2 * pairs
+    got = embed_dedup.near_duplicates(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(links.sum(1).tolist()))
+
+
 def test_embedding_groups_of_nothing(spark):
     assert embed_dedup.near_duplicates(frame(spark, [])).count() == 0
 
