@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -125,7 +125,7 @@ def scan(docs: DataFrame, primer: bytes) -> DataFrame:
     """Add ``found``, an array of ``(start, end, kind)`` in code points, to documents with ``text``.
 
     Spans are ordered by start, then kind; end is exclusive. Null and empty texts have none. A
-    candidate that overlaps a base span is not reported twice. Columns of that name are replaced.
+    candidate inside base spans is not reported twice; one that reaches beyond them is. Columns of that name are replaced.
     """
     plain = docs.drop("found")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
@@ -145,10 +145,22 @@ def scan(docs: DataFrame, primer: bytes) -> DataFrame:
 
 def all_spans(novelty: Novelty, text: str) -> list[tuple[int, int, str]]:
     base = base_spans(text)
-    new = _apart(novelty.spans(text), base)
+    new = _beyond(novelty.spans(text), base)
     return sorted(base + new, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def _beyond(spans: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans that ``base``, which is in order of start, does not cover wholly."""
+    joined: list[list[int]] = []  # base spans that overlap or touch are one
+    for start, end, _ in base:
+        if joined and start <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], end)
+        else:
+            joined.append([start, end])
+    starts = [j[0] for j in joined]
+    return [s for s in spans if not (i := bisect_right(starts, s[0])) or joined[i - 1][1] < s[1]]
+
+
 def _apart(spans: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """The spans that overlap none of ``base``, which is in order of start."""
     starts = [s[0] for s in base]

@@ -240,6 +240,22 @@ def test_spans_apart_from_base():
         assert secret_scan._apart(new, base) == want
 
 
+def test_spans_beyond_base():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        draw = lambda n, kind: sorted((int(a), int(a + b), kind) for a, b in rng.integers(1, 30, (n, 2)))
+        base, new = draw(rng.integers(0, 6), "hex"), draw(4, "novel")
+        held = {i for a, b, _ in base for i in range(a, b)}
+        assert secret_scan._beyond(new, base) == [s for s in new if not set(range(s[0], s[1])) <= held]
+
+
+def test_the_rest_of_a_longer_secret_is_found():
+    key = "sk_live_" + hashlib.md5(b"x").hexdigest() + "QzXw"
+    spans = secret_scan.all_spans(secret_scan.Novelty(b""), f"auth {key} end")
+    assert spans == [(5, 5 + len(key), "novel"), (13, 45, "hex")]
+    assert secret_scan._without(f"auth {key} end", spans, "#") == "auth # end"
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a password=abcdefgh b"), (2, None), (3, "clean")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secret_scan.redact(df, b"").collect()}
