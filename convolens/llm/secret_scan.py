@@ -1,7 +1,7 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
 Fixed patterns find the known kinds of secrets. For the rest, each string of identifier characters in a
-sensitive context (a word like ``key`` or ``auth`` shortly before it) is a candidate. Its novelty is
+sensitive context (a word like ``key`` or ``auth`` near it, on either side) is a candidate. Its novelty is
 what it adds to the compressed size of its surroundings, given a dictionary of the corpus' frequent
 identifiers: text that follows from context or dictionary adds next to nothing, a random string adds
 nearly its entropy. Candidates that add more than ``RATIO`` bytes per character are reported.
@@ -33,10 +33,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 # ---------------------------------------------------------------------------------------------------
 SHORTEST = {"assign": 8, "access": 16}
-# A candidate: a run of identifier characters with a digit in it, long enough to be a key.
+# A candidate: a run of identifier characters, long enough to be a key.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
-SENSITIVE = re.compile(r"(?i)pass|secret|token|key|auth|cred|bearer|private|signature|session|cookie|akia")
-BEFORE, AROUND = 48, 160
+# Looked for at every place, as such words may overlap.
+SENSITIVE = re.compile(r"(?i)(?=(pass|secret|token|key|auth|cred|bearer|private|signature|session|cookie|akia))")
+AROUND = 160
 RATIO = 0.55
 DICTIONARY = 32_768
 LEVEL = 3
@@ -70,17 +71,17 @@ class Novelty:
         return len(self.compressor.compress(whole)) - len(self.compressor.compress(around))
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
-        found = []
-        for m in CANDIDATE.finditer(text):
-            start, end = m.span()
-            word = m.group()
-            if word.isalpha() or not any(map(str.isdigit, word)):
+        found: list[tuple[int, int, str]] = []
+        candidates = [m.span() for m in CANDIDATE.finditer(text)]
+        words = [m.span(1) for m in SENSITIVE.finditer(text)] if candidates else []
+        starts = [w[0] for w in words]
+        for start, end in candidates if words else []:
+            near = words[bisect_left(starts, start - AROUND) : bisect_left(starts, end + AROUND)]
+            # A word counts where it lies wholly before or after the candidate, in what is compressed.
+            if not any(b <= start or (a >= end and b <= end + AROUND) for a, b in near):
                 continue
-            before = text[max(0, start - BEFORE) : start]
-            if not SENSITIVE.search(before):
-                continue
-            wide = text[max(0, start - AROUND) : start]
-            if self.added(wide, word, text[end : end + AROUND]) > RATIO * len(word):
+            before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+            if self.added(before, text[start:end], after) > RATIO * (end - start):
                 found.append((start, end, "novel"))
         return found
 

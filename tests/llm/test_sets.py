@@ -249,6 +249,16 @@ def test_spans_beyond_base():
         assert secret_scan._beyond(new, base) == [s for s in new if not set(range(s[0], s[1])) <= held]
 
 
+def test_every_candidate_near_a_sensitive_word_is_measured():
+    novelty = secret_scan.Novelty(b"")
+    letters = "QwErZxTyPlMkNbVcUiOp"
+    assert novelty.spans(f"auth header {letters} then") == [(12, 32, "novel")]
+    assert novelty.spans(f"use {letters} as the password") == [(4, 24, "novel")]
+    assert novelty.spans(f"the key {'of this house ' * 5} is Zx9kQ2mLp8Vt4RwY7bNc") == [(82, 102, "novel")]
+    assert novelty.spans(f"use {letters} here") == novelty.spans(f"auth {'far ' * 41} {letters}") == []
+    assert novelty.spans("the key " + "=" * 30) == []
+
+
 def test_the_rest_of_a_longer_secret_is_found():
     key = "sk_live_" + hashlib.md5(b"x").hexdigest() + "QzXw"
     spans = secret_scan.all_spans(secret_scan.Novelty(b""), f"auth {key} end")
