@@ -4,8 +4,10 @@ Two texts are compared by the n-grams (1 to ``N`` characters) that both contain:
 spectrum kernel on presence, divided by the sizes of the two sets. A sample of training texts
 gives landmarks; the kernel against them, whitened by the landmarks' own kernel matrix, is the
 Nystroem approximation of the kernel's feature space. There a ridge regression per language
-against the rest is solved in closed form. Scoring a batch is two matrix products: presence of
-n-grams with the landmarks' n-grams, and the kernel values with the regression weights.
+against the rest is solved in closed form. Texts and landmarks meet in every n-gram of code points that a
+landmark holds, looked up by its exact code; n-grams that no landmark holds only count in the size
+of a text. Landmarks' n-grams times regression weights are one table of n-grams by languages, so
+scoring a text is a sum of its rows.
 
 The fit uses a sample of labelled rows of bounded size (``per_language`` rows of each language);
 scoring covers the whole of every text.
@@ -14,6 +16,7 @@ scoring covers the whole of every text.
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +30,8 @@ N = 3
 LANDMARKS = 256
 PER_LANGUAGE = 500
 FIT_CHARS = 20_000
-# Characters told apart; all others share one code. 64 codes give 64**3 = 262,144 n-grams.
-SYMBOLS = 62
-FEATURES = 8192
+# Bits of a code point, so that three of them are one integer; and of the table that n-grams are looked up in.
+POINT, SLOTS = 21, 20
 RIDGE = 1e-3
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -40,75 +42,100 @@ def held_out(ids: Column, folds: int, fold: int) -> Column:
     return F.coalesce((F.crc32(ids.cast("string")) % folds) == fold, F.lit(False))
 
 
-@dataclass
-class Grams:
-    """Codes of characters and the n-grams that landmarks contain."""
+def all_grams(text: str) -> np.ndarray:
+    """Codes of the distinct n-grams of a text, ascending; what is no letter is a gap, gaps in a row are one."""
+    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    code = _letters(points)
+    gap = code == GAP
+    code = code[~(gap & np.r_[False, gap[:-1]])]
+    grams, last = [code], code
+    for n in range(1, N):
+        last = last[:-1] << POINT | code[n:]  # code points are above 0, so lengths do not mix
+        grams.append(last)
+    return np.unique(np.concatenate(grams))
 
-    codes: np.ndarray  # character to code; 0 for all that are not told apart, 1 for a gap
-    places: np.ndarray  # n-gram code to feature, -1 for none
 
-    def presence(self, texts: list[str]) -> np.ndarray:
-        """A 0/1 matrix: which features each text contains."""
-        out = np.zeros((len(texts), int(self.places.max()) + 1), dtype=np.float32)
-        for row, text in enumerate(texts):
-            for grams in self.all_grams(text):
-                at = self.places[grams]
-                out[row, at[at >= 0]] = 1
-        return out
-
-    def all_grams(self, text: str) -> list[np.ndarray]:
-        points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        code = self.codes[np.minimum(points, len(self.codes) - 1)].astype(np.int64)
-        gap = code == 1
-        code = code[~(gap & np.r_[False, gap[:-1]])]  # one gap between words
-        width = SYMBOLS + 2
-        grams, base = [], 0
-        last = code
-        for n in range(1, N + 1):
-            grams.append(last + base)
-            base += width**n
-            last = last[:-1] * width + code[n:] if n < N else last
-        return grams
-
-
-def total_grams() -> int:
-    return sum((SYMBOLS + 2) ** n for n in range(1, N + 1))
-
-
-def symbols(texts: list[str]) -> np.ndarray:
-    """Codes for the letters most frequent in ``texts``; ties to the smaller code point."""
-    points = np.concatenate([np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts])
-    value, count = np.unique(points, return_counts=True)
-    letters = np.array([chr(v).isalpha() for v in value], dtype=bool)
-    order = np.lexsort((value[letters], -count[letters]))[:SYMBOLS]
-    codes = np.ones(0x3000, dtype=np.uint8)
-    for point in range(0x100, 0x3000):
-        codes[point] = 0 if chr(point).isalpha() else 1
-    codes[[p for p in range(0x100) if chr(p).isalpha()]] = 0
-    codes[-1] = 0  # everything beyond the table is taken for some letter
-    chosen = value[letters][order]
-    for i, point in enumerate(chosen[chosen < len(codes) - 1]):
-        codes[point] = i + 2
-    return codes
+GAP = ord(" ")
+# Code points to themselves if they are letters or marks of letters, to the gap otherwise.
+_KEPT = np.zeros(0x110000, dtype=bool)
+_SEEN = np.zeros(0x110000, dtype=bool)
+
+
+def _letters(points: np.ndarray) -> np.ndarray:
+    new = points[~_SEEN[points]]
+    for point in np.unique(new):
+        _KEPT[point] = chr(point).isalpha() or unicodedata.category(chr(point))[0] == "M"
+    _SEEN[new] = True
+    return np.where(_KEPT[points], points, GAP).astype(np.int64)
+
+
+class Grams:
+    """The n-grams that landmarks contain, as features in ascending order of their codes."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        # The feature of a slot, -1 for none, -2 for several: those are searched for in the codes.
+        self.slots = np.full(1 << SLOTS, -1, dtype=np.int32)
+        slot = self.slot(codes)
+        self.slots[slot] = np.arange(len(codes))
+        taken, n = np.unique(slot, return_counts=True)
+        self.slots[taken[n > 1]] = -2
+
+    @staticmethod
+    def slot(codes: np.ndarray) -> np.ndarray:
+        mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+    def features(self, grams: np.ndarray) -> np.ndarray:
+        """Features of the n-grams among ``grams`` that landmarks contain."""
+        at = self.slots[self.slot(grams)]
+        grams, at = grams[at != -1], at[at != -1]
+        crowded = at == -2
+        at[crowded] = np.minimum(np.searchsorted(self.codes, grams[crowded]), len(self.codes) - 1)
+        return at[self.codes[at] == grams]
 
 
 @dataclass
 class Model:
     languages: list[str]
     grams: Grams
-    landmarks: np.ndarray  # features x landmarks, columns of unit length
+    held: list[np.ndarray]  # features of each landmark
     weights: np.ndarray  # landmarks x languages
+    table: np.ndarray | None = None  # features x languages
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        x = self.grams.presence(texts)
-        size = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-        return (x @ self.landmarks) / size
+        """Kernel values of texts and landmarks: shared n-grams by the roots of the sizes of both sets."""
+        out = np.zeros((len(texts), len(self.held)))
+        marks = np.repeat(np.arange(len(self.held)), [len(h) for h in self.held])
+        flat = np.concatenate(self.held)
+        order = np.argsort(flat, kind="stable")
+        marks, bounds = marks[order], np.searchsorted(flat[order], np.arange(len(self.grams.codes) + 1))
+        for row, text in enumerate(texts):
+            grams = all_grams(text)
+            at = self.grams.features(grams)
+            size = bounds[at + 1] - bounds[at]
+            # Places of all landmarks of all features of the text, one range after the other.
+            places = np.arange(size.sum()) + np.repeat(bounds[at] - np.cumsum(size) + size, size)
+            out[row] = np.bincount(marks[places], minlength=len(self.held)) / np.sqrt(len(grams))
+        return out / np.sqrt([max(1, len(h)) for h in self.held])
+
+    def close(self) -> Model:
+        """Bring landmarks and weights into one table, all that scoring needs."""
+        self.table = np.zeros((len(self.grams.codes), len(self.languages)), dtype=np.float32)
+        for held, weight in zip(self.held, self.weights):
+            self.table[held] += (weight / np.sqrt(max(1, len(held)))).astype(np.float32)
+        return self
+
+    def values(self, text: str) -> np.ndarray:
+        """Regression values of the languages: the kernel times the weights."""
+        grams = all_grams(text)
+        return self.table[self.grams.features(grams)].sum(axis=0, dtype=np.float64) / np.sqrt(len(grams))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         known = [t if t and LETTER.search(t) else "" for t in texts]
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        value = self.kernel(known).astype(np.float64) @ self.weights
+        value = np.stack([self.values(t) for t in known]) if known else np.zeros((0, len(self.languages)))
         best = value.argmax(axis=1)
         # Targets are 1 and 0, so the winning value is a score once it is brought into 0..1.
         score = np.clip(value[np.arange(len(best)), best], 0, 1)
@@ -120,26 +147,16 @@ def fit_texts(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, r
     """Fit on texts in a fixed order; landmarks are the first texts of each language in turn."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], Grams(np.zeros(1), np.zeros(1)), np.zeros((0, 0)), np.zeros((0, 0)))
-    codes = symbols(texts)
+        return Model([], Grams(np.zeros(0, np.int64)), [], np.zeros((0, 0)))
     by_lang = {lang: [i for i, x in enumerate(labels) if x == lang] for lang in languages}
     turn = sorted((n, lang, i) for lang in languages for n, i in enumerate(by_lang[lang]))
     marks = [i for _, _, i in turn[:landmarks]]
-    # Features: the n-grams that most landmarks contain, ties to the smaller code.
-    every = Grams(codes, np.arange(total_grams()))
-    found = np.zeros(total_grams(), dtype=np.int64)
-    for i in marks:
-        found[np.unique(np.concatenate(every.all_grams(texts[i])))] += 1
-    order = np.lexsort((np.arange(len(found)), -found))[:FEATURES]
-    places = np.full(len(found), -1, dtype=np.int32)
-    places[order[found[order] > 0]] = np.arange(int((found[order] > 0).sum()))
-    grams = Grams(codes, places)
-    basis = grams.presence([texts[i] for i in marks])
-    basis = (basis / np.sqrt(np.maximum(basis.sum(axis=1, keepdims=True), 1))).T.astype(np.float32)
-    model = Model(languages, grams, basis, np.zeros((len(marks), len(languages))))
-    kernel = np.concatenate([model.kernel(texts[i : i + 256]) for i in range(0, len(texts), 256)]).astype(np.float64)
+    codes = [all_grams(texts[i]) for i in marks]
+    grams = Grams(np.unique(np.concatenate(codes)))
+    model = Model(languages, grams, [grams.features(c) for c in codes], np.zeros((len(marks), len(languages))))
+    kernel = model.kernel(texts)
     # Nystroem features: kernel values times the inverse root of the landmarks' own matrix.
-    own, vectors = np.linalg.eigh((basis.T @ basis).astype(np.float64))
+    own, vectors = np.linalg.eigh(kernel[marks])
     use = own > 1e-6 * own.max()
     root = vectors[:, use] / np.sqrt(own[use])
     z = kernel @ root
@@ -148,7 +165,7 @@ def fit_texts(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, r
     weigh = (target / np.maximum(share, 1e-9)).sum(axis=1, keepdims=True)  # languages weigh alike
     gram = z.T @ (z * weigh) + ridge * len(texts) * np.eye(z.shape[1])
     model.weights = root @ np.linalg.solve(gram, z.T @ (target * weigh))
-    return model
+    return model.close()
 
 
 def fit(
@@ -183,7 +200,7 @@ def identify(docs: DataFrame, model: Model, drop_text: bool = False) -> DataFram
     model knows no language. Columns of those names are replaced; ``drop_text`` leaves the text out.
     """
     plain = docs.drop("lang_pred", "score")
-    shared = plain.sparkSession.sparkContext.broadcast(model)  # bounded by features x landmarks
+    shared = plain.sparkSession.sparkContext.broadcast(model)  # bounded by n-grams of landmarks x languages
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if not (drop_text and f.name == "text"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:

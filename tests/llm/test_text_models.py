@@ -94,6 +94,25 @@ def test_language_without_training_rows(spark):
     assert langid.identify(df.limit(0), fitted).count() == 0
 
 
+def test_languages_of_many_scripts_are_told_apart():
+    rng = np.random.default_rng(1)
+    # Latin, Cyrillic, Georgian, Thai, kana, two halves of Han, Hangul, Gothic: far more than 62 letters.
+    starts = (0x61, 0x430, 0x10D0, 0xE01, 0x3042, 0x4E00, 0x6E00, 0xAC00, 0x10330)
+    draw = lambda s, n: ["".join(chr(s + int(c)) for c in rng.integers(0, 20, 60)) for _ in range(n)]
+    texts, labels = [], []
+    for s in starts:
+        texts += draw(s, 10)
+        labels += [f"{s:x}"] * 10
+    model = langid.fit_texts(texts, labels, landmarks=36)
+    assert all(model.predict(draw(s, 5))[0] == [f"{s:x}"] * 5 for s in starts)
+    # Every n-gram of a landmark is kept, however many there are.
+    rare = ["".join(map(chr, range(0x4E00 + 4000 * i, 0x4E00 + 4000 * (i + 1)))) for i in range(2)]
+    wide = langid.fit_texts(rare, ["a", "b"])
+    assert len(wide.grams.codes) == len({g for t in rare for g in langid.all_grams(t).tolist()}) > 20_000
+    assert wide.predict([rare[0][3900:], rare[1][3900:]])[0] == ["a", "b"]
+    assert np.allclose(wide.kernel(rare) @ wide.weights, [wide.values(t) for t in rare], atol=1e-4)
+
+
 def test_kernel_equals_its_definition():
     texts = ["abc de", "abd", "xyz", "de"]
     model = langid.fit_texts(texts, ["a", "a", "b", "b"], landmarks=4)
