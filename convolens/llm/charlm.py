@@ -106,19 +106,28 @@ class CharModel:
 
 
 # What makes a span worth decoding; everything else is passed on as it is.
-SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .*_~/\\-]{1,3}[^\W_](?![^\W_])){2,}")
 LOOKS = "".join(map(re.escape, LOOKALIKES))
+SIGNS = "".join(re.escape(c) for c in LOOKALIKES if not c.isdigit())
+SILENT = "".join(map(re.escape, SEPARATORS))
+SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{SIGNS}])(?:[{SILENT}]{{1,3}}(?:[^\W_]|[{SIGNS}])(?![^\W_])){{2,}}")
 SUSPECT = re.compile(
     rf"[^\W\d_][{LOOKS}]+[^\W\d_]|^[{LOOKS}]+[^\W\d_]{{2}}|[^\W\d_][~_]+[^\W\d_]|([^\W\d_])\1\1"
 )
 
 
-def decode(model: CharModel, span: str) -> str:
+# What may have another reading: a lookalike, an inner separator or a repeated letter, beside a letter.
+OPEN = re.compile(rf"[{LOOKS}]|[^\W_][{SILENT}]+[^\W_]|([^\W_])\1")
+LETTER = re.compile(r"[^\W\d_]")
+REPEAT = re.compile(r"(.)\1")
+_SILENCED = str.maketrans("", "", SEPARATORS)
+
+
+def decode(model: CharModel, span: str, squeeze: bool = True) -> str:
     """The likeliest words behind ``span``.
 
     The lattice has a state per pair of last letters. A character may stand for itself (letters
     only), for what it looks like, for nothing (separators, or a repeat of the character before),
-    and a blank for a blank. Ties go to the path found first, in the order of the readings.
+    and a blank for a blank; without ``squeeze`` repeats stay. Ties go to the path found first, in the order of the readings.
     """
     start = EDGE * 2
     states: dict[str, tuple[float, tuple | None]] = {start: (0.0, None)}
@@ -127,7 +136,7 @@ def decode(model: CharModel, span: str) -> str:
         readings = [(r, SWAPPED) for r in LOOKALIKES.get(ch, "")]
         if ch.isalpha():
             readings.insert(0, (ch, 0.0))
-        silent = DROPPED if ch in SEPARATORS or not readings else SQUEEZED if ch == previous else None
+        silent = DROPPED if ch in SEPARATORS or not readings else SQUEEZED if squeeze and ch == previous else None
         following: dict[str, tuple[float, tuple | None]] = {}
         for before, (score, path) in states.items():
             options = [(before, score + silent, path)] if silent is not None else []
@@ -148,6 +157,28 @@ def decode(model: CharModel, span: str) -> str:
     return "".join(reversed(letters))
 
 
+def _inner(span: str, spare) -> str:
+    """A span without the signs at its ends, but for those in ``spare``."""
+    start, end = 0, len(span)
+    while start < end and not span[start].isalnum() and span[start] not in spare:
+        start += 1
+    while end > start and not span[end - 1].isalnum() and span[end - 1] not in spare:
+        end -= 1
+    return span[start:end]
+
+
+def readings(model: CharModel, span: str) -> list[str]:
+    """Decoded readings of a span: with the signs at its ends as letters or as signs, repeats taken away or meant."""
+    out = {}
+    for part in dict.fromkeys(_inner(span, spare) for spare in (LOOKALIKES, ())):
+        if len(part) > 1 and (" " in part or OPEN.search(part)):
+            out[decode(model, part)] = None
+            # Of letters alone this would be the word as it stands.
+            if not part.isalpha() and REPEAT.search(part.lower().translate(_SILENCED)):
+                out[decode(model, part, squeeze=False)] = None
+    return list(out)
+
+
 class Restorer:
     """Restores whole texts word by word, remembering words met before."""
 
@@ -164,6 +195,11 @@ class Restorer:
             self.known[word] = decode(self.model, word) if SUSPECT.search(word) else word
         return self.known[word]
 
+    def all(self, word: str) -> list[str]:
+        """The word as it stands and every decoded reading of it."""
+        more = readings(self.model, word) if LETTER.search(word) and OPEN.search(word) else []
+        return list(dict.fromkeys([word.lower(), *more]))
+
     def restore(self, text: str) -> str:
         joined = SPACED.sub(lambda m: self.run(m.group()), text)
         words = joined.split()
@@ -172,5 +208,14 @@ class Restorer:
 
     def run(self, run: str) -> str:
         """A run of single letters: split at wide gaps, then each part decoded."""
+        if not any(map(str.isalnum, run)):
+            return run
         parts = re.split(r"[ ]{2,}", run)
         return " ".join(decode(self.model, p) if len(p) > 1 else p for p in parts)
+
+    def runs(self, run: str) -> str:
+        """All readings of a run of single letters, as words one after the other."""
+        if not any(map(str.isalnum, run)):
+            return run
+        parts = re.split(r"[ ]{2,}", run)
+        return " ".join(w for p in parts for w in (readings(self.model, p) or [p] if len(p) > 1 else [p]))

@@ -63,22 +63,24 @@ def family(text: str, words: int = 5) -> int:
 
 
 class Reader:
-    """Distinct cores of the restored words of a text, as far as ``wanted`` maps them to something."""
+    """What ``wanted`` finds for the distinct words of a text; it is given the cores of all readings of a word.
+
+    A word counts as it stands and as the decoder reads it, alike in learning and in scoring.
+    """
 
     def __init__(self, model: CharModel, wanted):
         self.restorer, self.wanted = Restorer(model), wanted
         self.words = Memo(self._word)
 
     def _word(self, word: str):
-        found = self.wanted(core(self.restorer.word(word)))
-        # A word that looks suspicious but was meant as it stands still counts as it stands.
-        return found if found is not None else self.wanted(core(word))
+        cores = dict.fromkeys(core(w) for reading in self.restorer.all(word) for w in reading.split() or [""])
+        return self.wanted([c for c in cores if c])
 
     def split(self, text: str) -> list[str]:
         """Words of the text, letter-by-letter writing restored."""
         if len(self.words) > MEMORY:
             self.words.clear()
-        return SPACED.sub(lambda m: self.restorer.run(m.group()), text).split()
+        return SPACED.sub(lambda m: f" {self.restorer.runs(m.group())} ", text).split()
 
     def read(self, text: str) -> set:
         return set(map(self.words.__getitem__, self.split(text))) - {None}
@@ -91,9 +93,9 @@ class ToxicityModel:
     base: float
 
     def reader(self) -> Reader:
-        def wanted(word: str):
-            found = [self.chances[t] for t in terms(word) if t in self.chances]
-            return (word, max(found)) if found else None
+        def wanted(words: list[str]):
+            found = [(self.chances[t], w) for w in words for t in terms(w) if t in self.chances]
+            return max(found)[::-1] if found else None
 
         return Reader(CharModel(self.grams), wanted)
 
@@ -108,7 +110,7 @@ def _counts(docs: DataFrame, model: CharModel, allowed: frozenset) -> DataFrame:
     """``(term, n)``: documents with each of the allowed terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model, lambda w: tuple(t for t in terms(w) if w and t in allowed) or None)
+        reader = Reader(model, lambda ws: tuple({t for w in ws for t in terms(w)} & allowed) or None)
         total: Counter = Counter()
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
@@ -131,7 +133,7 @@ def _support(docs: DataFrame, model: CharModel) -> DataFrame:
         return pa.RecordBatch.from_arrays(kinds, ["term", "after", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model, lambda w: tuple(terms(w)) if w else None)
+        reader = Reader(model, lambda ws: tuple({t for w in ws for t in terms(w)}) or None)
         total: Counter = Counter()
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():

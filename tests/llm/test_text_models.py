@@ -56,6 +56,19 @@ def test_disguised_documents_are_caught(spark, model):
     assert got == {i: 1 for i in range(len(hits))} | {99: 0}
 
 
+def test_every_disguise_is_decoded(model):
+    grams = model[0].grams
+    chances = dict.fromkeys(("idiot", "stupid", "scum", "ass", "moron"), 0.9)
+    shown = [
+        "a55", "a$$", "5cum", "idio7", "st-upid", "st.upid", "stuupiid", "scumm", "s,c,u,m", "s;c;u;m", "i d ! o t", "$ c u m",
+        "i d i o t !", "m0ron!!", "1d10t", "moron", "(moron)",
+    ]
+    fitted = toxicity.ToxicityModel(grams, chances, 0.01)
+    reader = fitted.reader()
+    assert [w for w in shown if fitted.score(reader, f"the {w} was") < 0.7] == []
+    assert all(fitted.score(reader, t) < 0.7 for t in ("a good book, well-known", "* * *", "1 + 1", "as the + of it"))
+
+
 def test_toxicity_of_odd_texts(spark, model):
     df = spark.createDataFrame([(None, t) for t in ODD + ODD], "doc_id long, text string")
     rows = toxicity.score(df, model[0], drop_text=True).collect()
