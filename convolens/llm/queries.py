@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from convolens.llm import (
     ann,
+    centroids,
+    decontaminate,
     embed_dedup,
     langid,
     mixing,
     packing,
+    runs,
     secret_scan,
     sharding,
     simhash,
@@ -88,6 +91,44 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.digest(docs, secret_scan.dictionary(docs))
 
 
+def repeated_documents(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` where the tail of every tenth document, by crc32 of its id, is periodic.
+
+    A word i from a on becomes word a + (i - a) % p of the text; a and p follow from the crc32.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    g, n = F.floor(h / 10), F.size("words").cast("long")
+    a = F.col("g") % n
+    p = 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))
+    chosen = docs.select("doc_id", "text", h.alias("h"), g.alias("g")).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, words)
+    )
+    placed = chosen.withColumn("a", F.when(F.size("words") > 0, a)).withColumn("p", p)
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    moved = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("words", source(i).cast("int")))
+    text = F.when(F.col("a").isNotNull(), F.array_join(moved, " ")).otherwise(F.col("text"))
+    return placed.select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark, sf_dir):
+    docs = repeated_documents(table(spark, sf_dir, "documents"))
+    return runs.digests(runs.find_runs(docs, drop_text=True))
+
+
+def op12_centroid_clusters(spark, sf_dir):
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return found.assignment.withColumnRenamed("id", "vec_id").join(F.broadcast(found.summary()), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def op13_decontamination(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.find(docs, benchmark).digest().withColumnRenamed("doc", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_permutation_ann,
@@ -100,6 +141,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_simhash_dedup,
         op9_feistel_shards,
         op10_secret_scan,
+        op11_periodic_runs,
+        op12_centroid_clusters,
+        op13_decontamination,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
@@ -166,8 +210,75 @@ def curriculum_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express; the others are tested against brute force."""
-    return {"op7_curriculum_mix": curriculum_sql(), "op6_embedding_dedup": DEDUP_SQL}
+    return {
+        "op7_curriculum_mix": curriculum_sql(),
+        "op6_embedding_dedup": DEDUP_SQL,
+        "op12_centroid_clusters": clusters_sql(),
+        "op13_decontamination": DECONTAMINATION_SQL,
+    }
+
+
+def clusters_sql(k: int = centroids.K, rounds: int = centroids.ROUNDS) -> str:
+    """All rounds written out; a centroid is a list like a vector."""
+    n = centroids.DIMENSIONS
+    steps = []
+    for i in range(rounds + 1):
+        far = "CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v.q, c.q)]) AS BIGINT)"
+        steps.append(f"""
+    a{i} AS MATERIALIZED (
+      SELECT vec_id, arg_min(c, far * {k} + c) AS c, min(far) AS distance
+      FROM (SELECT vec_id, c.c AS c, {far} AS far FROM v, c{i} c) GROUP BY vec_id
+    ), c{i + 1} AS MATERIALIZED (
+      SELECT c.c AS c, coalesce(m.q, c.q) AS q
+      FROM c{i} c LEFT JOIN (
+        SELECT c, list(CAST(floor(CAST(x AS DOUBLE) / n) AS BIGINT) ORDER BY d) AS q
+        FROM (SELECT c, d, sum(q[d]) AS x, count(*) AS n
+              FROM a{i} JOIN v USING (vec_id), range(1, {n + 1}) t(d) GROUP BY c, d)
+        GROUP BY c
+      ) m ON m.c = c.c
+    )""")
+    return f"""
+    WITH v AS MATERIALIZED (
+      SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+      FROM embeddings
+      WHERE len(embedding) = {n} AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+    ), c0 AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), vec_id) - 1 AS c, q FROM v QUALIFY c < {k}
+    ),{",".join(steps)}
+    SELECT vec_id, CAST(c AS INT) AS cluster, distance,
+           CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+           CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+           sha256(array_to_string(c{rounds}.q, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} USING (c)
+    """
+
 
+_TOKENS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+DECONTAMINATION_SQL = f"""
+WITH b AS (
+  SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {_TOKENS} AS w FROM benchmark) WHERE len(w) > 0
+), g AS MATERIALIZED (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)
+), d AS MATERIALIZED (
+  SELECT doc_id, {_TOKENS} AS w FROM documents
+), s AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g))
+), h AS MATERIALIZED (
+  SELECT doc_id, i, s.n AS n, item_id FROM s JOIN g ON s.gram = g.gram AND s.n = g.n
+), p AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM h) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
 
 DEDUP_SQL = """
 WITH RECURSIVE v AS (

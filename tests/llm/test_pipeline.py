@@ -75,11 +75,11 @@ def test_run(spark):
 
 def test_registered():
     found = [n for n in entry.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in found] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in found] == list(range(1, 14))
     assert "pipeline" in entry.queries() and corpus_pipeline.ORACLE_SQL is None
 
 
-@pytest.mark.parametrize("name", ["op6_embedding_dedup", "op7_curriculum_mix"])
+@pytest.mark.parametrize("name", ["op6_embedding_dedup", "op7_curriculum_mix", "op12_centroid_clusters", "op13_decontamination"])
 def test_query_matches_sql(spark, name):
     out = check.compare(spark, check.database(SF_DIR), name, SF_DIR)
     assert out.startswith("ok"), out
