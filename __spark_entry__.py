@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import importlib
+import importlib.util
 import os
 import shutil
 import sys
@@ -26,10 +28,9 @@ from convolens.plans import router
 from convolens.runtime import scratch_path
 from convolens.sources import export, index_store, tables
 
-try:
-    from convolens.llm import queries as llm
-except ImportError:  # the subpackage is optional
-    llm = None
+# The subpackage is optional; what goes wrong inside it must show.
+_there = importlib.util.find_spec("convolens.llm") and importlib.util.find_spec("convolens.llm.queries")
+llm = importlib.import_module("convolens.llm.queries") if _there else None
 
 CHAT = ("chat_id",)
 AS_OF = dt.datetime.fromisoformat(fx.AS_OF)
@@ -69,6 +70,13 @@ def ingest_export(spark, sf_dir):
     return df.select("date_time", "user", "message_type", "message")
 
 
+def ingest_reference_export(spark, sf_dir):
+    """Files cut in reference mode by chained splits, as if every file were large."""
+    path = write_export(spark, sf_dir)
+    df = export.read_export(spark, path, "\n", "reference", whole_file_bytes=0)
+    return df.select("date_time", "user", "message_type", "message")
+
+
 def ingest_large_export(spark, sf_dir):
     path = write_export(spark, sf_dir)
     df = export.read_export(spark, path, line_join="\n", whole_file_bytes=0)
@@ -180,6 +188,15 @@ def index_uncapped(spark, sf_dir):
     return rounded(stored.terms, "idf")
 
 
+def index_segments(spark, sf_dir):
+    """The weights of an index that had the even chats first, then all of them, the odd ones anew."""
+    messages, path = fx.messages(spark, sf_dir), scratch_path(spark, "index")
+    odd = F.col("chat_id").cast("long") % 2 == 1
+    shorter = messages.withColumn("message", F.when(odd, F.upper("user")).otherwise(F.col("message")))
+    index_store.build(shorter.where(F.col("chat_id").cast("long") % 3 > 0), path)
+    return rounded(index_store.build_or_load(messages, path).weights, "weight")
+
+
 def user_profile(spark, sf_dir):
     profile = index.user_profile(fx.messages(spark, sf_dir))
     listed = profile.select(
@@ -393,10 +410,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    more = {name: shipped(q) for name, q in llm.queries().items()} if llm else {}
-    return more | {
+    found = (llm.queries() if llm else {}) | {
         "ingest_export": ingest_export,
         "ingest_large_export": ingest_large_export,
+        "ingest_reference_export": ingest_reference_export,
         "parse_export": parse_export,
         "parse_export_reference": parse_export_reference,
         "classify_type": classify_type,
@@ -421,6 +438,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             stats.sentiment_by_user(fx.mood_messages(spark, sf_dir), fx.lexicon(spark), (), rules=True),
             "avg_sentiment",
         ),
+        "sentiment_emphasis": lambda spark, sf_dir: rounded(
+            stats.sentiment_by_user(
+                fx.emphatic_messages(spark, sf_dir), fx.lexicon(spark), (), rules=True, emphasis=True
+            ),
+            "avg_sentiment",
+        ),
         "response_time": on(ev, stats.response_time, "avg_response_sec"),
         "response_time_by_chat": on(ev, stats.response_time, "avg_response_sec", by=CHAT),
         "longest_silence": on(ev, stats.longest_silence, "longest_silence_sec"),
@@ -443,6 +466,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tfidf_weights": on(msg, _weights),
         "tfidf_weights_documents": on(doc, _weights),
         "index_roundtrip": index_roundtrip,
+        "index_segments": index_segments,
         "index_uncapped": index_uncapped,
         "user_profile": user_profile,
         "embed_hash": embed_hash,
@@ -467,6 +491,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "route_context": route_context,
         "pack_context": pack_context,
     }
+    return {name: shipped(q) for name, q in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -119,6 +119,16 @@ def emoji_points() -> list[str]:
 MOODS = ["not ", "very ", "barely the ", "so never ", ""]
 
 
+# What may stand before and after the text: capitals, a turn and marks.
+EMPHASIS = [("THE day, but ", "!"), ("so VERY the ", "!!! really?"), ("Die and BUT not ", "??"), ("", " THE END?????"), ("", "")]
+
+
+def emphatic_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    which = F.pmod(F.col("chat_id").cast("long") + F.col("seq"), F.lit(len(EMPHASIS)))
+    before, after = (choose(which, [e[i] for e in EMPHASIS]) for i in range(2))
+    return messages(spark, sf_dir).withColumn("message", F.concat(before, "message", after))
+
+
 def mood_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     which = F.pmod(F.col("chat_id").cast("long") + F.col("seq"), F.lit(len(MOODS)))
     return messages(spark, sf_dir).withColumn("message", F.concat(choose(which, MOODS), "message"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolens.functions import text
 from convolens.functions.arrays import run_lengths
 from convolens.operators.ranking import top_k
-from convolens.runtime import join_small
+from convolens.runtime import BROADCAST_ROWS, fits, join_small
 
 # --- fixed values -------------------------------------------------------------------------------
 MAX_FEATURES = 10_000
@@ -35,12 +38,18 @@ def word_postings(messages: DataFrame) -> DataFrame:
 
 def postings_of(texts: DataFrame) -> DataFrame:
     """``word_postings`` of texts that are clean already."""
+    return postings_in(word_lists(texts))
+
+
+def word_lists(texts: DataFrame) -> DataFrame:
+    """``(chat_id, seq, keys)``: the postings of clean texts with a row per message."""
     words = F.array_distinct(F.split(F.col("clean_text"), " "))
-    return (
-        texts.select("chat_id", "seq", F.explode(words).alias("word"))
-        .where(F.length("word") >= MIN_WORD_LENGTH)
-        .select("word", "chat_id", "seq")
-    )
+    return texts.select("chat_id", "seq", F.filter(words, lambda w: F.length(w) >= MIN_WORD_LENGTH).alias("keys"))
+
+
+def postings_in(lists: DataFrame) -> DataFrame:
+    # A plain explode would add a filter on the list, for which the list is worked out once more.
+    return lists.select(F.explode_outer("keys").alias("word"), "chat_id", "seq").where("word IS NOT NULL")
 
 
 def word_freq(postings: DataFrame) -> DataFrame:
@@ -55,10 +64,19 @@ def term_counts(messages: DataFrame, ngram_range: tuple[int, int] = NGRAMS) -> D
 
 def counts_of(texts: DataFrame, ngram_range: tuple[int, int] = NGRAMS) -> DataFrame:
     """``term_counts`` of texts that are clean already."""
+    return counts_in(count_lists(texts, ngram_range))
+
+
+def count_lists(texts: DataFrame, ngram_range: tuple[int, int] = NGRAMS) -> DataFrame:
+    """``(chat_id, seq, counts)``: the term counts of clean texts with a row per message; null for none."""
     grams = text.ngrams(text.tokens(F.col("clean_text")), *ngram_range)
-    return texts.select("chat_id", "seq", F.inline(run_lengths(grams))).select(
-        "chat_id", "seq", F.col("value").alias("term"), F.col("n").cast("long").alias("tf")
-    )
+    return texts.select("chat_id", "seq", run_lengths(grams).alias("counts"))
+
+
+def counts_in(lists: DataFrame) -> DataFrame:
+    # A plain inline would add a filter on the list, for which the list is worked out once more.
+    each = lists.select("chat_id", "seq", F.inline_outer("counts")).where("value IS NOT NULL")
+    return each.select("chat_id", "seq", F.col("value").alias("term"), F.col("n").cast("long").alias("tf"))
 
 
 def tfidf_vocabulary(
@@ -84,15 +102,27 @@ def vocabulary_of(
     max_features: int | None = MAX_FEATURES,
 ) -> DataFrame:
     """``tfidf_vocabulary`` from term counts of ``n`` messages."""
+    return vocabulary_in(term_sums(counts), n, min_df, max_df, max_features)
+
+
+def term_sums(counts: DataFrame) -> DataFrame:
+    """``(term, df, total)``: messages with the term and its occurrences."""
+    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+
+
+def vocabulary_in(
+    sums: DataFrame,
+    n: Column | int,
+    min_df: int = MIN_DF,
+    max_df: float = MAX_DF,
+    max_features: int | None = MAX_FEATURES,
+) -> DataFrame:
+    """``tfidf_vocabulary`` from ``term_sums`` over ``n`` messages."""
     n = n if isinstance(n, Column) else F.lit(n)
-    counts = (
-        counts.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-        .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
-    )
+    kept = sums.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
     if max_features is not None:
-        counts = top_k(counts, [F.desc("total"), F.asc("term")], max_features)
-    return counts.withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
+        kept = top_k(kept, [F.desc("total"), F.asc("term")], max_features)
+    return kept.withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
 
 
 def tfidf_weights(
@@ -104,37 +134,80 @@ def tfidf_weights(
     """``(term, chat_id, seq, tf, weight)`` with L2-normalised weights per message.
 
     ``max_features`` is the cap the vocabulary was built with. It proves the broadcast side small;
-    an uncapped vocabulary is counted first. The norm and the weights of a message come out of one
-    aggregate over that message's own terms.
+    an uncapped vocabulary is counted first.
     """
-    return weights_of(term_counts(messages, ngram_range), vocabulary, max_features)
+    return weights_in(weight_lists(count_lists(indexable(messages), ngram_range), vocabulary, max_features))
 
 
-def weights_of(
-    counts: DataFrame, vocabulary: DataFrame, max_features: int | None = MAX_FEATURES
-) -> DataFrame:
-    """``tfidf_weights`` from term counts."""
-    hits = join_small(
-        counts,
-        vocabulary.select("term", "idf"),
-        ["term"],
-        spread_by=["chat_id", "seq"],
-        bound=max_features,
-    )
-    raw = F.col("tf") * F.col("idf")
-    per_message = (
-        hits.select("chat_id", "seq", "term", "tf", raw.alias("w"))
-        .groupBy("chat_id", "seq")
-        .agg(
-            F.collect_list(F.struct("term", "tf", "w")).alias("terms"),
-            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-        )
-    )
-    return per_message.select("chat_id", "seq", "norm", F.inline("terms")).select(
-        "term", "chat_id", "seq", "tf", (F.col("w") / F.col("norm")).alias("weight")
+def weights_in(lists: DataFrame) -> DataFrame:
+    """``tfidf_weights`` from a row per message."""
+    return lists.select("chat_id", "seq", F.inline(F.arrays_zip("keys", "tfs", "weights"))).select(
+        F.col("keys").alias("term"), "chat_id", "seq", F.col("tfs").alias("tf"), F.col("weights").alias("weight")
     )
 
 
+LISTS = "chat_id string, seq long, keys array<string>, tfs array<long>, weights array<double>"
+
+
+def weight_lists(
+    lists: DataFrame, vocabulary: DataFrame, max_features: int | None = MAX_FEATURES
+) -> DataFrame:
+    """``(chat_id, seq, keys, tfs, weights)`` of ``count_lists``: the vocabulary's terms of a message.
+
+    A message's terms stand in one row, so the look-up and the norm need no shuffle: the vocabulary
+    goes to the tasks, which look up the terms of a whole batch at a time. A vocabulary that is not
+    proven small by ``max_features`` or a count is joined instead, term by term.
+    """
+    known = vocabulary.select("term", "idf")
+    if not (max_features <= BROADCAST_ROWS if max_features is not None else fits(known)):
+        return _joined_lists(lists, known)
+    table = known.toArrow()
+    terms, idf = table.column("term").combine_chunks(), table.column("idf").to_numpy()
+    shared = lists.sparkSession.sparkContext.broadcast((terms, idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _weighted(batch, *shared.value)
+
+    return lists.select("chat_id", "seq", "counts").mapInArrow(run, LISTS)
+
+
+def _weighted(batch: pa.RecordBatch, terms: pa.Array, idf: np.ndarray) -> pa.RecordBatch:
+    """Weights of the messages of a batch that have any term of the vocabulary."""
+    counts = batch.column("counts")
+    flat = counts.flatten()
+    code = pc.index_in(flat.field("value"), value_set=terms)
+    known = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+    places = pa.array(known)
+    lengths = pc.fill_null(pc.list_value_length(counts), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(counts)), lengths)[known]
+    tf = flat.field("n").take(places).to_numpy().astype(np.int64)
+    raw = tf * idf[code.take(places).to_numpy()]
+    norm = np.sqrt(np.bincount(row, raw * raw, minlength=len(counts)))
+    size = np.bincount(row, minlength=len(counts))
+    some = np.flatnonzero(size)
+    ends = pa.array(np.r_[0, np.cumsum(size[some])].astype(np.int32))
+    cells = [flat.field("value").take(places), pa.array(tf), pa.array(raw / norm[row])]
+    ids = [batch.column(c).take(pa.array(some)) for c in ("chat_id", "seq")]
+    lists = [pa.ListArray.from_arrays(ends, cell) for cell in cells]
+    return pa.RecordBatch.from_arrays([*ids, *lists], ["chat_id", "seq", "keys", "tfs", "weights"])
+
+
+def _joined_lists(lists: DataFrame, known: DataFrame) -> DataFrame:
+    """``weight_lists`` with a vocabulary of any size."""
+    hits = join_small(counts_in(lists), known, ["term"], spread_by=["chat_id", "seq"], max_rows=0)
+    raw = F.struct("term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
+    gathered = hits.groupBy("chat_id", "seq").agg(F.sort_array(F.collect_list(raw)).alias("c"))
+    total = F.aggregate("c", F.lit(0.0), lambda s, c: s + c["w"] * c["w"])
+    cells = gathered.withColumn("norm", F.sqrt(total))
+    return cells.select(
+        "chat_id", "seq",
+        F.transform("c", lambda c: c["term"]).alias("keys"),
+        F.transform("c", lambda c: c["tf"]).alias("tfs"),
+        F.transform("c", lambda c: c["w"] / F.col("norm")).alias("weights"),
+    )
+
+
 def user_profile(
     messages: DataFrame, by: Sequence[str] = (), n_words: int = PROFILE_WORDS
 ) -> DataFrame:
@@ -143,14 +216,33 @@ def user_profile(
     The words are counted before they are gathered: a profile holds ``n_words`` structs however
     much its user wrote.
     """
+    texts = indexable(messages).withColumn("chars", F.length("message"))
+    return profiles_in(profile_counts(texts, by), by, n_words)
+
+
+def profile_counts(texts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What profiles are made of, ``(*by, user, word, n, chars)``, from clean texts with ``chars``.
+
+    A row per word of a user, and one with a null word that counts the messages and their length.
+    Such tables of different messages add up.
+    """
+    words = F.filter(F.split("clean_text", " "), lambda w: w != "")
+    cells = F.concat(
+        F.array(F.struct(F.lit(None).cast("string").alias("word"), F.col("chars").cast("long").alias("chars"))),
+        F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(None).cast("long").alias("chars"))),
+    )
+    each = texts.where(F.col("user").isNotNull()).select(*by, "user", F.inline(cells))
+    return each.groupBy(*by, "user", "word").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+
+
+def profiles_in(counts: DataFrame, by: Sequence[str] = (), n_words: int = PROFILE_WORDS) -> DataFrame:
+    """``user_profile`` from ``profile_counts``."""
     keys = [*by, "user"]
-    known = indexable(messages).where(F.col("user").isNotNull())
-    sizes = known.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("message_count"), F.avg(F.length("message")).alias("avg_length")
+    sizes = counts.where("word IS NULL").select(
+        *keys, F.col("n").alias("message_count"), (F.col("chars") / F.col("n")).alias("avg_length")
     )
-    used = known.select(*keys, F.explode(F.split("clean_text", " ")).alias("word"))
-    counts = used.where(F.col("word") != "").groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
-    best = top_k(counts, [F.desc("n"), F.asc("word")], n_words, keys)
+    words = counts.where("word IS NOT NULL").select(*keys, "word", "n")
+    best = top_k(words, [F.desc("n"), F.asc("word")], n_words, keys)
     listed = best.groupBy(*keys).agg(
         F.array_sort(
             F.collect_list(F.struct("word", "n")),

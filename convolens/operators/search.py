@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from convolens.functions import text
 from convolens.functions.arrays import run_lengths
 from convolens.functions.vectors import matrix, unit_rows
+from convolens.operators.best import Best
 from convolens.operators.embed import embed
 from convolens.operators.index import NGRAMS
+from convolens.operators.lexical import best_messages, listed
 from convolens.operators.ranking import DIGITS, FUSED_DIGITS, score, top_k
 from convolens.operators.retrieval import HIT_COLUMNS
-from convolens.runtime import BROADCAST_ROWS, FILTER_VALUES, fits, join_small, keep_keys, stored
+from convolens.runtime import BROADCAST_ROWS, FILTER_VALUES, join_small, keep_keys, stored
 
 # --- fixed values -------------------------------------------------------------------------------
 TOP_K = 15
@@ -94,9 +96,9 @@ def semantic_search(
         targets = _targets(matrix(pa.array([r["vector"] for r in block], pa.list_(pa.float64()))))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = _Best(names, k, floor, list(ids))
+            best = Best(names, k, floor, list(ids))
             for batch in batches:
-                best.add(batch, targets)
+                _add_vectors(best, batch, targets)
             yield from best.batches()
 
         candidates = columns.mapInArrow(scan, schema)
@@ -123,11 +125,11 @@ def _grid(
 
     def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
         names = asked.column("query_id").to_pylist()
-        best = _Best(names, k, floor, ids)
+        best = Best(names, k, floor, ids)
         if len(names) and len(rows):
             targets = _targets(matrix(asked.column("vector")))
             for batch in rows.select([*ids, "_v"]).combine_chunks().to_batches():
-                best.add(batch, targets)
+                _add_vectors(best, batch, targets)
         fields = [pa.field("query_id", pa.string()), *[rows.schema.field(c) for c in ids]]
         empty = pa.schema([*fields, pa.field("score", pa.float64())]).empty_table()
         return pa.concat_tables([empty, *map(pa.Table.from_batches, ([b] for b in best.batches()))])
@@ -143,55 +145,18 @@ def _best_first(ids: Sequence[str]) -> list[Column]:
     return [F.desc("score"), *[F.asc(c) for c in ids]]
 
 
-class _Best:
-    """The best ``k`` rows per query among the rows added so far, by score, then by ids."""
-
-    def __init__(self, names: list[str], k: int, floor: float | None, ids: list[str]):
-        self.names, self.k, self.ids = names, k, ids
-        # Score a row needs to matter: above the floor, later at least the k-th best so far.
-        self.needed = np.full(len(names), -np.inf if floor is None else np.nextafter(floor, np.inf))
-        self.kept: pa.Table | None = None
-
-    def add(self, batch: pa.RecordBatch, targets: np.ndarray) -> None:
-        """Rows of ids and, last, a vector, multiplied with the queries' unit vectors."""
-        rows = matrix(batch.column(batch.num_columns - 1))
-        if not rows.size:
-            return
-        rows = unit_rows(rows)
-        table = pa.Table.from_batches([batch]).select(self.ids)
-        step = max(1, SCORES // max(1, targets.shape[1]))
-        for start in range(0, len(rows), step):
-            # -0.0 would rank apart from 0.0.
-            scores = np.round(rows[start : start + step] @ targets, DIGITS) + 0.0
-            self.take(table.slice(start, step), scores)
-
-    def take(self, table: pa.Table, scores: np.ndarray) -> None:
-        """Rows with their scores for every query."""
-        if len(scores) > self.k:
-            # Ties with the k-th score stay; the sort below settles them by id.
-            kth = np.partition(scores, -self.k, axis=0)[-self.k]
-            enough = scores >= np.maximum(self.needed, kth)
-        else:
-            enough = scores >= self.needed
-        row, query = np.nonzero(enough)
-        found = table.take(pa.array(row)).append_column("score", pa.array(scores[row, query]))
-        found = found.append_column("query", pa.array(query))
-        if self.kept is not None:
-            found = pa.concat_tables([self.kept, found])
-        order = [("query", "ascending"), ("score", "descending"), *[(c, "ascending") for c in self.ids]]
-        found = found.sort_by(order)
-        query = found.column("query").to_numpy()
-        place = np.arange(len(query)) - np.searchsorted(query, query)
-        self.kept = found.filter(pa.array(place < self.k))
-        last = np.flatnonzero(place == self.k - 1)
-        self.needed[query[last]] = found.column("score").to_numpy()[last]
-
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        if self.kept is None or not len(self.kept):
-            return
-        named = pa.array(self.names, pa.string()).take(self.kept.column("query").combine_chunks())
-        out = self.kept.drop_columns(["query"]).add_column(0, "query_id", named)
-        yield from out.combine_chunks().to_batches()
+def _add_vectors(best: Best, batch: pa.RecordBatch, targets: np.ndarray) -> None:
+    """Rows of ids and, last, a vector, multiplied with the queries' unit vectors."""
+    rows = matrix(batch.column(batch.num_columns - 1))
+    if not rows.size:
+        return
+    rows = unit_rows(rows)
+    table = pa.Table.from_batches([batch]).select(best.ids)
+    step = max(1, SCORES // max(1, targets.shape[1]))
+    for start in range(0, len(rows), step):
+        # -0.0 would rank apart from 0.0.
+        scores = np.round(rows[start : start + step] @ targets, DIGITS) + 0.0
+        best.take(table.slice(start, step), scores)
 
 
 def emotion_search(
@@ -231,29 +196,46 @@ def letter_overlap(a: Column, b: Column) -> Column:
 
 
 def fuzzy_vocabulary(keywords: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``(keyword, word, similarity)`` for index words that contain a keyword or lie in one.
-
-    Comparing every keyword with every word is avoided: a text contained in another starts with
-    one of the other's letter n-grams, so both containments become equi-joins on the first three
-    letters (two where the contained text has only two) and are then checked in full.
-    """
-    keys = keywords.select("keyword").distinct()
-    vocab = vocabulary.select("word")
-    pairs = None
-    for short, long in (("keyword", "word"), ("word", "keyword")):
-        of = {"keyword": keys, "word": vocab}
-        heads = of[short].withColumn("gram", F.substring(short, 1, 3))
-        grams = F.array_union(_letter_ngrams(long, 2), _letter_ngrams(long, 3))
-        parts = of[long].withColumn("gram", F.explode(grams))
-        big, small = (parts, heads) if long == "word" else (heads, parts)
-        inside = F.col(long).contains(F.col(short)) & (F.col(long) != F.col(short))
-        found = join_small(big, small, ["gram"], spread_by=["word"]).where(inside)
-        found = found.select("keyword", "word")
-        pairs = found if pairs is None else pairs.unionByName(found)
+    """``(keyword, word, similarity)`` for index words that contain a keyword or lie in one."""
+    inside = F.col("word").contains(F.col("keyword")) | F.col("keyword").contains(F.col("word"))
+    pairs = fuzzy_candidates(keywords, vocabulary).where(inside & (F.col("keyword") != F.col("word")))
     scored = pairs.withColumn("similarity", letter_overlap(F.col("keyword"), F.col("word")))
     return scored.where(F.col("similarity") > FUZZY_FLOOR)
 
 
+def fuzzy_candidates(keywords: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(keyword, word)`` that may be similar enough, without comparing every two.
+
+    A text that lies in another shares its letter n-grams, and its letters are letters of the other:
+    the similarity is the ratio of their numbers of distinct letters. So both containments are
+    equi-joins on an n-gram and a number of distinct letters within the bound. A keyword is looked
+    up by the one of its n-grams that the fewest words have, and not at all if no word has one of
+    them; a word in a keyword by its first three letters (two where it has only two).
+    """
+    letters = lambda c: F.size(F.array_distinct(F.split(c, ""))).alias("letters")
+    grams = lambda c: F.explode(F.array_union(_letter_ngrams(c, 2), _letter_ngrams(c, 3))).alias("gram")
+    own = stored(keywords.select("keyword", letters("keyword")).distinct().select("keyword", "letters", grams("keyword")))
+    vocab = vocabulary.select("word", letters("word"))
+    wanted = own.select("gram").distinct().withColumn("known", F.lit(True))
+    met = stored(join_small(vocab.select("word", "letters", grams("word")), wanted, ["gram"], ["word"]))
+    often = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("r")
+    whole = own.where(F.length("gram") == F.least(F.length("keyword"), F.lit(3)))
+    heads = whole.join(often, "gram", "left").groupBy("keyword", "letters").agg(rarest).where("r.n > 0")
+    # The containing text has fewer letters than this.
+    fewer = F.ceil(F.col("letters") / FUZZY_FLOOR).cast("int") - 1
+    # The request's side is small and counted: store it, so that a count costs nothing.
+    heads = stored(heads.select("keyword", F.col("r.gram").alias("gram"), F.explode(F.sequence("letters", fewer)).alias("letters")))
+    longer = join_small(met, heads, ["gram", "letters"], ["word"])
+    least = F.floor(F.col("letters") * FUZZY_FLOOR).cast("int") + 1
+    around = stored(own.select("keyword", "gram", F.explode(F.sequence(least, F.col("letters"))).alias("letters")))
+    starts = vocab.select("word", "letters", F.substring("word", 1, 3).alias("gram"))
+    shorter = join_small(starts, around, ["gram", "letters"], ["word"])
+    outer = longer.where(F.length("word") > F.length("keyword")).select("keyword", "word")
+    inner = shorter.where(F.length("word") < F.length("keyword")).select("keyword", "word")
+    return outer.unionByName(inner)
+
+
 def _letter_ngrams(col: str, n: int) -> Column:
     starts = F.sequence(F.lit(1), F.greatest(F.length(col) - (n - 1), F.lit(1)))
     return F.transform(starts, lambda i: F.substring(F.col(col), i, F.lit(n)))
@@ -275,84 +257,39 @@ def keyword_weights(keywords: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def keyword_search(
-    postings: DataFrame, vocabulary: DataFrame, queries: DataFrame, k: int = TOP_K
+    postings: DataFrame,
+    vocabulary: DataFrame,
+    queries: DataFrame,
+    k: int = TOP_K,
+    words: DataFrame | None = None,
 ) -> DataFrame:
     """Messages by exact and partial keyword matches.
 
-    The fuzzy step runs on the vocabulary; the postings are joined once, with the few words that
-    matter. Those are stored first, since they are counted before they are broadcast.
+    The fuzzy step runs on the vocabulary. ``words`` are the messages with the list of their words,
+    ``(chat_id, seq, keys)``: many keywords read those once, without a shuffle; few read their
+    postings only.
     """
     weights = stored(keyword_weights(keywords_of(queries), vocabulary))
-    wanted = keep_keys(postings, weights, "word").select("chat_id", "seq", "word")
-    return _scored(wanted, "word", None, weights, k, None)
+    return _scored(postings, "word", None, words, weights, k)
 
 
 def _scored(
-    rows: DataFrame, key: str, weight: str | None, asked_for: DataFrame, k: int, floor: float | None
+    rows: DataFrame, key: str, weight: str | None, lists: DataFrame | None, asked_for: DataFrame, k: int, floor: float = 0.0
 ) -> DataFrame:
-    """Messages by the sum over their ``rows`` of the row's weight times the query's for its key.
+    """Messages by the sum over their keys of their weight times the request's.
 
-    Queries that fit go to the tasks as a sparse matrix: rows of a message are brought together,
-    each task multiplies some messages at a time and shuffles ``k`` of them per query, so pairs of
-    message and query are never shuffled. More queries are joined by key instead.
+    ``rows`` has a row per message and key and is sorted by key, ``lists`` (if there is one) a row
+    per message. Both hold the same; few keys are looked up in the one, many in the other.
     """
-    if not fits(asked_for):
-        hits = join_small(rows, asked_for.withColumnRenamed("weight", "_w"), [key], ["chat_id", "seq"], max_rows=0)
-        return _ranked(hits, score(F.sum(F.col("_w") * (F.col(weight) if weight else 1.0))), k, floor)
-    sparse = asked_for.select("query_id", key, "weight").orderBy("query_id", key).collect()
-    names = sorted({r["query_id"] for r in sparse})
-    place = {name: i for i, name in enumerate(names)}
-    by_key: dict[str, list[tuple[int, float]]] = {}
-    for r in sparse:
-        by_key.setdefault(r[key], []).append((place[r["query_id"]], r["weight"]))
-    matrix_rows = {
-        word: (np.array([i for i, _ in cells]), np.array([w for _, w in cells])) for word, cells in by_key.items()
-    }
-    messages_at_once = max(1, SCORES // max(1, len(names)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(names, k, floor if floor is not None else 0.0, ["chat_id", "seq"])
-        open_rows: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if open_rows is not None:
-                table = pa.concat_tables([open_rows, table])
-            starts = _message_starts(table)
-            # The last message may go on in the next batch.
-            open_rows = table.slice(starts[-1]) if len(starts) else None
-            _add_messages(best, table, starts[:-1], starts[1:], key, weight, matrix_rows, messages_at_once)
-        if open_rows is not None and len(open_rows):
-            _add_messages(best, open_rows, [0], [len(open_rows)], key, weight, matrix_rows, messages_at_once)
-        yield from best.batches()
-
-    known = rows.where(F.col(key).isNotNull()).repartition("chat_id", "seq").sortWithinPartitions("chat_id", "seq")
-    found = known.mapInArrow(run, "query_id string, chat_id string, seq long, score double")
+    values = [r[0] for r in asked_for.select(key).distinct().limit(FILTER_VALUES + 1).collect()]
+    if len(values) <= FILTER_VALUES:
+        lists = listed(rows.where(F.col(key).isin(values)), key, weight)
+    elif lists is None:
+        lists = listed(rows.where(F.col(key).isNotNull()), key, weight)
+    found = best_messages(lists, asked_for.withColumnRenamed(key, "key"), k, floor)
     return top_k(found, _best_first(["chat_id", "seq"]), k, ["query_id"])
 
 
-def _message_starts(table: pa.Table) -> np.ndarray:
-    chat = table.column("chat_id").combine_chunks().dictionary_encode().indices.to_numpy()
-    seq = table.column("seq").to_numpy()
-    changed = (chat[1:] != chat[:-1]) | (seq[1:] != seq[:-1])
-    return np.flatnonzero(np.r_[True, changed]) if len(seq) else np.array([], dtype=np.int64)
-
-
-def _add_messages(best, table, starts, ends, key, weight, matrix_rows, at_once) -> None:
-    """Score the messages of ``table`` that lie between ``starts`` and ``ends``."""
-    for first in range(0, len(starts), at_once):
-        begin, end = starts[first : first + at_once], ends[first : first + at_once]
-        part = table.slice(begin[0], end[-1] - begin[0])
-        message = np.repeat(np.arange(len(begin)), np.asarray(end) - np.asarray(begin))
-        own = part.column(weight).to_numpy() if weight else np.ones(len(part))
-        scores = np.zeros((len(begin), len(best.names)))
-        for at, word, w in zip(message, part.column(key).to_pylist(), own):
-            cells = matrix_rows.get(word)
-            if cells is not None:
-                scores[at, cells[0]] += cells[1] * w
-        ids = table.select(["chat_id", "seq"]).take(pa.array(np.asarray(begin)))
-        best.take(ids, np.round(scores, DIGITS) + 0.0)
-
-
 def _ranked(hits: DataFrame, total: Column, k: int, floor: float | None = None) -> DataFrame:
     scored = hits.groupBy("query_id", "chat_id", "seq").agg(total.alias("score"))
     if floor is not None:
@@ -392,11 +329,14 @@ def tfidf_search(
     k: int = TOP_K,
     floor: float = TFIDF_FLOOR,
     ngram_range: tuple[int, int] = NGRAMS,
+    lists: DataFrame | None = None,
 ) -> DataFrame:
-    """Messages by the dot product of normalised TF-IDF weights."""
-    terms = stored(query_terms(queries, vocabulary, ngram_range))
-    wanted = keep_keys(weights, terms, "term").select("chat_id", "seq", "term", "weight")
-    return _scored(wanted, "term", "weight", terms.withColumnRenamed("qweight", "weight"), k, floor)
+    """Messages by the dot product of normalised TF-IDF weights.
+
+    ``lists`` are the same weights with a row per message, ``(chat_id, seq, keys, weights)``.
+    """
+    terms = stored(query_terms(queries, vocabulary, ngram_range).withColumnRenamed("qweight", "weight"))
+    return _scored(weights, "term", "weight", lists, terms, k, floor)
 
 
 # --- fusion -------------------------------------------------------------------------------------
@@ -406,6 +346,9 @@ def tfidf_search(
 class SearchTables:
     """What the searches read. ``vectors`` holds ``(chat_id, seq, vector)``.
 
+    ``words`` and ``lists`` hold postings and weights once more with a row per message, for many
+    requests at a time.
+
     ``encode`` adds the vector of a text column as it was made for ``vectors``.
     """
 
@@ -415,6 +358,8 @@ class SearchTables:
     terms: DataFrame
     weights: DataFrame
     vectors: DataFrame
+    words: DataFrame | None = None
+    lists: DataFrame | None = None
     ngram_range: tuple[int, int] = NGRAMS
     encode: Callable[[DataFrame, str], DataFrame] = embed
 
@@ -456,9 +401,9 @@ def combined_search(
     return fuse(
         {
             SEMANTIC: semantic_search(tables.vectors, query_vectors, k),
-            KEYWORD: keyword_search(tables.postings, tables.vocabulary, queries, k),
+            KEYWORD: keyword_search(tables.postings, tables.vocabulary, queries, k, tables.words),
             TFIDF: tfidf_search(
-                tables.weights, tables.terms, queries, k, ngram_range=tables.ngram_range
+                tables.weights, tables.terms, queries, k, ngram_range=tables.ngram_range, lists=tables.lists
             ),
         },
         k,

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convolens.functions import text
 from convolens.operators.gaps import WINDOW_ROWS, answered, next_message
 from convolens.operators.index import word_postings
 from convolens.operators.ranking import top_k
-from convolens.runtime import join_small
+from convolens.operators.sentiment import message_sentiment
 
 By = Sequence[str]
 
@@ -21,20 +21,6 @@ TOP_USERS = 5
 COMMON_WORDS = 20
 TOP_EMOJIS = 10
 TOP_WORDS = 20
-# Valence sum -> score: s / sqrt(s^2 + 15) (Hutto and Gilbert 2014).
-ALPHA = 15.0
-# Share of a booster's weight at a distance of one, two and three words.
-DAMPING = (1.0, 0.95, 0.9)
-# Factor a negation within the three preceding words applies.
-NEGATION = -0.74
-NEGATIONS = (
-    "aint arent cannot cant couldnt didnt doesnt dont hadnt hasnt havent isnt mightnt mustnt "
-    "neither never none nope nor not nothing nowhere rarely seldom shouldnt wasnt werent without "
-    "wont wouldnt"
-).split()
-BOOST = 0.293
-BOOSTERS = "absolutely completely extremely highly really so totally very".split()
-DAMPENERS = "almost barely hardly kinda marginally partly slightly somewhat".split()
 # -------------------------------------------------------------------------------------------------
 
 
@@ -102,54 +88,11 @@ def emoji_counts(messages: DataFrame, by: By = (), n: int = TOP_EMOJIS) -> DataF
     return top_k(counts, [F.desc("n"), F.asc("emoji")], n, by)
 
 
-def message_sentiment(
-    messages: DataFrame, lexicon: DataFrame, by: By = (), rules: bool = False
-) -> DataFrame:
-    """``(chat_id, seq, user, sentiment)`` from a ``(token, valence)`` lexicon.
-
-    The valences of a message's tokens are summed and squashed into -1..1. ``rules`` also turns
-    valences after a negation and scales them after boosters, looking at the three tokens before.
-    The lexicon is broadcast after a size check and the tokens of one message meet again in a
-    partial aggregate, so a busy user or chat does not gather in one task.
-    """
-    key = list(dict.fromkeys([*by, "chat_id", "seq", "user"]))
-    found = F.regexp_extract_all(F.lower("message"), F.lit(f"[{text.WORD}']+"), 0)
-    toks = reportable(messages).select(
-        *key, F.transform(found, lambda t: F.replace(t, F.lit("'"), F.lit(""))).alias("toks")
-    )
-    # Each token travels with its three predecessors only, never with the whole text.
-    windows = F.transform(
-        "toks",
-        lambda t, i: F.struct(
-            t.alias("token"),
-            *([F.get("toks", i - d).alias(f"back{d}") for d in (1, 2, 3)] if rules else []),
-        ),
-    )
-    each = toks.select(*key, F.explode_outer(windows).alias("t")).select(*key, "t.*")
-    lex = lexicon.groupBy("token").agg(F.max("valence").cast("double").alias("valence"))
-    scored = join_small(each, lex, ["token"], spread_by=["chat_id", "seq"], how="left")
-    valence = F.coalesce(F.col("valence"), F.lit(0.0))
-    sums = scored.groupBy(*key).agg(F.sum(_in_context(valence) if rules else valence).alias("s"))
-    s = F.col("s")
-    return sums.select(*key, (s / F.sqrt(s * s + ALPHA)).alias("sentiment"))
-
-
-def _in_context(valence: Column) -> Column:
-    """Valence after the booster and negation words among the three tokens before it."""
-    before = [F.col(f"back{d}") for d in (1, 2, 3)]
-    boosted, negated = valence, F.lit(False)
-    for word, weight in zip(before, DAMPING):
-        step = F.when(word.isin(BOOSTERS), BOOST).when(word.isin(DAMPENERS), -BOOST).otherwise(0.0)
-        boosted = boosted + F.signum(valence) * step * weight
-        negated = negated | F.coalesce(word.isin(NEGATIONS), F.lit(False))
-    return F.when(negated, boosted * NEGATION).otherwise(boosted)
-
-
 def sentiment_by_user(
-    messages: DataFrame, lexicon: DataFrame, by: By = (), rules: bool = False
+    messages: DataFrame, lexicon: DataFrame, by: By = (), rules: bool = False, emphasis: bool = False
 ) -> DataFrame:
-    """Mean message sentiment per user."""
-    scores = message_sentiment(_known(messages), lexicon, by, rules)
+    """Mean message sentiment per user; the options are those of ``message_sentiment``."""
+    scores = message_sentiment(_known(messages), lexicon, by, rules, emphasis)
     return scores.groupBy(*by, "user").agg(F.avg("sentiment").alias("avg_sentiment"))
 
 

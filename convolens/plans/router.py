@@ -183,10 +183,10 @@ def _searched(ok: DataFrame, t: SearchTables, most: dict[str, int]) -> Iterator[
         if method == SEMANTIC:
             found = search.semantic_search(t.vectors, t.query_vectors(queries), k)
         elif method == TFIDF:
-            found = search.tfidf_search(t.weights, t.terms, queries, k, ngram_range=t.ngram_range)
+            found = search.tfidf_search(t.weights, t.terms, queries, k, ngram_range=t.ngram_range, lists=t.lists)
         else:
             words = F.coalesce(F.col("keywords"), text.words(F.lower("text"))).alias("keywords")
-            found = search.keyword_search(t.postings, t.vocabulary, mine.select("query_id", words), k)
+            found = search.keyword_search(t.postings, t.vocabulary, mine.select("query_id", words), k, t.words)
         cut = _cut(found, mine)
         branches[method] = stored(cut) if len(functions) > 1 else cut
         if function in most:

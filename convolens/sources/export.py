@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from convolens.functions.arrays import let
 from convolens.functions.text import SPACE, normalize_body, strip
 from convolens.schema import MESSAGE_SCHEMA
+from convolens.sources import scan
 
 # --- fixed values of the export format ----------------------------------------------------------
 # [day/month/year, hour:minute:second<narrow no-break space>AM|PM]
@@ -77,14 +78,14 @@ def read_export(
 ) -> DataFrame:
     """Read export files into the message table, with ``chat_id`` the file's path.
 
-    Small files take the row-per-file way. In lossless mode larger files are split by the text
-    source itself at line breaks, so one huge chat is read by many tasks. ``seq`` counts a file's
-    messages from 0 either way. Reference mode is a sequential scan of the whole text by definition
-    and always takes a file as one row.
+    Small files take the row-per-file way. Larger files are split by the text source itself at line
+    breaks, so one huge chat is read by many tasks; in reference mode, where a match depends on all
+    text before it, the splits' states are chained (``scan``). ``seq`` counts a file's messages from
+    0 either way.
     """
+    if mode not in ("lossless", "reference"):
+        raise ValueError("mode is 'lossless' or 'reference'")
     size = F.col("_metadata.file_size")
-    if mode == "reference":
-        return parse_export(read_export_text(spark, paths, line_join), mode, **options)
     small = (
         spark.read.text(_paths(paths), wholetext=True)
         .where(size <= whole_file_bytes)
@@ -93,6 +94,12 @@ def read_export(
             join_lines(F.col("value"), line_join).alias("text"),
         )
     )
+    if mode == "reference":
+        found = scan.records(
+            scan.lines_of(spark, _paths(paths), whole_file_bytes, _tidy_line(line_join)), line_join
+        ).where(F.col("text").rlike(MATCH))
+        matches = _matches(small).unionByName(found.select("chat_id", (F.col("nth") - 1).alias("seq"), F.col("text").alias("m")))
+        return _finish(_matched(matches), **options)
     big = _large_file_records(spark, paths, line_join, whole_file_bytes)
     records = _records(small).unionByName(big)
     return _lossless(records, **options)
@@ -110,16 +117,28 @@ def parse_export(exports: DataFrame, mode: str = "lossless", **options) -> DataF
         return _lossless(_records(exports), **options)
     if mode != "reference":
         raise ValueError("mode is 'lossless' or 'reference'")
+    return _finish(_matched(_matches(exports)), **options)
+
+
+def _matches(exports: DataFrame) -> DataFrame:
+    """``(chat_id, seq, m)``: the reference pattern's matches in whole texts."""
+    found = F.posexplode(F.regexp_extract_all("text", F.lit(MATCH), 0)).alias("seq", "m")
+    return exports.select("chat_id", found).withColumn("seq", F.col("seq").cast("long"))
+
+
+def _matched(matches: DataFrame) -> DataFrame:
+    """The parts of the first match in each text."""
     names = ["day", "clock", "half", "user", "body"]
-    matched = exports.select(
-        "chat_id", F.posexplode(F.regexp_extract_all("text", F.lit(MATCH), 0)).alias("seq", "m")
-    ).select(
-        "chat_id",
-        "seq",
-        *[F.regexp_extract("m", MATCH, i).alias(n) for i, n in enumerate(names, 1)],
-        F.lit(False).alias("system"),
-    )
-    return _finish(matched, **options)
+    parts = [F.regexp_extract("m", MATCH, i).alias(n) for i, n in enumerate(names, 1)]
+    return matches.select("chat_id", "seq", *parts, F.lit(False).alias("system"))
+
+
+def _tidy_line(line_join: str) -> Column:
+    """A line of a file as it stands in ``join_lines`` of the whole text."""
+    blank = rf"[{SPACE}&&[^\r\n]]"
+    line = F.regexp_replace("value", r"\r\z", "")
+    line = F.regexp_replace(line, rf"{blank}*\r{blank}*", line_join)
+    return F.translate(F.regexp_replace(line, rf"\A{blank}+|{blank}+\z", ""), LEFT_TO_RIGHT_MARK, "")
 
 
 def export_time(day: Column, clock: Column, half: Column) -> Column:

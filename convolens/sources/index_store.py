@@ -1,25 +1,34 @@
-"""Index tables on shared storage, reused only for the messages they were built from."""
+"""Index tables on shared storage, kept in step with the messages chat by chat.
+
+An index is a list of segments. A segment holds what follows from the messages of some chats alone:
+texts, words, term counts, vectors and counts per word, term and user. A commit lists which chats
+stand in which segment; a chat that is new or has changed goes into a new segment, and only its
+messages are read for that. What depends on all chats (document frequencies, weights) is put
+together from the segments when a version is opened; a version made of one whole segment, such as a
+first build or a compacted one, has it stored as well.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from dataclasses import astuple, dataclass, replace
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from convolens.operators import index
 from convolens.functions.vectors import HASH_DIM
+from convolens.operators import index
 from convolens.operators.embed import Encoder, embed
 from convolens.operators.search import SearchTables
-from convolens.runtime import SALTS
+from convolens.runtime import SALTS, fits, stored
 from convolens.schema import MESSAGE_SCHEMA
 
 # Changes with the layout of the stored tables, so that older ones are not picked up.
-FORMAT = 2
+FORMAT = 3
 
 
 @dataclass(frozen=True)
@@ -47,16 +56,15 @@ class IndexOptions:
     def vectors(self, texts: DataFrame, column: str) -> DataFrame:
         return embed(texts, column, self.encoder_factory, dim=self.dim)
 
+    def root(self, path: str) -> str:
+        return f"{path.rstrip('/')}/index/{self.mark()}"
+
 
 DEFAULT = IndexOptions()
-META_SCHEMA = T.StructType(
-    [
-        T.StructField("fingerprint", T.StringType()),
-        T.StructField("n", T.LongType()),
-        T.StructField("options", T.StringType()),
-        T.StructField("version", T.StringType()),
-    ]
-)
+# One row per commit. ``whole`` says that the tables over all chats are stored with it.
+COMMITS = "commit long, fingerprint string, n long, whole boolean"
+# The chats that a commit puts into a segment, or takes out of the index (null segment).
+CHATS = "chat_id string, fingerprint string, n long, texts long, segment string, commit long"
 # Sort columns of the tables that searches filter by their leading column: sorted files give row
 # groups narrow min/max values, so a search for a few words decodes few of them.
 SORTED = {
@@ -67,41 +75,131 @@ SORTED = {
 }
 
 
+def _marks() -> list:
+    h = F.xxhash64(*MESSAGE_SCHEMA.fieldNames()).cast("decimal(38,0)")
+    return [
+        F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("fingerprint"),
+        F.count(F.lit(1)).alias("n"),
+        F.count("message").alias("texts"),
+    ]
+
+
 def fingerprint(messages: DataFrame) -> tuple[str, int]:
     """Order-independent fingerprint of the message table and its row count, in one aggregate."""
-    h = F.xxhash64(*MESSAGE_SCHEMA.fieldNames()).cast("decimal(38,0)")
-    row = messages.agg(F.sum(h).alias("h"), F.count(F.lit(1)).alias("n")).first()
-    return str(row["h"] or 0), row["n"]
+    row = messages.agg(*_marks()).first()
+    return row["fingerprint"], row["n"]
+
+
+def chat_marks(messages: DataFrame) -> DataFrame:
+    """``(chat_id, fingerprint, n, texts)``, a row per chat."""
+    return messages.groupBy("chat_id").agg(*_marks())
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of the index, empty where nothing was built yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _same_chat(a: DataFrame, b: DataFrame):
+    return a["chat_id"].eqNullSafe(b["chat_id"])
+
+
+def _chats_at(spark: SparkSession, root: str, commit: int) -> DataFrame:
+    """The chats of a version, each with the segment that holds it."""
+    done = [r[0] for r in _read(spark, f"{root}/commits", COMMITS).select("commit").collect()]
+    rows = _read(spark, f"{root}/chats", CHATS).where(F.col("commit").isin([c for c in done if c <= commit]))
+    last = F.max_by(F.struct("fingerprint", "n", "texts", "segment"), "commit")
+    return rows.groupBy("chat_id").agg(last.alias("s")).select("chat_id", "s.*").where("segment IS NOT NULL")
+
+
+def _segments(spark: SparkSession, root: str, commit: int) -> tuple[dict[str, bool], DataFrame]:
+    """Each segment of a version, and whether all of its chats are still current; and the chats."""
+    chats = stored(_chats_at(spark, root, commit))
+    live = dict(map(tuple, chats.groupBy("segment").count().collect()))  # a row per commit at most
+    put = _read(spark, f"{root}/chats", CHATS).where("segment IS NOT NULL").groupBy("segment").count()
+    size = dict(map(tuple, put.collect()))
+    return {s: size[s] == n for s, n in sorted(live.items())}, chats
 
 
 def build(
-    messages: DataFrame,
-    path: str,
-    mark: tuple[str, int] | None = None,
-    options: IndexOptions = DEFAULT,
+    messages: DataFrame, path: str, mark: tuple[str, int] | None = None, options: IndexOptions = DEFAULT
 ) -> str:
-    """Write all index tables below ``path`` and return the version folder.
+    """Bring the index below ``path`` in line with ``messages`` and return the version.
 
-    Texts are cleaned and term counts taken once; vocabulary and weights come from those. The meta
-    table is written last, so a build that stopped half-way is never picked up.
+    Chats are compared by fingerprint with the last version; those that are new or have changed are
+    written as one new segment, and those that are gone are taken out. The commit is written last,
+    so a build that stopped half-way is never picked up. Two builds of one index at a time are not
+    supported.
     """
-    digest, n = mark or fingerprint(messages)
-    version = f"{path.rstrip('/')}/v_{digest.replace('-', 'm')}_{n}_{options.mark()}"
-    spark, o = messages.sparkSession, options
-    read = lambda name: spark.read.parquet(f"{version}/{name}")
-    _write(index.indexable(messages, o.keep_marks).select("chat_id", "seq", "clean_text"), version, "texts")
-    texts = read("texts")
-    _write(_by_word(index.postings_of(texts)), version, "postings")
-    _write(index.word_freq(read("postings")), version, "vocabulary")
-    _write(index.counts_of(texts, o.ngram_range), version, "counts")
-    counts, n_texts = read("counts"), texts.count()
-    _write(index.vocabulary_of(counts, n_texts, o.min_df, o.max_df, o.max_features), version, "terms")
-    _write(_by_word(index.weights_of(counts, read("terms"), o.max_features)), version, "weights")
-    _write(o.vectors(texts, "clean_text").select("chat_id", "seq", "vector"), version, "vectors")
-    _write(index.user_profile(messages), version, "profiles")
-    meta = spark.createDataFrame([(digest, n, options.mark(), version)], META_SCHEMA)
-    meta.coalesce(1).write.mode("append").parquet(f"{path}/meta")
-    return version
+    spark, root = messages.sparkSession, options.root(path)
+    last = _read(spark, f"{root}/commits", COMMITS).agg(F.max("commit")).first()[0]
+    commit, segment = (0 if last is None else last + 1), uuid.uuid4().hex[:12]
+    now = stored(chat_marks(messages))
+    gone, part, changed = None, messages, now
+    if last is not None:
+        before = _chats_at(spark, root, last)
+        same = _same_chat(now, before) & (now["fingerprint"] == before["fingerprint"]) & (now["n"] == before["n"])
+        changed = stored(now.join(before, same, "left_anti"))
+        gone = before.join(now, _same_chat(before, now), "left_anti")
+        few = F.broadcast(changed) if fits(changed) else changed
+        part = messages.join(few, _same_chat(messages, few), "left_semi")
+    whole = last is None or (changed.count() == now.count())
+    _write_segment(part, root, segment, options)
+    rows = changed.withColumn("segment", F.lit(segment))
+    if gone is not None:
+        rows = rows.unionByName(gone.withColumn("segment", F.lit(None).cast("string")))
+    return _commit(spark, root, commit, rows, mark or fingerprint(messages), segment if whole else None, options)
+
+
+def _commit(
+    spark: SparkSession, root: str, commit: int, chats: DataFrame, mark: tuple[str, int], whole: str | None, o: IndexOptions
+) -> str:
+    """List a commit; ``whole`` names its segment if that has all chats."""
+    columns = ["chat_id", "fingerprint", "n", "texts", "segment", F.lit(commit).cast("long").alias("commit")]
+    chats.select(columns).write.mode("append").parquet(f"{root}/chats")
+    if whole:
+        _write_whole(spark, root, whole, commit, o)
+    row = spark.createDataFrame([(commit, mark[0], mark[1], whole is not None)], COMMITS)
+    row.coalesce(1).write.mode("append").parquet(f"{root}/commits")
+    return f"{root}/v{commit}"
+
+
+def _write_segment(messages: DataFrame, root: str, segment: str, o: IndexOptions) -> None:
+    """Texts are cleaned and terms counted once; the other tables come from those."""
+    place = f"{root}/segments/{segment}"
+    read = lambda name: messages.sparkSession.read.parquet(f"{place}/{name}")
+    texts = index.indexable(messages, o.keep_marks)
+    columns = ["chat_id", "seq", "user", "clean_text", F.length("message").alias("chars")]
+    _write(texts.select(columns), place, "texts")
+    _write(index.word_lists(read("texts")), place, "words")
+    _write(index.count_lists(read("texts"), o.ngram_range), place, "counts")
+    vectors = o.vectors(read("texts").select("chat_id", "seq", "clean_text"), "clean_text")
+    _write(vectors.select("chat_id", "seq", "vector"), place, "vectors")
+    _write_sums(messages.sparkSession, place)
+
+
+def _write_sums(spark: SparkSession, place: str) -> None:
+    """Postings and counts of a segment whose lists are written."""
+    read = lambda name: spark.read.parquet(f"{place}/{name}")
+    _write(_by_word(index.postings_in(read("words"))), place, "postings")
+    _write(index.word_freq(read("postings")), place, "vocabulary")
+    _write(index.term_sums(index.counts_in(read("counts"))), place, "sums")
+    _write(index.profile_counts(read("texts")), place, "profiles")
+
+
+def _write_whole(spark: SparkSession, root: str, segment: str, commit: int, o: IndexOptions) -> None:
+    """The tables over all chats, of a version whose one segment has them all."""
+    place, of = f"{root}/whole/{commit}", f"{root}/segments/{segment}"
+    read = lambda name: spark.read.parquet(name)
+    n = read(f"{of}/texts").count()
+    _write(index.vocabulary_in(read(f"{of}/sums"), n, o.min_df, o.max_df, o.max_features), place, "terms")
+    _write(index.weight_lists(read(f"{of}/counts"), read(f"{place}/terms"), o.max_features), place, "lists")
+    _write(_by_word(index.weights_in(read(f"{place}/lists"))), place, "weights")
 
 
 def _by_word(df: DataFrame) -> DataFrame:
@@ -110,10 +208,10 @@ def _by_word(df: DataFrame) -> DataFrame:
     return df.repartition(df.columns[0], salt)
 
 
-def _write(df: DataFrame, version: str, name: str) -> None:
+def _write(df: DataFrame, place: str, name: str) -> None:
     if name in SORTED:
         df = df.sortWithinPartitions(*SORTED[name])
-    df.write.mode("overwrite").parquet(f"{version}/{name}")
+    df.write.mode("overwrite").parquet(f"{place}/{name}")
 
 
 def find(
@@ -122,21 +220,16 @@ def find(
     mark: tuple[str, int] | None = None,
     options: IndexOptions = DEFAULT,
 ) -> str | None:
-    """The version folder built from exactly these messages with these options, if there is one."""
+    """The last version built from exactly these messages with these options, if there is one."""
     digest, n = mark or fingerprint(messages)
-    try:
-        meta = messages.sparkSession.read.schema(META_SCHEMA).parquet(f"{path}/meta")
-        same = (F.col("fingerprint") == digest) & (F.col("n") == n) & (F.col("options") == options.mark())
-        found = meta.where(same).first()
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":  # nothing was built here yet
-            return None
-        raise
-    return found["version"] if found else None
+    root = options.root(path)
+    commits = _read(messages.sparkSession, f"{root}/commits", COMMITS)
+    found = commits.where((F.col("fingerprint") == digest) & (F.col("n") == n)).agg(F.max("commit")).first()[0]
+    return None if found is None else f"{root}/v{found}"
 
 
 def build_or_load(messages: DataFrame, path: str, options: IndexOptions = DEFAULT) -> SearchTables:
-    """Open the index of these messages, building it where there is none.
+    """Open the index of these messages, bringing it in line where it is not.
 
     The fingerprint reads the messages once. ``load`` opens a known version without that.
     """
@@ -145,38 +238,137 @@ def build_or_load(messages: DataFrame, path: str, options: IndexOptions = DEFAUL
     return load(messages, version, options)
 
 
+class Version:
+    """The tables of a version, put together from its segments."""
+
+    def __init__(self, spark: SparkSession, version: str, options: IndexOptions):
+        self.spark, self.options = spark, options
+        self.root, commit = version.rsplit("/v", 1)
+        self.commit = int(commit)
+        self.segments, self.chats = _segments(spark, self.root, self.commit)
+        row = _read(spark, f"{self.root}/commits", COMMITS).where(F.col("commit") == self.commit).first()
+        if row is None:
+            raise ValueError(f"no such version: {version}")
+        self.whole = row["whole"]
+
+    def _segment(self, segment: str, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/segments/{segment}/{name}")
+
+    def _current(self, segment: str, df: DataFrame) -> DataFrame:
+        """The rows of chats that the segment still stands for."""
+        if self.segments[segment]:
+            return df
+        chats = self.chats.where(F.col("segment") == segment).select("chat_id")
+        return df.join(chats, _same_chat(df, chats), "left_semi")
+
+    def _union(self, parts: list[DataFrame], name: str) -> DataFrame:
+        if not parts:  # every chat is gone
+            anywhere = _read(self.spark, f"{self.root}/chats", CHATS).where("segment IS NOT NULL").first()
+            return self._segment(anywhere["segment"], name).limit(0)
+        return reduce(DataFrame.unionByName, parts)
+
+    def rows(self, name: str) -> DataFrame:
+        """A table that has the chat in every row."""
+        return self._union([self._current(s, self._segment(s, name)) for s in self.segments], name)
+
+    def sums(self, name: str, again: Callable[[str], DataFrame], keys: list[str]) -> DataFrame:
+        """A table of counts: summed over segments, counted again where chats have left one."""
+        if len(self.segments) == 1 and all(self.segments.values()):
+            return self._segment(next(iter(self.segments)), name)
+        parts = [self._segment(s, name) if clean else again(s) for s, clean in self.segments.items()]
+        both = self._union(parts, name)
+        values = [c for c in both.columns if c not in keys]
+        return stored(both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in values]))
+
+    def vocabulary(self) -> DataFrame:
+        again = lambda s: index.word_freq(self._current(s, self._segment(s, "postings")))
+        return self.sums("vocabulary", again, ["word"])
+
+    def profiles(self) -> DataFrame:
+        """``user_profile`` of the version's messages."""
+        again = lambda s: index.profile_counts(self._current(s, self._segment(s, "texts")))
+        return index.profiles_in(self.sums("profiles", again, ["user", "word"]))
+
+    def terms(self) -> DataFrame:
+        if self.whole:
+            return self.spark.read.parquet(f"{self.root}/whole/{self.commit}/terms")
+        o = self.options
+        again = lambda s: index.term_sums(index.counts_in(self._current(s, self._segment(s, "counts"))))
+        n = self.chats.agg(F.sum("texts")).first()[0] or 0
+        return stored(index.vocabulary_in(self.sums("sums", again, ["term"]), n, o.min_df, o.max_df, o.max_features))
+
+    def weights(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Weights with a row per message, and with a row per message and term."""
+        if self.whole:
+            place = f"{self.root}/whole/{self.commit}"
+            return self.spark.read.parquet(f"{place}/lists"), self.spark.read.parquet(f"{place}/weights")
+        lists = index.weight_lists(self.rows("counts"), terms, self.options.max_features)
+        return lists, index.weights_in(lists)
+
+
 def load(messages: DataFrame, version: str, options: IndexOptions = DEFAULT) -> SearchTables:
-    read = lambda name: messages.sparkSession.read.parquet(f"{version}/{name}")
+    """The search tables of a version.
+
+    Weights depend on the document frequencies over all chats. Where they are not stored (a version
+    of several segments) they are computed in the rows of every scan; ``compact`` stores them.
+    """
+    v = Version(messages.sparkSession, version, options)
+    terms = v.terms()
+    lists, weights = v.weights(terms)
     return SearchTables(
         messages=messages,
-        postings=read("postings"),
-        vocabulary=read("vocabulary"),
-        terms=read("terms"),
-        weights=read("weights"),
-        vectors=read("vectors"),
+        postings=v.rows("postings"),
+        vocabulary=v.vocabulary(),
+        terms=terms,
+        weights=weights,
+        vectors=v.rows("vectors"),
+        words=v.rows("words"),
+        lists=lists,
         ngram_range=options.ngram_range,
         encode=options.vectors,
     )
 
 
+def compact(spark: SparkSession, path: str, options: IndexOptions = DEFAULT) -> str | None:
+    """Put the last version's segments together into one, with stored weights; its new name.
+
+    No text is cleaned and no vector computed again. None where nothing was built.
+    """
+    root = options.root(path)
+    last = _read(spark, f"{root}/commits", COMMITS).orderBy(F.desc("commit")).first()
+    if last is None:
+        return None
+    old, segment = Version(spark, f"{root}/v{last['commit']}", options), uuid.uuid4().hex[:12]
+    for name in ("texts", "words", "counts", "vectors"):
+        _write(old.rows(name), f"{root}/segments/{segment}", name)
+    _write_sums(spark, f"{root}/segments/{segment}")
+    rows = old.chats.withColumn("segment", F.lit(segment))
+    return _commit(spark, root, last["commit"] + 1, rows, (last["fingerprint"], last["n"]), segment, options)
+
+
 def clear(spark: SparkSession, path: str) -> None:
-    """Forget every stored index: the meta table is overwritten with an empty one."""
-    spark.createDataFrame([], META_SCHEMA).write.mode("overwrite").parquet(f"{path}/meta")
+    """Delete every index below ``path``, all options, versions and segments."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/index")
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def in_memory(messages: DataFrame, options: IndexOptions = DEFAULT) -> SearchTables:
     """The same tables as plans, for a one-off search."""
     o = options
     texts = index.indexable(messages, o.keep_marks)
-    postings, counts = index.postings_of(texts), index.counts_of(texts, o.ngram_range)
-    terms = index.vocabulary_of(counts, texts.count(), o.min_df, o.max_df, o.max_features)
+    words, counts = index.word_lists(texts), index.count_lists(texts, o.ngram_range)
+    postings = index.postings_in(words)
+    terms = index.vocabulary_of(index.counts_in(counts), texts.count(), o.min_df, o.max_df, o.max_features)
+    lists = index.weight_lists(counts, terms, o.max_features)
     return SearchTables(
         messages=messages,
         postings=postings,
         vocabulary=index.word_freq(postings),
         terms=terms,
-        weights=index.weights_of(counts, terms, o.max_features),
+        weights=index.weights_in(lists),
         vectors=o.vectors(texts, "clean_text").select("chat_id", "seq", "vector"),
+        words=words,
+        lists=lists,
         ngram_range=o.ngram_range,
         encode=o.vectors,
     )

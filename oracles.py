@@ -7,6 +7,7 @@ import unicodedata
 from convolens.fixtures import (
     AS_OF,
     EMOJI_SHIFTS,
+    EMPHASIS,
     LEXICON,
     MARKERS,
     MOODS,
@@ -312,6 +313,49 @@ sent AS (
   FROM rep LEFT JOIN sums USING (chat_id, seq) GROUP BY "user")"""
 
 
+EMPHATIC = f"""msg AS (
+  SELECT conv_id::VARCHAR AS chat_id, turn AS seq, role AS "user",
+         {case(f'((conv_id + turn) % {len(EMPHASIS)})', [e[0] for e in EMPHASIS])} || text
+         || {case(f'((conv_id + turn) % {len(EMPHASIS)})', [e[1] for e in EMPHASIS])} AS message
+  FROM conversations)"""
+# A step in capitals counts 0.733 more, whatever its direction.
+_SA, _SB, _SC = (
+    f"(CASE WHEN {x} IN ('very', 'so', 'really') THEN 0.293 + CASE WHEN u{x} THEN 0.733 ELSE 0 END ELSE 0 END)" for x in "abc"
+)
+EMPHASISED = f"""lex AS (SELECT token, valence::DOUBLE AS valence FROM (VALUES {_LEX}) v(token, valence)),
+words AS (
+  SELECT chat_id, seq, message, list_transform(regexp_extract_all(message, '[{WORD}'']+'), lambda t: replace(t, chr(39), '')) AS w
+  FROM rep),
+caps AS (
+  SELECT *, list_transform(w, lambda t: lower(t)) AS t,
+         list_transform(w, lambda t: upper(t) = t AND lower(t) <> t) AS u FROM words),
+loud AS (
+  SELECT *, list_position(t, 'but') AS turn, len(list_filter(u, lambda x: x)) BETWEEN 1 AND len(u) - 1 AS mixed FROM caps),
+each AS (SELECT *, unnest(generate_series(1, len(t))) AS i FROM loud),
+ctx AS (
+  SELECT chat_id, seq, t[i] AS token, i, turn, mixed AND u[i] AS own,
+         CASE WHEN i > 1 THEN t[i - 1] END AS a, CASE WHEN i > 2 THEN t[i - 2] END AS b, CASE WHEN i > 3 THEN t[i - 3] END AS c,
+         mixed AND i > 1 AND u[greatest(i - 1, 1)] AS ua, mixed AND i > 2 AND u[greatest(i - 2, 1)] AS ub,
+         mixed AND i > 3 AND u[greatest(i - 3, 1)] AS uc
+  FROM each),
+vals AS (
+  SELECT chat_id, seq,
+         (valence + sign(valence) * (CASE WHEN own THEN 0.733 ELSE 0 END + 1.0 * {_SA} + 0.95 * {_SB} + 0.9 * {_SC}))
+         * CASE WHEN coalesce(a IN ('not'), false) OR coalesce(b IN ('not'), false)
+                  OR coalesce(c IN ('not'), false) THEN -0.74 ELSE 1 END
+         * CASE WHEN turn IS NULL OR turn = 0 OR i = turn THEN 1.0 WHEN i < turn THEN 0.5 ELSE 1.5 END AS v
+  FROM ctx JOIN lex USING (token)),
+raw AS (SELECT chat_id, seq, sum(v) AS s FROM vals GROUP BY ALL),
+marks AS (
+  SELECT chat_id, seq, least(len(message) - len(replace(message, '!', '')), 4) * 0.292
+         + CASE WHEN q > 3 THEN 0.96 WHEN q > 1 THEN q * 0.18 ELSE 0 END AS m
+  FROM (SELECT *, len(message) - len(replace(message, '?', '')) AS q FROM rep)),
+sums AS (SELECT chat_id, seq, s + sign(s) * m AS s FROM raw JOIN marks USING (chat_id, seq)),
+sent AS (
+  SELECT "user", {r('avg(coalesce(s / sqrt(s * s + 15), 0))')} AS avg_sentiment
+  FROM rep LEFT JOIN sums USING (chat_id, seq) GROUP BY "user")"""
+
+
 def stop_list() -> str:
     return ", ".join(q(w) for w in STOP_WORDS)
 
@@ -424,6 +468,8 @@ def oracle_sql() -> dict[str, str]:
     body = 'SELECT date_time, "user", message_type, message FROM parsed'
     add("ingest_export", MSG, PARSED, body=body)
     add("ingest_large_export", MSG, PARSED, body=body)
+    # No text holds a bracket and every line has a sender, so both modes cut alike.
+    add("ingest_reference_export", MSG, PARSED, body=body)
     answers = f"""
   UNION ALL SELECT chat_id || '-' || seq, date_time, NULL, 'System', 'messages are encrypted' FROM sent
   UNION ALL SELECT chat_id || '-' || seq, date_time, 'Bo', 'Text', {BO} || ' [ok] thanks' FROM sent"""
@@ -479,6 +525,7 @@ def oracle_sql() -> dict[str, str]:
     add("user_activity_by_chat", DOC, REPORTABLE, activity("chat_id"), body="SELECT * FROM act")
     add("sentiment_by_user", MSG, REPORTABLE, sentiment(), body="SELECT * FROM sent")
     add("sentiment_rules", MOOD, REPORTABLE, RULES, body="SELECT * FROM sent")
+    add("sentiment_emphasis", EMPHATIC, REPORTABLE, EMPHASISED, body="SELECT * FROM sent")
     add("sentiment_by_chat", DOC, REPORTABLE, sentiment("chat_id"), body="SELECT * FROM sent")
     cols = ["avg_response_sec", "longest_silence_sec"]
     for name, col in zip(["response_time", "longest_silence"], cols):
@@ -515,6 +562,7 @@ def oracle_sql() -> dict[str, str]:
     add("tfidf_weights", MSG, CLEAN, TF, TERMS, WEIGHTS, body=weights)
     add("tfidf_weights_documents", DOC, CLEAN, TF, TERMS, WEIGHTS, body=weights)
     add("index_roundtrip", MSG, CLEAN, TF, TERMS, WEIGHTS, body=weights)
+    add("index_segments", MSG, CLEAN, TF, TERMS, WEIGHTS, body=weights)
     add(
         "index_uncapped", MSG, CLEAN,
         body=f"""SELECT term, df, total, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf FROM (

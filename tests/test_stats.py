@@ -102,6 +102,63 @@ def test_sentiment_rules(spark, chat):
     assert ruled["f"] == pytest.approx(s(-2 * -0.74))
 
 
+def by_hand(message, lex, rules, emphasis):
+    """Sentiment of one message, word by word."""
+    import re
+
+    from convolens.operators import sentiment as m
+
+    words = [w.replace("'", "") for w in re.findall(r"[\w']+", message)]
+    caps = [w.isupper() for w in words]
+    mixed = emphasis and 0 < sum(caps) < len(caps)
+    words = [w.lower() for w in words]
+    total = 0.0
+    for i, w in enumerate(words):
+        v = sign = lex.get(w, 0.0)
+        sign = (sign > 0) - (sign < 0)
+        v += sign * 0.733 * (mixed and caps[i])
+        if rules:
+            for d, share in ((1, 1.0), (2, 0.95), (3, 0.9)):
+                if i >= d and words[i - d] in m.BOOSTERS + m.DAMPENERS:
+                    step = 0.293 if words[i - d] in m.BOOSTERS else -0.293
+                    v += sign * share * (step + 0.733 * (mixed and caps[i - d]))
+            if any(i >= d and words[i - d] in m.NEGATIONS for d in (1, 2, 3)):
+                v *= -0.74
+        if emphasis and "but" in words:
+            v *= 0.5 if i < words.index("but") else 1.5 if i > words.index("but") else 1
+        total += v
+    if emphasis:
+        q = message.count("?")
+        add = min(message.count("!"), 4) * 0.292 + (0.96 if q > 3 else q * 0.18 if q > 1 else 0)
+        total += ((total > 0) - (total < 0)) * add
+    return total / (total * total + 15) ** 0.5
+
+
+@pytest.mark.parametrize("rules", [False, True])
+@pytest.mark.parametrize("emphasis", [False, True])
+@pytest.mark.parametrize("small", [True, False])
+def test_sentiment_equals_a_plain_computation(spark, chat, monkeypatch, rules, emphasis, small):
+    from convolens.operators import sentiment
+
+    lex = {"good": 2.0, "bad": -2.5, "fine": 0.5, "but": 0.25}
+    table = spark.createDataFrame([*lex.items(), ("good", 1.0), (None, 9.0)], "token string, valence double")
+    rng = random.Random(4)
+    pool = "good GOOD bad BAD fine but BUT not never very VERY hardly HARDLY day it's Don't ok !!! ? ??".split()
+    texts = [" ".join(rng.choices(pool, k=rng.randrange(1, 9))) for _ in range(300)] + ["!", "GOOD", "?????", "good?????!!!!!!"]
+    if not small:
+        monkeypatch.setattr(sentiment, "fits", lambda df: False)
+    df = chat([("c", i, i, "u", t) for i, t in enumerate(texts)] + [("c", 9000, 1, "u", None), ("c", 9001, 1, "u", " ")])
+    got = as_dict(sentiment.message_sentiment(df, table, (), rules, emphasis), "seq", "sentiment")
+    assert got == pytest.approx({i: by_hand(t, lex, rules, emphasis) for i, t in enumerate(texts)})
+
+
+def test_sentiment_needs_no_shuffle_below_the_mean(spark, chat):
+    lex = spark.createDataFrame([("good", 2.0)], "token string, valence double")
+    df = chat([("c", i, i, f"u{i % 3}", "so good") for i in range(20)])
+    plan = plan_of(stats.sentiment_by_user(df, lex, ("chat_id",), rules=True, emphasis=True))
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_user_and_recent_messages(spark, chat):
     import datetime as dt
 
