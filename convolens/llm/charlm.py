@@ -179,6 +179,56 @@ def readings(model: CharModel, span: str) -> list[str]:
     return list(out)
 
 
+# One letter of each group of letters that a lookalike can stand for; "1" and "|" are i or l.
+_GROUPS = {"l": "i"}
+WILD = "*"
+_CLASS = {c: _GROUPS.get(r[0], r[0]) for c, r in LOOKALIKES.items() if c != WILD} | _GROUPS
+_DOUBLE = re.compile(r"(.)\1+", re.DOTALL)
+
+
+def skeleton(span: str) -> str | None:
+    """What all readings of a span have in common: letters that lookalikes mix up are one letter, signs
+    that can only be dropped are gone, and repeats are one. None if the span holds a wild card.
+
+    Every word that ``decode`` reads in the span has a skeleton that is part of the span's, without
+    blanks in the span all of it: a character is read as a letter of its class, or dropped as a sign
+    or as a repeat.
+    """
+    if WILD in span:
+        return None
+    kept = [_CLASS.get(c, c) for c in span.lower() if c in _CLASS or c.isalpha()]
+    return _DOUBLE.sub(r"\1", "".join(kept))
+
+
+class Skeletons:
+    """Whether a reading can be one of some terms (a term that ends with ``*`` is a beginning)."""
+
+    def __init__(self, terms):
+        shapes = [(skeleton(t.removesuffix("*")), t.endswith("*")) for t in terms]
+        # A term with a wild card of its own has no skeleton; nothing is ruled out then.
+        self.open = any(not shape for shape, _ in shapes)
+        self.whole = {shape for shape, begins in shapes if not begins}
+        self.starts = {shape for shape, begins in shapes if begins}
+        self.lengths = sorted({len(s) for s in self.starts if s})
+        parts = sorted({s for s in self.whole | self.starts if s}, key=len)
+        self.inside = re.compile("|".join(map(re.escape, parts))) if parts else None
+
+    def word(self, word: str) -> bool:
+        """Whether a word without blanks may be read as a term."""
+        for part in {_inner(word, LOOKALIKES), _inner(word, ())}:
+            shape = skeleton(part)
+            if self.open or shape is None or shape in self.whole:
+                return True
+            if any(shape[:n] in self.starts for n in self.lengths if n <= len(shape)):
+                return True
+        return False
+
+    def run(self, run: str) -> bool:
+        """Whether any word read in a run may be a term."""
+        shape = skeleton(run)
+        return self.open or shape is None or bool(self.inside and self.inside.search(shape))
+
+
 class Restorer:
     """Restores whole texts word by word, remembering words met before."""
 

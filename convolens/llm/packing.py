@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convolens.llm.common import RESERVED, kept, map_batches, numbered
+from convolens.llm.common import RESERVED, kept, map_batches, numbered, slices
 from convolens.llm.tokens import vocabulary, word_ids
 
 CAPACITY = 4096
@@ -46,7 +46,7 @@ def tokenized(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 ids = encoder.ids(text.as_py() or "") + END

@@ -162,14 +162,6 @@ def _beyond(spans: list[tuple[int, int, str]], base: list[tuple[int, int, str]])
     return [s for s in spans if not (i := bisect_right(starts, s[0])) or joined[i - 1][1] < s[1]]
 
 
-def _apart(spans: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The spans that overlap none of ``base``, which is in order of start."""
-    starts = [s[0] for s in base]
-    # The furthest end so far: spans of different kinds may contain each other.
-    reach = list(accumulate((s[1] for s in base), max))
-    return [s for s in spans if not (i := bisect_left(starts, s[1])) or reach[i - 1] <= s[0]]
-
-
 def digest(docs: DataFrame, primer: bytes) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)`` of documents ``(doc_id, text)``."""
 

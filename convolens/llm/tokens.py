@@ -2,19 +2,21 @@
 
 Both encoders cut a text where the library's own rules always cut it, look each piece up and ask
 the library only about pieces not met yet. Texts for which the cut is not certain go through the
-library whole. Memories are emptied at ``MEMORY`` entries, which bounds a worker's memory.
+library whole. Memories are bounded in bytes.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-MEMORY = 500_000
+# Bytes of one memory, and of a dictionary's own entry.
+MEMORY, ENTRY = 40 << 20, 100
 # How a byte-level vocabulary writes bytes: printable Latin-1 characters stand for themselves, the
 # others follow from U+0100 on. Public rule of this kind of vocabulary.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -31,14 +33,19 @@ def byte_text(text: str) -> str:
 
 
 class Memo(dict):
-    """A dictionary that fills itself by ``find``."""
+    """A dictionary that fills itself by ``find``, and is emptied when it takes more than ``MEMORY`` bytes."""
 
     def __init__(self, find):
         super().__init__()
-        self.find = find
+        self.find, self.used = find, 0
 
     def __missing__(self, key):
-        value = self[key] = self.find(key)
+        value = self.find(key)
+        self.used += getsizeof(key) + getsizeof(value) + ENTRY
+        if self.used > MEMORY:
+            self.clear()
+            self.used = getsizeof(key)
+        self[key] = value
         return value
 
 
@@ -68,8 +75,6 @@ class ByteCounter:
     def count(self, text: str) -> int:
         if self.RARE.search(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False))
-        if len(self.counts) > MEMORY:
-            self.counts.clear()
         for special in self.special:
             if special in text:
                 parts = text.split(special)
@@ -114,10 +119,6 @@ class WordIds:
         if "<|" in text or self.RARE.search(text):
             found = self.tokenizer.encode(text, add_special_tokens=False)
             return np.array(found.ids, dtype="<u4").tobytes()
-        if len(self.words) > MEMORY:
-            self.words.clear()
-        if len(self.pieces) > MEMORY:
-            self.pieces.clear()
         return b"".join(map(self.words.__getitem__, text.split()))
 
 

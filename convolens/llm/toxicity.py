@@ -16,11 +16,11 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolens.llm.charlm import SPACED, CharModel, Restorer, trigram_counts
-from convolens.llm.common import kept, map_batches, slices
+from convolens.llm.charlm import SPACED, CharModel, Restorer, Skeletons, trigram_counts
+from convolens.llm.common import STEP_ROWS, kept, map_batches, slices
 from convolens.llm.tokens import Memo
 
 # The fit uses this many labelled rows of each class at most; so few ids can be broadcast.
@@ -33,8 +33,8 @@ TERMS = 200_000
 # Terms that make toxicity likelier than this enter the score.
 CHANCE = 0.5
 STEMS = range(4, 8)
-# Words that a task remembers, and counts that it gathers before it sends them on.
-MEMORY, GATHERED = 100_000, 200_000
+# Counts that a task gathers before it sends them on.
+GATHERED = 200_000
 THRESHOLD = 0.7
 
 
@@ -65,22 +65,30 @@ def family(text: str, words: int = 5) -> int:
 class Reader:
     """What ``wanted`` finds for the distinct words of a text; it is given the cores of all readings of a word.
 
-    A word counts as it stands and as the decoder reads it, alike in learning and in scoring.
+    A word counts as it stands and as the decoder reads it, alike in learning and in scoring. Where
+    ``wanted`` looks for known terms only, give them: a word or run whose skeleton rules all of them
+    out has no reading that could be one, so it is not decoded.
     """
 
-    def __init__(self, model: CharModel, wanted):
+    def __init__(self, model: CharModel, wanted, known=None):
         self.restorer, self.wanted = Restorer(model), wanted
         self.words = Memo(self._word)
+        self.skeletons = None if known is None else Skeletons(known)
 
     def _word(self, word: str):
-        cores = dict.fromkeys(core(w) for reading in self.restorer.all(word) for w in reading.split() or [""])
+        plain = self.skeletons and not self.skeletons.word(word)
+        readings = [word.lower()] if plain else self.restorer.all(word)
+        cores = dict.fromkeys(core(w) for reading in readings for w in reading.split() or [""])
         return self.wanted([c for c in cores if c])
 
+    def _run(self, run: str) -> str:
+        if self.skeletons and not self.skeletons.run(run):
+            return " "
+        return f" {self.restorer.runs(run)} "
+
     def split(self, text: str) -> list[str]:
         """Words of the text, letter-by-letter writing restored."""
-        if len(self.words) > MEMORY:
-            self.words.clear()
-        return SPACED.sub(lambda m: f" {self.restorer.runs(m.group())} ", text).split()
+        return SPACED.sub(lambda m: self._run(m.group()), text).split()
 
     def read(self, text: str) -> set:
         return set(map(self.words.__getitem__, self.split(text))) - {None}
@@ -97,7 +105,7 @@ class ToxicityModel:
             found = [(self.chances[t], w) for w in words for t in terms(w) if t in self.chances]
             return max(found)[::-1] if found else None
 
-        return Reader(CharModel(self.grams), wanted)
+        return Reader(CharModel(self.grams), wanted, self.chances)
 
     def score(self, reader: Reader, text: str | None) -> float:
         clean = 1 - self.base
@@ -110,7 +118,7 @@ def _counts(docs: DataFrame, model: CharModel, allowed: frozenset) -> DataFrame:
     """``(term, n)``: documents with each of the allowed terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model, lambda ws: tuple({t for w in ws for t in terms(w)} & allowed) or None)
+        reader = Reader(model, lambda ws: tuple({t for w in ws for t in terms(w)} & allowed) or None, allowed)
         total: Counter = Counter()
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
@@ -247,18 +255,24 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, d
     replaced, every row gives a row; ``drop_text`` leaves the text out.
     """
     plain = docs.drop("score", "predicted")
-    shared = plain.sparkSession.sparkContext.broadcast(model)  # terms and trigrams, both bounded
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if not (drop_text and f.name == "text"))
+    scored = plain.withColumn("score", score_column(plain.sparkSession, model, F.col("text")))
+    kept_columns = [c for c in plain.columns if not (drop_text and c == "text")]
+    return scored.select(*kept_columns, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
+    """The score of a text column. Only texts go to the Python workers, and only scores come back."""
+    shared = spark.sparkContext.broadcast(model)  # terms and trigrams, both bounded
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = shared.value.reader()
-        for batch in slices(batches):
-            scores = [shared.value.score(reader, t) for t in batch.column("text").to_pylist()]
-            rest = batch.drop_columns(["text"]) if drop_text else batch
-            yield rest.append_column("score", pa.array(scores, pa.float64()))
+        for batch in batches:
+            texts = (t for i in range(0, len(batch), STEP_ROWS) for t in batch.slice(i, STEP_ROWS).to_pylist())
+            yield pa.array([shared.value.score(reader, t) for t in texts], pa.float64())
 
-    scored = plain.mapInArrow(run, f"{kinds}, score double")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # A filter on the score must not work it out a second time.
+    return F.arrow_udf(run, "double").asNondeterministic()(text)
 
 
 def restore(docs: DataFrame, grams: dict[int, int]) -> DataFrame:

@@ -69,6 +69,63 @@ def test_every_disguise_is_decoded(model):
     assert all(fitted.score(reader, t) < 0.7 for t in ("a good book, well-known", "* * *", "1 + 1", "as the + of it"))
 
 
+def test_skeletons_rule_out_nothing_that_counts(model):
+    rng = np.random.default_rng(7)
+    chances = dict.fromkeys(("idiot", "stup*", "scum", "ass", "moron", "k", "it's", "patheti*", "zzyx"), 0.9)
+    fitted = toxicity.ToxicityModel(model[0].grams, chances, 0.01)
+    filtered, plain = fitted.reader(), fitted.reader()
+    plain.skeletons = None
+    swaps = {r: [c for c, letters in charlm.LOOKALIKES.items() if r in letters] for r in "abcdefghijklmnopqrstuvwxyz"}
+    words = ["idiot", "stupid", "scum", "asset", "morons", "kk", "its", "pathetic", "little", "quick", "glass", "zyx", "mass"]
+    texts = []
+    for _ in range(600):
+        out = []
+        for w in rng.choice(words, 3):
+            for c in w:
+                c = str(rng.choice(swaps[c])) if swaps[c] and rng.random() < 0.3 else c
+                out.append((c.upper() if rng.random() < 0.1 else c) * int(rng.choice([1, 1, 1, 2])))
+                out.append(str(rng.choice(["", "", "", ".", " ", "-", ", ", "&", "!"])))
+            out.append(" ")
+        texts.append("".join(out))
+    scores = [fitted.score(filtered, t) for t in texts]
+    assert scores == [fitted.score(plain, t) for t in texts]
+    assert 100 < sum(s > 0.7 for s in scores) < 600
+
+
+def test_skeletons():
+    assert charlm.skeleton("1d-10OT!") == charlm.skeleton("idiloti") == "idioti"
+    assert charlm.skeleton("a*b") is None and charlm.skeleton(" & ") == ""
+
+
+def test_the_decoder_finds_the_best_reading():
+    """Against all readings of short words."""
+    grams = charlm.count_trigrams("idiot idol total bottle title lilt boot tool ideal " * 3)
+    lm = charlm.CharModel({int(g): int(grams[g]) for g in np.flatnonzero(grams)})
+
+    def every(span, at=0, letters="", cost=0.0):
+        if at == len(span):
+            path, before = 0.0, "  "
+            for c in letters:
+                known = c if c in charlm._AT else charlm.OTHER
+                path, before = path + lm.log(before, known), before[1] + known
+            yield cost + path + lm.log(before, charlm.EDGE), letters
+            return
+        ch = span[at]
+        if ch.isalpha():
+            yield from every(span, at + 1, letters + ch, cost)
+        for r in charlm.LOOKALIKES.get(ch, ""):
+            yield from every(span, at + 1, letters + r, cost + charlm.SWAPPED)
+        if ch in charlm.SEPARATORS or not (ch.isalpha() or ch in charlm.LOOKALIKES):
+            yield from every(span, at + 1, letters, cost + charlm.DROPPED)
+        elif at and ch == span[at - 1]:
+            yield from every(span, at + 1, letters, cost + charlm.SQUEEZED)
+
+    for span in ("1d10t", "b00-t", "t1tl3", "id.e4l", "lillt", "to|al", "b*tt1e", "&x&", "7oo1", "ii11"):
+        best = max(every(span))[0]
+        got = charlm.decode(lm, span)
+        assert max(s for s, letters in every(span) if letters == got) == pytest.approx(best), span
+
+
 def test_toxicity_of_odd_texts(spark, model):
     df = spark.createDataFrame([(None, t) for t in ODD + ODD], "doc_id long, text string")
     rows = toxicity.score(df, model[0], drop_text=True).collect()
