@@ -26,6 +26,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores until no column of the frames has it (case does not count)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows`` rows, so that few texts at a time become Python strings."""
     for batch in batches:

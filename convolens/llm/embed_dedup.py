@@ -94,7 +94,10 @@ def exact_links(classes: DataFrame, threshold: float, paired: int, tile: int) ->
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("_other"))
     ends = [F.least("tile", "_other").alias("lo"), F.greatest("tile", "_other").alias("hi")]
-    pairs = met.select("dim", *ends, "tile", "rep", "n", "v").groupBy("dim", "lo", "hi")
+    # A number of partitions given here is kept; merged by size, all pairs of tiles could be one task.
+    parts = max(classes.sparkSession.sparkContext.defaultParallelism, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    meeting = met.select("dim", *ends, "tile", "rep", "n", "v").repartition(parts, "dim", "lo", "hi")
+    pairs = meeting.groupBy("dim", "lo", "hi")
     return pairs.applyInArrow(lambda t: tile_links(t, threshold), "rep long, root long, more long")
 
 

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convolens.llm.common import in_order, kept
+from convolens.llm.common import free_name, in_order, kept
 
 # Relative rates at equally spaced times, per schedule; a source takes the schedule of its place.
 SCHEDULES = ((1.0, 1.0, 1.0, 1.0, 1.0), (2.0, 1.5, 1.0, 0.5, 0.25), (0.25, 0.5, 1.0, 1.5, 2.0))
@@ -164,16 +164,17 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     exist one of them takes all their positions.
     """
     columns = docs.columns
-    keyed = docs.withColumn("_mix_hash", F.xxhash64(*columns))
-    keyed = keyed.withColumn("_mix_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    plan, _ = curriculum(keyed.select("_mix_id", "_mix_hash", "source", "text"), keys=("_mix_id", "_mix_hash"), **options)
-    served = kept(plan.select("_mix_id", "_mix_hash", "positions"), "plan")
-    rows = served.groupBy("_mix_id", "_mix_hash").agg(F.count(F.lit(1)).alias("n"))
+    row, name, place = (free_name(f"_mix_{c}", docs) for c in ("hash", "id", "position"))
+    keyed = docs.withColumn(row, F.xxhash64(*columns))
+    keyed = keyed.withColumn(name, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    plan, _ = curriculum(keyed.select(name, row, "source", "text"), keys=(name, row), **options)
+    served = kept(plan.select(name, row, "positions"), "plan")
+    rows = served.groupBy(name, row).agg(F.count(F.lit(1)).alias("n"))
     if not rows.where("n > 1").isEmpty():
         listed = F.flatten(F.collect_list("positions")).alias("positions")
-        served = served.groupBy("_mix_id", "_mix_hash").agg(listed)
-        keyed = keyed.dropDuplicates(["_mix_id", "_mix_hash"])
-    copies = served.select("_mix_id", "_mix_hash", F.explode("positions").alias("_mix_position"))
-    placed = keyed.join(copies, ["_mix_id", "_mix_hash"])
-    order = ["_mix_position", "_mix_id", "_mix_hash"]
+        served = served.groupBy(name, row).agg(listed)
+        keyed = keyed.dropDuplicates([name, row])
+    copies = served.select(name, row, F.explode("positions").alias(place))
+    placed = keyed.join(copies, [name, row])
+    order = [place, name, row]
     return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from convolens.llm.common import kept, map_batches
 from convolens.llm.components import components
+from convolens.runtime import join_small
 
 BITS = 64
 WORDS = 4
@@ -57,16 +58,21 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(doc_id, fp)`` of documents with ``doc_id`` and ``text``; ``fp`` holds the bits as a long."""
+def fingerprints(docs: DataFrame, words: int = WORDS, row: str | None = None) -> DataFrame:
+    """``(doc_id, fp)`` of documents with ``doc_id`` and ``text``; ``fp`` holds the bits as a long.
+
+    ``row`` names a column of longs that tells rows of one id apart; it is passed on as ``row``.
+    """
+    more = ["row"] if row else []
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"]
-        )
+        names = ["doc_id", *more]
+        columns = [batch.column(c) for c in names]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(prints.view(np.int64))], [*names, "fp"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), step, "doc_id long, fp long")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(row).alias("row")] if row else [])]
+    return map_batches(docs.select(columns), step, "doc_id long, " + "row long, " * len(more) + "fp long")
 
 
 def blocks_for(n: int, distance: int) -> int:
@@ -140,21 +146,27 @@ def close_links(prints: DataFrame, distance: int = DISTANCE, paired: int = PAIRE
     return small.unionByName(large).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, **options) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, row: str | None = None, **options
+) -> DataFrame:
     """``(doc_id, fingerprint, component_id, n_same)``, a row per document.
 
+    ``row`` names a column of longs that is passed on as ``row``, to tell rows of one id apart.
+
     ``component_id`` is the smallest ``doc_id`` reachable by steps of at most ``distance`` bits;
     ``n_same`` counts documents with the same fingerprint. Null and empty texts have fingerprint
     zero and link like any other. A row with a null ``doc_id`` links too but cannot name a
     component; where no row of a component has an id, it is null. Repeated rows stay. An empty
     table gives an empty one.
     """
-    marked = kept(fingerprints(docs, words), "fingerprints")
+    marked = kept(fingerprints(docs, words, row), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_same"))
     prints = kept(distinct, "prints")
     groups = components(close_links(prints.select("fp"), distance, **options)).withColumnRenamed("node", "fp")
     joined = prints.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labelled = joined.join(least, "component").select("fp", "n_same", "component_id")
+    labelled = kept(joined.join(least, "component").select("fp", "n_same", "component_id"), "labelled")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return marked.join(labelled, "fp").select("doc_id", text, "component_id", "n_same")
+    # A third of all rows may share a fingerprint, so a long list of them is salted.
+    named = join_small(marked, labelled, ["fp"], spread_by=["doc_id"])
+    return named.select("doc_id", *(["row"] if row else []), text, "component_id", "n_same")

@@ -38,6 +38,29 @@ def test_stages_take_and_give_documents(spark, docs):
         assert stage(spark, docs.limit(0), SF_DIR).count() == 0
 
 
+def test_any_column_passes_through(spark, docs):
+    names = ["score", "predicted", "_toxic", "_body", "row", "fp", "_mix_id", "_mix_hash", "_mix_position", "positions"]
+    more = docs.select("*", *[(F.col("doc_id") * 10 + i).alias(n) for i, n in enumerate(names)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, SF_DIR)
+        assert out.columns == more.columns
+        wrong = out.where(" OR ".join(f"{n} != doc_id * 10 + {i}" for i, n in enumerate(names)))
+        assert out.count() > 100 and wrong.count() == 0
+
+
+def test_repeated_ids_of_different_texts(spark):
+    a, b = "one two three four five six seven", "some wholly other words that are not like those"
+    df = spark.createDataFrame([(3, a), (5, b), (5, a), (5, b), (None, a)], "doc_id long, text string")
+    left = corpus_pipeline.remove_near_duplicates(spark, df, SF_DIR)
+    assert sorted(map(tuple, left.collect()), key=repr) == [(3, a), (5, b), (None, a)]
+
+
+def test_packing_takes_odd_documents(spark, docs):
+    out = corpus_pipeline.pack_sequences(spark, docs, SF_DIR)
+    assert {9001, 9002, 9003} <= {r.doc_id for r in out.collect()}
+    assert corpus_pipeline.pack_sequences(spark, docs.limit(0), SF_DIR).count() == 0
+
+
 def test_toxic_documents_go(spark, docs):
     text = "the of and in to idiot moron scum stupid the of"
     more = docs.unionByName(spark.createDataFrame([(9100, text, "en", "s", 1)], docs.schema))
