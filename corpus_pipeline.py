@@ -10,29 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolens.llm import langid, mixing, packing, secret_scan, simhash, toxicity
-from convolens.llm.common import kept, table
+from convolens.llm.common import free_name, kept, table
 
 # Toxicity is learnt and secrets are found by models that SQL cannot express.
 ORACLE_SQL = None
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents predicted toxic; labels of the training folds teach the score."""
+    """Drop documents predicted toxic; labels of the training folds teach the score.
+
+    Columns of any name pass through; null and empty texts stay, as do ids without a label.
+    """
     train = ~langid.held_out(F.col("doc_id"), 3, 1)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(train)
     model = toxicity.fit(docs.where(train), labels, corpus=docs)
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    name = free_name("_toxic", docs)
+    scored = docs.withColumn(name, toxicity.score_column(spark, model, F.col("text")))
+    return scored.where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each SimHash group.
 
-    Rows equal in id and text are one document. Documents without an id belong to no group and stay.
+    Rows equal in id and text are one document; of rows that share an id but not the text, those
+    stay whose group has no smaller id. Documents without an id belong to no group and stay. Columns
+    of any name pass through.
     """
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
-    alone = named.withColumn("_stage_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_stage_text"])
+    body = free_name("_body", docs)
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn(body, F.xxhash64("text"))
+    groups = simhash.near_duplicates(named.select("doc_id", "text", body), row=body)
+    first = groups.where("doc_id = component_id").select("doc_id", F.col("row").alias(body)).distinct()
+    alone = named.join(first, ["doc_id", body], "left_semi").dropDuplicates(["doc_id", body])
     return alone.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
