@@ -157,6 +157,11 @@ def decode(model: CharModel, span: str, squeeze: bool = True) -> str:
     return "".join(reversed(letters))
 
 
+def may_differ(word: str) -> bool:
+    """Whether a word has a sign or a repeat that could make it another one."""
+    return bool(LETTER.search(word) and OPEN.search(word))
+
+
 def _inner(span: str, spare) -> str:
     """A span without the signs at its ends, but for those in ``spare``."""
     start, end = 0, len(span)
@@ -247,7 +252,7 @@ class Restorer:
 
     def all(self, word: str) -> list[str]:
         """The word as it stands and every decoded reading of it."""
-        more = readings(self.model, word) if LETTER.search(word) and OPEN.search(word) else []
+        more = readings(self.model, word) if may_differ(word) else []
         return list(dict.fromkeys([word.lower(), *more]))
 
     def restore(self, text: str) -> str:

@@ -16,7 +16,7 @@ import regex
 from tokenizers import Tokenizer
 
 # Bytes of one memory, and of a dictionary's own entry.
-MEMORY, ENTRY = 40 << 20, 100
+MEMORY, ENTRY = 96 << 20, 100
 # How a byte-level vocabulary writes bytes: printable Latin-1 characters stand for themselves, the
 # others follow from U+0100 on. Public rule of this kind of vocabulary.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -33,16 +33,16 @@ def byte_text(text: str) -> str:
 
 
 class Memo(dict):
-    """A dictionary that fills itself by ``find``, and is emptied when it takes more than ``MEMORY`` bytes."""
+    """A dictionary that fills itself by ``find``, and is emptied when it takes more than ``most`` bytes."""
 
-    def __init__(self, find):
+    def __init__(self, find, most: int = MEMORY):
         super().__init__()
-        self.find, self.used = find, 0
+        self.find, self.most, self.used = find, most, 0
 
     def __missing__(self, key):
         value = self.find(key)
         self.used += getsizeof(key) + getsizeof(value) + ENTRY
-        if self.used > MEMORY:
+        if self.used > self.most:
             self.clear()
             self.used = getsizeof(key)
         self[key] = value

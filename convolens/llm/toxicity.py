@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolens.llm.charlm import SPACED, CharModel, Restorer, Skeletons, trigram_counts
+from convolens.llm.charlm import SPACED, CharModel, Restorer, Skeletons, may_differ, trigram_counts
 from convolens.llm.common import STEP_ROWS, kept, map_batches, slices
 from convolens.llm.tokens import Memo
 
@@ -33,8 +33,8 @@ TERMS = 200_000
 # Terms that make toxicity likelier than this enter the score.
 CHANCE = 0.5
 STEMS = range(4, 8)
-# Counts that a task gathers before it sends them on.
-GATHERED = 200_000
+# Bytes of the words that a task remembers, and counts that it gathers before it sends them on.
+MEMORY, GATHERED = 32 << 20, 200_000
 THRESHOLD = 0.7
 
 
@@ -72,13 +72,15 @@ class Reader:
 
     def __init__(self, model: CharModel, wanted, known=None):
         self.restorer, self.wanted = Restorer(model), wanted
-        self.words = Memo(self._word)
+        self.words = Memo(self._word, MEMORY)
         self.skeletons = None if known is None else Skeletons(known)
 
     def _word(self, word: str):
-        plain = self.skeletons and not self.skeletons.word(word)
-        readings = [word.lower()] if plain else self.restorer.all(word)
-        cores = dict.fromkeys(core(w) for reading in readings for w in reading.split() or [""])
+        # Most words have one reading; that is cheaper to see than a skeleton.
+        if not may_differ(word) or (self.skeletons and not self.skeletons.word(word)):
+            one = core(word.lower())
+            return self.wanted([one] if one else [])
+        cores = dict.fromkeys(core(w) for reading in self.restorer.all(word) for w in reading.split() or [""])
         return self.wanted([c for c in cores if c])
 
     def _run(self, run: str) -> str:
