@@ -26,6 +26,7 @@ from convolens.operators.ranking import score
 from convolens.plans import report as rp
 from convolens.plans import router
 from convolens.runtime import scratch_path
+from convolens.runtime import stored as keep
 from convolens.sources import export, index_store, tables
 
 # The subpackage is optional; what goes wrong inside it must show.
@@ -349,10 +350,16 @@ def tool_calls(spark, sf_dir):
     )
 
 
+_answered: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def _routed(spark, sf_dir):
-    t = stored(spark, sf_dir)
-    reqs = router.requests(responses.tool_calls(fx.request_responses(spark, sf_dir)))
-    return reqs, router.route(reqs, t, as_of=AS_OF)
+    """The requests and their answers: worked out by the first query that needs them, then reused."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _answered:
+        reqs = keep(router.requests(responses.tool_calls(fx.request_responses(spark, sf_dir))))
+        _answered[key] = reqs, keep(router.route(reqs, stored(spark, sf_dir), as_of=AS_OF))
+    return _answered[key]
 
 
 def route_requests(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolens.functions.arrays import let
@@ -127,20 +127,41 @@ def emoji_names() -> dict[str, str]:
     return found | EMOJI_ALIASES
 
 
+# Most rows of a caller's table of names; there are fewer emojis and sequences of them.
+ALIAS_ROWS = 20_000
+
+
+def alias_table(names: DataFrame) -> dict[str, str]:
+    """A caller's ``(emoji, name)`` table as ``aliases`` of ``emoji_aliases``; rows with a null are left out.
+
+    The names here are Unicode names, which differ from those of emoji libraries in many places; a
+    library's table, sequences such as flags included, makes the texts equal to its own.
+    """
+    rows = names.select("emoji", "name").where("emoji != '' AND name IS NOT NULL").limit(ALIAS_ROWS + 1).collect()
+    if len(rows) > ALIAS_ROWS:
+        raise ValueError(f"a table of names has at most {ALIAS_ROWS} rows")
+    return {r["emoji"]: r["name"] for r in sorted(rows, key=lambda r: (r["emoji"], r["name"]), reverse=True)}
+
+
 def emoji_aliases(col: Column, aliases: dict[str, str] | None = None) -> Column:
-    """Replace single emojis by their short names; ``aliases`` adds to or overrides the table.
+    """Replace emojis by their short names; ``aliases`` adds to or overrides the table.
 
-    The text is cut into emojis and the stretches between them, so the look-up runs per emoji and
-    not per character, and no join or regrouping is involved. Texts without any are not cut.
+    An alias may be a sequence of code points; the longest one that fits is replaced. The text is
+    cut into emojis and the stretches between them, so the look-up runs per emoji and not per
+    character, and no join or regrouping is involved. Texts without any are not cut.
     """
-    table = emoji_names() | (aliases or {})
+    aliases = aliases or {}
+    table = emoji_names() | aliases
     # Two literals instead of one per name keep the plan small.
     lookup = F.map_from_arrays(*[F.split(F.lit("\n".join(x)), "\n") for x in (table.keys(), table.values())])
-    keys = EMOJI_SPAN + "".join(r"\x{%X}" % ord(k) for k in aliases or {})
-    pieces = F.regexp_extract_all(col, F.lit(f"[{keys}]|[^{keys}]+"), 0)
+    points = lambda key: "".join(r"\x{%X}" % ord(c) for c in key)
+    keys = EMOJI_SPAN + "".join(sorted({points(k[0]) for k in aliases}))
+    sequences = sorted((k for k in aliases if len(k) > 1), key=lambda k: (-len(k), k))
+    longer = "".join(points(k) + "|" for k in sequences)
+    pieces = F.regexp_extract_all(col, F.lit(f"{longer}[{keys}]|[^{keys}]+"), 0)
     named = F.transform(
         pieces,
-        lambda p: F.when(p.rlike(f"^[{keys}]$"), F.coalesce(F.try_element_at(lookup, p), p)).otherwise(p),
+        lambda p: F.when(p.rlike(f"^[{keys}]"), F.coalesce(F.try_element_at(lookup, p), p)).otherwise(p),
     )
     return F.when(col.rlike(f"[{keys}]"), F.array_join(named, "")).otherwise(col)
 

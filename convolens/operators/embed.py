@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from itertools import islice
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from convolens.functions.text import tokens
 from convolens.functions.vectors import HASH_DIM, cosines, hash_embedding, matrix
 from convolens.operators.ranking import DIGITS
+from convolens.runtime import ranked, stored
 
 # --- fixed values: the emotion labels, in order --------------------------------------------------
 EMOTIONS = [
@@ -57,15 +58,10 @@ def embed(
     return df.withColumn(out, F.pandas_udf(encode, "array<float>")(text_col))
 
 
-# Labels multiplied with the vectors in one pass; more of them take further passes.
+# Labels that go to the tasks with the plan, and the blocks in which more of them meet vectors.
 LABEL_BLOCK = 10_000
-
-
-def label_blocks(labels: DataFrame, size: int | None = None) -> Iterator[tuple[list[str], np.ndarray]]:
-    """The ``(label, ord, vector)`` table as names and matrices of bounded size, in ``ord`` order."""
-    rows = labels.select("label", "ord", "vector").orderBy("ord").toLocalIterator()
-    while block := list(islice(rows, size or LABEL_BLOCK)):
-        yield [str(r["label"]) for r in block], np.asarray([r["vector"] for r in block], np.float64)
+# Vectors of a block, where there are several blocks of labels.
+VECTOR_BLOCK = 5_000
 
 
 def emotion_scores(
@@ -73,19 +69,58 @@ def emotion_scores(
 ) -> DataFrame:
     """Add the cosine to every label and the best label; the first label wins ties.
 
-    One matrix product per Arrow batch and block of ``LABEL_BLOCK`` labels. All columns of ``df``
-    travel with the batches, so select the ones needed first.
+    ``labels`` is ``(label, ord, vector)``. Up to ``LABEL_BLOCK`` of them go to the tasks, which
+    multiply them with a batch of vectors at a time; all columns of ``df`` travel along, so select
+    the ones needed first. More labels stay a table: blocks of them meet blocks of vectors by key,
+    and the scores of a row are put together in the order of the blocks.
     """
-    columns, scored = df.columns, df
-    parts, best = [], F.lit(None).cast("struct<score: double, label: string>")
-    for i, (names, targets) in enumerate(label_blocks(labels)):
-        scored = _with_scores(scored, vector_col, names, targets, f"_scores{i}", f"_label{i}")
-        top = F.struct(F.array_max(f"_scores{i}").alias("score"), F.col(f"_label{i}").alias("label"))
-        best = top if not i else F.when(top["score"] > best["score"], top).otherwise(best)
-        parts.append(F.col(f"_scores{i}"))
-    if not parts:
+    columns = df.columns
+    known = labels.select("label", "ord", "vector")
+    head = known.orderBy("ord").limit(LABEL_BLOCK + 1).collect()
+    if not head:
         raise ValueError("no labels")
-    return scored.select(*columns, F.concat(*parts).alias(out), best["label"].alias("dominant_emotion"))
+    if len(head) > LABEL_BLOCK:
+        return _scores_by_block(df, vector_col, known, out)
+    names, targets = [str(r["label"]) for r in head], np.asarray([r["vector"] for r in head], np.float64)
+    scored = _with_scores(df, vector_col, names, targets, "_scores", "_label")
+    return scored.select(*columns, F.col("_scores").alias(out), F.col("_label").alias("dominant_emotion"))
+
+
+def _scores_by_block(df: DataFrame, vector_col: str, labels: DataFrame, out: str) -> DataFrame:
+    """``emotion_scores`` for any number of labels; none of them pass through the driver."""
+    placed = ranked(labels, [F.asc("ord"), F.asc("label")], "_nth")
+    known = stored(placed.withColumn("_l", F.floor((F.col("_nth") - 1) / LABEL_BLOCK).cast("int")))
+    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()))
+    tall = known.agg(F.max("_l")).first()[0] + 1
+    wide = max(1, ceil(rows.count() / VECTOR_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # A number of partitions given here is kept; merged by size, the pairs would end in few tasks.
+    parts = min(tall * wide, 8 * df.sparkSession.sparkContext.defaultParallelism)
+    meeting = lambda x: x.repartition(parts, "_v", "_l").groupBy("_v", "_l")
+    v = rows.select("_row", F.col(vector_col).alias("_vector"), F.pmod(F.xxhash64("_row"), F.lit(wide)).cast("int").alias("_v"))
+    left = v.select("*", every(tall).alias("_l"))
+    right = known.select("_l", "_nth", F.col("label").cast("string").alias("label"), "vector", every(wide).alias("_v"))
+    shape = pa.schema([("_row", pa.int64()), ("_l", pa.int32()), ("scores", pa.list_(pa.float64())), ("label", pa.string())])
+
+    def meet(some: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not len(some) or not len(wanted):
+            return shape.empty_table()
+        wanted = wanted.sort_by("_nth")
+        found = np.round(cosines(matrix(some.column("_vector")), matrix(wanted.column("vector"))), DIGITS) + 0.0
+        ends = pa.array(np.arange(0, found.size + 1, len(wanted), dtype=np.int32))
+        first = wanted.column("label").take(pa.array(found.argmax(axis=1)))
+        block = pa.array(np.full(len(some), wanted.column("_l")[0].as_py()), pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.array(found.ravel()))
+        return pa.table([some.column("_row"), block, lists, first], schema=shape)
+
+    met = meeting(left).cogroup(meeting(right)).applyInArrow(meet, "_row long, _l int, scores array<double>, label string")
+    best = F.struct(F.array_max("scores").alias("score"), (-F.col("_l")).alias("_l"), "label")
+    whole = met.groupBy("_row").agg(
+        F.array_sort(F.collect_list(F.struct("_l", "scores"))).alias("_parts"), F.max(best).alias("_best")
+    )
+    joined = rows.join(whole, "_row")
+    scores = F.flatten(F.transform("_parts", lambda p: p["scores"])).alias(out)
+    return joined.select(*df.columns, scores, F.col("_best.label").alias("dominant_emotion"))
 
 
 def _with_scores(

@@ -25,7 +25,7 @@ from convolens.operators.index import NGRAMS
 from convolens.operators.lexical import best_messages, listed
 from convolens.operators.ranking import DIGITS, FUSED_DIGITS, score, top_k
 from convolens.operators.retrieval import HIT_COLUMNS
-from convolens.runtime import BROADCAST_ROWS, FILTER_VALUES, join_small, keep_keys, stored
+from convolens.runtime import BROADCAST_ROWS, FILTER_VALUES, failed_job, join_small, keep_keys, stored
 
 # --- fixed values -------------------------------------------------------------------------------
 TOP_K = 15
@@ -384,6 +384,24 @@ def fuse(
     return _ranked(hits, fused, 2 * k)
 
 
+def branches_of(
+    tables: SearchTables, queries: DataFrame, k: int = TOP_K, query_vectors: DataFrame | None = None
+) -> dict[str, Callable[[], DataFrame]]:
+    """The three searches of a fused search, each to be planned by itself."""
+
+    def semantic() -> DataFrame:
+        vectors = tables.query_vectors(queries) if query_vectors is None else query_vectors
+        return semantic_search(tables.vectors, vectors, k)
+
+    def keyword() -> DataFrame:
+        return keyword_search(tables.postings, tables.vocabulary, queries, k, tables.words)
+
+    def tfidf() -> DataFrame:
+        return tfidf_search(tables.weights, tables.terms, queries, k, ngram_range=tables.ngram_range, lists=tables.lists)
+
+    return {SEMANTIC: semantic, KEYWORD: keyword, TFIDF: tfidf}
+
+
 def combined_search(
     tables: SearchTables,
     queries: DataFrame,
@@ -396,19 +414,49 @@ def combined_search(
     ``query_vectors`` are the queries in the space of ``tables.vectors``, encoded like those by
     default.
     """
-    if query_vectors is None:
-        query_vectors = tables.query_vectors(queries)
-    return fuse(
-        {
-            SEMANTIC: semantic_search(tables.vectors, query_vectors, k),
-            KEYWORD: keyword_search(tables.postings, tables.vocabulary, queries, k, tables.words),
-            TFIDF: tfidf_search(
-                tables.weights, tables.terms, queries, k, ngram_range=tables.ngram_range, lists=tables.lists
-            ),
-        },
-        k,
-        method_weights,
-    )
+    planned = {name: run() for name, run in branches_of(tables, queries, k, query_vectors).items()}
+    return fuse(planned, k, method_weights)
+
+
+STATUS = "branch string, error string"
+
+
+def attempted(branches: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Run every branch by itself and store it: the results there are, and why others failed.
+
+    Errors of a plan, which are the program's, are raised.
+    """
+    found, failed = {}, {}
+    for name, run in branches.items():
+        try:
+            found[name] = stored(run())
+        except Exception as e:
+            why = failed_job(e)
+            if why is None:
+                raise
+            failed[name] = why
+    return found, failed
+
+
+def combined_search_by_branch(
+    tables: SearchTables,
+    queries: DataFrame,
+    k: int = TOP_K,
+    query_vectors: DataFrame | None = None,
+    method_weights: dict[str, float] = METHOD_WEIGHTS,
+) -> tuple[DataFrame, DataFrame]:
+    """``combined_search`` where a failing branch costs only itself, and ``(branch, error)``.
+
+    Each branch is computed and stored first; the fusion takes what is there, so a message found by
+    two branches of three counts as one found by two. The status has a row per branch, with a null
+    error for those that took part.
+    """
+    spark = queries.sparkSession
+    found, failed = attempted(branches_of(tables, queries, k, query_vectors))
+    status = spark.createDataFrame([(m, failed.get(m)) for m in METHOD_WEIGHTS], STATUS)
+    if not found:
+        return spark.createDataFrame([], "query_id string, chat_id string, seq long, score double"), status
+    return fuse(found, k, method_weights), status
 
 
 def render(hits: DataFrame, messages: DataFrame, method: str, bound: int | None = None) -> DataFrame:

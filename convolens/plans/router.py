@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable
 from functools import reduce
 from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,7 +24,7 @@ from convolens.operators.ranking import top_k
 from convolens.operators.responses import pack_context
 from convolens.operators.retrieval import BY_TIME, BY_USER, HOURS, LIMIT
 from convolens.operators.search import COMBINED, KEYWORD, SEMANTIC, TFIDF, TOP_K, SearchTables
-from convolens.runtime import stored
+from convolens.runtime import failed_job, join_small, ranked, stored
 
 # --- fixed values: function names and their required argument -----------------------------------
 FUNCTIONS = {
@@ -42,8 +45,20 @@ SEARCHES = {
     TFIDF: "tfidf_search_optimized",
 }
 FUSED_CALL = "combined_search_optimized"
+SEARCHING = {*SEARCHES.values(), FUSED_CALL}
 # Requests, and latest messages, that meet in one task of the user search.
 REQUEST_BLOCK, MESSAGE_BLOCK = 1000, 50_000
+# Requests for up to 10 to this power of hits are planned together, larger ones by their own power.
+FIRST_CLASS = 3
+# Most latest messages that are put in order in one task.
+LATEST_ROWS = 100_000
+# Ranks of a block at most.
+RANK_BLOCK = 1 << 14
+# Seconds that a user pattern may take on a block of users.
+PATTERN_SECONDS = 2.0
+# How often the requests of a failing plan are halved.
+HALVINGS = 6
+HIT = ["query_id", "function", "chat_id", "seq", "score", "method", "error"]
 
 RESULT = {
     "query_id": "string", "function": "string", "chat_id": "string", "seq": "bigint",
@@ -131,29 +146,65 @@ def _fault(pattern: str) -> str | None:
 def route(reqs: DataFrame, tables: SearchTables, as_of: dt.datetime | None = None) -> DataFrame:
     """Answer every request; one row per hit (with its message), statistic or error.
 
-    Every function is planned once for all its requests with the largest ``k`` any of them asks
-    for; each request's list is then cut to its own. A fused search shares the three searches it is
-    made of. The requests are stored first: each branch would parse every response again otherwise.
+    Every function is planned once for all requests of about the same ``k``, and each request's list
+    is then cut to its own, so one request that asks for very much does not size the plan of the
+    others. A plan that fails is run again for halves of its requests, so a failing request costs
+    only itself. A fused search shares the three searches it is made of and takes what they have
+    found; a branch that failed is marked by an error row beside the hits.
     """
-    reqs = stored(reqs)
+    sized = F.greatest(F.ceil(F.log10("k")), F.lit(FIRST_CLASS)).cast("int")
+    reqs = stored(reqs.withColumn("_class", sized))
     ok = reqs.where(F.col("error").isNull())
-    most = dict(map(tuple, ok.groupBy("function").agg(F.max("k")).collect()))
-    parts = [_shown(reqs.where(F.col("error").isNotNull()).select("query_id", "function", "error"))]
-    hits = [*_searched(ok, tables, most)]
-    if BY_USER_CALL in most:
-        hits.append(_by_user(_of(ok, BY_USER_CALL), tables.messages, most[BY_USER_CALL]))
-    if RECENT_CALL in most:
-        hits.append(_by_time(_of(ok, RECENT_CALL), tables.messages, most[RECENT_CALL], as_of))
+    errors = [reqs.where(F.col("error").isNotNull()).select("query_id", "function", "error")]
+    hits: list[DataFrame] = []
+    asked = ok.groupBy("_class", "function").agg(F.max("k")).collect()  # classes times functions
+    for size in sorted({r[0] for r in asked}):
+        mine, most = ok.where(F.col("_class") == size), {r[1]: r[2] for r in asked if r[0] == size}
+        runs = [(_of(mine, f), run) for f, run in _plans(tables, most, as_of).items() if f in most]
+        for own, run in [*runs, *([(_of(mine, *SEARCHING), lambda r, last, m=most: _searched(r, tables, m, last))] if set(most) & SEARCHING else [])]:
+            found, failed = _isolated(run, own)
+            hits += found
+            errors += failed
+    parts = [_shown(e) for e in errors]
     if hits:
-        columns = ["query_id", "function", "chat_id", "seq", "score", "method"]
-        found = reduce(DataFrame.unionByName, [h.select(*columns) for h in hits])
+        found = reduce(DataFrame.unionByName, [h.select(*HIT) for h in hits])
+        parts.append(_shown(found.where("error IS NOT NULL")))
         bodies = tables.messages.select("chat_id", "seq", "user", "date_time", "message", "message_type")
-        parts.append(_shown(found.join(bodies, ["chat_id", "seq"])))
-    if STATS_CALL in most:
+        parts.append(_shown(found.where("error IS NULL").join(bodies, ["chat_id", "seq"])))
+    if not _of(ok, STATS_CALL).isEmpty():
         parts.append(_shown(_stats(_of(ok, STATS_CALL), tables)))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _plans(t: SearchTables, most: dict[str, int], as_of: dt.datetime | None) -> dict[str, Callable[[DataFrame, bool], DataFrame]]:
+    return {
+        BY_USER_CALL: lambda r, last: _by_user(r, t.messages, most[BY_USER_CALL]),
+        RECENT_CALL: lambda r, last: _by_time(r, t.messages, most[RECENT_CALL], as_of),
+    }
+
+
+def _isolated(
+    run: Callable[[DataFrame, bool], DataFrame], reqs: DataFrame, depth: int = 0
+) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Stored results of some requests, and error rows of those whose plan fails by themselves.
+
+    ``run`` is told whether it is the last attempt: of one request, or after ``HALVINGS`` cuts, which
+    bound the plans that a fault of all requests costs.
+    """
+    last = depth >= HALVINGS or reqs.limit(2).count() < 2
+    try:
+        return [stored(run(reqs, last).select(*HIT))], []
+    except Exception as e:
+        why = failed_job(e)
+        if why is None:
+            raise
+    if last:
+        return [], [reqs.select("query_id", "function", F.lit(f"failed: {why}").alias("error"))]
+    side = F.pmod(F.shiftright(F.xxhash64("query_id"), depth), F.lit(2))
+    both = [_isolated(run, reqs.where(side == i), depth + 1) for i in range(2)]
+    return [h for found, _ in both for h in found], [e for _, failed in both for e in failed]
+
+
 def answer_contexts(reqs: DataFrame, routed: DataFrame) -> DataFrame:
     """``(query_id, text, context)``: each answered request beside its hits as one JSON array."""
     hits = routed.where(F.col("chat_id").isNotNull())
@@ -172,87 +223,173 @@ def _cut(hits: DataFrame, reqs: DataFrame, times: int = 1) -> DataFrame:
     return own.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= F.col("k") * times).drop("_rn")
 
 
-def _searched(ok: DataFrame, t: SearchTables, most: dict[str, int]) -> Iterator[DataFrame]:
+def _searched(reqs: DataFrame, t: SearchTables, most: dict[str, int], last: bool) -> DataFrame:
+    """Hits of all searches, fused ones included; branches that failed beside fused hits as errors."""
+    asked = {r[0] for r in reqs.select("function").distinct().collect()}  # a handful of functions
+    most = {f: k for f, k in most.items() if f in asked}
     branches = {}
     for method, function in SEARCHES.items():
         functions = [f for f in (function, FUSED_CALL) if f in most]
-        if not functions:
-            continue
-        mine, k = _of(ok, *functions), max(most[f] for f in functions)
-        queries = mine.select("query_id", "text")
-        if method == SEMANTIC:
-            found = search.semantic_search(t.vectors, t.query_vectors(queries), k)
-        elif method == TFIDF:
-            found = search.tfidf_search(t.weights, t.terms, queries, k, ngram_range=t.ngram_range, lists=t.lists)
-        else:
-            words = F.coalesce(F.col("keywords"), text.words(F.lower("text"))).alias("keywords")
-            found = search.keyword_search(t.postings, t.vocabulary, mine.select("query_id", words), k, t.words)
-        cut = _cut(found, mine)
-        branches[method] = stored(cut) if len(functions) > 1 else cut
-        if function in most:
-            yield _of(branches[method], function).withColumn("method", F.lit(method))
-    if FUSED_CALL in most:
-        fused = search.fuse({m: _of(b, FUSED_CALL) for m, b in branches.items()}, most[FUSED_CALL])
-        yield _cut(fused, _of(ok, FUSED_CALL), 2).withColumn("method", F.lit(COMBINED))
+        if functions:
+            mine, k = _of(reqs, *functions), max(most[f] for f in functions)
+            branches[method] = lambda m=method, mine=mine, k=k: _cut(_branch(m, mine, t, k), mine)
+    if FUSED_CALL not in most:
+        planned = [run().withColumn("method", F.lit(m)) for m, run in branches.items()]
+        return reduce(DataFrame.unionByName, planned).withColumn("error", F.lit(None).cast("string"))
+    found, failed = search.attempted(branches)
+    if failed and (not last or not found or any(SEARCHES[m] in most for m in failed)):
+        raise PySparkException("; ".join(failed.values()))  # halves of the requests are tried next
+    none = F.lit(None).cast("string").alias("error")
+    parts = [_of(b, SEARCHES[m]).select(*HIT[:-2], F.lit(m).alias("method"), none) for m, b in found.items() if SEARCHES[m] in most]
+    fused = search.fuse({m: _of(b, FUSED_CALL) for m, b in found.items()}, most[FUSED_CALL])
+    cut = _cut(fused, _of(reqs, FUSED_CALL), 2)
+    parts.append(cut.select(*HIT[:-2], F.lit(COMBINED).alias("method"), none))
+    for method, why in failed.items():
+        marked = _of(reqs, FUSED_CALL).select("query_id", "function", F.lit(f"{method} failed: {why}").alias("error"))
+        parts.append(_shown(marked).select(*HIT))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _branch(method: str, mine: DataFrame, t: SearchTables, k: int) -> DataFrame:
+    queries = mine.select("query_id", "text")
+    if method == SEMANTIC:
+        return search.semantic_search(t.vectors, t.query_vectors(queries), k)
+    if method == TFIDF:
+        return search.tfidf_search(t.weights, t.terms, queries, k, ngram_range=t.ngram_range, lists=t.lists)
+    words = F.coalesce(F.col("keywords"), text.words(F.lower("text"))).alias("keywords")
+    return search.keyword_search(t.postings, t.vocabulary, mine.select("query_id", words), k, t.words)
+
+
+def _newest() -> list[Column]:
+    return [F.desc("date_time"), F.asc("chat_id"), F.asc("seq")]
 
 
 def _by_user(reqs: DataFrame, messages: DataFrame, k: int) -> DataFrame:
-    """Latest messages of the users each pattern matches.
+    """Latest messages of the users each pattern matches, or an error where a pattern takes too long.
 
-    A user's latest ``k`` messages are cut first. Blocks of them meet blocks of requests by key; a
-    task compiles each of its patterns once, tries it on the distinct users of its block and keeps
-    ``k`` rows per request, so a pattern that matches everyone sends no more than that.
+    Every pattern meets every user once, in blocks of patterns and users. With a moderate ``k`` a
+    user brings the latest ``k`` messages along and a block keeps ``k`` rows per request, so a pattern
+    that matches everyone sends no more than that. Requests for more get the users first, then
+    all of their messages, numbered over the cluster.
     """
     timed = messages.where(
         F.col("user").isNotNull() & F.col("message").isNotNull() & F.col("date_time").isNotNull()
-    )
-    order = [F.desc("date_time"), F.asc("chat_id"), F.asc("seq")]
-    latest = stored(top_k(timed.select("chat_id", "seq", "date_time", "user"), order, k, ["user"]))
-    wide, tall = (max(1, ceil(df.count() / n)) for df, n in ((latest, MESSAGE_BLOCK), (reqs, REQUEST_BLOCK)))
+    ).select("chat_id", "seq", "date_time", "user")
+    if k > LATEST_ROWS:
+        return _all_by_user(reqs, timed)
+    latest = stored(top_k(timed, _newest(), k, ["user"]))
+    found = stored(_met(latest.withColumn("date_time", F.unix_micros(F.col("date_time").cast("timestamp"))), reqs))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(*_newest()))
+    best = found.where("error IS NULL").withColumn("_rn", rank).join(reqs.select("query_id", "function", "k"), "query_id")
+    return _marked(best.where(F.col("_rn") <= F.col("k")), found, reqs)
+
+
+def _marked(hits: DataFrame, found: DataFrame, reqs: DataFrame) -> DataFrame:
+    """Hits of requests without an error, and one row for each with one."""
+    failed = stored(found.where("error IS NOT NULL").groupBy("query_id").agg(F.min("error").alias("error")))
+    good = hits.drop("error").join(failed.select("query_id"), "query_id", "left_anti")
+    good = good.withColumns({"score": F.lit(1.0), "method": F.lit(BY_USER), "error": F.lit(None).cast("string")})
+    bad = failed.join(reqs.select("query_id", "function"), "query_id")
+    return good.select(*HIT).unionByName(_shown(bad).select(*HIT))
+
+
+def _met(rows: DataFrame, reqs: DataFrame) -> DataFrame:
+    """``(query_id, chat_id, seq, date_time, user, error)``: the ``k`` newest rows per request and block."""
+    wide, tall = (max(1, ceil(df.count() / n)) for df, n in ((rows, MESSAGE_BLOCK), (reqs, REQUEST_BLOCK)))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = latest.withColumn("_b", block("user", wide)).select("*", every(tall).alias("_q"))
-    rows = rows.withColumn("date_time", F.unix_micros(F.col("date_time").cast("timestamp")))
+    rows = rows.withColumn("_b", block("user", wide)).select("*", every(tall).alias("_q"))
     asked = reqs.select("query_id", "text", "k").withColumn("_q", block("query_id", tall))
     asked = asked.select("*", every(wide).alias("_b"))
+    columns = ["chat_id", "seq", "date_time", "user"]
 
     def match(some: pa.Table, patterns: pa.Table) -> pa.Table:
         some = some.sort_by([("date_time", "descending"), ("chat_id", "ascending"), ("seq", "ascending")])
         coded = some.column("user").combine_chunks().dictionary_encode()
         users, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        out = [some.select(["chat_id", "seq", "date_time"]).slice(0, 0).add_column(0, "query_id", pa.array([], pa.string()))]
+        shape = pa.schema([("query_id", pa.string()), *(some.schema.field(c) for c in columns), ("error", pa.string())])
+        out = [shape.empty_table()]
         for name, pattern, own in zip(*(patterns.column(c).to_pylist() for c in ("query_id", "text", "k"))):
-            tried = re.compile(pattern, re.IGNORECASE)
-            matches = np.array([bool(tried.search(u)) for u in users], dtype=bool)
+            matches, fault = matching(pattern, users)
+            if fault:
+                out.append(pa.Table.from_pylist([{"query_id": name, "error": fault}], shape))
+                continue
             best = np.flatnonzero(matches[at])[:own] if len(users) else np.array([], dtype=np.int64)
-            found = some.select(["chat_id", "seq", "date_time"]).take(pa.array(best))
-            out.append(found.add_column(0, "query_id", pa.array([name] * len(best), pa.string())))
+            found = some.select(columns).take(pa.array(best))
+            found = found.add_column(0, "query_id", pa.array([name] * len(best), pa.string()))
+            out.append(found.append_column("error", pa.nulls(len(best), pa.string())).cast(shape))
         return pa.concat_tables(out)
 
-    found = rows.groupBy("_b", "_q").cogroup(asked.groupBy("_b", "_q")).applyInArrow(
-        match, "query_id string, chat_id string, seq long, date_time long"
+    return rows.groupBy("_b", "_q").cogroup(asked.groupBy("_b", "_q")).applyInArrow(
+        match, "query_id string, chat_id string, seq long, date_time long, user string, error string"
     )
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
-    best = found.withColumn("_rn", rank).join(reqs.select("query_id", "function", "k"), "query_id")
-    best = best.where(F.col("_rn") <= F.col("k"))
-    return best.withColumns({"score": F.lit(1.0), "method": F.lit(BY_USER)})
+
+
+def matching(pattern: str, users: list[str]) -> tuple[np.ndarray, str | None]:
+    """Which users a pattern matches, or why that cannot be said."""
+    out, left = np.zeros(len(users), dtype=bool), PATTERN_SECONDS
+    try:
+        tried = regex.compile(pattern, regex.IGNORECASE)
+        for i, user in enumerate(users):
+            began = time.perf_counter()
+            out[i] = bool(tried.search(user, timeout=left))
+            left -= time.perf_counter() - began
+            if left <= 0:
+                raise TimeoutError
+    except TimeoutError:
+        return out, "argument username: the pattern takes too long"
+    except regex.error as e:
+        return out, f"not a pattern: {e}"
+    return out, None
+
+
+def _all_by_user(reqs: DataFrame, timed: DataFrame) -> DataFrame:
+    """``_by_user`` for requests that may ask for any number of messages."""
+    users = stored(timed.select("user").distinct())
+    one = users.select(F.lit("").alias("chat_id"), F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("date_time"), "user")
+    found = stored(_met(one, reqs))
+    pairs = stored(found.where("error IS NULL").select("query_id", "user"))
+    every = join_small(timed, pairs, ["user"], spread_by=["chat_id", "seq"])
+    rows = ranked(every.select("query_id", "chat_id", "seq", "date_time"), [F.asc("query_id"), *_newest()])
+    first = rows.groupBy("query_id").agg(F.min("rank").alias("_first"))
+    own = first.join(reqs.select("query_id", "function", "k"), "query_id")
+    best = join_small(rows, stored(own), ["query_id"], spread_by=["chat_id", "seq"])
+    return _marked(best.where(F.col("rank") - F.col("_first") < F.col("k")), found, reqs)
+
+
+def _block_of(rank: Column) -> Column:
+    """Blocks of ranks that double in size up to ``RANK_BLOCK`` and are as large from there on."""
+    small = F.floor(F.log2(rank))
+    return F.when(rank < RANK_BLOCK, small).otherwise(F.floor(rank / RANK_BLOCK) + RANK_BLOCK.bit_length() - 2).cast("long")
 
 
 def _by_time(reqs: DataFrame, messages: DataFrame, k: int, as_of: dt.datetime | None) -> DataFrame:
     """Latest messages within each request's window.
 
-    A window only cuts the list of the ``k`` latest messages off, so that list is numbered once and
-    joined by rank: request ``i`` takes the ranks up to its own ``k`` that are young enough.
+    A window only cuts the list of the latest messages off, so that list is numbered once, over the
+    cluster where it may be long. It is joined by blocks of ranks: a request meets the blocks up to
+    its own ``k`` that are young enough, so at most about twice the rows it gets.
     """
     now = F.lit((as_of or dt.datetime.now()).isoformat(sep=" ")).cast("timestamp_ntz")
     timed = messages.where(F.col("message").isNotNull() & F.col("date_time").isNotNull())
-    order = [F.desc("date_time"), F.asc("chat_id"), F.asc("seq")]
-    latest = top_k(timed.select("chat_id", "seq", "date_time"), order, k)
     age = F.timestamp_diff("MICROSECOND", F.col("date_time"), now) / F.lit(3.6e9)
-    ranked = latest.select("chat_id", "seq", age.alias("age"), F.row_number().over(W.orderBy(*order)).alias("rank"))
-    wanted = reqs.select("query_id", "function", "hours", F.explode(F.sequence(F.lit(1), "k")).alias("rank"))
-    hits = wanted.join(ranked, "rank").where(F.col("age") <= F.col("hours"))
-    return hits.withColumns({"score": F.lit(1.0), "method": F.lit(BY_TIME)})
+    oldest = reqs.agg(F.max("hours")).first()[0]
+    young = timed.select("chat_id", "seq", "date_time", age.alias("age")).where(F.col("age") <= oldest)
+    if k <= LATEST_ROWS:
+        listed = top_k(young, _newest(), k).withColumn("rank", F.row_number().over(W.orderBy(*_newest())))
+    else:
+        listed = ranked(young, _newest())
+    listed = stored(listed.withColumn("_block", _block_of(F.col("rank"))))
+    n = listed.count()
+    blocks = listed.groupBy("_block").agg(F.min("age").alias("_youngest"))
+    upto = F.least(F.col("k").cast("long"), F.lit(n))
+    wanted = reqs.where(F.lit(n) > 0).select(
+        "query_id", "function", "k", "hours", F.explode(F.sequence(F.lit(0).cast("long"), _block_of(upto))).alias("_block")
+    )
+    wanted = stored(wanted.join(blocks, "_block").where(F.col("_youngest") <= F.col("hours")).drop("_youngest"))
+    hits = join_small(listed, wanted, ["_block"], spread_by=["chat_id", "seq"])
+    hits = hits.where((F.col("rank") <= F.col("k")) & (F.col("age") <= F.col("hours")))
+    return hits.withColumns({"score": F.lit(1.0), "method": F.lit(BY_TIME), "error": F.lit(None).cast("string")})
 
 
 def _stats(reqs: DataFrame, t: SearchTables) -> DataFrame:

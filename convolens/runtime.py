@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Largest table side that is broadcast; the tables in question are narrow (a key and a weight).
@@ -110,6 +114,30 @@ def keep_keys(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
     return big.where(F.col(key).isin(values)) if len(values) <= FILTER_VALUES else big
 
 
+def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Add the place in ``order`` from 1, for any number of rows: no task sorts more than its range.
+
+    Give an order without ties. Only one count per partition leaves the tasks.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(placed.withColumn("_place", F.monotonically_increasing_id()))
+    part, row = F.shiftright("_place", 33).alias("_part"), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # a row per partition
+    joined = rows.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return joined.withColumn(name, F.col("_before") + row + 1).drop("_part", "_place", "_before")
+
+
+def failed_job(e: Exception) -> str | None:
+    """What a job failed of, in one line; null for errors of the plan itself, which are the program's."""
+    if isinstance(e, AnalysisException) or not isinstance(e, (PySparkException, Py4JJavaError)):
+        return None
+    lines = [line.strip() for line in str(e).splitlines() if line.strip()]
+    told = [line for line in lines if re.match(r"[\w.]*(Error|Exception)\b", line)]
+    return (told or lines or ["unknown"])[-1][:300]
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, until ``release``."""
     path = scratch_path(df.sparkSession, "stored")

@@ -61,10 +61,11 @@ class IndexOptions:
 
 
 DEFAULT = IndexOptions()
-# One row per commit. ``whole`` says that the tables over all chats are stored with it.
-COMMITS = "commit long, fingerprint string, n long, whole boolean"
-# The chats that a commit puts into a segment, or takes out of the index (null segment).
-CHATS = "chat_id string, fingerprint string, n long, texts long, segment string, commit long"
+# One row per commit; ``build`` names the run that made it, so that rows of a run that stopped before
+# its commit never count. ``whole`` says that the tables over all chats are stored with it.
+COMMITS = "commit long, build string, fingerprint string, n long, whole boolean"
+# The chats that a build puts into a segment, or takes out of the index (null segment).
+CHATS = "chat_id string, fingerprint string, n long, texts long, segment string, build string, commit long"
 # Sort columns of the tables that searches filter by their leading column: sorted files give row
 # groups narrow min/max values, so a search for a few words decodes few of them.
 SORTED = {
@@ -109,19 +110,25 @@ def _same_chat(a: DataFrame, b: DataFrame):
     return a["chat_id"].eqNullSafe(b["chat_id"])
 
 
+def _listed(spark: SparkSession, root: str, commit: int) -> DataFrame:
+    """The rows of all builds up to a commit."""
+    commits = _read(spark, f"{root}/commits", COMMITS).where(F.col("commit") <= commit)
+    done = [r[0] for r in commits.select("build").collect()]  # a row per commit
+    return _read(spark, f"{root}/chats", CHATS).where(F.col("build").isin(done))
+
+
 def _chats_at(spark: SparkSession, root: str, commit: int) -> DataFrame:
     """The chats of a version, each with the segment that holds it."""
-    done = [r[0] for r in _read(spark, f"{root}/commits", COMMITS).select("commit").collect()]
-    rows = _read(spark, f"{root}/chats", CHATS).where(F.col("commit").isin([c for c in done if c <= commit]))
     last = F.max_by(F.struct("fingerprint", "n", "texts", "segment"), "commit")
-    return rows.groupBy("chat_id").agg(last.alias("s")).select("chat_id", "s.*").where("segment IS NOT NULL")
+    rows = _listed(spark, root, commit).groupBy("chat_id").agg(last.alias("s"))
+    return rows.select("chat_id", "s.*").where("segment IS NOT NULL")
 
 
 def _segments(spark: SparkSession, root: str, commit: int) -> tuple[dict[str, bool], DataFrame]:
     """Each segment of a version, and whether all of its chats are still current; and the chats."""
     chats = stored(_chats_at(spark, root, commit))
     live = dict(map(tuple, chats.groupBy("segment").count().collect()))  # a row per commit at most
-    put = _read(spark, f"{root}/chats", CHATS).where("segment IS NOT NULL").groupBy("segment").count()
+    put = _listed(spark, root, commit).where("segment IS NOT NULL").groupBy("segment").count()
     size = dict(map(tuple, put.collect()))
     return {s: size[s] == n for s, n in sorted(live.items())}, chats
 
@@ -148,23 +155,27 @@ def build(
         gone = before.join(now, _same_chat(before, now), "left_anti")
         few = F.broadcast(changed) if fits(changed) else changed
         part = messages.join(few, _same_chat(messages, few), "left_semi")
-    whole = last is None or (changed.count() == now.count())
-    _write_segment(part, root, segment, options)
+    n_changed = changed.count()
+    if last is not None and not n_changed and gone.isEmpty():
+        return f"{root}/v{last}"
+    if n_changed or last is None:
+        _write_segment(part, root, segment, options)
+    whole = last is None or n_changed == now.count() > 0
     rows = changed.withColumn("segment", F.lit(segment))
     if gone is not None:
         rows = rows.unionByName(gone.withColumn("segment", F.lit(None).cast("string")))
-    return _commit(spark, root, commit, rows, mark or fingerprint(messages), segment if whole else None, options)
+    return _commit(spark, root, commit, segment, rows, mark or fingerprint(messages), whole, options)
 
 
 def _commit(
-    spark: SparkSession, root: str, commit: int, chats: DataFrame, mark: tuple[str, int], whole: str | None, o: IndexOptions
+    spark: SparkSession, root: str, commit: int, build: str, chats: DataFrame, mark: tuple[str, int], whole: bool, o: IndexOptions
 ) -> str:
-    """List a commit; ``whole`` names its segment if that has all chats."""
-    columns = ["chat_id", "fingerprint", "n", "texts", "segment", F.lit(commit).cast("long").alias("commit")]
-    chats.select(columns).write.mode("append").parquet(f"{root}/chats")
+    """List a commit; ``build`` also names its segment, ``whole`` says that this one has all chats."""
+    added = [F.lit(build).alias("build"), F.lit(commit).cast("long").alias("commit")]
+    chats.select("chat_id", "fingerprint", "n", "texts", "segment", *added).write.mode("append").parquet(f"{root}/chats")
     if whole:
-        _write_whole(spark, root, whole, commit, o)
-    row = spark.createDataFrame([(commit, mark[0], mark[1], whole is not None)], COMMITS)
+        _write_whole(spark, root, build, commit, o)
+    row = spark.createDataFrame([(commit, build, mark[0], mark[1], whole)], COMMITS)
     row.coalesce(1).write.mode("append").parquet(f"{root}/commits")
     return f"{root}/v{commit}"
 
@@ -249,7 +260,7 @@ class Version:
         row = _read(spark, f"{self.root}/commits", COMMITS).where(F.col("commit") == self.commit).first()
         if row is None:
             raise ValueError(f"no such version: {version}")
-        self.whole = row["whole"]
+        self.whole, self.build = row["whole"], row["build"]
 
     def _segment(self, segment: str, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/segments/{segment}/{name}")
@@ -263,8 +274,8 @@ class Version:
 
     def _union(self, parts: list[DataFrame], name: str) -> DataFrame:
         if not parts:  # every chat is gone
-            anywhere = _read(self.spark, f"{self.root}/chats", CHATS).where("segment IS NOT NULL").first()
-            return self._segment(anywhere["segment"], name).limit(0)
+            anywhere = _listed(self.spark, self.root, self.commit).where("segment IS NOT NULL").first()
+            return self._segment(anywhere["segment"] if anywhere else self.build, name).limit(0)
         return reduce(DataFrame.unionByName, parts)
 
     def rows(self, name: str) -> DataFrame:
@@ -343,7 +354,7 @@ def compact(spark: SparkSession, path: str, options: IndexOptions = DEFAULT) ->
         _write(old.rows(name), f"{root}/segments/{segment}", name)
     _write_sums(spark, f"{root}/segments/{segment}")
     rows = old.chats.withColumn("segment", F.lit(segment))
-    return _commit(spark, root, last["commit"] + 1, rows, (last["fingerprint"], last["n"]), segment, options)
+    return _commit(spark, root, last["commit"] + 1, segment, rows, (last["fingerprint"], last["n"]), True, options)
 
 
 def clear(spark: SparkSession, path: str) -> None:

@@ -90,6 +90,14 @@ def test_every_chat_gone(spark, chat, tmp_path):
     assert tables.postings.count() == 0 and tables.vocabulary.count() == 0 and tables.weights.count() == 0
 
 
+def test_an_index_of_nothing(spark, chat, tmp_path):
+    path, none = str(tmp_path), chat(rows_of(["c1"])).limit(0)
+    tables = index_store.build_or_load(none, path)
+    assert tables.postings.count() == 0 and tables.terms.count() == 0
+    assert index_store.build(none, path) == index_store.find(none, path)
+    same_tables(chat(rows_of(["c1"])), index_store.build_or_load(chat(rows_of(["c1"])), path))
+
+
 def test_a_chat_without_a_name(spark, chat, tmp_path):
     path = str(tmp_path)
     index_store.build(chat(rows_of(["c1"])), path)
@@ -111,13 +119,14 @@ def test_clear_removes_the_files(spark, chat, tmp_path):
 
 def test_a_build_that_stopped_is_not_found(spark, chat, tmp_path, monkeypatch):
     path, messages = str(tmp_path), chat(rows_of(["c1", "c2"]))
+    other = chat(rows_of(["c1", "c2", "c3"], seed=5))
 
     def fail(*args):
         raise RuntimeError("stopped")
 
     monkeypatch.setattr(index_store, "_write_whole", fail)
     with pytest.raises(RuntimeError):
-        index_store.build(messages, path)
+        index_store.build(other, path)
     monkeypatch.undo()
-    assert index_store.find(messages, path) is None
+    assert index_store.find(other, path) is None
     same_tables(messages, index_store.build_or_load(messages, path))

@@ -1,9 +1,11 @@
+import dataclasses
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from convolens.operators import responses, search
+from convolens.operators import embed, responses, search
 from convolens.plans import router
 from convolens.sources import index_store
 
@@ -98,6 +100,82 @@ def test_bad_requests_become_rows(spark, chat):
     assert set(packed) == {"9", "10", "11"} and '"hello word1"' in packed["9"]
 
 
+def routed_calls(spark, rows):
+    call = lambda name, args: '{"function_call": {"name": "%s", "arguments": %s}}' % (name, args)
+    texts = [(i, call(name, args)) for i, name, args in rows]
+    return router.requests(responses.tool_calls(spark.createDataFrame(texts, "request_id long, response string")))
+
+
+def seqs_of(out):
+    found = {}
+    for r in out:
+        if r.error is None:
+            found.setdefault(int(r.query_id), []).append(r.seq)
+    return {i: sorted(s) for i, s in found.items()}
+
+
+@pytest.mark.parametrize("small_blocks", [False, True])
+def test_huge_limits_beside_normal_ones(spark, chat, monkeypatch, small_blocks):
+    if small_blocks:
+        monkeypatch.setattr(router, "RANK_BLOCK", 4)
+        monkeypatch.setattr(router, "LATEST_ROWS", 5)
+        monkeypatch.setattr(router, "FIRST_CLASS", 0)
+    talk = chat([("c", i, i * 60, "Al" if i % 2 else "Bo", f"hello {i}") for i in range(60)])
+    reqs = routed_calls(spark, [
+        (1, "get_recent_messages", '{"hours": 100, "limit": 2000000000}'),
+        (2, "get_recent_messages", '{"hours": 100, "limit": 7}'),
+        (3, "get_recent_messages", '{"hours": 0.25, "limit": 2000000000}'),
+        (4, "get_user_messages", '{"username": "al", "limit": 2000000000}'),
+        (5, "get_user_messages", '{"username": ".", "limit": 3}'),
+        (6, "get_user_messages", '{"username": ".", "limit": 2000000000}'),
+        (7, "get_recent_messages", '{"hours": 100, "limit": 33}'),
+    ])
+    out = router.route(reqs, index_store.in_memory(talk), as_of=dt.datetime(2024, 1, 1, 1)).collect()
+    assert seqs_of(out) == {
+        1: list(range(60)), 2: list(range(53, 60)), 3: list(range(45, 60)), 4: list(range(1, 60, 2)),
+        5: [57, 58, 59], 6: list(range(60)), 7: list(range(27, 60)),
+    }
+
+
+def test_a_pattern_without_end_costs_only_itself(spark, chat, monkeypatch):
+    monkeypatch.setattr(router, "PATTERN_SECONDS", 0.5)
+    users = ["a" * 40 + "!", "Bo", "Al"]
+    talk = chat([("c", i, i * 60, users[i % 3], f"hello {i}") for i in range(9)])
+    reqs = routed_calls(spark, [
+        (1, "get_user_messages", '{"username": "(a|aa)+$", "limit": 2}'),
+        (2, "get_user_messages", '{"username": "bo", "limit": 2}'),
+        (3, "get_user_messages", '{"username": "^al", "limit": 1}'),
+        (4, "get_user_messages", '{"username": "(a|aa)+$", "limit": 2000000000}'),
+    ])
+    out = router.route(reqs, index_store.in_memory(talk)).collect()
+    assert seqs_of(out) == {2: [4, 7], 3: [8]}
+    assert sorted((r.query_id, "too long" in r.error) for r in out if r.error) == [("1", True), ("4", True)]
+
+
+def test_a_failing_branch_is_marked(spark, chat):
+    def factory():
+        def encode(texts):
+            if any("broken" in t for t in texts):
+                raise RuntimeError("cannot encode this")
+            return np.ones((len(texts), 64))
+
+        return encode
+
+    talk = chat([("c", i, i * 60, "Al", f"hello number word{i % 3}") for i in range(9)])
+    t = index_store.in_memory(talk)
+    t = dataclasses.replace(t, encode=lambda df, column: embed.embed(df, column, factory))
+    reqs = routed_calls(spark, [
+        (1, "semantic_search_optimized", '{"query": "hello", "top_k": 2}'),
+        (2, "semantic_search_optimized", '{"query": "broken hello", "top_k": 2}'),
+        (3, "combined_search_optimized", '{"query": "broken hello word1", "top_k": 2}'),
+        (4, "combined_search_optimized", '{"query": "hello word1", "top_k": 2}'),
+    ])
+    out = router.route(reqs, t).collect()
+    errors = {r.query_id: r.error for r in out if r.error}
+    assert set(errors) == {"2", "3"} and all("cannot encode this" in e for e in errors.values())
+    assert set(seqs_of(out)) >= {3, 4} and 2 not in seqs_of(out)
+
+
 @pytest.mark.parametrize("body", ["x" * 1_000_000, "{" * 20_000, "{a " * 5000 + "}" * 5000, '{"function_call"' + "{" * 3000])
 def test_long_and_deep_responses(spark, body):
     text = '`Sure: ` {"function_call": {"name": "get_stats", "arguments": {"note": "%s"}}}' % ("y" * 100_000)

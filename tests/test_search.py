@@ -1,10 +1,13 @@
+import dataclasses
 import math
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import plan_of
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from convolens.operators import embed, index, search
@@ -281,5 +284,50 @@ def test_many_labels_are_scored_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id int, vector array<float>")
     one = {r.id: (r.dominant_emotion, r.emotion_similarities) for r in embed.emotion_scores(df, "vector", table).collect()}
     monkeypatch.setattr(embed, "LABEL_BLOCK", 5)
+    monkeypatch.setattr(embed, "VECTOR_BLOCK", 15)
     many = {r.id: (r.dominant_emotion, r.emotion_similarities) for r in embed.emotion_scores(df, "vector", table).collect()}
     assert one == many and len(one[0][1]) == 23
+
+
+def test_many_labels_leave_the_plan_as_it_is(spark):
+    rng = np.random.default_rng(3)
+    n = 25_000
+    vectors = rng.normal(size=(n, 3)).astype(np.float32)
+    vectors[20_000] = vectors[12_345]  # the first of two equal labels wins
+    flat = pa.table({"ord": np.arange(n), "label": [f"l{i}" for i in range(n)], "vector": list(vectors)})
+    labels = spark.createDataFrame(flat)
+    df = spark.createDataFrame([(1, vectors[12_345].tolist()), (2, vectors[777].tolist())], "id int, vector array<float>")
+    scored = embed.emotion_scores(df, "vector", labels)
+    got = {r.id: (r.dominant_emotion, len(r.emotion_similarities)) for r in scored.collect()}
+    assert got == {1: ("l12345", n), 2: ("l777", n)}
+    assert len(plan_of(scored)) < 20_000
+
+
+def test_a_failing_branch_leaves_the_others(spark, talk):
+    def factory():
+        def encode(texts):
+            raise RuntimeError("no model")
+
+        return encode
+
+    plain = index_store.in_memory(talk)
+    broken = dataclasses.replace(plain, encode=lambda df, column: embed.embed(df, column, factory))
+    queries = search.one_query(spark, "the thing in dinner")
+    hits, status = search.combined_search_by_branch(broken, queries, k=5)
+    told = {r.branch: r.error for r in status.collect()}
+    assert "no model" in told.pop(search.SEMANTIC) and set(told.values()) == {None}
+    parts = {
+        search.KEYWORD: search.keyword_search(plain.postings, plain.vocabulary, queries, 5),
+        search.TFIDF: search.tfidf_search(plain.weights, plain.terms, queries, 5),
+    }
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, search.fuse(parts, 5).collect()))
+    whole, status = search.combined_search_by_branch(plain, queries, k=5)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, search.combined_search(plain, queries, 5).collect()))
+    assert status.where("error IS NOT NULL").count() == 0
+
+
+def test_errors_of_the_plan_are_raised(spark, talk):
+    plain = index_store.in_memory(talk)
+    wrong = dataclasses.replace(plain, terms=plain.terms.drop("idf"))
+    with pytest.raises(AnalysisException):
+        search.combined_search_by_branch(wrong, search.one_query(spark, "the thing"))

@@ -78,3 +78,25 @@ def test_run_lengths(spark):
     got = one(spark, "b a b c a b", lambda c: run_lengths(F.split(c, " ")))
     assert [tuple(r) for r in got] == [("a", 2), ("b", 3), ("c", 1)]
     assert one(spark, "", lambda c: run_lengths(text.tokens(c))) is None
+
+
+def test_a_callers_table_of_emoji_names(spark):
+    rows = [
+        ("\U0001f44d", ":+1:"), ("\U0001f44d\U0001f3fd", ":medium_thumb:"), ("\U0001f1e9\U0001f1ea", ":Germany:"),
+        ("\u2764\ufe0f\u200d\U0001f525", ":heart_on_fire:"), ("\u2764\ufe0f", ":heart:"), (None, ":x:"), ("", ":y:"), ("z", None),
+    ]
+    names = spark.createDataFrame(rows, "emoji string, name string")
+    aliases = text.alias_table(names)
+    assert len(aliases) == 5
+    given = {
+        "ok \U0001f44d!": "ok :+1:!",
+        "\U0001f44d\U0001f3fd\U0001f44d": ":medium_thumb::+1:",
+        "to \U0001f1e9\U0001f1ea and \U0001f1e9": "to :Germany: and \U0001f1e9",
+        "\u2764\ufe0f\u200d\U0001f525\u2764\ufe0f\u2764": ":heart_on_fire::heart::red_heart:",
+        "\U0001f525 plain": ":fire: plain",
+        "no emoji": "no emoji",
+    }
+    df = spark.createDataFrame([(k,) for k in given], "t string")
+    assert {r.t: r.n for r in df.withColumn("n", text.emoji_aliases(F.col("t"), aliases)).collect()} == given
+    with pytest.raises(ValueError, match="at most"):
+        text.alias_table(spark.range(text.ALIAS_ROWS + 1).select(F.col("id").cast("string").alias("emoji"), F.lit("n").alias("name")))
