@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from convolens.llm import ann, embed_dedup
 
@@ -115,6 +116,37 @@ def test_links_between_many_that_are_not(spark):
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate(links.sum(1).tolist()))
 
 
+def close_pairs(n, pairs, dim=32):
+    rng = np.random.default_rng(7)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(n, dim)))
+    aside = rng.normal(size=(pairs, dim))
+    aside = unit(aside - (aside * x[:pairs]).sum(1, keepdims=True) * x[:pairs])
+    return np.concatenate([x, 0.953 * x[:pairs] + np.sqrt(1 - 0.953**2) * aside])
+
+
+def test_passes_miss_no_pair_among_many_blocks(spark):
+    x = close_pairs(3000, 400)
+    cos = x @ x.T
+    want = (cos >= 0.95).sum(1) - 1
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    got = embed_dedup.near_duplicates(df, window=64).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist()))
+
+
+def test_vectors_meet_a_bounded_number_of_blocks(spark, monkeypatch):
+    """Spread vectors are sent to three blocks a pass, a few more where a run is long, at any size."""
+    sent = []
+    monkeypatch.setattr(embed_dedup, "_pairs", lambda met, *_: sent.append(met.count()) or met.select("rep", F.col("rep").alias("root")))
+    for n in (1000, 4000):
+        rows = [(i, 8, 1, v.tolist()) for i, v in enumerate(vectors(n))]
+        classes = spark.createDataFrame(rows, "rep long, dim int, n long, v array<double>")
+        embed_dedup.pass_links(classes, 0.95, 64, 1e-6)
+    bits = [np.ceil(np.log2(n / 64)) + 1 for n in (1000, 4000)]
+    turns = [np.ceil(np.log(1e-6) / np.log1p(-((1 - np.arccos(0.95) / np.pi) ** b))) for b in bits]
+    assert sent[0] <= 6 * turns[0] * 1000 and sent[1] <= 6 * turns[1] * 4000
+
+
 def test_embedding_groups_of_nothing(spark):
     assert embed_dedup.near_duplicates(frame(spark, [])).count() == 0
 
