@@ -5,6 +5,11 @@ sensitive context (a word like ``key`` or ``auth`` near it, on either side) is a
 what it adds to the compressed size of its surroundings, given a dictionary of the corpus' frequent
 identifiers: text that follows from context or dictionary adds next to nothing, a random string adds
 nearly its entropy. Candidates that add more than ``RATIO`` bytes per character are reported.
+
+Shorter strings and strings with other signs, as passwords are, become candidates where they mix
+digits and letters of both cases. A word of 8 letters that nobody wrote before adds as many bytes as a
+key of 8 letters, so the size alone cannot tell those; and such strings must add more (``RATIO_MIXED``),
+as a few bytes of coding weigh more in them.
 """
 
 from __future__ import annotations
@@ -35,10 +40,14 @@ KINDS = ("assign", "access", "hex", "novel")
 SHORTEST = {"assign": 8, "access": 16}
 # A candidate: a run of identifier characters, long enough to be a key.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+# A candidate of mixed signs: printable ASCII up to a blank, quote, bracket or separator.
+MIXED = re.compile(r"[!#-&*+\-./0-9?@A-Z\\^_a-z|~]{8,}")
+MIXES = re.compile(r"(?=.*[a-z])(?=.*[A-Z]).*[0-9]")
 # Looked for at every place, as such words may overlap.
 SENSITIVE = re.compile(r"(?i)(?=(pass|secret|token|key|auth|cred|bearer|private|signature|session|cookie|akia))")
 AROUND = 160
 RATIO = 0.55
+RATIO_MIXED = 0.85
 DICTIONARY = 32_768
 LEVEL = 3
 
@@ -71,19 +80,23 @@ class Novelty:
         return len(self.compressor.compress(whole)) - len(self.compressor.compress(around))
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
-        found: list[tuple[int, int, str]] = []
-        candidates = [m.span() for m in CANDIDATE.finditer(text)]
-        words = [m.span(1) for m in SENSITIVE.finditer(text)] if candidates else []
+        candidates = [(*m.span(), RATIO) for m in CANDIDATE.finditer(text)]
+        mixed = [(m.start(), m.start() + len(m[0].rstrip(".!?")), RATIO_MIXED) for m in MIXED.finditer(text) if MIXES.match(m[0])]
+        mixed = [c for c in mixed if c[1] - c[0] >= 8]
+        words = [m.span(1) for m in SENSITIVE.finditer(text)] if candidates or mixed else []
+        if not words:
+            return []
         starts = [w[0] for w in words]
-        for start, end in candidates if words else []:
-            near = words[bisect_left(starts, start - AROUND) : bisect_left(starts, end + AROUND)]
-            # A word counts where it lies wholly before or after the candidate, in what is compressed.
-            if not any(b <= start or (a >= end and b <= end + AROUND) for a, b in near):
-                continue
-            before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-            if self.added(before, text[start:end], after) > RATIO * (end - start):
-                found.append((start, end, "novel"))
-        return found
+        plain, wide = ([(a, b, "novel") for a, b, ratio in c if self._novel(text, a, b, ratio, words, starts)] for c in (candidates, mixed))
+        return sorted(wide + _beyond(plain, wide))
+
+    def _novel(self, text: str, start: int, end: int, ratio: float, words: list[tuple[int, int]], starts: list[int]) -> bool:
+        near = words[bisect_left(starts, start - AROUND) : bisect_left(starts, end + AROUND)]
+        # A word counts where it lies wholly before or after the candidate, in what is compressed.
+        if not any(b <= start or (a >= end and b <= end + AROUND) for a, b in near):
+            return False
+        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+        return self.added(before, text[start:end], after) > ratio * (end - start)
 
 
 def shown(spans: list[tuple[int, int, str]]) -> str:

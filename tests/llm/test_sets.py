@@ -231,15 +231,6 @@ def test_secrets(spark):
     assert secret_scan.digest(df.limit(0), b"").count() == 0
 
 
-def test_spans_apart_from_base():
-    rng = np.random.default_rng(3)
-    for _ in range(300):
-        draw = lambda n, kind: sorted((int(a), int(a + b), kind) for a, b in rng.integers(1, 30, (n, 2)))
-        base, new = draw(rng.integers(0, 6), "hex"), draw(4, "novel")
-        want = [s for s in new if not any(a < s[1] and s[0] < b for a, b, _ in base)]
-        assert secret_scan._apart(new, base) == want
-
-
 def test_spans_beyond_base():
     rng = np.random.default_rng(4)
     for _ in range(300):
@@ -259,6 +250,19 @@ def test_every_candidate_near_a_sensitive_word_is_measured():
     assert novelty.spans("the key " + "=" * 30) == []
 
 
+def test_short_and_symbol_bearing_secrets_are_measured():
+    novelty = secret_scan.Novelty(b"")
+    for text, secret in [
+        ("password is Xk9!vQ2#mZ7$", "Xk9!vQ2#mZ7$"), ("auth qZ7x9Kp2Lm.", "qZ7x9Kp2Lm"), ("bearer aB3$dE6&gH9*jK", "aB3$dE6&gH9*jK"),
+        ("token => zT8r4Kw1Qn6", "zT8r4Kw1Qn6"), ("passphrase Kx8.Lm2.Pq7.Rt4 x", "Kx8.Lm2.Pq7.Rt4"), ("password=Xk9!vQ2#mZ7$", "Xk9!vQ2#mZ7$"),
+        ("secret (Zx9kQ2mLp8Vt4RwY7bNc#5)", "Zx9kQ2mLp8Vt4RwY7bNc#5"),
+    ]:
+        at = text.index(secret)
+        assert novelty.spans(text) == [(at, at + len(secret), "novel")], text
+    assert novelty.spans("the key Password1 Password1 Password1 Password1") == []  # the context holds it
+    assert novelty.spans("keys are Important and something else entirely 12345678") == []
+
+
 def test_the_rest_of_a_longer_secret_is_found():
     key = "sk_live_" + hashlib.md5(b"x").hexdigest() + "QzXw"
     spans = secret_scan.all_spans(secret_scan.Novelty(b""), f"auth {key} end")
