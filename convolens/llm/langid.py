@@ -7,10 +7,11 @@ Nystroem approximation of the kernel's feature space. There a ridge regression p
 against the rest is solved in closed form. Texts and landmarks meet in every n-gram of code points that a
 landmark holds, looked up by its exact code; n-grams that no landmark holds only count in the size
 of a text. Landmarks' n-grams times regression weights are one table of n-grams by languages, so
-scoring a text is a sum of its rows.
+scoring a batch is the product of its sparse matrix of texts by n-grams with that table.
 
-The fit uses a sample of labelled rows of bounded size (``per_language`` rows of each language);
-scoring covers the whole of every text.
+The fit uses a sample of labelled rows of bounded size (``per_language`` rows of each language), of
+which only the sets of n-grams leave the tasks, so texts of any length teach; scoring covers the whole
+of every text. Landmarks grow with the number of languages.
 """
 
 from __future__ import annotations
@@ -24,12 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convolens.llm.common import map_batches
+from convolens.llm.common import kept, map_batches
+from convolens.llm.vectors import matrix
+from convolens.runtime import join_small
 
 N = 3
 LANDMARKS = 256
 PER_LANGUAGE = 500
-FIT_CHARS = 20_000
+# Characters whose n-grams are gathered at once, and entries of a batch's sparse matrix multiplied at once.
+STRETCH = 1 << 20
+ENTRIES = 1 << 20
+# Landmarks of each language at least.
+EACH = 4
 # Bits of a code point, so that three of them are one integer; and of the table that n-grams are looked up in.
 POINT, SLOTS = 21, 20
 RIDGE = 1e-3
@@ -43,16 +50,24 @@ def held_out(ids: Column, folds: int, fold: int) -> Column:
 
 
 def all_grams(text: str) -> np.ndarray:
-    """Codes of the distinct n-grams of a text, ascending; what is no letter is a gap, gaps in a row are one."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    code = _letters(points)
-    gap = code == GAP
-    code = code[~(gap & np.r_[False, gap[:-1]])]
-    grams, last = [code], code
-    for n in range(1, N):
-        last = last[:-1] << POINT | code[n:]  # code points are above 0, so lengths do not mix
-        grams.append(last)
-    return np.unique(np.concatenate(grams))
+    """Codes of the distinct n-grams of a text, ascending; what is no letter is a gap, gaps in a row are one.
+
+    Long texts are taken in stretches, so memory holds one stretch and the distinct n-grams.
+    """
+    found, last = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for start in range(0, max(1, len(text)), STRETCH):
+        part = text[start : start + STRETCH].lower()
+        part = (" " if not start else "") + part + (" " if start + STRETCH >= len(text) else "")
+        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        code = np.concatenate([last, _letters(points)])  # goes on where the stretch before ended
+        gap = code == GAP
+        code = code[~(gap & np.r_[False, gap[:-1]])]
+        grams, run = [found, code], code
+        for n in range(1, N):
+            run = run[:-1] << POINT | code[n:]  # code points are above 0, so lengths do not mix
+            grams.append(run)
+        found, last = np.unique(np.concatenate(grams)), code[1 - N :]
+    return found
 
 
 GAP = ord(" ")
@@ -101,17 +116,20 @@ class Model:
     grams: Grams
     held: list[np.ndarray]  # features of each landmark
     weights: np.ndarray  # landmarks x languages
-    table: np.ndarray | None = None  # features x languages
+    table: np.ndarray | None = None  # features x languages, and a last row of zeros
 
     def kernel(self, texts: list[str]) -> np.ndarray:
         """Kernel values of texts and landmarks: shared n-grams by the roots of the sizes of both sets."""
-        out = np.zeros((len(texts), len(self.held)))
+        return self.kernel_of([all_grams(t) for t in texts])
+
+    def kernel_of(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Kernel values of landmarks and sets of n-grams."""
+        out = np.zeros((len(sets), len(self.held)))
         marks = np.repeat(np.arange(len(self.held)), [len(h) for h in self.held])
         flat = np.concatenate(self.held)
         order = np.argsort(flat, kind="stable")
         marks, bounds = marks[order], np.searchsorted(flat[order], np.arange(len(self.grams.codes) + 1))
-        for row, text in enumerate(texts):
-            grams = all_grams(text)
+        for row, grams in enumerate(sets):
             at = self.grams.features(grams)
             size = bounds[at + 1] - bounds[at]
             # Places of all landmarks of all features of the text, one range after the other.
@@ -121,21 +139,38 @@ class Model:
 
     def close(self) -> Model:
         """Bring landmarks and weights into one table, all that scoring needs."""
-        self.table = np.zeros((len(self.grams.codes), len(self.languages)), dtype=np.float32)
+        self.table = np.zeros((len(self.grams.codes) + 1, len(self.languages)), dtype=np.float32)
         for held, weight in zip(self.held, self.weights):
             self.table[held] += (weight / np.sqrt(max(1, len(held)))).astype(np.float32)
         return self
 
-    def values(self, text: str) -> np.ndarray:
-        """Regression values of the languages: the kernel times the weights."""
-        grams = all_grams(text)
-        return self.table[self.grams.features(grams)].sum(axis=0, dtype=np.float64) / np.sqrt(len(grams))
+    def values(self, texts: list[str]) -> np.ndarray:
+        """Regression values of texts and languages: the kernel times the weights."""
+        out = np.zeros((len(texts), len(self.languages)))
+        held: list[np.ndarray] = []
+        first = size = 0
+        for row, text in enumerate(texts):
+            grams = all_grams(text)
+            held.append(self.grams.features(grams))
+            size += len(held[-1])
+            out[row] = 1 / np.sqrt(len(grams))
+            if size * len(self.languages) > ENTRIES or row == len(texts) - 1:
+                out[first : row + 1] *= self._product(held)
+                held, first, size = [], row + 1, 0
+        return out
+
+    def _product(self, held: list[np.ndarray]) -> np.ndarray:
+        """The sparse matrix with ones at the features ``held`` of each row, times the table."""
+        # An empty row takes a row of zeros, as a sum over nothing is none of ``reduceat``'s.
+        ends = np.cumsum([len(h) + 1 for h in held])
+        rows = np.concatenate([np.append(h, len(self.table) - 1) for h in held])
+        return np.add.reduceat(self.table[rows], np.r_[0, ends[:-1]], axis=0, dtype=np.float64)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         known = [t if t and LETTER.search(t) else "" for t in texts]
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        value = np.stack([self.values(t) for t in known]) if known else np.zeros((0, len(self.languages)))
+        value = self.values(known)
         best = value.argmax(axis=1)
         # Targets are 1 and 0, so the winning value is a score once it is brought into 0..1.
         score = np.clip(value[np.arange(len(best)), best], 0, 1)
@@ -144,53 +179,93 @@ class Model:
 
 
 def fit_texts(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fit on texts in a fixed order; landmarks are the first texts of each language in turn."""
-    languages = sorted(set(labels))
-    if not languages:
-        return Model([], Grams(np.zeros(0, np.int64)), [], np.zeros((0, 0)))
-    by_lang = {lang: [i for i, x in enumerate(labels) if x == lang] for lang in languages}
-    turn = sorted((n, lang, i) for lang in languages for n, i in enumerate(by_lang[lang]))
-    marks = [i for _, _, i in turn[:landmarks]]
-    codes = [all_grams(texts[i]) for i in marks]
-    grams = Grams(np.unique(np.concatenate(codes)))
-    model = Model(languages, grams, [grams.features(c) for c in codes], np.zeros((len(marks), len(languages))))
-    kernel = model.kernel(texts)
+    """Fit on texts in a fixed order; see ``fit_sets``."""
+    return fit_sets([all_grams(t) for t in texts], labels, landmarks, ridge)
+
+
+def fit_sets(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Fit on sets of n-grams in a fixed order; see ``marked`` for the landmarks."""
+    marks = marked(labels, landmarks)
+    model = _of_landmarks(sorted(set(labels)), [sets[i] for i in marks])
+    return _regressed(model, model.kernel_of(sets), marks, labels, ridge) if marks else model
+
+
+def marked(labels: list[str], landmarks: int) -> list[int]:
+    """Places of the landmarks: the first row of each language, then the second, and so on."""
+    seen: dict[str, int] = {}
+    turn = []
+    for i, lang in enumerate(labels):
+        seen[lang] = seen.get(lang, 0) + 1
+        turn.append((seen[lang], lang, i))
+    return [i for _, _, i in sorted(turn)[:landmarks]]
+
+
+def _of_landmarks(languages: list[str], codes: list[np.ndarray]) -> Model:
+    grams = Grams(np.unique(np.concatenate([np.zeros(0, np.int64), *codes])))
+    return Model(languages, grams, [grams.features(c) for c in codes], np.zeros((len(codes), len(languages))))
+
+
+def _regressed(model: Model, kernel: np.ndarray, marks: list[int], labels: list[str], ridge: float) -> Model:
     # Nystroem features: kernel values times the inverse root of the landmarks' own matrix.
     own, vectors = np.linalg.eigh(kernel[marks])
     use = own > 1e-6 * own.max()
     root = vectors[:, use] / np.sqrt(own[use])
     z = kernel @ root
-    target = np.array([[x == lang for lang in languages] for x in labels], dtype=np.float64)
+    target = np.array([[x == lang for lang in model.languages] for x in labels], dtype=np.float64)
     share = target.mean(axis=0)
     weigh = (target / np.maximum(share, 1e-9)).sum(axis=1, keepdims=True)  # languages weigh alike
-    gram = z.T @ (z * weigh) + ridge * len(texts) * np.eye(z.shape[1])
+    gram = z.T @ (z * weigh) + ridge * len(labels) * np.eye(z.shape[1])
     model.weights = root @ np.linalg.solve(gram, z.T @ (target * weigh))
     return model.close()
 
 
-def fit(
-    docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, max_languages: int = 64
-) -> Model:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model:
     """Fit on at most ``per_language`` rows ``(doc_id, text, lang)`` of each language.
 
-    The sample is drawn by a hash of id and text, so it does not depend on the order of rows. Rows
-    with null language, without a letter or with more than ``FIT_CHARS`` characters are not drawn.
-    More than ``max_languages`` languages raise.
+    The sample is drawn by a hash of id and text, so it does not depend on the order of rows; rows
+    that repeat both are drawn alike. Rows with null language or without a letter are not drawn. There
+    are ``EACH`` landmarks of each language where that is more than ``landmarks``.
     """
-    fits = F.col("lang").isNotNull() & (F.char_length("text") <= FIT_CHARS)
-    counts = docs.where(fits).groupBy("lang").count().limit(max_languages + 1).collect()
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    fits = F.col("lang").isNotNull()
     drawn = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(11))
     part = F.pmod(drawn, F.lit(1 << 30)) / float(1 << 30)
+    counts = docs.where(fits).groupBy("lang").agg(F.count(F.lit(1)).alias("_all"))
     # A little over the wanted share is drawn, and the surplus dropped here, lowest hashes first.
-    share = F.lit(0.0)
-    for lang, n in counts:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (per_language + 100) * 1.1 / n))).otherwise(share)
-    rows = docs.where(fits & (part < share) & F.col("text").rlike(r"\p{L}"))
-    got = sorted(rows.select("lang", drawn.alias("at"), "text").collect())
-    sample = [r for lang, _ in sorted(counts) for r in [r for r in got if r["lang"] == lang][:per_language]]
-    return fit_texts([r["text"] for r in sample], [r["lang"] for r in sample], landmarks)
+    share = F.least(F.lit(1.0), F.lit((per_language + 100) * 1.1) / F.col("_all"))
+    shares = counts.select("lang", share.alias("_share"))
+    rows = docs.where(fits & F.col("text").rlike(r"\p{L}")).select("lang", drawn.alias("at"), part.alias("part"), "text")
+    rows = join_small(rows, shares, ["lang"], ["at"]).where("part < _share")
+
+    def gathered(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = pa.array([all_grams(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+        return batch.drop_columns(["text"]).append_column("grams", sets)
+
+    drawn_rows = rows.select("lang", "at", "text")
+    sets = kept(map_batches(drawn_rows, gathered, "lang string, at long, grams array<long>", rows=64), "sample")
+    keys: list[tuple[str, int]] = []
+    taken: dict[str, int] = {}
+    for lang, at in sorted(map(tuple, sets.select("lang", "at").collect())):
+        taken[lang] = taken.get(lang, 0) + 1
+        if taken[lang] <= per_language:
+            keys.append((lang, at))
+    labels = [lang for lang, _ in keys]
+    marks = marked(labels, max(landmarks, EACH * len(taken)))
+    if not marks:
+        return _of_landmarks([], [])
+    # Only landmarks' n-grams and a kernel row of each other row come to the driver.
+    wanted = sets.where(F.col("at").isin([keys[i][1] for i in marks])).toArrow()
+    found = zip(wanted.column("lang").to_pylist(), wanted.column("at").to_pylist(), wanted.column("grams"))
+    codes = {(lang, at): grams.values.to_numpy() for lang, at, grams in found}
+    model = _of_landmarks(sorted(taken), [codes[keys[i]] for i in marks])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by n-grams of landmarks
+
+    def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kernel = shared.value.kernel_of([g.values.to_numpy() for g in batch.column("grams")])
+        return batch.drop_columns(["grams"]).append_column("kernel", pa.array(list(kernel), pa.list_(pa.float64())))
+
+    got = map_batches(sets, compared, "lang string, at long, kernel array<double>").toArrow()
+    by_key = dict(zip(zip(got.column("lang").to_pylist(), got.column("at").to_pylist()), matrix(got.column("kernel"))))
+    return _regressed(model, np.stack([by_key[k] for k in keys]), marks, labels, RIDGE)
 
 
 def identify(docs: DataFrame, model: Model, drop_text: bool = False) -> DataFrame:

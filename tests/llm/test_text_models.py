@@ -180,7 +180,7 @@ def test_languages_of_many_scripts_are_told_apart():
     wide = langid.fit_texts(rare, ["a", "b"])
     assert len(wide.grams.codes) == len({g for t in rare for g in langid.all_grams(t).tolist()}) > 20_000
     assert wide.predict([rare[0][3900:], rare[1][3900:]])[0] == ["a", "b"]
-    assert np.allclose(wide.kernel(rare) @ wide.weights, [wide.values(t) for t in rare], atol=1e-4)
+    assert np.allclose(wide.kernel(rare) @ wide.weights, wide.values(rare), atol=1e-4)
 
 
 def test_kernel_equals_its_definition():
@@ -194,3 +194,30 @@ def test_kernel_equals_its_definition():
     sets = [grams(t) for t in texts]
     want = [[len(x & y) / np.sqrt(len(x) * len(y)) for y in (sets[0], sets[2], sets[1], sets[3])] for x in sets]
     assert np.allclose(model.kernel(texts), want, atol=1e-6)
+
+
+def test_grams_of_stretches_are_those_of_the_text(monkeypatch):
+    text = "ab  cd, \u0130x 12\u4e2d\u6587e\u0301 " * 9
+    whole = langid.all_grams(text)
+    for stretch in (1, 2, 3, 7, 50, len(text)):
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        assert np.array_equal(langid.all_grams(text), whole), stretch
+    assert np.array_equal(langid.all_grams(""), [32])
+
+
+def test_many_languages_and_languages_of_long_texts(spark):
+    rng = np.random.default_rng(2)
+    word = lambda k, n: " ".join("".join(chr(0x4E00 + 40 * k + int(c)) for c in rng.integers(0, 12, 5)) for _ in range(n))
+    rows = [(100 * k + i, word(k, 20), f"l{k}") for k in range(100) for i in range(3)]
+    rows += [(20_000 + i, word(200, 6000), "long") for i in range(3)]
+    fitted = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(fitted.languages) == 101 and len(fitted.held) == 303
+    assert fitted.predict([word(k, 10) for k in (0, 57, 99, 200)])[0] == ["l0", "l57", "l99", "long"]
+
+
+def test_products_of_parts_of_a_batch(monkeypatch):
+    texts = ["abc de", "", "xyz", "abd", "123"]
+    model = langid.fit_texts(texts[:1] + texts[2:4], ["a", "b", "a"])
+    whole = model.values(texts)
+    monkeypatch.setattr(langid, "ENTRIES", 1)
+    assert np.allclose(model.values(texts), whole) and np.allclose(whole, model.kernel(texts) @ model.weights, atol=1e-5)
