@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convolens.runtime import scratch_path, spread
+from convolens.runtime import join_small, scratch_path, spread
 
 # Rows of one Arrow step inside a task; a whole input batch is at most 64 MB by Spark's own limit.
 STEP_ROWS = 512
@@ -87,3 +88,23 @@ def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     joined = placed.join(F.broadcast(offsets(counts, "_n", "_before")), "_part")
     return joined.withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
+
+
+def read_in_order(df: DataFrame, name: str) -> DataFrame:
+    """Add ``name``, a double: where a row stands among all rows of the files that ``df`` is a scan of.
+
+    Files go by the numbers their writing tasks gave them, so a table that was written in an order
+    over the cluster has it back. Null where ``df`` is no plain scan of written files.
+    """
+    try:
+        if "_metadata" in df.columns:
+            raise AnalysisException("a column of the caller")
+        file, row = free_name("_file", df), free_name("_line", df)
+        whole = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+        files = df.select(F.col("_metadata.file_path").alias(file)).groupBy(file).agg(F.count(F.lit(1)).alias("_lines"))
+    except AnalysisException:
+        return df.withColumn(name, F.lit(None).cast("double"))
+    number = F.regexp_extract(F.element_at(F.split(file, "/"), -1), r"^part-(\d+)-", 1).try_cast("double")
+    files = files.select(file, number.alias("_number"), "_lines")
+    place = F.col("_number") + F.col(row) / F.col("_lines")
+    return join_small(whole, files, [file], [row]).withColumn(name, place).select(*df.columns, name)

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolens.llm.common import RESERVED, kept, map_batches, numbered, slices
@@ -37,27 +37,34 @@ END = np.array([1], dtype="<u4").tobytes()
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenized(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def tokenized(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, position: Column | None = None) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: token sequences of at most ``capacity``.
 
-    A document is its ids and an end mark; null texts are empty, so they are the mark alone.
+    A document is its ids and an end mark; null texts are empty, so they are the mark alone. With a
+    ``position`` its value, a double, comes as a last column.
     """
     path = path or vocabulary("word_bpe_49k.json")
+    wanted = [F.col("doc_id").cast("long").alias("doc_id"), "text"]
+    extra = [] if position is None else [position.cast("double").alias("position")]
+    ordered = position is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path)
         for batch in slices(batches):
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            of: list[int] = []
+            for i, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"))):
                 ids = encoder.ids(text.as_py() or "") + END
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                    of.append(i)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             cols = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
+            pieces = pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pieces.append_column("position", batch.column("position").take(pa.array(of, pa.int64()))) if ordered else pieces
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
+    return docs.select(*wanted, *extra).mapInArrow(run, _PIECES + ", position double" * ordered)
 
 
 def _best_pattern(sizes: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
@@ -229,7 +236,9 @@ def pack(
     empty one. Columns with the names added here, or with helper names (``RESERVED``), are dropped.
     """
     plain = pieces.drop("sequence_id", "offset", "_rank", *RESERVED)
-    order = [F.col("length").desc(), *[c for c in plain.columns if c != "length"]]
+    # Pieces of one length stand by position, if they have one, so that neighbours come together.
+    first = [c for c in plain.columns if c == "position"]
+    order = [F.col("length").desc(), *first, *[c for c in plain.columns if c not in ("length", *first)]]
     ranked = numbered(plain, "_rank", *order)
     histogram = ranked.groupBy("length").count().orderBy(F.col("length").desc()).collect()
     if histogram and not 1 <= histogram[-1][0] <= histogram[0][0] <= capacity:
@@ -254,3 +263,12 @@ def pack(
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, **options) -> DataFrame:
     """Tokenize ``docs`` (``doc_id``, ``text``) and pack their pieces."""
     return pack(kept(tokenized(docs, path, capacity), "pieces"), capacity, **options)
+
+
+def in_training_order(packed: DataFrame) -> DataFrame:
+    """Add ``sequence_order``, from 0: sequences by the mean ``position`` of their tokens, those without one last."""
+    weight = F.when(F.col("position").isNotNull(), F.col("length"))
+    mean = (F.sum(F.col("position") * F.col("length")) / F.sum(weight)).alias("mean")
+    sequences = packed.groupBy("sequence_id").agg(mean)
+    placed = numbered(sequences, "sequence_order", F.col("mean").asc_nulls_last(), "sequence_id")
+    return packed.join(placed.drop("mean"), "sequence_id").select(*packed.columns, "sequence_order")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import check
 import corpus_pipeline
-from convolens.llm import simhash
+from convolens.llm import common, simhash
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -61,6 +61,22 @@ def test_packing_takes_odd_documents(spark, docs):
     assert corpus_pipeline.pack_sequences(spark, docs.limit(0), SF_DIR).count() == 0
 
 
+def test_sequences_follow_the_curriculum(spark, docs, tmp_path):
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF_DIR)
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    again = spark.read.parquet(str(tmp_path / "mixed"))
+    want = [(r.doc_id, r.text) for r in mixed.collect()]
+    got = [(r.doc_id, r.text) for r in common.read_in_order(again, "at").orderBy("at").collect()]
+    assert got == want
+    out = corpus_pipeline.pack_sequences(spark, again, SF_DIR)
+    means = {}
+    for r in out.collect():
+        means.setdefault((r.sequence_order, r.sequence_id), []).append((r.position * r.length, r.length))
+    order = [sum(p for p, _ in means[k]) / sum(n for _, n in means[k]) for k in sorted(means)]
+    assert order == sorted(order) and [k[0] for k in sorted(means)] == list(range(len(means)))
+    assert out.count() == corpus_pipeline.pack_sequences(spark, mixed, SF_DIR).where("position IS NULL").count()
+
+
 def test_toxic_documents_go(spark, docs):
     text = "the of and in to idiot moron scum stupid the of"
     more = docs.unionByName(spark.createDataFrame([(9100, text, "en", "s", 1)], docs.schema))
