@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolens.llm import langid, mixing, packing, secret_scan, simhash, toxicity
-from convolens.llm.common import free_name, kept, table
+from convolens.llm.common import free_name, kept, read_in_order, table
 
 # Toxicity is learnt and secrets are found by models that SQL cannot express.
 ORACLE_SQL = None
@@ -56,8 +56,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of the mixed documents, packed."""
-    return packing.pack_documents(docs)
+    """Token sequences of the mixed documents, packed, in the order of training.
+
+    Packing decides what shares a sequence; ``sequence_order`` numbers the sequences by the mean
+    position of their tokens in the mix, which is the order its files were written in. Documents that
+    are no written table have a null ``position``.
+    """
+    name = free_name("_position", docs)
+    placed = read_in_order(docs.select("doc_id", "text"), name)
+    pieces = kept(packing.tokenized(placed, position=F.col(name)), "pieces")
+    return packing.in_training_order(kept(packing.pack(pieces), "packed"))
 
 
 STAGES = [
