@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from convolens.functions import text
 from convolens.functions.arrays import run_lengths
+from convolens.operators.grams import Grams, Known, steps, tallied
 from convolens.operators.ranking import top_k
-from convolens.runtime import BROADCAST_ROWS, fits, join_small
+from convolens.runtime import BROADCAST_ROWS, fits, join_small, stored
 
 # --- fixed values -------------------------------------------------------------------------------
 MAX_FEATURES = 10_000
@@ -88,21 +90,104 @@ def tfidf_vocabulary(
 ) -> DataFrame:
     """``(term, df, total, idf)`` of the kept terms; ``idf = ln((1 + n) / (1 + df)) + 1``.
 
-    One shuffle on the term, with counts combined before it.
+    Terms are counted length by length, and only those that can still be kept (``candidate_sums``).
     """
-    n = indexable(messages).agg(F.count(F.lit(1)).alias("n")).scalar()
-    return vocabulary_of(term_counts(messages, ngram_range), n, min_df, max_df, max_features)
+    tokens = stored(token_lists(indexable(messages)))
+    return vocabulary_of(tokens, tokens.count(), ngram_range, min_df, max_df, max_features)
+
+
+def token_lists(texts: DataFrame) -> DataFrame:
+    """``(chat_id, seq, tokens)`` of clean texts."""
+    return texts.select("chat_id", "seq", text.tokens(F.col("clean_text")).alias("tokens"))
 
 
 def vocabulary_of(
-    counts: DataFrame,
-    n: Column | int,
+    tokens: DataFrame,
+    n: int,
+    ngram_range: tuple[int, int] = NGRAMS,
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
     max_features: int | None = MAX_FEATURES,
 ) -> DataFrame:
-    """``tfidf_vocabulary`` from term counts of ``n`` messages."""
-    return vocabulary_in(term_sums(counts), n, min_df, max_df, max_features)
+    """``tfidf_vocabulary`` from the token lists of ``n`` messages; they are read once per length."""
+    sums = candidate_sums(tokens, n, ngram_range, min_df, max_df, max_features)
+    return vocabulary_in(sums, n, min_df, max_df, max_features)
+
+
+def candidate_sums(
+    tokens: DataFrame, n: int, ngram_range: tuple[int, int], min_df: int, max_df: float, max_features: int | None
+) -> DataFrame:
+    """``term_sums`` of all terms that ``vocabulary_in`` can keep, and of some others.
+
+    A term occurs at most as often as each part of it, and in at most as many messages. So a term is
+    counted only if the two terms one word shorter in it are in ``min_df`` messages and as frequent
+    as the last of the ``max_features`` best of the terms known so far: no other can be kept. Where
+    so many terms pass that they do not fit a broadcast, all terms are counted as strings.
+    """
+    low, high = ngram_range
+    ones = stored(_word_sums(tokens))
+    found, known, grams = ([ones] if low == 1 else []), ones, None
+    for length in range(2, high + 1):
+        least = 1
+        if max_features is not None and found:
+            so_far = vocabulary_in(reduce(DataFrame.unionByName, found), n, min_df, max_df, max_features)
+            count, rarest = so_far.agg(F.count(F.lit(1)), F.min("total")).first()
+            least = rarest if count == max_features > 0 else 1
+        known = known.where((F.col("df") >= min_df) & (F.col("total") >= least))
+        if not fits(known):
+            every = tokens.select("chat_id", "seq", run_lengths(text.ngrams(F.col("tokens"), low, high)).alias("counts"))
+            return term_sums(counts_in(every))
+        if grams is None:
+            grams = Grams(known.select("term").sort("term").toArrow().column("term").combine_chunks())
+        else:
+            grams = Grams(grams.words, [*grams.levels, np.sort(known.select("number").toArrow().column("number").to_numpy())])
+        known = stored(_gram_sums(tokens, grams, length))
+        if length >= low:
+            found.append(_named(known, grams, length))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _word_sums(tokens: DataFrame) -> DataFrame:
+    """``term_sums`` of single tokens, combined in the tasks before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "tokens"):
+            lists = batch.column("tokens")
+            coded = lists.flatten().dictionary_encode()
+            row = pc.list_parent_indices(lists).to_numpy()
+            code, df, total = tallied(row, coded.indices.to_numpy())
+            cells = [coded.dictionary.take(pa.array(code)), pa.array(df, pa.int64()), pa.array(total, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cells, ["term", "df", "total"])
+
+    parts = tokens.select("tokens").mapInArrow(run, "term string, df long, total long")
+    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
+def _gram_sums(tokens: DataFrame, grams: Grams, length: int) -> DataFrame:
+    """``(number, df, total)`` of n-grams whose parts are known."""
+    shared = tokens.sparkSession.sparkContext.broadcast(grams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "tokens"):
+            lists = batch.column("tokens")
+            row = pc.list_parent_indices(lists).to_numpy()
+            number = shared.value.numbers(lists.flatten(), row, length)
+            cells = [pa.array(c, pa.int64()) for c in tallied(row, number)]
+            yield pa.RecordBatch.from_arrays(cells, ["number", "df", "total"])
+
+    parts = tokens.select("tokens").mapInArrow(run, "number long, df long, total long")
+    return parts.groupBy("number").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
+def _named(sums: DataFrame, grams: Grams, length: int) -> DataFrame:
+    shared = sums.sparkSession.sparkContext.broadcast(grams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = shared.value.named(length, batch.column("number").to_numpy())
+            yield pa.RecordBatch.from_arrays([names, *batch.columns[1:]], ["term", "df", "total"])
+
+    return sums.select("number", "df", "total").mapInArrow(run, "term string, df long, total long")
 
 
 def term_sums(counts: DataFrame) -> DataFrame:
@@ -136,7 +221,7 @@ def tfidf_weights(
     ``max_features`` is the cap the vocabulary was built with. It proves the broadcast side small;
     an uncapped vocabulary is counted first.
     """
-    return weights_in(weight_lists(count_lists(indexable(messages), ngram_range), vocabulary, max_features))
+    return weights_in(weight_lists(token_lists(indexable(messages)), vocabulary, ngram_range, max_features))
 
 
 def weights_in(lists: DataFrame) -> DataFrame:
@@ -150,44 +235,38 @@ LISTS = "chat_id string, seq long, keys array<string>, tfs array<long>, weights
 
 
 def weight_lists(
-    lists: DataFrame, vocabulary: DataFrame, max_features: int | None = MAX_FEATURES
+    tokens: DataFrame, vocabulary: DataFrame, ngram_range: tuple[int, int] = NGRAMS, max_features: int | None = MAX_FEATURES
 ) -> DataFrame:
-    """``(chat_id, seq, keys, tfs, weights)`` of ``count_lists``: the vocabulary's terms of a message.
+    """``(chat_id, seq, keys, tfs, weights)`` of ``token_lists``: the vocabulary's terms of a message.
 
     A message's terms stand in one row, so the look-up and the norm need no shuffle: the vocabulary
-    goes to the tasks, which look up the terms of a whole batch at a time. A vocabulary that is not
+    goes to the tasks, which look up the terms of many messages at a time. A vocabulary that is not
     proven small by ``max_features`` or a count is joined instead, term by term.
     """
     known = vocabulary.select("term", "idf")
     if not (max_features <= BROADCAST_ROWS if max_features is not None else fits(known)):
-        return _joined_lists(lists, known)
+        grams = text.ngrams(F.col("tokens"), *ngram_range)
+        return _joined_lists(tokens.select("chat_id", "seq", run_lengths(grams).alias("counts")), known)
     table = known.toArrow()
-    terms, idf = table.column("term").combine_chunks(), table.column("idf").to_numpy()
-    shared = lists.sparkSession.sparkContext.broadcast((terms, idf))
+    terms = Known(table.column("term").to_pylist(), table.column("idf").to_numpy())
+    shared = tokens.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _weighted(batch, *shared.value)
+        for batch in steps(batches, "tokens"):
+            yield _weighted(batch, shared.value, *ngram_range)
 
-    return lists.select("chat_id", "seq", "counts").mapInArrow(run, LISTS)
+    return tokens.select("chat_id", "seq", "tokens").mapInArrow(run, LISTS)
 
 
-def _weighted(batch: pa.RecordBatch, terms: pa.Array, idf: np.ndarray) -> pa.RecordBatch:
+def _weighted(batch: pa.RecordBatch, known: Known, low: int, high: int) -> pa.RecordBatch:
     """Weights of the messages of a batch that have any term of the vocabulary."""
-    counts = batch.column("counts")
-    flat = counts.flatten()
-    code = pc.index_in(flat.field("value"), value_set=terms)
-    known = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
-    places = pa.array(known)
-    lengths = pc.fill_null(pc.list_value_length(counts), 0).to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(counts)), lengths)[known]
-    tf = flat.field("n").take(places).to_numpy().astype(np.int64)
-    raw = tf * idf[code.take(places).to_numpy()]
-    norm = np.sqrt(np.bincount(row, raw * raw, minlength=len(counts)))
-    size = np.bincount(row, minlength=len(counts))
+    row, term, tf = known.counted(batch.column("tokens"), low, high)
+    raw = tf * known.values[term]
+    norm = np.sqrt(np.bincount(row, raw * raw, minlength=batch.num_rows))
+    size = np.bincount(row, minlength=batch.num_rows)
     some = np.flatnonzero(size)
     ends = pa.array(np.r_[0, np.cumsum(size[some])].astype(np.int32))
-    cells = [flat.field("value").take(places), pa.array(tf), pa.array(raw / norm[row])]
+    cells = [known.terms.take(pa.array(term)), pa.array(tf), pa.array(raw / norm[row])]
     ids = [batch.column(c).take(pa.array(some)) for c in ("chat_id", "seq")]
     lists = [pa.ListArray.from_arrays(ends, cell) for cell in cells]
     return pa.RecordBatch.from_arrays([*ids, *lists], ["chat_id", "seq", "keys", "tfs", "weights"])

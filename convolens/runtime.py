@@ -92,7 +92,8 @@ def join_small(
 
     The small side is broadcast when a count proves it small, so ``big`` is not shuffled. Beyond
     that both sides are shuffled on ``on`` plus a salt taken from ``spread_by`` (columns of
-    ``big``), which splits a hot key over ``SALTS`` tasks. ``bound`` is a row limit the caller has
+    ``big``), which splits a hot key over ``SALTS`` tasks; the copies are never broadcast, as their
+    size is that of the files they come from in Spark's eyes. ``bound`` is a row limit the caller has
     already built into ``small``; it saves the count. ``how`` is ``inner`` or ``left``.
     """
     if how not in ("inner", "left"):
@@ -101,7 +102,7 @@ def join_small(
         return big.join(F.broadcast(small), list(on), how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def keep_keys(big: DataFrame, small: DataFrame, key: str) -> DataFrame:

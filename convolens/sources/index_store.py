@@ -1,10 +1,10 @@
 """Index tables on shared storage, kept in step with the messages chat by chat.
 
 An index is a list of segments. A segment holds what follows from the messages of some chats alone:
-texts, words, term counts, vectors and counts per word, term and user. A commit lists which chats
+texts, words, vectors and counts per word and user. A commit lists which chats
 stand in which segment; a chat that is new or has changed goes into a new segment, and only its
-messages are read for that. What depends on all chats (document frequencies, weights) is put
-together from the segments when a version is opened; a version made of one whole segment, such as a
+messages are read for that. What depends on all chats (document frequencies, weights) is worked
+out from the segments' clean texts when a version is opened; a version made of one whole segment, such as a
 first build or a compacted one, has it stored as well.
 """
 
@@ -28,7 +28,7 @@ from convolens.runtime import SALTS, fits, stored
 from convolens.schema import MESSAGE_SCHEMA
 
 # Changes with the layout of the stored tables, so that older ones are not picked up.
-FORMAT = 3
+FORMAT = 4
 
 
 @dataclass(frozen=True)
@@ -181,14 +181,13 @@ def _commit(
 
 
 def _write_segment(messages: DataFrame, root: str, segment: str, o: IndexOptions) -> None:
-    """Texts are cleaned and terms counted once; the other tables come from those."""
+    """Texts are cleaned once; the other tables come from those."""
     place = f"{root}/segments/{segment}"
     read = lambda name: messages.sparkSession.read.parquet(f"{place}/{name}")
     texts = index.indexable(messages, o.keep_marks)
     columns = ["chat_id", "seq", "user", "clean_text", F.length("message").alias("chars")]
     _write(texts.select(columns), place, "texts")
     _write(index.word_lists(read("texts")), place, "words")
-    _write(index.count_lists(read("texts"), o.ngram_range), place, "counts")
     vectors = o.vectors(read("texts").select("chat_id", "seq", "clean_text"), "clean_text")
     _write(vectors.select("chat_id", "seq", "vector"), place, "vectors")
     _write_sums(messages.sparkSession, place)
@@ -199,7 +198,6 @@ def _write_sums(spark: SparkSession, place: str) -> None:
     read = lambda name: spark.read.parquet(f"{place}/{name}")
     _write(_by_word(index.postings_in(read("words"))), place, "postings")
     _write(index.word_freq(read("postings")), place, "vocabulary")
-    _write(index.term_sums(index.counts_in(read("counts"))), place, "sums")
     _write(index.profile_counts(read("texts")), place, "profiles")
 
 
@@ -207,12 +205,16 @@ def _write_whole(spark: SparkSession, root: str, segment: str, commit: int, o: I
     """The tables over all chats, of a version whose one segment has them all."""
     place, of = f"{root}/whole/{commit}", f"{root}/segments/{segment}"
     read = lambda name: spark.read.parquet(name)
-    n = read(f"{of}/texts").count()
-    _write(index.vocabulary_in(read(f"{of}/sums"), n, o.min_df, o.max_df, o.max_features), place, "terms")
-    _write(index.weight_lists(read(f"{of}/counts"), read(f"{place}/terms"), o.max_features), place, "lists")
+    tokens = index.token_lists(read(f"{of}/texts"))
+    _write(_terms(tokens, o), place, "terms")
+    _write(index.weight_lists(tokens, read(f"{place}/terms"), o.ngram_range, o.max_features), place, "lists")
     _write(_by_word(index.weights_in(read(f"{place}/lists"))), place, "weights")
 
 
+def _terms(tokens: DataFrame, o: IndexOptions) -> DataFrame:
+    return index.vocabulary_of(tokens, tokens.count(), o.ngram_range, o.min_df, o.max_df, o.max_features)
+
+
 def _by_word(df: DataFrame) -> DataFrame:
     """Bring a word's rows together, a frequent word's in ``SALTS`` places."""
     salt = F.pmod(F.xxhash64("chat_id", "seq"), F.lit(SALTS))
@@ -303,17 +305,15 @@ class Version:
     def terms(self) -> DataFrame:
         if self.whole:
             return self.spark.read.parquet(f"{self.root}/whole/{self.commit}/terms")
-        o = self.options
-        again = lambda s: index.term_sums(index.counts_in(self._current(s, self._segment(s, "counts"))))
-        n = self.chats.agg(F.sum("texts")).first()[0] or 0
-        return stored(index.vocabulary_in(self.sums("sums", again, ["term"]), n, o.min_df, o.max_df, o.max_features))
+        return stored(_terms(index.token_lists(self.rows("texts")), self.options))
 
     def weights(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Weights with a row per message, and with a row per message and term."""
         if self.whole:
             place = f"{self.root}/whole/{self.commit}"
             return self.spark.read.parquet(f"{place}/lists"), self.spark.read.parquet(f"{place}/weights")
-        lists = index.weight_lists(self.rows("counts"), terms, self.options.max_features)
+        o = self.options
+        lists = index.weight_lists(index.token_lists(self.rows("texts")), terms, o.ngram_range, o.max_features)
         return lists, index.weights_in(lists)
 
 
@@ -350,7 +350,7 @@ def compact(spark: SparkSession, path: str, options: IndexOptions = DEFAULT) ->
     if last is None:
         return None
     old, segment = Version(spark, f"{root}/v{last['commit']}", options), uuid.uuid4().hex[:12]
-    for name in ("texts", "words", "counts", "vectors"):
+    for name in ("texts", "words", "vectors"):
         _write(old.rows(name), f"{root}/segments/{segment}", name)
     _write_sums(spark, f"{root}/segments/{segment}")
     rows = old.chats.withColumn("segment", F.lit(segment))
@@ -367,10 +367,10 @@ def in_memory(messages: DataFrame, options: IndexOptions = DEFAULT) -> SearchTab
     """The same tables as plans, for a one-off search."""
     o = options
     texts = index.indexable(messages, o.keep_marks)
-    words, counts = index.word_lists(texts), index.count_lists(texts, o.ngram_range)
+    words, tokens = index.word_lists(texts), index.token_lists(texts)
     postings = index.postings_in(words)
-    terms = index.vocabulary_of(index.counts_in(counts), texts.count(), o.min_df, o.max_df, o.max_features)
-    lists = index.weight_lists(counts, terms, o.max_features)
+    terms = _terms(tokens, o)
+    lists = index.weight_lists(tokens, terms, o.ngram_range, o.max_features)
     return SearchTables(
         messages=messages,
         postings=postings,
