@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from struct import pack
 from sys import getsizeof
 
 import numpy as np
@@ -17,6 +18,8 @@ from tokenizers import Tokenizer
 
 # Bytes of one memory, and of a dictionary's own entry.
 MEMORY, ENTRY = 96 << 20, 100
+# Bytes of the memory of pieces that stand beside signs or in capitals: few of the words' pieces.
+PIECE_MEMORY = 32 << 20
 # How a byte-level vocabulary writes bytes: printable Latin-1 characters stand for themselves, the
 # others follow from U+0100 on. Public rule of this kind of vocabulary.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -101,22 +104,28 @@ class WordIds:
     """
 
     RARE = re.compile(f"[\x1c-\x1f{chr(0x130)}{chr(0x250)}-{chr(0x10FFFF)}]")
+    RARE_ASCII = re.compile("[\x1c-\x1f]")
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words, self.pieces = Memo(self._word), Memo(self._piece)
+        self.words, self.pieces = Memo(self._word), Memo(self._piece, PIECE_MEMORY)
 
     def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(byte_text(piece))]
-        return np.array(ids, dtype="<u4").tobytes()
+        plain = piece if piece.isascii() and piece.isalnum() else byte_text(piece)
+        ids = [t.id for t in self.model.tokenize(plain)]
+        return pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.PIECES.findall(word.lower())))
+        low = word.lower()
+        if word.isalpha():  # one piece; a word that is its own piece is remembered as a word only
+            return self._piece(low) if low == word else self.pieces[low]
+        return b"".join(map(self.pieces.__getitem__, self.PIECES.findall(low)))
 
     def ids(self, text: str) -> bytes:
-        if "<|" in text or self.RARE.search(text):
+        rare = self.RARE_ASCII if text.isascii() else self.RARE
+        if "<|" in text or rare.search(text):
             found = self.tokenizer.encode(text, add_special_tokens=False)
             return np.array(found.ids, dtype="<u4").tobytes()
         return b"".join(map(self.words.__getitem__, text.split()))
