@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
 from math import ceil
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from convolens.functions.text import tokens
 from convolens.functions.vectors import HASH_DIM, cosines, hash_embedding, matrix
+from convolens.operators.grams import split, steps
 from convolens.operators.ranking import DIGITS
 from convolens.runtime import ranked, stored
 
@@ -58,6 +60,32 @@ def embed(
     return df.withColumn(out, F.pandas_udf(encode, "array<float>")(text_col))
 
 
+# Rows whose feature hashes are dense at a time.
+HASH_ROWS = 10_000
+
+
+def hashed(tokens: DataFrame, dim: int = HASH_DIM) -> DataFrame:
+    """``(chat_id, seq, vector)`` of ``index.token_lists``: the feature hashes of ``embed``, each word of a step hashed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "tokens"):
+            flat, row = split(batch.column("tokens"))
+            coded = flat.dictionary_encode()
+            firsts = [int(md5(w.encode(), usedforsecurity=False).hexdigest()[:8], 16) for w in coded.dictionary.to_pylist()]
+            slot = (np.array(firsts, np.int64) % (2 * dim))[coded.indices.to_numpy()]
+            for start in range(0, batch.num_rows, HASH_ROWS):
+                part = batch.slice(start, HASH_ROWS)
+                a, b = np.searchsorted(row, [start, start + part.num_rows])
+                cell = (row[a:b] - start) * (2 * dim) + slot[a:b]
+                sums = np.bincount(cell, minlength=part.num_rows * 2 * dim).reshape(-1, dim, 2)
+                values = (sums[:, :, 0] - sums[:, :, 1]).astype(np.float32).ravel()
+                ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dim)
+                lists = pa.ListArray.from_arrays(ends, pa.array(values))
+                yield pa.RecordBatch.from_arrays([part.column("chat_id"), part.column("seq"), lists], ["chat_id", "seq", "vector"])
+
+    return tokens.select("chat_id", "seq", "tokens").mapInArrow(run, "chat_id string, seq long, vector array<float>")
+
+
 # Labels that go to the tasks with the plan, and the blocks in which more of them meet vectors.
 LABEL_BLOCK = 10_000
 # Vectors of a block, where there are several blocks of labels.

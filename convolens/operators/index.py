@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolens.functions import text
-from convolens.functions.arrays import run_lengths
-from convolens.operators.grams import Grams, Known, steps, tallied
+from convolens.functions.arrays import let, run_lengths
+from convolens.operators.grams import Grams, Known, order_of, split, steps, tallied
 from convolens.operators.ranking import top_k
 from convolens.runtime import BROADCAST_ROWS, fits, join_small, stored
 
@@ -24,6 +24,8 @@ MAX_DF = 0.9
 NGRAMS = (1, 3)
 MIN_WORD_LENGTH = 3
 PROFILE_WORDS = 10
+# Bytes of text per partition in which terms are counted.
+COUNT_BYTES = 32 << 20
 # -------------------------------------------------------------------------------------------------
 
 
@@ -54,6 +56,31 @@ def postings_in(lists: DataFrame) -> DataFrame:
     return lists.select(F.explode_outer("keys").alias("word"), "chat_id", "seq").where("word IS NOT NULL")
 
 
+def rows_by_key(lists: DataFrame, **named: str) -> DataFrame:
+    """``(key, chat_id, seq, ...)``: a row per message and key, by key within each step of a task.
+
+    ``named`` says which list gives which column, the keys first. Nothing is shuffled or sorted as a
+    whole: pages of a file written so have narrow ranges of keys, which is what a search for few needs.
+    """
+    (key, keys), *others = named.items()
+    kind = lambda c: lists.schema[c].dataType.elementType.simpleString()
+    schema = ", ".join([f"{key} string, chat_id string, seq long", *(f"{n} {kind(c)}" for n, c in others)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, keys, pc.list_value_length):
+            cells = batch.column(keys)
+            coded, row = cells.flatten().dictionary_encode(), pc.list_parent_indices(cells).to_numpy()
+            names = pc.sort_indices(coded.dictionary)
+            place = np.argsort(names.to_numpy())[coded.indices.to_numpy()]
+            order = order_of(place)
+            ids = [batch.column(c).take(pa.array(row[order])) for c in ("chat_id", "seq")]
+            rest = [batch.column(c).flatten().take(pa.array(order)) for _, c in others]
+            columns = [coded.dictionary.take(coded.indices.take(pa.array(order))), *ids, *rest]
+            yield pa.RecordBatch.from_arrays(columns, [key, "chat_id", "seq", *(n for n, _ in others)])
+
+    return lists.select("chat_id", "seq", *named.values()).mapInArrow(run, schema)
+
+
 def word_freq(postings: DataFrame) -> DataFrame:
     """``(word, df)``: number of messages with the word."""
     return postings.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
@@ -97,8 +124,14 @@ def tfidf_vocabulary(
 
 
 def token_lists(texts: DataFrame) -> DataFrame:
-    """``(chat_id, seq, tokens)`` of clean texts."""
-    return texts.select("chat_id", "seq", text.tokens(F.col("clean_text")).alias("tokens"))
+    """``(chat_id, seq, tokens)`` of clean texts: a text that has the tokens between ASCII signs.
+
+    A clean text is one already, but for the combining marks it may keep. ``text.tokens`` and
+    ``grams.split`` read the tokens from it; as a list of strings they would cost several times more.
+    """
+    plain = lambda c: F.regexp_replace(F.lower(c), f"[^{text.WORD}]+", " ")
+    cut = let(F.col("clean_text"), lambda c: F.when(c.rlike(r"\p{M}"), plain(c)).otherwise(c))
+    return texts.select("chat_id", "seq", cut.alias("tokens"))
 
 
 def vocabulary_of(
@@ -125,7 +158,9 @@ def candidate_sums(
     so many terms pass that they do not fit a broadcast, all terms are counted as strings.
     """
     low, high = ngram_range
-    ones = stored(_word_sums(tokens))
+    size = tokens.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    parts = max(tokens.sparkSession.sparkContext.defaultParallelism, -(-size // COUNT_BYTES))
+    ones = stored(_word_sums(tokens, parts))
     found, known, grams = ([ones] if low == 1 else []), ones, None
     for length in range(2, high + 1):
         least = 1
@@ -135,48 +170,53 @@ def candidate_sums(
             least = rarest if count == max_features > 0 else 1
         known = known.where((F.col("df") >= min_df) & (F.col("total") >= least))
         if not fits(known):
-            every = tokens.select("chat_id", "seq", run_lengths(text.ngrams(F.col("tokens"), low, high)).alias("counts"))
+            every = tokens.select("chat_id", "seq", run_lengths(text.ngrams(text.tokens(F.col("tokens")), low, high)).alias("counts"))
             return term_sums(counts_in(every))
         if grams is None:
             grams = Grams(known.select("term").sort("term").toArrow().column("term").combine_chunks())
         else:
             grams = Grams(grams.words, [*grams.levels, np.sort(known.select("number").toArrow().column("number").to_numpy())])
-        known = stored(_gram_sums(tokens, grams, length))
+        known = stored(_gram_sums(tokens, grams, length, parts))
         if length >= low:
-            found.append(_named(known, grams, length))
+            found.append(_named(known.where((F.col("df") >= min_df) & (F.col("total") >= least)), grams, length))
     return reduce(DataFrame.unionByName, found)
 
 
-def _word_sums(tokens: DataFrame) -> DataFrame:
-    """``term_sums`` of single tokens, combined in the tasks before they are shuffled."""
+def _word_sums(tokens: DataFrame, parts: int) -> DataFrame:
+    """``term_sums`` of single tokens, combined in the tasks step by step before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "tokens"):
-            lists = batch.column("tokens")
-            coded = lists.flatten().dictionary_encode()
-            row = pc.list_parent_indices(lists).to_numpy()
+            flat, row = split(batch.column("tokens"))
+            coded = flat.dictionary_encode()
             code, df, total = tallied(row, coded.indices.to_numpy())
             cells = [coded.dictionary.take(pa.array(code)), pa.array(df, pa.int64()), pa.array(total, pa.int64())]
             yield pa.RecordBatch.from_arrays(cells, ["term", "df", "total"])
 
-    parts = tokens.select("tokens").mapInArrow(run, "term string, df long, total long")
-    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    return _added(tokens.select("tokens").mapInArrow(run, "term string, df long, total long"), "term", parts)
+
+
+def _added(sums: DataFrame, key: str, parts: int) -> DataFrame:
+    """Sums per key, in a number of partitions that goes with the input.
+
+    The steps have combined what they can; combined once more before the shuffle, mostly single rows
+    would fill a task's memory.
+    """
+    return sums.repartition(parts, key).groupBy(key).agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
 
-def _gram_sums(tokens: DataFrame, grams: Grams, length: int) -> DataFrame:
+def _gram_sums(tokens: DataFrame, grams: Grams, length: int, parts: int) -> DataFrame:
     """``(number, df, total)`` of n-grams whose parts are known."""
     shared = tokens.sparkSession.sparkContext.broadcast(grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "tokens"):
-            lists = batch.column("tokens")
-            row = pc.list_parent_indices(lists).to_numpy()
-            number = shared.value.numbers(lists.flatten(), row, length)
+            flat, row = split(batch.column("tokens"))
+            number = shared.value.numbers(flat, row, length)
             cells = [pa.array(c, pa.int64()) for c in tallied(row, number)]
             yield pa.RecordBatch.from_arrays(cells, ["number", "df", "total"])
 
-    parts = tokens.select("tokens").mapInArrow(run, "number long, df long, total long")
-    return parts.groupBy("number").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    return _added(tokens.select("tokens").mapInArrow(run, "number long, df long, total long"), "number", parts)
 
 
 def _named(sums: DataFrame, grams: Grams, length: int) -> DataFrame:
@@ -221,7 +261,13 @@ def tfidf_weights(
     ``max_features`` is the cap the vocabulary was built with. It proves the broadcast side small;
     an uncapped vocabulary is counted first.
     """
-    return weights_in(weight_lists(token_lists(indexable(messages)), vocabulary, ngram_range, max_features))
+    return weight_rows(token_lists(indexable(messages)), vocabulary, ngram_range, max_features)
+
+
+def own_weights(messages: DataFrame) -> DataFrame:
+    """``tfidf_weights`` by the messages' own ``tfidf_vocabulary``; the texts are cleaned once."""
+    tokens = stored(token_lists(indexable(messages)))
+    return weight_rows(tokens, vocabulary_of(tokens, tokens.count()))
 
 
 def weights_in(lists: DataFrame) -> DataFrame:
@@ -232,6 +278,7 @@ def weights_in(lists: DataFrame) -> DataFrame:
 
 
 LISTS = "chat_id string, seq long, keys array<string>, tfs array<long>, weights array<double>"
+ROWS = "term string, chat_id string, seq long, tf long, weight double"
 
 
 def weight_lists(
@@ -243,38 +290,64 @@ def weight_lists(
     goes to the tasks, which look up the terms of many messages at a time. A vocabulary that is not
     proven small by ``max_features`` or a count is joined instead, term by term.
     """
+    found = _looked_up(tokens, vocabulary, ngram_range, max_features, _lists_of, LISTS)
+    return _joined_lists(tokens, vocabulary, ngram_range) if found is None else found
+
+
+def weight_rows(
+    tokens: DataFrame, vocabulary: DataFrame, ngram_range: tuple[int, int] = NGRAMS, max_features: int | None = MAX_FEATURES
+) -> DataFrame:
+    """``tfidf_weights`` of ``token_lists``, by term within each step of a task."""
+    found = _looked_up(tokens, vocabulary, ngram_range, max_features, _rows_of, ROWS)
+    return weights_in(_joined_lists(tokens, vocabulary, ngram_range)) if found is None else found
+
+
+def _looked_up(tokens: DataFrame, vocabulary: DataFrame, ngram_range: tuple[int, int], max_features: int | None, make, schema: str):
+    """What ``make`` makes of a batch and its weights; None for a vocabulary that is not proven small."""
     known = vocabulary.select("term", "idf")
     if not (max_features <= BROADCAST_ROWS if max_features is not None else fits(known)):
-        grams = text.ngrams(F.col("tokens"), *ngram_range)
-        return _joined_lists(tokens.select("chat_id", "seq", run_lengths(grams).alias("counts")), known)
+        return None
     table = known.toArrow()
     terms = Known(table.column("term").to_pylist(), table.column("idf").to_numpy())
     shared = tokens.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "tokens"):
-            yield _weighted(batch, shared.value, *ngram_range)
+            yield make(batch, shared.value, *_weighted(batch, shared.value, *ngram_range))
 
-    return tokens.select("chat_id", "seq", "tokens").mapInArrow(run, LISTS)
+    return tokens.select("chat_id", "seq", "tokens").mapInArrow(run, schema)
 
 
-def _weighted(batch: pa.RecordBatch, known: Known, low: int, high: int) -> pa.RecordBatch:
-    """Weights of the messages of a batch that have any term of the vocabulary."""
+def _weighted(batch: pa.RecordBatch, known: Known, low: int, high: int) -> tuple[np.ndarray, ...]:
+    """``(row, term, tf, weight)`` of a batch's terms that the vocabulary has."""
     row, term, tf = known.counted(batch.column("tokens"), low, high)
     raw = tf * known.values[term]
     norm = np.sqrt(np.bincount(row, raw * raw, minlength=batch.num_rows))
+    return row, term, tf, raw / norm[row]
+
+
+def _lists_of(batch: pa.RecordBatch, known: Known, row, term, tf, weight) -> pa.RecordBatch:
+    """The messages that have any term."""
     size = np.bincount(row, minlength=batch.num_rows)
     some = np.flatnonzero(size)
     ends = pa.array(np.r_[0, np.cumsum(size[some])].astype(np.int32))
-    cells = [known.terms.take(pa.array(term)), pa.array(tf), pa.array(raw / norm[row])]
     ids = [batch.column(c).take(pa.array(some)) for c in ("chat_id", "seq")]
-    lists = [pa.ListArray.from_arrays(ends, cell) for cell in cells]
+    lists = [pa.ListArray.from_arrays(ends, cell) for cell in (known.terms.take(pa.array(term)), pa.array(tf), pa.array(weight))]
     return pa.RecordBatch.from_arrays([*ids, *lists], ["chat_id", "seq", "keys", "tfs", "weights"])
 
 
-def _joined_lists(lists: DataFrame, known: DataFrame) -> DataFrame:
+def _rows_of(batch: pa.RecordBatch, known: Known, row, term, tf, weight) -> pa.RecordBatch:
+    order = order_of(term)
+    ids = [batch.column(c).take(pa.array(row[order])) for c in ("chat_id", "seq")]
+    cells = [known.terms.take(pa.array(term[order])), *ids, pa.array(tf[order]), pa.array(weight[order])]
+    return pa.RecordBatch.from_arrays(cells, ["term", "chat_id", "seq", "tf", "weight"])
+
+
+def _joined_lists(tokens: DataFrame, vocabulary: DataFrame, ngram_range: tuple[int, int]) -> DataFrame:
     """``weight_lists`` with a vocabulary of any size."""
-    hits = join_small(counts_in(lists), known, ["term"], spread_by=["chat_id", "seq"], max_rows=0)
+    grams = text.ngrams(text.tokens(F.col("tokens")), *ngram_range)
+    lists = tokens.select("chat_id", "seq", run_lengths(grams).alias("counts"))
+    hits = join_small(counts_in(lists), vocabulary.select("term", "idf"), ["term"], spread_by=["chat_id", "seq"], max_rows=0)
     raw = F.struct("term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
     gathered = hits.groupBy("chat_id", "seq").agg(F.sort_array(F.collect_list(raw)).alias("c"))
     total = F.aggregate("c", F.lit(0.0), lambda s, c: s + c["w"] * c["w"])

@@ -7,7 +7,8 @@ import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
-from convolens.operators import grams, index
+from convolens.functions import text
+from convolens.operators import embed, grams, index
 from convolens.runtime import join_small
 
 WORDS = [f"w{i}" for i in range(30)] + ["über", "zz", "straße"]
@@ -78,3 +79,52 @@ def test_salted_copies_are_not_broadcast(spark, tmp_path):
     joined = join_small(big, small, ["k"], ["id"], max_rows=0)
     assert joined.count() == 5000
     assert "Broadcast" not in plan_of(joined) and "SortMergeJoin" in plan_of(joined)
+
+
+ODD = ["", None, "a bb", "é éa 漢 漢字 a", "x_1 22 3", "bb", ":information: heart-eyes", "  ", "\U00010400 \U00010400b", "ab", "cd", "வணக்கம்"]
+
+
+@pytest.mark.parametrize("most, marks", [(1, False), (7, True), (1_000_000, False)])
+def test_tokens_of_a_text_are_those_of_the_pattern(spark, chat, monkeypatch, most, marks):
+    """Texts cut in bytes, across steps and rows, give what the JVM's pattern gives."""
+    monkeypatch.setattr(grams, "STEP_TOKENS", most)
+    texts = index.indexable(chat([("c", i, i, "u", t) for i, t in enumerate(ODD)]), marks)
+    want = texts.select(text.tokens(F.col("clean_text")).alias("t")).collect()
+    lists = index.token_lists(texts).select("tokens").toArrow().to_batches()
+    got = []
+    for batch in grams.steps(iter(lists), "tokens"):
+        flat, row = grams.split(batch.column("tokens"))
+        got += [[w for w, r in zip(flat.to_pylist(), row) if r == i] for i in range(batch.num_rows)]
+    assert got == [r.t for r in want] and sum(map(len, got)) > 8
+
+
+def test_sums_are_not_combined_twice_before_the_shuffle(spark, talk):
+    """A task's memory must not hold all its n-grams; partitions go with the input."""
+    tokens = index.token_lists(index.indexable(talk))
+    plan = plan_of(index._word_sums(tokens, 5))
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    assert plan.index("HashAggregate") < plan.index("Exchange") and "HashAggregate" not in plan[plan.index("Exchange") :]
+
+
+def test_rows_by_key_need_no_shuffle(spark, talk, monkeypatch):
+    monkeypatch.setattr(grams, "STEP_TOKENS", 40)
+    lists = index.word_lists(index.indexable(talk))
+    rows = index.rows_by_key(lists, word="keys")
+    plan = plan_of(rows)
+    assert "Exchange" not in plan and "Sort" not in plan
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, index.postings_in(lists).collect()))
+
+
+def test_own_weights_clean_texts_once(talk):
+    rows = lambda df: sorted((r.term, r.chat_id, r.seq, r.tf, round(r.weight, 9)) for r in df.collect())
+    own = index.own_weights(talk)
+    assert rows(own) == rows(index.tfidf_weights(talk, index.tfidf_vocabulary(talk))) and "regexp_replace" not in plan_of(own)
+
+
+@pytest.mark.parametrize("dim", [5, 64])
+def test_vectors_hash_each_word_of_a_step_once(talk, dim, monkeypatch):
+    monkeypatch.setattr(grams, "STEP_TOKENS", 90)
+    monkeypatch.setattr(embed, "HASH_ROWS", 4)
+    texts = index.indexable(talk)
+    rows = lambda df: sorted(str(r) for r in df.select("chat_id", "seq", "vector").collect())
+    assert rows(embed.hashed(index.token_lists(texts), dim)) == rows(embed.embed(texts, "clean_text", dim=dim))
