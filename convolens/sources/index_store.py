@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from convolens.functions.vectors import HASH_DIM
 from convolens.operators import index
-from convolens.operators.embed import Encoder, embed
+from convolens.operators.embed import Encoder, embed, hashed
 from convolens.operators.search import SearchTables
-from convolens.runtime import SALTS, fits, stored
+from convolens.runtime import fits, stored
 from convolens.schema import MESSAGE_SCHEMA
 
 # Changes with the layout of the stored tables, so that older ones are not picked up.
@@ -67,10 +67,9 @@ COMMITS = "commit long, build string, fingerprint string, n long, whole boolean"
 # The chats that a build puts into a segment, or takes out of the index (null segment).
 CHATS = "chat_id string, fingerprint string, n long, texts long, segment string, build string, commit long"
 # Sort columns of the tables that searches filter by their leading column: sorted files give row
-# groups narrow min/max values, so a search for a few words decodes few of them.
+# groups narrow min/max values, so a search for a few words decodes few of them. Postings and weights
+# are sorted in runs (``index.rows_by_key``), for their pages.
 SORTED = {
-    "postings": ["word", "chat_id", "seq"],
-    "weights": ["term", "chat_id", "seq"],
     "vocabulary": ["word"],
     "terms": ["term"],
 }
@@ -188,7 +187,10 @@ def _write_segment(messages: DataFrame, root: str, segment: str, o: IndexOptions
     columns = ["chat_id", "seq", "user", "clean_text", F.length("message").alias("chars")]
     _write(texts.select(columns), place, "texts")
     _write(index.word_lists(read("texts")), place, "words")
-    vectors = o.vectors(read("texts").select("chat_id", "seq", "clean_text"), "clean_text")
+    if o.encoder_factory is None:
+        vectors = hashed(index.token_lists(read("texts")), o.dim)
+    else:
+        vectors = o.vectors(read("texts").select("chat_id", "seq", "clean_text"), "clean_text")
     _write(vectors.select("chat_id", "seq", "vector"), place, "vectors")
     _write_sums(messages.sparkSession, place)
 
@@ -196,7 +198,7 @@ def _write_segment(messages: DataFrame, root: str, segment: str, o: IndexOptions
 def _write_sums(spark: SparkSession, place: str) -> None:
     """Postings and counts of a segment whose lists are written."""
     read = lambda name: spark.read.parquet(f"{place}/{name}")
-    _write(_by_word(index.postings_in(read("words"))), place, "postings")
+    _write(index.rows_by_key(read("words"), word="keys"), place, "postings")
     _write(index.word_freq(read("postings")), place, "vocabulary")
     _write(index.profile_counts(read("texts")), place, "profiles")
 
@@ -208,19 +210,14 @@ def _write_whole(spark: SparkSession, root: str, segment: str, commit: int, o: I
     tokens = index.token_lists(read(f"{of}/texts"))
     _write(_terms(tokens, o), place, "terms")
     _write(index.weight_lists(tokens, read(f"{place}/terms"), o.ngram_range, o.max_features), place, "lists")
-    _write(_by_word(index.weights_in(read(f"{place}/lists"))), place, "weights")
+    rows = index.rows_by_key(read(f"{place}/lists"), term="keys", tf="tfs", weight="weights")
+    _write(rows, place, "weights")
 
 
 def _terms(tokens: DataFrame, o: IndexOptions) -> DataFrame:
     return index.vocabulary_of(tokens, tokens.count(), o.ngram_range, o.min_df, o.max_df, o.max_features)
 
 
-def _by_word(df: DataFrame) -> DataFrame:
-    """Bring a word's rows together, a frequent word's in ``SALTS`` places."""
-    salt = F.pmod(F.xxhash64("chat_id", "seq"), F.lit(SALTS))
-    return df.repartition(df.columns[0], salt)
-
-
 def _write(df: DataFrame, place: str, name: str) -> None:
     if name in SORTED:
         df = df.sortWithinPartitions(*SORTED[name])
