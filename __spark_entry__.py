@@ -172,7 +172,7 @@ def _vocabulary(messages):
 
 
 def _weights(messages):
-    return rounded(index.tfidf_weights(messages, index.tfidf_vocabulary(messages)), "weight")
+    return rounded(index.own_weights(messages), "weight")
 
 
 def index_roundtrip(spark, sf_dir):
@@ -304,7 +304,8 @@ def keyword_search(spark, sf_dir):
 
 def keyword_batch(spark, sf_dir):
     t = stored(spark, sf_dir)
-    return search.keyword_search(t.postings, t.vocabulary, fx.benchmark_queries(spark, sf_dir))
+    asked = fx.benchmark_queries(spark, sf_dir)
+    return search.keyword_search(t.postings, t.vocabulary, asked, words=t.words, merge=True)
 
 
 def fuzzy_vocab(spark, sf_dir):
@@ -321,7 +322,7 @@ def tfidf_search(spark, sf_dir):
 
 def tfidf_batch(spark, sf_dir):
     t = stored(spark, sf_dir)
-    return search.tfidf_search(t.weights, t.terms, fx.benchmark_queries(spark, sf_dir))
+    return search.tfidf_search(t.weights, t.terms, fx.benchmark_queries(spark, sf_dir), lists=t.lists, merge=True)
 
 
 def combined_search(spark, sf_dir):
@@ -389,7 +390,7 @@ def _unpacked(packed):
 def pack_context(spark, sf_dir):
     asked = fx.benchmark_queries(spark, sf_dir)
     t = stored(spark, sf_dir)
-    hits = search.tfidf_search(t.weights, t.terms, asked)
+    hits = search.tfidf_search(t.weights, t.terms, asked, lists=t.lists, merge=True)
     return _unpacked(responses.pack_context(search.render(hits, t.messages, search.TFIDF), asked))
 
 

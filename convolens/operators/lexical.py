@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 
 from convolens.operators.best import Best
 from convolens.operators.ranking import DIGITS
-from convolens.runtime import BROADCAST_ROWS, stored
+from convolens.runtime import BROADCAST_ROWS, fits, stored
 
 # Weights of a block of requests: one block goes to the tasks with the plan.
 BLOCK_WEIGHTS = BROADCAST_ROWS
+# As many times the weights of such a block make one where there are several: every block of messages
+# is sent to each, so fewer and larger ones shuffle less.
+GRID = 8
 # Keys of a block of messages, where there are several blocks of requests.
 BLOCK_KEYS = 2_000_000
 # Products that a task holds at a time.
@@ -110,6 +113,22 @@ def listed(rows: DataFrame, key: str, weight: str | None = None) -> DataFrame:
     return lists.select(*IDS, F.transform("c", lambda c: c["key"]).alias("keys"), *weights)
 
 
+def merged(lists: DataFrame) -> DataFrame:
+    """``lists`` with the rows of an id that several have put together, as ``listed`` does it.
+
+    Only the ids are shuffled, and the rows of such ids.
+    """
+    more = [c for c in ("keys", "weights") if c in lists.columns]
+    lists = lists.select(*IDS, *more)
+    twice = stored(lists.groupBy(*IDS).count().where("count > 1").select(*IDS))
+    if twice.isEmpty():
+        return lists
+    twice = F.broadcast(twice) if fits(twice) else twice
+    same = lists["chat_id"].eqNullSafe(twice["chat_id"]) & lists["seq"].eqNullSafe(twice["seq"])
+    cells = lists.join(twice, same, "left_semi").select(*IDS, F.inline(F.arrays_zip(*more)))
+    return lists.join(twice, same, "left_anti").unionByName(listed(cells, "keys", "weights" if "weights" in more else None))
+
+
 def best_messages(messages: DataFrame, requests: DataFrame, k: int, floor: float = 0.0) -> DataFrame:
     """The best ``k`` messages per task for every request, by the sum of products of shared keys.
 
@@ -142,7 +161,7 @@ def _grid(rows: DataFrame, asked: DataFrame, k: int, floor: float) -> DataFrame:
     cells = F.collect_list(F.struct("key", "weight"))
     lists = stored(asked.groupBy("query_id").agg(cells.alias("cells")))
     rows = stored(rows)
-    tall = max(1, ceil(lists.agg(F.sum(F.size("cells"))).first()[0] / BLOCK_WEIGHTS))
+    tall = max(1, ceil(lists.agg(F.sum(F.size("cells"))).first()[0] / (GRID * BLOCK_WEIGHTS)))
     wide = max(1, ceil((rows.agg(F.sum(F.size("keys"))).first()[0] or 0) / BLOCK_KEYS))
     block = lambda cols, n: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

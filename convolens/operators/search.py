@@ -22,7 +22,7 @@ from convolens.functions.vectors import matrix, unit_rows
 from convolens.operators.best import Best
 from convolens.operators.embed import embed
 from convolens.operators.index import NGRAMS
-from convolens.operators.lexical import best_messages, listed
+from convolens.operators.lexical import best_messages, listed, merged
 from convolens.operators.ranking import DIGITS, FUSED_DIGITS, score, top_k
 from convolens.operators.retrieval import HIT_COLUMNS
 from convolens.runtime import BROADCAST_ROWS, FILTER_VALUES, failed_job, join_small, keep_keys, stored
@@ -262,19 +262,27 @@ def keyword_search(
     queries: DataFrame,
     k: int = TOP_K,
     words: DataFrame | None = None,
+    merge: bool = False,
 ) -> DataFrame:
     """Messages by exact and partial keyword matches.
 
     The fuzzy step runs on the vocabulary. ``words`` are the messages with the list of their words,
     ``(chat_id, seq, keys)``: many keywords read those once, without a shuffle; few read their
-    postings only.
+    postings only. ``merge`` makes rows of ``words`` that share an id one message, as postings do.
     """
     weights = stored(keyword_weights(keywords_of(queries), vocabulary))
-    return _scored(postings, "word", None, words, weights, k)
+    return _scored(postings, "word", None, words, weights, k, merge=merge)
 
 
 def _scored(
-    rows: DataFrame, key: str, weight: str | None, lists: DataFrame | None, asked_for: DataFrame, k: int, floor: float = 0.0
+    rows: DataFrame,
+    key: str,
+    weight: str | None,
+    lists: DataFrame | None,
+    asked_for: DataFrame,
+    k: int,
+    floor: float = 0.0,
+    merge: bool = False,
 ) -> DataFrame:
     """Messages by the sum over their keys of their weight times the request's.
 
@@ -286,6 +294,8 @@ def _scored(
         lists = listed(rows.where(F.col(key).isin(values)), key, weight)
     elif lists is None:
         lists = listed(rows.where(F.col(key).isNotNull()), key, weight)
+    elif merge:
+        lists = merged(lists)
     found = best_messages(lists, asked_for.withColumnRenamed(key, "key"), k, floor)
     return top_k(found, _best_first(["chat_id", "seq"]), k, ["query_id"])
 
@@ -330,13 +340,15 @@ def tfidf_search(
     floor: float = TFIDF_FLOOR,
     ngram_range: tuple[int, int] = NGRAMS,
     lists: DataFrame | None = None,
+    merge: bool = False,
 ) -> DataFrame:
     """Messages by the dot product of normalised TF-IDF weights.
 
-    ``lists`` are the same weights with a row per message, ``(chat_id, seq, keys, weights)``.
+    ``lists`` are the same weights with a row per message, ``(chat_id, seq, keys, weights)``;
+    ``merge`` makes those that share an id one message, as ``weights`` do.
     """
     terms = stored(query_terms(queries, vocabulary, ngram_range).withColumnRenamed("qweight", "weight"))
-    return _scored(weights, "term", "weight", lists, terms, k, floor)
+    return _scored(weights, "term", "weight", lists, terms, k, floor, merge)
 
 
 # --- fusion -------------------------------------------------------------------------------------

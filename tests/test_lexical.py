@@ -131,3 +131,24 @@ def test_a_vocabulary_too_large_to_send_is_joined(spark, talk, monkeypatch):
     one = rows(index.tfidf_weights(talk, terms, max_features=None))
     monkeypatch.setattr(index, "fits", lambda df: False)
     assert rows(index.tfidf_weights(talk, terms, max_features=None)) == one and len(one) > 500
+
+
+def test_lists_of_one_id_count_as_one_message(spark, chat, monkeypatch):
+    rng = random.Random(5)
+    rows = [("c", i // 2 if i < 20 else i, i, "u", " ".join(rng.choices(WORDS[:40], k=8))) for i in range(90)]
+    t = index_store.in_memory(chat(rows + [(None, 3, 3, "u", "w001 w002"), (None, 3, 4, "u", "w001 w003")]))
+    queries = spark.createDataFrame([(f"q{i}", " ".join(rng.choices(WORDS[:40], k=6))) for i in range(7)], "query_id string, text string")
+    monkeypatch.setattr(search, "FILTER_VALUES", 0)
+    run = lambda df: sorted(map(str, df.collect()))
+    assert run(search.tfidf_search(t.weights, t.terms, queries, 200, lists=t.lists, merge=True)) == run(search.tfidf_search(t.weights, t.terms, queries, 200))
+    words = search.keyword_search(t.postings, t.vocabulary, queries, 200, t.words, merge=True)
+    assert run(words) == run(search.keyword_search(t.postings, t.vocabulary, queries, 200))
+
+
+def test_blocks_of_a_grid_are_larger_than_one_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_WEIGHTS", 10)
+    monkeypatch.setattr(lexical, "BLOCK_KEYS", 300)
+    messages, requests, m, q = tables(spark, 150, 12, 25)
+    hits = lexical.best_messages(m, q, 4)
+    assert "hashpartitioning(_q" in plan_of(hits) and 12 * 25 / (lexical.GRID * 10) > 3
+    same(ranked(hits, 4), brute(messages, requests, 4))
