@@ -110,6 +110,9 @@ LOOKS = "".join(map(re.escape, LOOKALIKES))
 SIGNS = "".join(re.escape(c) for c in LOOKALIKES if not c.isdigit())
 SILENT = "".join(map(re.escape, SEPARATORS))
 SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{SIGNS}])(?:[{SILENT}]{{1,3}}(?:[^\W_]|[{SIGNS}])(?![^\W_])){{2,}}")
+# Two characters by themselves, one after the other, as every run of SPACED has them: cheaper to look for.
+ALONE = rf"[{SILENT}]{{1,3}}(?:[^\W_]|[{SIGNS}])"
+NEAR = re.compile(rf"{ALONE}{ALONE}(?![^\W_])")
 SUSPECT = re.compile(
     rf"[^\W\d_][{LOOKS}]+[^\W\d_]|^[{LOOKS}]+[^\W\d_]{{2}}|[^\W\d_][~_]+[^\W\d_]|([^\W\d_])\1\1"
 )
@@ -119,6 +122,7 @@ SUSPECT = re.compile(
 OPEN = re.compile(rf"[{LOOKS}]|[^\W_][{SILENT}]+[^\W_]|([^\W_])\1")
 LETTER = re.compile(r"[^\W\d_]")
 REPEAT = re.compile(r"(.)\1")
+TWICE = re.compile(r"([^\W_])\1")
 _SILENCED = str.maketrans("", "", SEPARATORS)
 
 
@@ -159,6 +163,8 @@ def decode(model: CharModel, span: str, squeeze: bool = True) -> str:
 
 def may_differ(word: str) -> bool:
     """Whether a word has a sign or a repeat that could make it another one."""
+    if word.isalpha():  # no sign at all
+        return bool(TWICE.search(word))
     return bool(LETTER.search(word) and OPEN.search(word))
 
 

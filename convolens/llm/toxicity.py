@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolens.llm.charlm import SPACED, CharModel, Restorer, Skeletons, may_differ, trigram_counts
+from convolens.llm.charlm import NEAR, SPACED, CharModel, Restorer, Skeletons, may_differ, trigram_counts
 from convolens.llm.common import STEP_ROWS, kept, map_batches, slices
 from convolens.llm.tokens import Memo
 
@@ -90,7 +90,7 @@ class Reader:
 
     def split(self, text: str) -> list[str]:
         """Words of the text, letter-by-letter writing restored."""
-        return SPACED.sub(lambda m: self._run(m.group()), text).split()
+        return (SPACED.sub(lambda m: self._run(m.group()), text) if NEAR.search(text) else text).split()
 
     def read(self, text: str) -> set:
         return set(map(self.words.__getitem__, self.split(text))) - {None}
@@ -103,7 +103,13 @@ class ToxicityModel:
     base: float
 
     def reader(self) -> Reader:
+        # All terms of a word begin as it does; most words begin like no known term.
+        n = min(STEMS)
+        heads = {t[:n] for t in self.chances}
+
         def wanted(words: list[str]):
+            if not any(w[:n] in heads for w in words):
+                return None
             found = [(self.chances[t], w) for w in words for t in terms(w) if t in self.chances]
             return max(found)[::-1] if found else None
 

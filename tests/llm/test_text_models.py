@@ -221,3 +221,23 @@ def test_products_of_parts_of_a_batch(monkeypatch):
     whole = model.values(texts)
     monkeypatch.setattr(langid, "ENTRIES", 1)
     assert np.allclose(model.values(texts), whole) and np.allclose(whole, model.kernel(texts) @ model.weights, atol=1e-5)
+
+
+def test_ordinary_texts_and_words_skip_the_costly_steps():
+    """Texts without letters by themselves are not searched for runs, words that begin like no term make no terms."""
+    odd = ["a b c", " x y", "à l'é t", "b.a.d y o u", "a - b", "", "é é é", "s  t  u p", "l_o_l x", "aa b b", "c,d;e f", "plain words here"]
+    for text in odd:
+        assert not charlm.SPACED.search(text) or charlm.NEAR.search(text)
+    for word in ["good", "gód", "abc", "ab1", "a.b", "ªª", "ʰʰ", "x_y", "漢漢", "²²"]:
+        assert charlm.may_differ(word) == bool(charlm.LETTER.search(word) and charlm.OPEN.search(word))
+    model = toxicity.ToxicityModel({}, {"badword": 0.9, "stup*": 0.8, "abc": 0.7}, 0.1)
+    reader = model.reader()
+    assert [reader.words[w] for w in ("badword", "badwords", "stupid", "stup", "abc", "abcd")] == [
+        ("badword", 0.9), None, ("stupid", 0.8), None, ("abc", 0.7), None
+    ]
+    made = []
+    real, toxicity.terms = toxicity.terms, lambda w: made.append(w) or real(w)
+    try:
+        assert [model.reader().words[w] for w in ("ordinary", "badwords")] == [None, None] and made == ["badwords"]
+    finally:
+        toxicity.terms = real
