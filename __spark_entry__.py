@@ -381,9 +381,10 @@ def route_errors(spark, sf_dir):
 
 
 def _unpacked(packed):
-    """The context of each request as rows again, in its order."""
+    """The context of each request as rows again, in its order; one that cannot be read is no empty one."""
     kind = "array<struct<chat_id: string, seq: long, message: string, score: double, method: string>>"
-    listed = packed.select("query_id", F.posexplode(F.from_json("context", kind)).alias("pos", "h"))
+    strict = {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1)}
+    listed = packed.select("query_id", F.posexplode(F.from_json("context", kind, strict)).alias("pos", "h"))
     return listed.select("query_id", "pos", "h.*")
 
 
@@ -395,7 +396,13 @@ def pack_context(spark, sf_dir):
 
 
 def route_context(spark, sf_dir):
+    """The rows have no place for a failure, so the query fails of one; it is routed anew the next time."""
     reqs, out = _routed(spark, sf_dir)
+    first = F.min(F.struct("query_id", "function", "error"))
+    n, failed = router.failures(reqs, out).agg(F.count(F.lit(1)), first).first()
+    if n:
+        del _answered[spark.sparkContext.applicationId, sf_dir]
+        raise RuntimeError(f"{n} failures while routing, the first in {failed.query_id}, {failed.function}: {failed.error}")
     return _unpacked(router.answer_contexts(reqs, out))
 
 

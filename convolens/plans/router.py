@@ -205,11 +205,28 @@ def _isolated(
     return [h for found, _ in both for h in found], [e for _, failed in both for e in failed]
 
 
+def failures(reqs: DataFrame, routed: DataFrame) -> DataFrame:
+    """``(query_id, function, error)`` of accepted requests that failed in ``route``, wholly or in a branch."""
+    told = lambda df: df.where(F.col("error").isNotNull()).select("query_id", "function", "error")
+    return told(routed).exceptAll(told(reqs))  # ids may repeat; a rejected request has one row in both
+
+
 def answer_contexts(reqs: DataFrame, routed: DataFrame) -> DataFrame:
-    """``(query_id, text, context)``: each answered request beside its hits as one JSON array."""
+    """``(query_id, text, context, error)``: each accepted request beside its hits as one JSON array.
+
+    ``[]`` is an answer without hits. A request that failed has a null context and the reason in
+    ``error``; a fused search that lost a branch has what the others found beside its ``error``.
+    A null id meets no hits, so its requests count as failed.
+    """
     hits = routed.where(F.col("chat_id").isNotNull())
     words = F.coalesce("text", F.array_join("keywords", " ")).alias("text")
-    return pack_context(hits, reqs.where(F.col("error").isNull()).select("query_id", words))
+    packed = pack_context(hits, reqs.where(F.col("error").isNull()).select("query_id", words))
+    reasons = F.array_join(F.array_sort(F.collect_set("error")), "; ")
+    failed = failures(reqs, routed).groupBy("query_id").agg(reasons.alias("_failed"))
+    error = F.when(F.col("query_id").isNull(), "no request id").otherwise(F.col("_failed"))
+    told = packed.join(failed, "query_id", "left").withColumn("error", error)
+    answered = F.col("error").isNull() | (F.col("context") != "[]")
+    return told.select("query_id", "text", F.when(answered, F.col("context")).alias("context"), "error")
 
 
 def _of(reqs: DataFrame, *functions: str) -> DataFrame:

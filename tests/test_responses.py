@@ -3,6 +3,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from convolens.operators import embed, responses, search
@@ -190,3 +191,60 @@ def test_pack_context(spark, chat):
     packed = responses.pack_context(search.render(hits, talk, "x"), asked)
     got = {r.query_id: r.context for r in packed.collect()}
     assert got["q"].index('"m2"') < got["q"].index('"m0"') and got["r"] == "[]"
+
+
+def test_a_failure_is_no_context_without_hits(spark, chat, monkeypatch):
+    monkeypatch.setattr(router, "PATTERN_SECONDS", 0.5)
+    talk = chat([("c", i, i * 60, "Al" if i % 2 else "a" * 40 + "!", f"hello {i}") for i in range(4)])
+    reqs = routed_calls(spark, [
+        (1, "get_user_messages", '{"username": "al", "limit": 1}'),
+        (2, "semantic_search_optimized", '{"query": "one"}'),
+        (3, "combined_search_optimized", '{"query": "two"}'),
+        (4, "combined_search_optimized", '{"query": "three"}'),
+        (5, "get_user_messages", '{"username": "(a|aa)+$"}'),
+        (6, "get_user_messages", '{"username": "nobody"}'),
+        (7, "get_user_messages", '{"username": "al("}'),
+        (8, "get_user_messages", '{"username": "al("}'),
+        (8, "get_user_messages", '{"username": "^al", "limit": 1}'),
+        (None, "get_user_messages", '{"username": "^al", "limit": 1}'),
+    ])
+    routed = router.route(reqs.where("function = 'get_user_messages'"), index_store.in_memory(talk))
+    # What a failed search and a lost branch leave, beside a hit of the other branches.
+    kind = "query_id string, function string, chat_id string, seq long, message string, score double, error string"
+    rest = spark.createDataFrame([
+        ("2", "semantic_search_optimized", None, None, None, None, "failed: no room"),
+        ("3", "combined_search_optimized", "c", 2, "hello 2", 0.5, None),
+        ("3", "combined_search_optimized", None, None, None, None, "semantic_optimized failed: no room"),
+        ("4", "combined_search_optimized", None, None, None, None, "semantic_optimized failed: no room"),
+    ], kind)
+    routed = routed.unionByName(rest, allowMissingColumns=True)
+    got = {r.query_id: (r.context, r.error) for r in router.answer_contexts(reqs, routed).collect()}
+    assert set(got) == {"1", "2", "3", "4", "5", "6", "8", None}
+    assert {i for i, (_, error) in got.items() if error is None} == {"1", "6", "8"}
+    assert "hello 3" in got["1"][0] and got["6"][0] == "[]" and "hello 3" in got["8"][0]
+    assert "hello 2" in got["3"][0] and "no room" in got["3"][1]
+    assert {i for i, (context, _) in got.items() if context is None} == {"2", "4", "5", None}
+    assert "no room" in got["2"][1] and "no room" in got["4"][1] and "too long" in got["5"][1]
+    assert sorted(r.query_id for r in router.failures(reqs, routed).collect()) == ["2", "3", "4", "5"]
+
+
+def test_route_context_fails_of_a_failure(spark, chat):
+    talk = chat([("c", i, i * 60, "Al", f"hello {i}") for i in range(3)])
+    reqs = routed_calls(spark, [(1, "get_user_messages", '{"username": "al"}'), (2, "get_user_messages", '{"username": "al("}')])
+    routed = router.route(reqs, index_store.in_memory(talk))
+    lost = routed.where("query_id = '2'").withColumns({"query_id": F.lit("1"), "error": F.lit("failed: lost an executor")})
+    key = spark.sparkContext.applicationId, "a folder"
+    entry._answered[key] = reqs, routed
+    assert [r.seq for r in entry.route_context(spark, "a folder").orderBy("pos").collect()] == [0, 1, 2]
+    entry._answered[key] = reqs, routed.unionByName(lost)
+    with pytest.raises(RuntimeError, match="1 failures .* 1, get_user_messages: failed: lost an executor"):
+        entry.route_context(spark, "a folder")
+    assert key not in entry._answered
+
+
+def test_contexts_are_read_back_whole(spark):
+    long = "x" * 21_000_000
+    packed = spark.createDataFrame([("q",)], "query_id string").withColumn("context", F.to_json(F.array(F.struct(F.lit(long).alias("message")))))
+    assert [len(r.message) for r in entry._unpacked(packed).collect()] == [len(long)]
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        entry._unpacked(packed.withColumn("context", F.lit('[{"message": "cut'))).collect()
